@@ -85,11 +85,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word with A-Z lower-cased, number of the first word of each document and the total)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple:
+    """(64-bit hash of each word with A-Z lower-cased, number of the first word of each document and the total).
+
+    places: also the first byte of each word and the byte after it.
+    """
     n = len(data)
+    nothing = (np.zeros(0, U64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.int64)] * (2 * places))
     if not n:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return nothing
     inside = ~_SPACE[data]
     before = np.empty(n, bool)
     before[0] = False
@@ -98,14 +102,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[edges] = False  # a word ends with its document
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return nothing
     where = np.flatnonzero(inside)
     word = np.cumsum((inside & ~before)[where]) - 1
     at = where - starts[word]
     weights = constants(int(at.max()) + 1, 1)
     values = (_LOWER[data[where]].astype(U64) + U64(1)) * weights[at]
     first = np.searchsorted(where, starts)
-    return mix(np.add.reduceat(values, first)), np.searchsorted(starts, offsets)
+    hashes = mix(np.add.reduceat(values, first)), np.searchsorted(starts, offsets)
+    return (*hashes, starts, where[np.append(first[1:], len(where)) - 1] + 1) if places else hashes
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lorebase.llm import minhash, packing
+from pyspark.sql import functions as F
+
+from lorebase.llm import language, minhash, neighbours, packing, secrets, sharding, syncmers, urls
 from lorebase.llm.common import documents
 
 
@@ -14,5 +16,32 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op10_packing)}
+def op3_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.filter(~language.held_out()))
+    return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
+def op6_neighbours(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.search(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op7_sharding(spark, sf_dir):
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op8_urls(spark, sf_dir):
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_syncmers(spark, sf_dir):
+    return syncmers.fingerprints(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_language, op5_secrets, op6_neighbours, op7_sharding, op8_urls, op9_syncmers, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
