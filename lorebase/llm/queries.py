@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorebase.llm import language, minhash, neighbours, packing, secrets, sharding, syncmers, urls
+from lorebase.llm import language, minhash, neighbours, packing, secrets, sharding, suffixes, syncmers, urls
 from lorebase.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op3_language(spark, sf_dir):
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffixes(spark, sf_dir):
+    out = suffixes.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.find_secrets(documents(spark, sf_dir))
 
@@ -43,5 +48,5 @@ def op9_syncmers(spark, sf_dir):
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_language, op5_secrets, op6_neighbours, op7_sharding, op8_urls, op9_syncmers, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_language, op4_suffixes, op5_secrets, op6_neighbours, op7_sharding, op8_urls, op9_syncmers, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
