@@ -249,6 +249,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return whole(docs, id_col, text_col).mapInArrow(_predict(_Shared(shared)), "doc_id long, lang_pred string, score double")
 
 
+def _keep(shared):
+    predict = _predict(shared)
+
+    def run(batches):
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
+            lang = next(predict([pair])).column("lang_pred")
+            known = pa.array([x != "und" for x in lang.to_pylist()], pa.bool_())
+            yield batch.set_column(batch.schema.get_field_index("lang"), "lang", lang).filter(known)
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs whose text has a language, which becomes their column lang."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_keep(_Shared(docs.sparkSession.sparkContext.broadcast(model))), docs.schema)
+
+
 class _Shared:
     """A broadcast model with a number by which a worker knows that it has it already."""
 

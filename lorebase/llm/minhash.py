@@ -18,7 +18,8 @@ With 32 bands of 4 coordinates, a pair at a similarity of 0.75 shares no bucket
 
 Defined results: null or empty texts, and texts of white space, have an empty set, class themselves,
 are linked with nothing and are kept. Repeated rows (equal doc_id) count as one document of equal
-sets. Ties do not arise: the smallest doc_id represents. Extra columns are ignored.
+sets. Ties do not arise: the smallest doc_id represents. A row without an id has no component, and
+deduplicate drops it. Extra columns are ignored, in deduplicate kept.
 """
 
 from __future__ import annotations
@@ -287,3 +288,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.select(*set_key, "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select(*set_key, F.coalesce("component", "rep").alias("component_id"))
     out = described.select("doc_id", *set_key).join(reps, set_key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs that stay: one document of each group, the one of the smallest doc_id."""
+    kept = cut(near_duplicates(docs, width=width, percent=percent).filter("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

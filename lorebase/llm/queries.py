@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorebase.llm import language, minhash, neighbours, packing, secrets, sharding, suffixes, syncmers, urls
+from lorebase.llm import language, minhash, neighbours, packing, secrets, sentencepieces, sharding, suffixes, syncmers, urls
 from lorebase.llm.common import documents
 
 
+def op1_sentencepieces(spark, sf_dir):
+    return sentencepieces.digest(documents(spark, sf_dir))
+
+
 def op2_minhash(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op9_syncmers(spark, sf_dir):
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_language, op4_suffixes, op5_secrets, op6_neighbours, op7_sharding, op8_urls, op9_syncmers, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepieces, op2_minhash, op3_language, op4_suffixes, op5_secrets, op6_neighbours, op7_sharding, op8_urls, op9_syncmers, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

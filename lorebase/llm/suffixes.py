@@ -258,6 +258,19 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _text(batches):
+    for batch in batches:
+        texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("kept"), "text", pa.array(texts, pa.string()))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the repeated passages taken out of its column text, whole characters only."""
+    found = remove_repeats(docs, length=length).select("doc_id", "kept").mapInArrow(_text, "doc_id long, text string")
+    rest = docs.select(*[c for c in docs.columns if c != "text"])
+    return rest.join(found, "doc_id").select(*docs.columns)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     spark = docs.sparkSession
