@@ -1,4 +1,9 @@
 """Registered queries over the driver's tables, with SQL that expresses each."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from lorebase.plans import registry
+from lorebase.plans import store, retrieval  # noqa: F401  (they register their queries)
+
+QUERIES = registry.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL
