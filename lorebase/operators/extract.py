@@ -191,8 +191,8 @@ def _tech_stack() -> Column:
             return F.struct(F.lower(x["t"]).alias("t"), _squeezed(F.substring(F.col("content"), at - before, before + F.char_length(x["m"]) + 30)).alias("c"))
 
         around.append(F.transform(zipped, context))
-    every = F.concat(*around)
-    first = F.filter(F.transform(every, lambda x, i: F.struct(x["t"].alias("t"), x["c"].alias("c"), i.alias("i"))), lambda x: F.array_position(F.transform(every, lambda y: y["t"]), x["t"]) == x["i"] + 1)
+    none = F.array().cast("array<struct<t:string,c:string>>")
+    first = F.aggregate(F.concat(*around), none, lambda seen, x: F.when(F.exists(seen, lambda y: y["t"] == x["t"]), seen).otherwise(F.concat(seen, F.array(x))))
     return _with(F.filter(F.transform(first, lambda x: x["c"]), lambda x: F.char_length(x) > 10), 0.85)
 
 

@@ -605,5 +605,5 @@ def min10_stats(spark, d):
 def ext15_extract_all(spark, d):
     """All extractors over the logs, each with a marked sentence appended, as the tables hold no such text."""
     sample = "\nimport numpy.linalg\nThis project uses Spark and Parquet\n$ git status --short\nWe decided to keep one table per day because scans are cheap\nGET /v1/items\n"
-    logs = view(spark, d, "output_log").withColumn("content", F.concat("content", F.lit(sample), "log_id"))
+    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(sample), "log_id"))
     return extract.extract_all(logs).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("n_logs"))
