@@ -2,7 +2,7 @@
 
 A window is a string of `length` bytes. Every window lies in the group of the least hash of its GRAM-byte
 parts, so equal windows meet without any document meeting another. Consecutive windows of a group form a
-segment; equal segments are counted, map-side first, and all windows of a segment that stands twice are
+segment; equal segments, told by 64 bits of digest within their group, are counted, map-side first, and all windows of a segment that stands twice are
 repeated. Where a group holds different segments, or one that may repeat itself, its segments are sorted:
 only suffixes smaller than their successors are sorted directly, the others are induced by scanning the
 buckets of the sorted ones, and adjacent common prefixes show the windows that stand twice.
@@ -170,12 +170,12 @@ def _segments(length: int):
                 if len(own) >= length:
                     first, count, key, again = segments(own, length)
                     raw = own.tobytes()
-                    digest = [hashlib.blake2b(raw[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+                    digest = [int.from_bytes(hashlib.blake2b(raw[a : a + n + length - 1], digest_size=8).digest(), "little", signed=True) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
                     parts.append((i, first, count, key, again, digest))
             if parts:
                 index = pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]))
                 first, count, key, again = (np.concatenate([p[j] for p in parts]) for j in range(1, 5))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(index), batch.column("mark").take(index), pa.array(key), pa.array([d for p in parts for d in p[5]], pa.binary()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], ["id", "mark", "key", "digest", "first", "n", "again"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(index), batch.column("mark").take(index), pa.array(key), pa.array([d for p in parts for d in p[5]], pa.int64()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], ["id", "mark", "key", "digest", "first", "n", "again"])
 
     return run
 
@@ -203,7 +203,7 @@ def _cut_out(length: int):
                     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), w["n"]], strict=True):
                         rows.append((w["key"], int(deal[a]), w["digest"], a, b - a, piece[a : b + length - 1].tobytes()))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "deal", "digest", "first", "n", "bytes"])
 
     return run
@@ -217,7 +217,7 @@ def _sort(length: int):
         for (key, digest, first), own in zip([r[:3] for r in rows], repeated([r[4] for r in rows], [r[3] for r in rows], length), strict=True):
             out += [(key, digest, first + a, first + b) for a, b in intervals(own)]
         if out:
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "digest", "lo", "hi"])
 
     def run(batches):
@@ -277,15 +277,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark, 128)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    seen = cut(rows.mapInArrow(_segments(length), "id long, mark long, key long, digest binary, first int, n int, again boolean"), "segments")
+    seen = cut(rows.mapInArrow(_segments(length), "id long, mark long, key long, digest long, first int, n int, again boolean"), "segments")
     distinct = cut(seen.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min(F.struct("id", "mark", "first")).alias("at"), F.first("n").alias("n"), F.first("again").alias("again")), "distinct")
     groups = distinct.groupBy("key").agg(F.count("*").alias("different"), F.max("again").alias("any_again")).filter("different > 1 OR any_again")
     sorted_ones = distinct.join(groups, "key").filter("different > 1 OR again")
     sorted_ones = sorted_ones.select("at.id", "at.mark", F.struct("key", "digest", "at.first", "n", F.least(F.ceil(F.col("different") / MANY), F.lit(length - GRAM + 1)).cast("int").alias("deals")).alias("one"))
     wanted = sorted_ones.groupBy("id", "mark").agg(F.collect_list("one").alias("wanted"))
-    pieces = rows.join(wanted, ["id", "mark"]).select("text", "wanted").mapInArrow(_cut_out(length), "key long, deal int, digest binary, first int, n int, bytes binary")
+    pieces = rows.join(wanted, ["id", "mark"]).select("text", "wanted").mapInArrow(_cut_out(length), "key long, deal int, digest long, first int, n int, bytes binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = pieces.repartition(parts, "key", "deal").sortWithinPartitions("key", "deal").mapInArrow(_sort(length), "key long, digest binary, lo int, hi int")
+    found = pieces.repartition(parts, "key", "deal").sortWithinPartitions("key", "deal").mapInArrow(_sort(length), "key long, digest long, lo int, hi int")
     whole = distinct.filter("times > 1").select("key", "digest", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
     twice = cut(found.unionByName(whole), "repeats")
     runs = seen.join(twice, ["key", "digest"]).select("id", "mark", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi")).alias("run"))
