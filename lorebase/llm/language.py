@@ -175,7 +175,7 @@ class Model:
         """Per word its log probability in each language and its number of letters; texts(i) gives word i."""
         if self.pieces is None:
             self.pieces = Pieces(self.names)
-            self.keys, self.rows = np.zeros(0, U64), np.zeros((0, len(self.langs) + 1))
+            self.keys, self.rows = np.zeros(0, U64), np.zeros((0, self.probabilities.shape[1] + 1))
         if len(self.keys) > REMEMBERED:
             self.keys, self.rows = self.keys[:0], self.rows[:0]
         unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -186,7 +186,7 @@ class Model:
             flat = sorted({p for ps in parts for p in ps})
             number = {p: i for i, p in enumerate(flat)}
             score = forward(self.pieces, self.probabilities, flat)
-            rows = np.zeros((len(new), len(self.langs) + 1))
+            rows = np.zeros((len(new), self.rows.shape[1]))
             owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
             picked = [number[p] for ps in parts for p in ps]
             if picked:
