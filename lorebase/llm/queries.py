@@ -53,4 +53,33 @@ def op9_syncmers(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepieces, op2_minhash, op3_language, op4_suffixes, op5_secrets, op6_neighbours, op7_sharding, op8_urls, op9_syncmers, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Sets of shingles, all pairs that share one, exact similarity, and reachability.
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s FROM w),
+shingle AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * n_both >= 75 * (na + nb - n_both)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS x, a AS y FROM edges UNION SELECT reach.x, edges.b FROM reach JOIN edges ON reach.y = edges.a),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN comp ON x = doc_id"""
+
+
+def _terms(terms) -> str:
+    return " + ".join(f"CAST(regexp_matches(t, '(?:^|[^a-z0-9]){term}(?:$|[^a-z0-9])') AS INTEGER)" for term in terms)
+
+
+def _rule_sql(out: str) -> str:
+    ordered = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if out == 'rule' else v}'" for v, h, p in ordered) + " END"
+
+
+URLS = f"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+found AS (SELECT *, {_terms(urls.STRICT)} AS n_strict, {_terms(urls.SOFT)} AS n_soft FROM (SELECT *, lower(host || path) AS t FROM parts))
+SELECT page_id, host, path, {_rule_sql('rule')} AS rule, coalesce({_rule_sql('verdict')}, CASE WHEN n_strict > 0 OR n_soft >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM found"""
+
+#: The other operators' results depend on hashes, models or sorting that SQL does not express; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_minhash": NEAR_DUPLICATES, "op8_urls": URLS}
