@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
 from lorebase.operators import feedback, graph, vectors
+from lorebase.plans import store
 from lorebase.plans.registry import AS_OF, case, days, lit, query, trust_now
 from lorebase.sources.tables import as_of, load, view
 
@@ -184,3 +185,23 @@ def inj05_attribution(spark, d):
     log = mem.select(F.col("id").alias("memory_id"), "session_id", F.col("created_at").alias("injected_at"))
     turns = load(spark, d, "conversations").filter("role = 'assistant'").select(F.xxhash64("conv_id", "turn").alias("response_id"), (F.col("conv_id") % 20).alias("session_id"), (as_of() - F.expr("make_interval(0, 0, 0, cast(conv_id % 200 as int))")).alias("ts"), "text")
     return feedback.attribute_usage(log, mem, turns, 48)
+
+
+@query("+" + NEAR + ", hit AS (SELECT query_id, id FROM near WHERE rank = 1 AND similarity >= 0.35) SELECT 'merged' AS part, count(DISTINCT id) AS n FROM hit WHERE id IN (SELECT id FROM memories) UNION ALL SELECT 'inserted', count(*) FROM memories WHERE id % 20 = 0 AND id IN (SELECT memory_id FROM vectors) AND id NOT IN (SELECT query_id FROM hit)", "vectors memories")
+def sto02_semantic_merge(spark, d):
+    mem = view(spark, d, "memories")
+    near = _near(spark, d, 1)
+    incoming = mem.filter("id % 20 = 0").join(view(spark, d, "vectors").select(F.col("memory_id").alias("id")), "id", "left_semi")
+    merged, inserted = vectors.semantic_merge(mem, incoming, near, 0.35)
+    return merged.filter("merged > 0").agg(F.count("*").alias("n")).select(F.lit("merged").alias("part"), "n").unionByName(inserted.agg(F.count("*").alias("n")).select(F.lit("inserted").alias("part"), "n"))
+
+
+@query("+" + CENT + " , c AS (SELECT memory_id AS id, CASE WHEN score >= 0.2 THEN label END AS label FROM (SELECT memory_id, label, list_inner_product(embedding::DOUBLE[], c) / sqrt(list_inner_product(c, c)) AS score FROM vectors, cent) QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY round(score, 9) DESC, label DESC) = 1), k AS (" + store._category_sql() + ") SELECT id, coalesce(label, k.category) AS category FROM memories LEFT JOIN c USING (id) JOIN k USING (id)", "memories vectors")
+def txt06_hybrid(spark, d):
+    return vectors.classify_hybrid(view(spark, d, "memories").select("id", "content"), _classified(spark, d))
+
+
+@query()
+def vec01_hash_embed(spark, d):
+    rows = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    return vectors.hash_embed(rows, "id").select("id", F.round(vectors.norm("embedding"), 6).alias("length"))

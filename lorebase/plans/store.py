@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
 from lorebase.functions import text as tx
-from lorebase.operators import extract, feedback, graph, hotset, memory, reports, sequences, sessions
+from lorebase.operators import extract, feedback, graph, hotset, jobs, memory, reports, sequences, sessions
 from lorebase.plans.registry import AS_OF, SCOPE, case, days, hot_score, lit, query, recency, salience, trust_now
 from lorebase.sources.tables import as_of, load, view
 
@@ -607,3 +607,21 @@ def ext15_extract_all(spark, d):
     sample = "\nimport numpy.linalg\nThis project uses Spark and Parquet\n$ git status --short\nWe decided to keep one table per day because scans are cheap\nGET /v1/items\n"
     logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(sample), "log_id"))
     return extract.extract_all(logs).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("n_logs"))
+
+
+@query("+" + _category_sql().replace("SELECT id, best.name", "cats AS (SELECT id, best.name").replace("FROM memories)", "FROM memories))") + " SELECT (m.category IS DISTINCT FROM c.category) AS changed, count(*) AS n FROM memories m JOIN cats c USING (id) GROUP BY 1", "memories")
+def txt07_recategorize(spark, d):
+    return jobs.recategorize(view(spark, d, "memories"), every=True)[1]
+
+
+@query()
+def min08_run_mining(spark, d):
+    sample = "\nThis project uses Spark and Parquet for every table\n"
+    logs = view(spark, d, "output_log").withColumn("content", F.concat("content", F.lit(sample)))
+    return jobs.run_mining(logs, None, as_of(), 72, ["fact", "import", "dependency"])["run"]
+
+
+@query()
+def hot10_full_cleanup(spark, d):
+    trans = sequences.transitions(view(spark, d, "access_log"), item="k")
+    return jobs.full_cleanup(view(spark, d, "memories"), _mined(spark, d), view(spark, d, "output_log"), trans, view(spark, d, "injections"), as_of())["report"]
