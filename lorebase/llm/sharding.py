@@ -1,9 +1,9 @@
 """Shards of near-equal bytes by Karmarkar-Karp differencing.
 
-Equal texts are one indivisible group. Groups are dealt into a fixed number of cells; each cell repeatedly
+Equal texts are one indivisible group. Groups are dealt into cells of bounded size; each cell repeatedly
 combines its two partial partitions of largest spread, the one's largest sums with the other's smallest,
-until one partial partition remains. The cells' partitions, as many numbers as cells times shards, are
-combined in the same way to the shards. A slot is a row's number within its shard: rows are numbered
+until one partial partition remains. Up to NODES cells' partitions are combined in the same way, on the
+executors while there are more, and the last ones, NODES times shards numbers at most, by the driver. A slot is a row's number within its shard: rows are numbered
 inside the partitions of a written table, and the partitions' counts give each its offset, so no shard
 passes through one task.
 
@@ -14,6 +14,7 @@ Ties go by cell, then by text digest. An empty table gives no rows. Extra column
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.common import cut
 
-CELLS = 512
+#: Cells at least, groups in a cell on average at most, and partial partitions that are combined at once at most.
+CELLS, GROUPS, NODES = 512, 20_000, 2048
 OVERHEAD = 16
 
 
@@ -63,7 +65,7 @@ def difference(sums: np.ndarray) -> np.ndarray:
 
 
 def _cell(shards: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("digest")
         sums = np.zeros((len(pdf), shards), np.int64)
         sums[:, 0] = pdf.bytes
@@ -72,19 +74,42 @@ def _cell(shards: int):
     return run
 
 
+def combined(pdf: pd.DataFrame, shards: int) -> np.ndarray:
+    """The part of the combined partition for each row (cell, part, bytes)."""
+    names, at = np.unique(pdf.cell.to_numpy(), return_inverse=True)
+    table = np.zeros((len(names), shards), np.int64)
+    table[at, pdf.part.to_numpy()] = pdf.bytes.to_numpy()
+    return difference(table)[at, pdf.part.to_numpy()] if len(pdf) else np.zeros(0, np.int64)
+
+
+def _above(shards: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "part"])
+        return pd.DataFrame({"cell": pdf.cell, "part": pdf.part, "above": key[0], "above_part": combined(pdf, shards), "bytes": pdf.bytes})
+
+    return run
+
+
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     rows = cut(rows, "sizes")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int"))
+    groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "groups")
+    cells = max(cells, math.ceil(groups.count() / GROUPS))
+    groups = groups.withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int"))
     parts = cut(groups.groupBy("cell").applyInPandas(_cell(shards), "digest binary, cell int, part int, bytes long"), "parts")
-    sums = parts.groupBy("cell", "part").agg(F.sum("bytes").alias("bytes")).toPandas()  # cells times shards rows
-    table = np.zeros((cells, shards), np.int64)
-    table[sums.cell.to_numpy(), sums.part.to_numpy()] = sums.bytes.to_numpy()
-    final = difference(table)
-    where = docs.sparkSession.createDataFrame(pd.DataFrame({"cell": np.repeat(np.arange(cells, dtype=np.int32), shards), "part": np.tile(np.arange(shards, dtype=np.int32), cells), "shard": final.ravel().astype(np.int32)}))
-    placed = rows.join(parts.select("digest", "cell", "part"), "digest").join(F.broadcast(where), ["cell", "part"])
+    sums = parts.groupBy("cell", "part").agg(F.sum("bytes").alias("bytes"))
+    parts = parts.select("digest", "cell", "part")
+    while cells > NODES:
+        cells = math.ceil(cells / NODES)
+        merged = cut(sums.withColumn("above", F.pmod("cell", F.lit(cells))).groupBy("above").applyInPandas(_above(shards), "cell int, part int, above int, above_part int, bytes long"), "merged")
+        parts = parts.join(merged, ["cell", "part"]).select("digest", F.col("above").alias("cell"), F.col("above_part").alias("part"))
+        sums = merged.groupBy(F.col("above").alias("cell"), F.col("above_part").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    last = sums.toPandas()  # NODES times shards rows at most
+    last = last.assign(shard=combined(last, shards))[["cell", "part", "shard"]].astype("int32")
+    where = docs.sparkSession.createDataFrame(last, "cell int, part int, shard int")
+    placed = rows.join(parts, "digest").join(F.broadcast(where), ["cell", "part"])
     placed = cut(placed.select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("held")), "placed")
     numbers = placed.groupBy("shard", "held").agg(F.count("*").alias("n"))
     numbers = numbers.select("shard", "held", (F.sum("n").over(Window.partitionBy("shard").orderBy("held")) - F.col("n")).alias("before"))

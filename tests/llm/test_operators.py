@@ -208,10 +208,12 @@ def test_pieces_table_round_trip(spark):
     assert back == {i: t or "" for i, t in AWKWARD}
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("nodes", [2048, 3])
+def test_shards(spark, monkeypatch, nodes):
+    monkeypatch.setattr(sharding, "NODES", nodes)
     rng = random.Random(2)
     rows = [(i, "x" * rng.randint(0, 200) if i % 7 else "same text") for i in range(500)] + [(1000, None), (1001, "")]
-    got = sharding.shard(docs(spark, rows), 5, cells=4).collect()
+    got = sharding.shard(docs(spark, rows), 5, cells=7).collect()
     assert len(got) == len(rows)
     sizes, slots, texts = Counter(), {}, {}
     by = dict(rows)
