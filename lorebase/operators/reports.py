@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stats(mem: DataFrame) -> DataFrame:
+def stats(mem: DataFrame, digits: int = 2) -> DataFrame:
     """Counts in total and by type, source and category, in one pass over grouping sets."""
     rows = mem.select("memory_type", "source", F.coalesce("category", F.lit("uncategorized")).alias("category"), F.col("is_hot").cast("long").alias("hot"), "access_count", "trust_score")
-    measures = [F.count("*").alias("n"), F.sum("hot").alias("n_hot"), F.sum("access_count").alias("accesses"), F.round(F.avg("trust_score"), 2).alias("avg_trust"), F.grouping_id().alias("g")]
+    measures = [F.count("*").alias("n"), F.sum("hot").alias("n_hot"), F.sum("access_count").alias("accesses"), F.round(F.avg("trust_score"), digits).alias("avg_trust"), F.grouping_id().alias("g")]
     return rows.groupingSets([[], ["memory_type"], ["source"], ["category"]], "memory_type", "source", "category").agg(*measures).drop("g")
 
 

@@ -55,12 +55,12 @@ def vec04_bm25(spark, d):
 
 
 @query(
-    """SELECT event_id, CAST(round(CASE WHEN kw <= 0 THEN similarity WHEN similarity < 0.4 THEN similarity * (1 - 0.3 * (1 - similarity / 0.4)) + kw * 0.3 * (1 - similarity / 0.4) ELSE similarity * 0.91 + kw * 0.09 END, 6) AS DOUBLE) AS fused FROM (SELECT *, (memory_id % 5) / 4 AS kw FROM retrievals)""",
+    """SELECT event_id, CAST(round(CASE WHEN kw <= 0 THEN similarity WHEN similarity < 0.4 THEN similarity * (1 - 0.3 * (1 - similarity / 0.4)) + kw * 0.3 * (1 - similarity / 0.4) ELSE similarity * 0.91 + kw * 0.09 END, 9) AS DOUBLE) AS fused FROM (SELECT *, (memory_id % 5) / 4 AS kw FROM retrievals)""",
     "retrievals",
 )
 def vec05_fusion(spark, d):
     kw = (F.col("memory_id") % 5) / 4
-    return view(spark, d, "retrievals").select("event_id", F.round(scores.fused(F.col("similarity"), kw), 6).alias("fused"))
+    return view(spark, d, "retrievals").select("event_id", F.round(scores.fused(F.col("similarity"), kw), 9).alias("fused"))
 
 
 def _recall(spark, d, mode="exploratory"):
@@ -187,7 +187,7 @@ def inj05_attribution(spark, d):
     return feedback.attribute_usage(log, mem, turns, 48)
 
 
-@query("+" + NEAR + ", hit AS (SELECT query_id, id FROM near WHERE rank = 1 AND similarity >= 0.35) SELECT 'merged' AS part, count(DISTINCT id) AS n FROM hit WHERE id IN (SELECT id FROM memories) UNION ALL SELECT 'inserted', count(*) FROM memories WHERE id % 20 = 0 AND id IN (SELECT memory_id FROM vectors) AND id NOT IN (SELECT query_id FROM hit)", "vectors memories")
+@query("+" + NEAR + ", hit AS (SELECT query_id, id FROM near WHERE rank = 1 AND similarity >= 0.35 AND query_id IN (SELECT id FROM memories)) SELECT 'merged' AS part, count(DISTINCT id) AS n FROM hit WHERE id IN (SELECT id FROM memories) UNION ALL SELECT 'inserted', count(*) FROM memories WHERE id % 20 = 0 AND id IN (SELECT memory_id FROM vectors) AND id NOT IN (SELECT query_id FROM hit)", "vectors memories")
 def sto02_semantic_merge(spark, d):
     mem = view(spark, d, "memories")
     near = _near(spark, d, 1)

@@ -270,14 +270,14 @@ def sco07_replay_trust(spark, d):
     return out.select("memory_id", F.round("trust", 6).alias("trust"), F.size("history").alias("n_steps"))
 
 
-@query(f"SELECT memory_id, seq, CAST(round({DELTA}, 6) AS DOUBLE) AS delta FROM trust_events QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC, seq DESC) <= 5", "trust_events")
+@query(f"SELECT memory_id, seq, CAST(round({DELTA}, 9) AS DOUBLE) AS delta FROM trust_events QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC, seq DESC) <= 5", "trust_events")
 def sco08_trust_history(spark, d):
-    return hotset.trust_history(view(spark, d, "trust_events"), 5).select("memory_id", "seq", F.round("delta", 6).alias("delta"))
+    return hotset.trust_history(view(spark, d, "trust_events"), 5).select("memory_id", "seq", F.round("delta", 9).alias("delta"))
 
 
-@query("SELECT event_id, CAST(round(0.03 * (0.5 + 0.5 * similarity), 6) AS DOUBLE) AS delta FROM retrievals WHERE similarity >= 0.9", "retrievals")
+@query("SELECT event_id, CAST(round(0.03 * (0.5 + 0.5 * similarity), 9) AS DOUBLE) AS delta FROM retrievals WHERE similarity >= 0.9", "retrievals")
 def sco09_strengthen(spark, d):
-    return hotset.strengthen(view(spark, d, "retrievals")).select("event_id", F.round("delta", 6).alias("delta"))
+    return hotset.strengthen(view(spark, d, "retrievals")).select("event_id", F.round("delta", 9).alias("delta"))
 
 
 @query("SELECT id AS memory_id, 'low_utility' AS reason FROM memories WHERE retrieved_count >= 5 AND used_count = 0", "memories")
@@ -517,9 +517,9 @@ def ses06_end(spark, d):
     return sessions.end_sessions(view(spark, d, "memories"), as_of()).select("session_id", "id", "salience")
 
 
-@query("SELECT memory_type, source, c AS category, count(*) AS n, count(*) FILTER (is_hot) AS n_hot, CAST(sum(access_count) AS BIGINT) AS accesses, CAST(round(avg(trust_score), 2) AS DOUBLE) AS avg_trust FROM (SELECT *, coalesce(category, 'uncategorized') AS c FROM memories) GROUP BY GROUPING SETS ((), (memory_type), (source), (c))", "memories")
+@query("SELECT memory_type, source, c AS category, count(*) AS n, count(*) FILTER (is_hot) AS n_hot, CAST(sum(access_count) AS BIGINT) AS accesses, CAST(round(avg(trust_score), 6) AS DOUBLE) AS avg_trust FROM (SELECT *, coalesce(category, 'uncategorized') AS c FROM memories) GROUP BY GROUPING SETS ((), (memory_type), (source), (c))", "memories")
 def agg01_stats(spark, d):
-    return reports.stats(view(spark, d, "memories"))
+    return reports.stats(view(spark, d, "memories"), 6)
 
 
 @query(f"SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (is_hot) AS n_hot FROM memories WHERE created_at > {AS_OF} - INTERVAL 30 DAY GROUP BY 1", "memories")
