@@ -55,12 +55,12 @@ def vec04_bm25(spark, d):
 
 
 @query(
-    """SELECT event_id, CAST(round(CASE WHEN kw <= 0 THEN similarity WHEN similarity < 0.4 THEN similarity * (1 - 0.3 * (1 - similarity / 0.4)) + kw * 0.3 * (1 - similarity / 0.4) ELSE similarity * 0.91 + kw * 0.09 END, 9) AS DOUBLE) AS fused FROM (SELECT *, (memory_id % 5) / 4 AS kw FROM retrievals)""",
+    """SELECT event_id, CAST(round(CASE WHEN kw <= 0 THEN similarity WHEN similarity < 0.4 THEN similarity * (1 - 0.3 * (1 - similarity / 0.4)) + kw * 0.3 * (1 - similarity / 0.4) ELSE similarity * 0.91 + kw * 0.09 END, 12) AS DOUBLE) AS fused FROM (SELECT *, (memory_id % 5) / 4 AS kw FROM retrievals)""",
     "retrievals",
 )
 def vec05_fusion(spark, d):
     kw = (F.col("memory_id") % 5) / 4
-    return view(spark, d, "retrievals").select("event_id", F.round(scores.fused(F.col("similarity"), kw), 9).alias("fused"))
+    return view(spark, d, "retrievals").select("event_id", F.round(scores.fused(F.col("similarity"), kw), 12).alias("fused"))
 
 
 def _recall(spark, d, mode="exploratory"):
