@@ -7,12 +7,13 @@ so two permutations make all K coordinates. Coordinates keep 16 bits; four neigh
 Flow, without a group in one task and without a row per pair of a group:
  1. one pass over the texts: set size, 128-bit digest of the set, signature. Equal sets form a class
     (map-side combined), and only its smallest document goes on;
- 2. buckets of the bands; a bucket over CHUNK members is dealt out as pairs of chunks;
- 3. in each bucket every member names one earlier member whose signature agrees in half of the
-    coordinates (at a similarity of 0.75 half or fewer agree once in 10^9 pairs); these links, at
-    most one per member, are confirmed on full sets, and give first components;
- 4. buckets that still hold several components compare members of different components, in packed
-    form; agreeing pairs are again confirmed on full sets. So no link between different texts is
+ 2. buckets of the bands; of buckets with the same members one is kept (near copies meet in many bands);
+    a bucket over CHUNK members is dealt out as pairs of chunks;
+ 3. in each bucket every member names one earlier member whose signature agrees in AGREE of the
+    coordinates; these links, at most one per member, are confirmed on full sets, and give first
+    components;
+ 4. buckets that still hold several components compare members of different components, by further
+    coordinates too, in packed form; agreeing pairs are again confirmed on full sets. So no link between different texts is
     left out: each pair of a common bucket was confirmed, rejected, or lies within one component.
 With 32 bands of 4 coordinates, a pair at a similarity of 0.75 shares no bucket 5 times in a million.
 
@@ -35,17 +36,22 @@ from lorebase.llm.common import U64, binary_chunks, connected_components, consta
 
 U16, U32 = np.uint16, np.uint32
 BANDS, ROWS = 32, 4
+#: Coordinates in which a pair must agree to be confirmed; fewer agree at a similarity of 0.75 twice in a million pairs.
+AGREE = 74
+#: Further coordinates, of 8 bits, made for texts with a possible link only, and how many of them must agree
+#: (fewer agree at a similarity of 0.75 once in a million pairs, at 0.6 as many in 3 of a thousand).
+WIDE, WIDE_AGREE = 512, 338
 #: Members of a bucket that are compared at once.
 CHUNK = 1024
 #: Documents of each side of a confirming tile.
 TILE = 2048
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """Signature of each non-empty set: k coordinates of 16 bits (rows of empty sets are zero)."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray, k: int = BANDS * ROWS, first: int = 1) -> np.ndarray:
+    """Signature of each non-empty set: k coordinates of 16 bits, from shift `first` on (rows of empty sets are zero)."""
     out = np.zeros((len(bounds) - 1, k), U16)
     one, two = U32(0x9E3779B1), U32(0x85EBCA6B)
-    shift = np.arange(1, k + 1, dtype=U32) * one  # pi(x - k) begins with (x - k) * one
+    shift = np.arange(first, first + k, dtype=U32) * one  # pi(x - k) begins with (x - k) * one
     full = np.flatnonzero(np.diff(bounds))
     i = 0
     while i < len(full):
@@ -114,31 +120,31 @@ def _groups(batches, keys: int):
         yield last, pa.Table.from_batches(held)
 
 
-def _near(band: int, t: pa.Table, percent: int):
+def _near(t: pa.Table, percent: int):
     """For a bucket: ids, chunk, components, and for each member in ascending order the agreeing earlier ones."""
     order = np.argsort(t.column("rep").to_numpy(), kind="stable")
     ids, sizes, chunk = (t.column(c).to_numpy()[order] for c in ("rep", "n_shingles", "chunk"))
     sig = np.frombuffer(text_buffer(t.column("sig"))[0], U16).reshape(len(ids), -1)[order]
-    keys = sig.view(np.int64)
+    wide = np.frombuffer(text_buffer(t.column("wide"))[0], np.uint8).reshape(len(ids), -1)[order] if "wide" in t.column_names else None
     for x in range(1, len(ids)):
         agree = (sig[:x] == sig[x]).sum(axis=1)
-        ok = agree * 2 >= sig.shape[1]
+        ok = agree >= AGREE
         small, large = np.minimum(sizes[:x], sizes[x]), np.maximum(sizes[:x], sizes[x])
         ok &= (small * 100 >= large * percent) & (ids[:x] != ids[x])
         if chunk[0] != chunk[-1] or (chunk != chunk[0]).any():
             ok &= chunk[:x] != chunk[x]  # pairs within a chunk are another task's
         found = np.flatnonzero(ok)
+        if wide is not None and len(found):
+            found = found[(wide[found] == wide[x]).sum(axis=1) >= WIDE_AGREE]
         if len(found):
-            found = found[(keys[found] == keys[x]).argmax(axis=1) == band]  # only in their first common bucket
-            if len(found):
-                yield ids, x, found, agree[found]
+            yield ids, x, found, agree[found]
 
 
 def _first_links(percent: int):
     def run(batches):
-        for key, t in _groups(batches, 4):
+        for _, t in _groups(batches, 4):
             a, b = [], []
-            for ids, x, found, agree in _near(key[0], t, percent):
+            for ids, x, found, agree in _near(t, percent):
                 a.append(ids[found[agree.argmax()]])
                 b.append(ids[x])
             if a:
@@ -151,10 +157,10 @@ def _cross_links(percent: int, tiles: int):
     """Packed pairs whose components differ: (tile, a, b) with ids as bytes."""
 
     def run(batches):
-        for key, t in _groups(batches, 4):
+        for _, t in _groups(batches, 4):
             component = dict(zip(t.column("rep").to_pylist(), t.column("component").to_pylist(), strict=True))
             a, b = [], []
-            for ids, x, found, _ in _near(key[0], t, percent):
+            for ids, x, found, _ in _near(t, percent):
                 own = component[ids[x]]
                 others = [ids[f] for f in found if component[ids[f]] != own]
                 a += others
@@ -183,7 +189,10 @@ def _pack(tiles: int):
 
 def _needed(batches):
     for batch in batches:
-        rows = [(k, np.unique(np.frombuffer(a + b, np.int64))) for k, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
+        ids: dict[int, list] = {}
+        for k, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            ids.setdefault(k, []).append(np.unique(np.frombuffer(a + b, np.int64)))
+        rows = [(k, np.unique(np.concatenate(v))) for k, v in ids.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([k for k, _ in rows], np.int64), [len(v) for _, v in rows])), pa.array(np.concatenate([v for _, v in rows]))], ["tile", "rep"])
 
@@ -192,11 +201,19 @@ def _sets(width: int):
     def run(batches):
         for batch in batches:
             hashes, bounds = shingle_hashes(*text_buffer(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_chunks(hashes, bounds, 8)], ["rep", "members"])
+            wide = signatures(hashes, bounds, WIDE, BANDS * ROWS + 1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary_chunks(hashes, bounds, 8), binary_chunks(wide.ravel(), np.arange(len(wide) + 1) * WIDE, 1)], ["rep", "members", "wide"])
 
     return run
 
 
+def _promising(batches):
+    """Pairs whose further coordinates agree often enough."""
+    for batch in batches:
+        a, b = (np.frombuffer(text_buffer(batch.column(c))[0], np.uint8).reshape(batch.num_rows, -1) for c in ("wide_a", "wide_b"))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= WIDE_AGREE))
+
+
 def _confirm(percent: int):
     """Links of a tile that hold on full sets, as a spanning forest: rows (a, b)."""
 
@@ -247,7 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set_key = ["n_shingles", "d1", "d2"]
     classes = cut(described.filter("n_shingles > 0").groupBy(*set_key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     rows = cut(classes.select("rep", "sig").mapInArrow(_bands, "band int, key long, rep long"), "bands")
-    counts = rows.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
+    counts = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2")).filter("m > 1")
+    counts = counts.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("one")).select("one.band", "one.key", "m")
     members = rows.join(counts, ["band", "key"])
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("n_chunks")).cast("int")
@@ -258,31 +276,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("other", F.explode(F.expr("sequence(0, n_chunks - 1)")))
         .select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep")
     )
-    members = cut(members.join(classes.select("rep", "n_shingles", "sig"), "rep"), "buckets")
+    members = cut(members, "buckets")
     bucket = ["band", "key", "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, *bucket).sortWithinPartitions(*bucket)
+        df = df.join(classes.select("rep", "n_shingles", "sig"), "rep")
+        return df.repartition(parts, *bucket).sortWithinPartitions(*bucket).select(*bucket, "chunk", "rep", "n_shingles", "sig", *[c for c in ("component", "wide") if c in df.columns])
 
-    first = cut(dealt(members.select(*bucket, "chunk", "rep", "n_shingles", "sig")).mapInArrow(_first_links(percent), "a long, b long").distinct(), "first")
+    first = cut(dealt(members).mapInArrow(_first_links(percent), "a long, b long").distinct(), "first")
     nodes = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
     # Only these texts can have a link; their sets are made once, from whole texts.
-    sets = cut(source.join(nodes, source.doc_id == nodes.rep, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "rep long, members binary"), "sets")
+    sets = cut(source.join(nodes, source.doc_id == nodes.rep, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "rep long, members binary, wide binary"), "sets")
     tiles = max(1, math.ceil(sets.count() / TILE))
 
     def confirm(packed: DataFrame) -> DataFrame:
         need = packed.mapInArrow(_needed, "tile long, rep long").distinct()
-        both = need.join(sets, "rep").select("tile", "rep", F.col("members").alias("a"), F.lit(None).cast("binary").alias("b"))
+        both = need.join(sets.select("rep", "members"), "rep").select("tile", "rep", F.col("members").alias("a"), F.lit(None).cast("binary").alias("b"))
         both = both.unionByName(packed.select("tile", F.lit(0).cast("long").alias("rep"), "a", "b"))
         return both.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_confirm(percent), "a long, b long")
 
-    links = cut(confirm(first.mapInArrow(_pack(tiles), "tile long, a binary, b binary")), "links")
+    wide = sets.select("rep", "wide")
+    near = first.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b").mapInArrow(_promising, "a long, b long")
+    links = cut(confirm(cut(near, "near").mapInArrow(_pack(tiles), "tile long, a binary, b binary")), "links")
     # Every text with a possible link has a component, if only its own.
     labels = nodes.join(connected_components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
     labelled = members.join(cut(labels, "labels"), "rep")
     several = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    rest = dealt(labelled.join(several, ["band", "key"], "left_semi").select(*bucket, "chunk", "rep", "n_shingles", "sig", "component"))
+    rest = dealt(labelled.join(several, ["band", "key"], "left_semi").join(wide, "rep"))
     more = confirm(cut(rest.mapInArrow(_cross_links(percent, tiles), "tile long, a binary, b binary"), "cross"))
     components = connected_components(links.unionByName(cut(more, "links")))
     reps = classes.select(*set_key, "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select(*set_key, F.coalesce("component", "rep").alias("component_id"))
