@@ -202,7 +202,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     names = vocabulary(vocabulary_path or public_tokenizers.path("piece_bpe_32k.model"))
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    sample = rows.join(sizes, "lang").filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.col("size")) < sample_rows).select("lang", "text")
+    # A row per language: far less than the model, which has the whole vocabulary for each.
+    sample = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.col("size")) < sample_rows).select("lang", "text")
     counts = cut(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]  # a row per language
     probabilities = np.full((len(names), max(1, len(langs))), 1 / len(names))
