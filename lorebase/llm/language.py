@@ -31,7 +31,7 @@ ITERATIONS = 3
 LONGEST = 40
 #: Probability of a character that the vocabulary lacks, and what is added to each expected count.
 UNKNOWN, SMOOTH = 1e-9, 0.05
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 _RUN = re.compile(r"[^\W\d_]+")
 _BASE = U64(0x9E3779B97F4A7C15)
 

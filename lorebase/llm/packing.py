@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lorebase.llm.common import U64, binary_chunks, constants, cut, mix, small_batches, text_buffer, whole
 
 #: Different chunks whose ids a worker remembers (about 40 bytes each); beyond it starts anew.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_000_000
 _ENCODERS: dict = {}
 _SIMPLE = re.compile("( ?)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _TAIL = np.zeros(256, bool)
