@@ -2,11 +2,12 @@
 
 Letters are words (runs without white space). Of all runs of K words, those are chosen whose least inner
 run of S words, by hash, is the first or the last one. The choice depends on these K words alone, so equal passages
-have equal anchors wherever they stand. A fingerprint is the sorted list of the SKETCH least different
-anchor hashes, as hexadecimal numbers; likeness is the share of common anchors among the SKETCH least of both.
+have equal anchors wherever they stand. A fingerprint is the sorted list of all different anchor hashes, as
+hexadecimal numbers; places are all chosen runs with the number of their first word, for positional matching;
+likeness is the share of common anchors among all different anchors of both.
 
 Defined results: a null or empty text has the empty fingerprint; texts of fewer than K words, or without a
-chosen run, have the hash of their whole sequence of words. Two empty fingerprints have likeness 1, an empty
+chosen run, have the hash of their whole sequence of words, at place 0. Two empty fingerprints have likeness 1, an empty
 and another one 0. Very long texts are read whole. Extra columns are ignored.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 6, 2
-SKETCH = 128
+SKETCH = None  # how many least anchors of a text count: no limit
 
 
 def _with_words(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -35,12 +36,13 @@ def _anchor(to: str, i: str = "i") -> tuple[str, str]:
 
 
 def with_sketch(df: DataFrame, text: str, to: str) -> DataFrame:
-    """Adds to: the sorted least anchor hashes of column text."""
+    """Adds to: the sorted different anchor hashes of column text; <to>_places: (position, anchor) of every chosen run."""
     out = _with_words(df, text, to)
     chosen, value = _anchor(to)
-    out = out.withColumn(f"{to}_a", F.expr(f"CASE WHEN {to}_s IS NOT NULL THEN array_compact(transform(sequence(0, size({to}_w) - {K}), i -> CASE WHEN {chosen} THEN {value} END)) END"))
-    sketch = F.when(F.col(text) == "", F.array().cast("array<long>")).when(F.size(f"{to}_a") > 0, F.slice(F.sort_array(F.array_distinct(f"{to}_a")), 1, SKETCH)).otherwise(F.array(F.xxhash64(f"{to}_w")))
-    return out.withColumn(to, sketch).drop(f"{to}_w", f"{to}_s", f"{to}_a")
+    out = out.withColumn(f"{to}_a", F.expr(f"CASE WHEN {to}_s IS NOT NULL THEN array_compact(transform(sequence(0, size({to}_w) - {K}), i -> CASE WHEN {chosen} THEN named_struct('position', i, 'anchor', {value}) END)) END"))
+    whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(f"{to}_w").alias("anchor")))
+    out = out.withColumn(f"{to}_places", F.when(F.col(text) == "", F.slice(whole, 1, 0)).when(F.size(f"{to}_a") > 0, F.col(f"{to}_a")).otherwise(whole)).drop(f"{to}_w", f"{to}_s", f"{to}_a")
+    return out.withColumn(to, F.sort_array(F.array_distinct(F.col(f"{to}_places")["anchor"])))
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,47 +54,50 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def likeness(a: str, b: str) -> Column:
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), least)) / F.size(least)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.coalesce(common, F.lit(0.0)))
+    """a, b: arrays without repeats."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.coalesce(common / (F.size(a) + F.size(b) - common), F.lit(0.0)))
 
 
 def written(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.hex(x))), ",")
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the following row by doc_id; the first row follows the last.
+def with_next(rows: DataFrame) -> DataFrame:
+    """Adds own and own_places (see with_sketch), next_text and next_own of the following row by doc_id; the first row follows the last.
 
     Ids are cut into ranges by approximate quantiles, and each range also gets the first row of the range
-    after it, so no range needs another one and the rows are moved once.
+    after it, so no range needs another one and the texts are moved once; their anchors are found where they then lie.
     """
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     number = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<long>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
     ranged = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(number))
     order = F.struct("doc_id", F.xxhash64("text"))
-    firsts = ranged.groupBy("range").agg(F.min_by(F.struct(*columns), order).alias("first"))
+    firsts = ranged.groupBy("range").agg(F.min_by("text", order).alias("text"))
     numbers = [r.range for r in ranged.select("range").distinct().orderBy("range").collect()]  # a number per range
     if not numbers:
-        return rows.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns])
+        own = with_sketch(rows, "text", "own")
+        return own.select("*", F.col("text").alias("next_text"), F.col("own").alias("next_own"))
     before = {r: numbers[i - 1] for i, r in enumerate(numbers)}
     to = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    ends = firsts.select(F.element_at(to, F.col("range")).alias("range"), *[F.col(f"first.{c}").alias(c) for c in columns], F.lit(True).alias("end"))
-    both = ranged.withColumn("end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    ends = firsts.select(F.element_at(to, F.col("range")).alias("range"), "text", F.lit(True).alias("end"))
+    both = ranged.withColumn("end", F.lit(False)).unionByName(ends, allowMissingColumns=True).repartition("range")
     by = Window.partitionBy("range").orderBy("end", "doc_id", F.xxhash64("text"))
-    return both.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns]).filter(~F.col("end")).drop("range", "end")
+    return with_sketch(both, "text", "own").select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in ("text", "own")]).filter(~F.col("end")).drop("range", "end")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, places, edited_places, near_edited, near_next per row.
 
     The edited text has the last quarter of its characters replaced by as many from the next document's start.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(with_sketch(rows, "text", "own"), ["text", "own"])
+    rows = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))).withColumn("n_chars", n.cast("long"))
-    rows = with_sketch(rows.select("doc_id", "n_chars", "own", "next_own", "edited"), "edited", "other")
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written("own").alias("fingerprint"), written("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next_own").alias("near_next"))
+    rows = with_sketch(rows.select("doc_id", "n_chars", "own", "own_places", "next_own", "edited"), "edited", "other")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written("own").alias("fingerprint"), written("other").alias("edited_fingerprint"),
+        F.col("own_places").alias("places"), F.col("other_places").alias("edited_places"), likeness("own", "other").alias("near_edited"), likeness("own", "next_own").alias("near_next"),
+    )

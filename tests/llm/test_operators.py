@@ -334,3 +334,23 @@ def test_anchors_do_not_depend_on_context(spark):
         found.setdefault(r.doc_id, {})[r.anchor] = r.position
     shared = found[1].keys() & found[2].keys()
     assert len(shared) >= 10 and {found[1][a] - found[2][a] for a in shared} == {30}
+
+
+def test_fingerprints_have_all_anchors_and_places(spark):
+    rng = random.Random(6)
+    vocabulary = [f"u{i}" for i in range(5000)]
+    passage = words(60, rng, vocabulary)
+    rows = [(i, words(3000, rng, vocabulary) + " " + passage + " " + words(3000, rng, vocabulary)) for i in (1, 2)] + [(3, "two words"), (4, "a " * 40 + "b"), (5, "")]
+    want = {}
+    for r in syncmers.anchors(docs(spark, rows)).collect():
+        want.setdefault(r.doc_id, []).append((r.position, r.anchor))
+    got = {r.doc_id: r for r in syncmers.fingerprints(docs(spark, rows)).collect()}
+    for i in (1, 2, 4):
+        assert [tuple(p) for p in got[i].places] == sorted(want[i])
+        assert {int(x, 16) for x in got[i].fingerprint.split(",")} == {a % 2**64 for _, a in want[i]}
+    assert len(want[1]) > 1500
+    a, b = ({a for _, a in want[i]} for i in (1, 2))
+    assert a & b and got[1].near_next == pytest.approx(len(a & b) / len(a | b))
+    edited = {r.doc_id: r for r in syncmers.fingerprints(docs(spark, rows)).select("doc_id", "edited_fingerprint", "edited_places").collect()}
+    assert all({p.anchor % 2**64 for p in r.edited_places} == {int(x, 16) for x in r.edited_fingerprint.split(",") if x} for r in edited.values())
+    assert [p.position for p in got[3].places] == [0] and got[5].places == [] and got[5].fingerprint == ""
