@@ -105,18 +105,88 @@ def trust_deltas(events: DataFrame) -> DataFrame:
     return events.withColumn("delta", F.when((base > 0) & F.col("similarity").isNotNull(), base * (0.5 + 0.5 * F.col("similarity"))).otherwise(base))
 
 
-def replay_trust(base: DataFrame, events: DataFrame) -> DataFrame:
-    """Trust of each memory after its events in order, within 0 and 1 after each: memory_id, trust, history."""
-    steps = trust_deltas(events).groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
-    zero = lambda b: F.struct(b.alias("trust"), F.array().cast("array<struct<seq:bigint,old:double,new:double>>").alias("history"))
+#: Trust events of one memory that are folded as one list.
+BLOCK = 4096
+
+
+def _range_number(value: Column, bounds: list[int], first: int = 0) -> Column:
+    """first plus the number of sorted bounds not above value, by bisection."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(value < bounds[mid], _range_number(value, bounds[:mid], first)).otherwise(_range_number(value, bounds[mid + 1 :], first + mid + 1))
+
+
+def _in_blocks(events: DataFrame) -> DataFrame:
+    """memory_id, block, seq, delta. Memories of more than BLOCK events (few, so broadcast) have one block per range of seq."""
+    rows = trust_deltas(events).select("memory_id", F.col("seq").cast("bigint").alias("seq"), "delta")
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted({int(b) for b in rows.select(F.col("seq").cast("double")).approxQuantile("seq", [i / parts for i in range(1, parts)], 0.25 / parts)})
+    hot = rows.groupBy("memory_id").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("memory_id", F.lit(True).alias("hot"))
+    number = F.when(F.col("hot"), _range_number(F.coalesce("seq", F.lit(-(2**63))), bounds)).otherwise(0)
+    return rows.join(F.broadcast(hot), "memory_id", "left").withColumn("block", number).drop("hot")
+
+
+def _clamped(x: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+
+def _folded(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """memory_id, start, blocks in order. A run of clamped additions is one: least(high, greatest(low, x + shift)).
 
-    def step(acc, x):
-        new = F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc.trust + x.delta))
-        return F.struct(new.alias("trust"), F.concat(acc.history, F.array(F.struct(x.seq.cast("bigint").alias("seq"), acc.trust.alias("old"), new.alias("new")))).alias("history"))
+    value: the trust that the block gives from the start, step by step; the first block uses it, so a memory of one
+    block has the very digits of a sequential fold.
+    """
+    starts = base.select(F.col("id").alias("memory_id"), F.coalesce(F.col("trust_score"), F.lit(1.0)).cast("double").alias("start"))
+    none = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.col("start").alias("value"))
+    then = lambda f, x: F.struct((f.shift + x.delta).alias("shift"), _clamped(f.low + x.delta).alias("low"), _clamped(f.high + x.delta).alias("high"), _clamped(f.value + x.delta).alias("value"))
+    blocks = rows.groupBy("memory_id", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps")).join(starts, "memory_id")
+    blocks = blocks.select("memory_id", "start", "block", F.size("steps").alias("n"), F.aggregate("steps", none, then).alias("f"))
+    return blocks.groupBy("memory_id", "start").agg(F.array_sort(F.collect_list(F.struct("block", "n", "f"))).alias("blocks"))
+
+
+def _after(trust: Column, f: Column) -> Column:
+    """A null trust stands before the first block."""
+    return F.when(trust.isNull(), f["value"]).otherwise(F.least(f["high"], F.greatest(f["low"], trust + f["shift"])))
+
+
+def last_trust(base: DataFrame, events: DataFrame) -> DataFrame:
+    """Trust of each memory after its events in order, within 0 and 1 after each: memory_id, trust, n_steps.
 
-    start = F.coalesce(F.col("trust_score"), F.lit(1.0))
-    rows = base.select(F.col("id").alias("memory_id"), "trust_score").join(steps, "memory_id")
-    return rows.select("memory_id", F.aggregate("steps", zero(start), step).alias("r")).select("memory_id", F.col("r.trust").alias("trust"), F.col("r.history").alias("history"))
+    Events of one memory are folded in parallel by ranges of seq; only one row per range meets in a task.
+    """
+    n = F.aggregate("blocks", F.lit(0), lambda acc, x: acc + x.n)
+    trust = F.aggregate("blocks", F.lit(None).cast("double"), lambda acc, x: _after(acc, x.f))
+    return _folded(base, _in_blocks(events)).select("memory_id", trust.alias("trust"), n.alias("n_steps"))
+
+
+def trust_steps(base: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per event: memory_id, seq, old, new; each block starts from the trust that the blocks before it leave."""
+    rows = _in_blocks(events)
+    seed = F.struct(F.lit(None).cast("double").alias("trust"), F.array().cast("array<struct<block:int,old:double>>").alias("starts"))
+    then = lambda acc, x: F.struct(_after(acc.trust, x.f).alias("trust"), F.concat(acc.starts, F.array(F.struct(x.block.alias("block"), F.coalesce(acc.trust, F.col("start")).alias("old")))).alias("starts"))
+    starts = _folded(base, rows).select("memory_id", F.explode(F.aggregate("blocks", seed, then).starts).alias("s")).select("memory_id", "s.block", "s.old")
+    dealt = rows.join(starts, ["memory_id", "block"]).select("memory_id", "block", "seq", "delta", "old").repartition("memory_id", "block").sortWithinPartitions("memory_id", "block", "seq", "delta")
+
+    def run(pdfs):
+        key = trust = None
+        for pdf in pdfs:
+            before, after = [], []
+            for m, b, d, start in zip(pdf.memory_id.tolist(), pdf.block.tolist(), pdf.delta.tolist(), pdf.old.tolist(), strict=True):
+                if (m, b) != key:
+                    key, trust = (m, b), start
+                before.append(trust)
+                trust = min(1.0, max(0.0, trust + d))
+                after.append(trust)
+            yield pdf[["memory_id", "seq"]].assign(old=before, new=after)
+
+    return dealt.mapInPandas(run, "memory_id long, seq long, old double, new double")
+
+
+def replay_trust(base: DataFrame, events: DataFrame) -> DataFrame:
+    """last_trust with trust_steps as an array: memory_id, trust, history. For memories with few events; others take the two apart."""
+    history = trust_steps(base, events).groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("history"))
+    return last_trust(base, events).select("memory_id", "trust").join(history, "memory_id")
 
 
 def trust_history(events: DataFrame, limit: int = 50) -> DataFrame:

@@ -266,8 +266,8 @@ SELECT memory_id, round(list_reduce(list_prepend(trust_score, steps), lambda a,
     "memories trust_events",
 )
 def sco07_replay_trust(spark, d):
-    out = hotset.replay_trust(view(spark, d, "memories"), view(spark, d, "trust_events"))
-    return out.select("memory_id", F.round("trust", 6).alias("trust"), F.size("history").alias("n_steps"))
+    out = hotset.last_trust(view(spark, d, "memories"), view(spark, d, "trust_events"))
+    return out.select("memory_id", F.round("trust", 6).alias("trust"), "n_steps")
 
 
 @query(f"SELECT memory_id, seq, CAST(round({DELTA}, 9) AS DOUBLE) AS delta FROM trust_events QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC, seq DESC) <= 5", "trust_events")

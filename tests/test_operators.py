@@ -84,6 +84,28 @@ def test_trust_is_clamped_in_order(spark):
         assert len(row.history) == 2
 
 
+def test_trust_of_a_hot_memory_equals_sequential_fold(spark, monkeypatch):
+    monkeypatch.setattr(hotset, "BLOCK", 300)
+    rng = random.Random(8)
+    reasons = sorted(rules.TRUST_CHANGE)
+    events = [(1 if i % 3 else i % 5 + 2, 7 * i, rng.choice(reasons), rng.choice([None, rng.random()])) for i in range(3000)]
+    base = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.0), (4, 1.0), (5, 0.3), (9, 0.4)], "id long, trust_score double")
+    df = spark.createDataFrame(events, "memory_id long, seq long, reason string, similarity double").repartition(3)
+    want, steps = {1: 0.5, 2: 1.0, 3: 0.0, 4: 1.0, 5: 0.3}, []
+    for m, seq, reason, similarity in events:
+        if m in want:
+            d = rules.TRUST_CHANGE[reason]
+            d = d * (0.5 + 0.5 * similarity) if d > 0 and similarity is not None else d
+            old, want[m] = want[m], min(1.0, max(0.0, want[m] + d))
+            steps.append((m, seq, pytest.approx(old), pytest.approx(want[m])))
+    got = {r.memory_id: r for r in hotset.last_trust(base, df).collect()}
+    assert {m: r.trust for m, r in got.items()} == {m: pytest.approx(x) for m, x in want.items()}
+    assert {m: r.n_steps for m, r in got.items()} == {m: sum(s[0] == m for s in steps) for m in want}
+    assert [tuple(r) for r in hotset.trust_steps(base, df).orderBy("seq").collect()] == steps
+    folded = hotset._folded(base, hotset._in_blocks(df)).filter("memory_id = 1").select(F.explode("blocks").alias("b")).agg(F.max("b.n").alias("most"), F.count("*").alias("n")).first()
+    assert folded.n > 8 and folded.most < 400  # no block holds a hot memory whole
+
+
 def test_markdown_chunks(spark):
     text = "# One\n\nfirst paragraph here\n- item number one\n- item number two\n## Two\nkey: value\n"
     df = spark.createDataFrame([(1, text)], "id long, content string")
