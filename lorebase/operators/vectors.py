@@ -14,6 +14,8 @@ from lorebase.sources.shared import cut
 
 #: Query vectors in one block.
 QUERY_BLOCK = 1024
+#: Rows of one block of a search for pairs, at 64 numbers a row; fewer if they are longer.
+PAIR_BLOCK = 4096
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -105,33 +107,56 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, dim: int, same: list[str]
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, parts: int = 8) -> DataFrame:
+def pair_blocks(vectors: DataFrame, least: int = 8) -> int:
+    """Number of blocks, so that a block has about PAIR_BLOCK rows at most at any size of the table."""
+    n = vectors.agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim")).first()
+    return max(least, -(-n.rows // max(1, PAIR_BLOCK * 64 // max(64, n.dim or 0))))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, parts: int | None = None) -> DataFrame:
     """Pairs a < b whose cosine reaches the threshold, by blocks of rows: each pair of blocks is one group.
 
-    The work is that of a whole search; rows are moved once per block, and only pairs that reach the
-    threshold are returned. vectors: id, embedding.
+    The work is that of a whole search. The number of blocks grows with the table (pair_blocks), so a group stays
+    small: of two blocks, one is held and the other passes in Arrow batches. Every row moves once per block, and only
+    pairs that reach the threshold are returned. vectors: id, embedding.
     """
+    spark = vectors.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    parts = parts or pair_blocks(vectors)
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    rows = vectors.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), part.alias("part"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "embedding")
-
-    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        vec = np.array(pdf.embedding.tolist(), np.float64)
+    rows = vectors.filter("embedding IS NOT NULL").select("id", "embedding", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    first = F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.select(*first, (F.col("part") == F.col("other")).alias("same"), (F.col("part") > F.col("other")).alias("second"), "id", "embedding")
+    rows = rows.repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "second", "id")
+
+    def unit(column: pa.Array) -> np.ndarray:
+        vec = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
         size = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
-        unit = np.where(size > 0, vec / np.where(size > 0, size, 1), 0.0)
-        own, ids = pdf.part.to_numpy(), pdf.id.to_numpy()
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for lo in range(0, len(a), 512):
-            sim = unit[a[lo : lo + 512]] @ unit[b].T
-            x, y = np.nonzero(sim >= threshold)
-            left, right = ids[a[lo + x]], ids[b[y]]
-            keep = left < right if i == j else left != right
-            out.append(pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep], "similarity": sim[x, y][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
-
-    return rows.groupBy("i", "j").applyInPandas(pairs, "a long, b long, similarity double")
+        return np.where(size > 0, vec / np.where(size > 0, size, 1), 0.0)
+
+    def pairs(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)])
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                piece, (i, j, same, second) = batch.slice(lo, hi - lo), keys[lo].tolist()
+                if (i, j) != key:
+                    key, held = (i, j), []
+                own = piece.column(4).to_numpy().astype(np.int64), unit(piece.column(5))
+                if not second:
+                    held.append(own)
+                for ids, vec in held if same or second else []:
+                    for at in range(0, len(ids), 512):
+                        sim = vec[at : at + 512] @ own[1].T
+                        x, y = np.nonzero(sim >= threshold)
+                        left, right = ids[at + x], own[0][y]
+                        keep = left < right if same else left != right
+                        if keep.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)[keep]), pa.array(np.maximum(left, right)[keep]), pa.array(sim[x, y][keep])], ["a", "b", "similarity"])
+
+    return rows.mapInArrow(pairs, "a long, b long, similarity double")
 
 
 def tokens(text: Column, min_chars: int = 2) -> Column:

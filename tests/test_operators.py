@@ -159,6 +159,20 @@ def test_star_clusters_equal_greedy(spark):
     assert members == greedy(nodes, pairs)
 
 
+def test_pair_blocks_grow_with_the_table_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(300, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    assert vectors.pair_blocks(df) == 8 and vectors.pair_blocks(df.limit(0)) == 8
+    monkeypatch.setattr(vectors, "PAIR_BLOCK", 20)
+    assert vectors.pair_blocks(df) == 16
+    unit = {i: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v] for i, v in rows}
+    want = {(a, b) for a, b in itertools.combinations(unit, 2) if sum(x * y for x, y in zip(unit[a], unit[b], strict=True)) >= 0.5}
+    for parts in (None, 1):
+        got = [(r.a, r.b) for r in vectors.similar_pairs(df, 0.5, parts).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_group_results_leaves_small_groups(spark):
     results = spark.createDataFrame([(1, i, i) for i in range(4)], "query_id long, id long, rank int")
     vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.99, 0.1]), (2, [0.0, 1.0]), (3, [0.98, 0.0])], "id long, embedding array<double>")
