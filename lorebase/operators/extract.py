@@ -196,6 +196,48 @@ def _tech_stack() -> Column:
     return _with(F.filter(F.transform(first, lambda x: x["c"]), lambda x: F.char_length(x) > 10), 0.85)
 
 
+def _tech_names() -> Column:
+    return F.array_distinct(F.transform(F.concat(*[_all(p, 1, "(?i)") for p in TECH_ENTITIES]), lambda x: F.lower(x)))
+
+
+def _tech_text(name: Column) -> Column:
+    return F.concat(F.lit("Technology: "), F.initcap(name))
+
+
+def _decisions() -> Column:
+    """Array of n (number of the expression), i, decision, pattern, confidence, has_rationale; all finds."""
+
+    def found(number: int, rationale: bool, alternative: bool, inverted: bool):
+        one, two = ("b", "a") if inverted else ("a", "b")
+        confidence = 0.8 if alternative else 0.9 if rationale else 0.7
+
+        def row(x, i):
+            text = F.concat(F.lit("Decision: "), F.trim(x[one]))
+            if rationale or alternative:
+                text = F.concat(text, F.lit(" (over " if alternative else " (reason: "), F.trim(x[two]), F.lit(")"))
+            return F.struct(F.lit(number).alias("n"), i.alias("i"), F.trim(x[one]).alias("decision"), text.alias("pattern"), F.lit(confidence).alias("confidence"), F.lit(rationale).alias("has_rationale"))
+
+        return row
+
+    arrays = []
+    for number, (pattern, rationale, alternative, inverted) in enumerate(DECISION_ENTITIES):
+        zipped = F.arrays_zip(_all(pattern, 1, "(?i)").alias("a"), _all(pattern, 2 if rationale or alternative else 1, "(?i)").alias("b"))
+        arrays.append(F.transform(zipped, found(number, rationale, alternative, inverted)))
+    return F.concat(*arrays)
+
+
+def _decision_key(decision: Column) -> Column:
+    return F.substring(F.lower(decision), 1, 50)
+
+
+def _first_decisions() -> Column:
+    """The first of equal beginnings in a log."""
+    none = F.array().cast("array<struct<key:string,pattern:string,confidence:double>>")
+    keyed = F.transform(_decisions(), lambda x: F.struct(_decision_key(x["decision"]).alias("key"), x["pattern"].alias("pattern"), x["confidence"].alias("confidence")))
+    first = F.aggregate(keyed, none, lambda seen, x: F.when(F.exists(seen, lambda y: y["key"] == x["key"]), seen).otherwise(F.concat(seen, F.array(x))))
+    return F.transform(first, lambda x: F.struct(x["pattern"].alias("pattern"), x["confidence"].alias("confidence")))
+
+
 EXTRACTORS = {
     "import": _imports,
     "fact": _facts,
@@ -210,6 +252,8 @@ EXTRACTORS = {
     "config": _config,
     "dependency": _dependencies,
     "api_endpoint": _endpoints,
+    "entity_technology": lambda: _with(F.transform(_tech_names(), _tech_text), 0.85),
+    "entity_decision": _first_decisions,
 }
 
 
@@ -225,32 +269,14 @@ def extract(logs: DataFrame, kind: str) -> DataFrame:
 
 def tech_entities(logs: DataFrame) -> DataFrame:
     """One row per technology named in a telling context of a log."""
-    names = F.array_distinct(F.transform(F.concat(*[_all(p, 1, "(?i)") for p in TECH_ENTITIES]), lambda x: F.lower(x)))
-    rows = logs.select("*", F.lit("entity_technology").alias("kind"), F.posexplode(names).alias("pos", "tech"))
+    rows = logs.select("*", F.lit("entity_technology").alias("kind"), F.posexplode(_tech_names()).alias("pos", "tech"))
     sub = tx.choose(F.col("tech"), {t: s for s, ts in rules.TECHNOLOGIES.items() for t in ts}, "tool")
-    return rows.select(*logs.columns, "kind", "pos", F.concat(F.lit("Technology: "), F.initcap("tech")).alias("pattern"), F.lit(0.85).alias("confidence"), sub.alias("subcategory"))
+    return rows.select(*logs.columns, "kind", "pos", _tech_text(F.col("tech")).alias("pattern"), F.lit(0.85).alias("confidence"), sub.alias("subcategory"))
 
 
 def decision_entities(logs: DataFrame) -> DataFrame:
     """Decisions with their rationale or alternative; the first of equal beginnings in a log."""
-
-    def found(number: int, rationale: bool, alternative: bool, inverted: bool):
-        one, two = ("b", "a") if inverted else ("a", "b")
-        confidence = 0.8 if alternative else 0.9 if rationale else 0.7
-
-        def row(x, i):
-            text = F.concat(F.lit("Decision: "), F.trim(x[one]))
-            if rationale or alternative:
-                text = F.concat(text, F.lit(" (over " if alternative else " (reason: "), F.trim(x[two]), F.lit(")"))
-            return F.struct(F.lit(number).alias("n"), i.alias("i"), F.trim(x[one]).alias("decision"), text.alias("pattern"), F.lit(confidence).alias("confidence"), F.lit(rationale).alias("has_rationale"))
-
-        return row
-
-    arrays = []
-    for number, (pattern, rationale, alternative, inverted) in enumerate(DECISION_ENTITIES):
-        zipped = F.arrays_zip(_all(pattern, 1, "(?i)").alias("a"), _all(pattern, 2 if rationale or alternative else 1, "(?i)").alias("b"))
-        arrays.append(F.transform(zipped, found(number, rationale, alternative, inverted)))
-    rows = logs.select("*", F.explode(F.concat(*arrays)).alias("d")).withColumn("key", F.substring(F.lower("d.decision"), 1, 50))
+    rows = logs.select("*", F.explode(_decisions()).alias("d")).withColumn("key", _decision_key(F.col("d.decision")))
     first = rows.withColumn("first", F.row_number().over(Window.partitionBy("log_id", "key").orderBy("d.n", "d.i"))).filter("first = 1")
     return first.select(*logs.columns, F.lit("entity_decision").alias("kind"), (F.col("d.n") * 1000 + F.col("d.i")).cast("int").alias("pos"), "d.pattern", "d.confidence", "d.has_rationale")
 

@@ -18,7 +18,9 @@ def recategorize(mem: DataFrame, every: bool = False, shown: int = 20) -> tuple[
 
 
 def run_mining(logs: DataFrame, state: DataFrame | None, as_of: Column, hours: int | None = None, kinds: list[str] | None = None, min_count: int = 3) -> dict[str, DataFrame]:
-    """Tables of one mining run: patterns (state after it), admitted memories, frequent patterns, and its counters.
+    """Tables of one mining run: patterns (state after it), admitted memories, frequent patterns, entity links, and its counters.
+
+    Links are between admitted memories of one source log; a memory's id in them is the hash of its text.
 
     Extraction is narrow; patterns move once, by the hash of their text. A run row with counters comes
     from the written tables, so it does not compute them again.
@@ -30,12 +32,15 @@ def run_mining(logs: DataFrame, state: DataFrame | None, as_of: Column, hours: i
     fresh = new if state is None else new.join(state.select("pattern_hash"), "pattern_hash", "left_anti")
     admitted = extract.admit_patterns(fresh)
     frequent = patterns.filter(F.col("count") >= min_count)
-    counts = [("logs", chosen), ("found", found), ("patterns", patterns), ("new_patterns", fresh), ("admitted", admitted), ("frequent", frequent)]
+    named = cut(admitted.select(F.sha2("content", 256).alias("id"), "source_log_id", "kind"), "named")
+    none = named.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("mentions").alias("relation_type")).limit(0)
+    links = cut(extract.entity_links(named, none), "links")
+    counts = [("logs", chosen), ("found", found), ("patterns", patterns), ("new_patterns", fresh), ("admitted", admitted), ("frequent", frequent), ("links", links)]
     run = None
     for name, df in counts:
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
         run = row if run is None else run.unionByName(row)
-    return {"patterns": patterns, "admitted": admitted, "frequent": frequent, "run": run}
+    return {"patterns": patterns, "admitted": admitted, "frequent": frequent, "links": links, "run": run}
 
 
 def full_cleanup(mem: DataFrame, patterns: DataFrame, logs: DataFrame, trans: DataFrame, injections: DataFrame, as_of: Column) -> dict[str, DataFrame]:

@@ -616,9 +616,10 @@ def txt07_recategorize(spark, d):
 
 @query()
 def min08_run_mining(spark, d):
-    sample = "\nThis project uses Spark and Parquet for every table\n"
-    logs = view(spark, d, "output_log").withColumn("content", F.concat("content", F.lit(sample)))
-    return jobs.run_mining(logs, None, as_of(), 72, ["fact", "import", "dependency"])["run"]
+    """All extractors over the whole log, with marked sentences appended as in ext15."""
+    sample = "\nThis project uses Spark and Parquet for every table\nOur PostgreSQL database is slow. We decided to keep one table per day because scans are cheap\n"
+    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(sample)))
+    return jobs.run_mining(logs, None, as_of())["run"]
 
 
 @query()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import rules
 from lorebase.functions import text as tx
-from lorebase.operators import extract, feedback, graph, hotset, memory, sequences, vectors
+from lorebase.operators import extract, feedback, graph, hotset, jobs, memory, sequences, vectors
 from lorebase.sources.tables import view
 
 T0 = dt.datetime(2024, 1, 31)
@@ -55,6 +55,21 @@ def test_extract_all_keeps_first_kind_of_equal_text(spark):
     assert len(got) == 1
 
 
+def test_extract_all_and_mining_reach_entities(spark):
+    text = "the postgresql database is slow\nwe decided to keep one table per day because scans are cheap\nThis project uses Spark and Parquet for every table"
+    rows = logs(spark, text, "nothing to see", text)
+    assert list(extract.EXTRACTORS)[-2:] == ["entity_technology", "entity_decision"]
+    got = {(r.log_id, r.kind, r.pattern) for r in extract.extract_all(rows).collect()}
+    for kind in ("entity_technology", "entity_decision"):
+        alone = {(r.log_id, r.kind, r.pattern) for r in extract.extract(rows, kind).collect()}
+        assert alone and alone <= got
+    out = jobs.run_mining(rows, None, F.lit(T0))
+    kinds = {r.pattern_hash: r.kind for r in out["patterns"].collect()}
+    links = {(kinds[r.from_id], kinds[r.to_id], r.relation_type) for r in out["links"].collect()}
+    assert ("fact", "entity_decision", "mentions") in links
+    assert {r.counter: r.n for r in out["run"].collect()}["links"] == out["links"].count() > 0
+
+
 @pytest.mark.parametrize(("text", "want"), [("password = abcdefgh1", "password = [REDACTED]"), ("AKIA" + "A1" * 8, "[AWS_KEY_REDACTED]"), ("ghp_" + "a" * 36, "[GITHUB_PAT_REDACTED]"), ("x://u:pw@h", "x://u:[REDACTED]@h"), ("Bearer " + "t" * 20, "Bearer [REDACTED]"), ("plain words", "plain words")])
 def test_redaction(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
