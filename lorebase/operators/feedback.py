@@ -13,6 +13,12 @@ def since(df: DataFrame, ts: str, as_of: Column, days: float) -> DataFrame:
     return df.filter(F.col(ts) > as_of - F.expr(f"INTERVAL {int(days * 86400)} SECONDS"))
 
 
+def retrieval_events(ranked: DataFrame, as_of: Column) -> DataFrame:
+    """The log rows of a recall, one per query and result: event_id, query_key, memory_id, similarity, was_used, created_at."""
+    key = F.sha2(F.col("query_id").cast("string"), 256)
+    return ranked.select(F.xxhash64("query_id", "id", as_of).alias("event_id"), key.alias("query_key"), F.col("id").alias("memory_id"), "similarity", F.lit(False).alias("was_used"), as_of.alias("created_at"))
+
+
 def mark_used(events: DataFrame, marks: DataFrame) -> DataFrame:
     """Marks rows of (memory, query) as used; a mark without a query takes the memory's latest row."""
     keyed = marks.filter("query_key IS NOT NULL").select("memory_id", "query_key").distinct().withColumn("m1", F.lit(True))

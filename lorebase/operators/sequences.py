@@ -13,6 +13,11 @@ def transitions(log: DataFrame, session: str = "session_id", item: str = "item",
     return pairs.filter("to_id IS NOT NULL AND from_id <> to_id").groupBy("from_id", "to_id").agg(F.count("*").alias("count"), F.max("seen").alias("last_seen"))
 
 
+def result_log(ranked: DataFrame, as_of: Column) -> DataFrame:
+    """Ranked results as a log for transitions: each result is followed by the next one of its query."""
+    return ranked.select(F.col("query_id").alias("session_id"), F.col("id").alias("item"), as_of.alias("ts"), F.col("rank").alias("seq"))
+
+
 def probabilities(trans: DataFrame) -> DataFrame:
     return trans.withColumn("probability", F.col("count") / F.sum("count").over(Window.partitionBy("from_id")))
 

@@ -187,17 +187,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     return scored.withColumn("score", F.when(spread > 0, (F.col("bm25") - F.min("bm25").over(by)) / spread).otherwise(1.0))
 
 
-def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None, lower: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(ranked, summary) of candidates by recall mode.
 
     cands: query_id, mode, id, similarity, keyword and the memory's columns. Access counts are relative to
     the most accessed candidate of the query, before the threshold; the summary counts what it removed.
+    lower: taken off every mode's threshold, for vectors that are far apart.
     """
     mode = F.coalesce("mode", F.lit("balanced"))
     pick = lambda i: tx.choose(F.col("mode"), {m: v[i] for m, v in rules.MODES.items()}, rules.MODES["balanced"][i])
     by = Window.partitionBy("query_id")
     most = F.greatest(F.max("access_count").over(by), F.lit(1))
-    rows = cands.withColumn("mode", mode).withColumn("fused", scores.fused(F.col("similarity"), F.col("keyword"))).withColumns({"threshold": pick(0), "limit": pick(1), "access_score": F.col("access_count") / most})
+    rows = cands.withColumn("mode", mode).withColumn("fused", scores.fused(F.col("similarity"), F.col("keyword"))).withColumns({"threshold": pick(0) - lower, "limit": pick(1), "access_score": F.col("access_count") / most})
     parts = {
         "similarity_part": F.col("fused") * pick(2),
         "recency_part": scores.recency(F.coalesce("last_accessed_at", "created_at"), as_of) * pick(3),
@@ -219,7 +220,7 @@ def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None) -> tu
     return ranked, counts.join(top, "query_id", "left").withColumn("confidence", label)
 
 
-def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, dim: int, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, dim: int, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None, lower: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Batch recall: vector candidates (3k), keyword scores (query_id, id, score), ranking and a summary per query."""
     near = knn(queries, vectors, 3 * k, dim)
     cands = near.join(queries.select("query_id", *[c for c in ("mode",) if c in queries.columns]), "query_id")
@@ -228,7 +229,7 @@ def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column
     cands = cands.drop("rank").join(mem, "id")
     keyword = keywords.select("query_id", "id", F.col("score").alias("keyword")) if keywords is not None else None
     cands = cands.join(keyword, ["query_id", "id"], "left") if keyword is not None else cands.withColumn("keyword", F.lit(0.0))
-    return rank(cands, as_of, boosts)
+    return rank(cands, as_of, boosts, lower)
 
 
 def recall_fallback(stages: list[tuple[DataFrame, DataFrame]], min_results: int = 1) -> DataFrame:

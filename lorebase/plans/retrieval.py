@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
-from lorebase.operators import feedback, graph, vectors
+from lorebase.operators import feedback, graph, sequences, vectors
 from lorebase.plans import store
 from lorebase.plans.registry import AS_OF, case, days, lit, query, trust_now
+from lorebase.sources.shared import cut
 from lorebase.sources.tables import as_of, load, view
 
 DIM = 64
@@ -63,11 +64,15 @@ def vec05_fusion(spark, d):
     return view(spark, d, "retrievals").select("event_id", F.round(scores.fused(F.col("similarity"), kw), 12).alias("fused"))
 
 
-def _recall(spark, d, mode="exploratory"):
+def _recall(spark, d):
+    """(ranked, summary): queries in the three modes, their keywords the first eight words of their own text."""
     vec, mem = view(spark, d, "vectors"), view(spark, d, "memories")
-    asked = vec.filter("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding", F.lit(mode).alias("mode"))
-    shifted = mem.withColumn("similarity_boost", F.lit(0.0))
-    return vectors.recall(asked, shifted, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), DIM)
+    mode = F.element_at(F.array(*map(F.lit, rules.MODES)), (F.col("memory_id") / 20 % 3 + 1).cast("int"))
+    asked = vec.filter("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding", mode.alias("mode"))
+    texts = mem.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(vectors.tokens(F.col("content")), 1, 8), " ").alias("text"))
+    keywords = vectors.bm25(mem.select("id", F.col("content").alias("text")), texts, top=30)
+    # The tables' vectors are far apart, so every threshold is 0.4 lower.
+    return vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), DIM, keywords=keywords, lower=0.4)
 
 
 def _ranked_sql(threshold: float) -> str:
@@ -103,6 +108,20 @@ def vec08_recall_summary(spark, d):
     return summary.select("query_id", "n_candidates", "n_gated")
 
 
+@query()
+def vec08_recall(spark, d):
+    """The whole recall in one table; part tells results, summaries, retrieval events and sequence pairs apart."""
+    ranked, summary = _recall(spark, d)
+    ranked = cut(ranked.select("query_id", "mode", "rank", "id", "similarity", "keyword", "fused", "score"), "ranked")
+    pairs = sequences.transitions(sequences.result_log(ranked, as_of()))
+    parts = {"result": ranked, "summary": summary, "event": feedback.retrieval_events(ranked, as_of()), "pair": pairs}
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn("part", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 @query()
 def vec09_fallback(spark, d):
     near = _cands(spark, d, 0.3)

@@ -188,6 +188,26 @@ def test_pair_blocks_grow_with_the_table_and_lose_nothing(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_recall_fuses_keywords_and_gives_events(spark):
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.3, 0.954]), (3, [0.3, -0.954]), (4, [0.9, 0.436])], "id long, embedding array<double>")
+    mem = spark.createDataFrame([(i, t, 1, T0, T0, 1.0, "pattern", 0.25, "lesson") for i, t in ((1, "zzz"), (2, "spark plans"), (3, "other words"), (4, "nothing"))], "id long, content string, access_count long, created_at timestamp, last_accessed_at timestamp, trust_score double, memory_type string, utility_score double, category string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "balanced"), (2, [0.3, 0.954], "precision")], "query_id long, embedding array<double>, mode string")
+    words = spark.createDataFrame([(1, "spark plans")], "query_id long, text string")
+    keywords = vectors.bm25(mem.select("id", F.col("content").alias("text")), words)
+    near = vec.select("id", F.col("embedding"))
+    plain, _ = vectors.recall(asked, mem, near, F.lit(T0), 2, lower=0.38)
+    ranked, summary = vectors.recall(asked, mem, near, F.lit(T0), 2, keywords=keywords, lower=0.38)
+    assert [r.id for r in plain.filter("query_id = 1").orderBy("rank").collect()] == [4]
+    assert [r.id for r in ranked.filter("query_id = 1").orderBy("rank").collect()] == [4, 2]  # lifted by its keywords
+    counts = {r.query_id: (r.n_candidates, r.n_gated, r.confidence) for r in summary.collect()}
+    assert counts[1] == (3, 1, "high")
+    events = feedback.retrieval_events(ranked, F.lit(T0)).collect()
+    assert {(e.memory_id, e.was_used, e.created_at) for e in events} >= {(4, False, T0), (2, False, T0)} and len(events) == ranked.count()
+    assert len({e.event_id for e in events}) == len(events) and len({e.query_key for e in events}) == 2
+    pairs = sequences.transitions(sequences.result_log(ranked, F.lit(T0))).collect()
+    assert (4, 2, 1) in {(p.from_id, p.to_id, p["count"]) for p in pairs}
+
+
 def test_group_results_leaves_small_groups(spark):
     results = spark.createDataFrame([(1, i, i) for i in range(4)], "query_id long, id long, rank int")
     vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.99, 0.1]), (2, [0.0, 1.0]), (3, [0.98, 0.0])], "id long, embedding array<double>")
