@@ -6,39 +6,106 @@ on the whole batch at once and no Python object is made per word.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Texts in one Arrow batch; bounds what a Python worker holds at a time.
-BATCH_ROWS = 512
+#: Bytes of text that a kernel works on at once; a longer text is taken alone.
+PASS_BYTES = 1 << 20
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one where none is set and all run in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if "" not in _LOCAL:
+        _LOCAL[""] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL[""], ignore_errors=True)
+    return f"file://{_LOCAL['']}"
+
+
+class Scratch:
+    """Tables written to the shared folder: each ends a lineage and survives lost executors.
+
+    free deletes the folders of tables that no unfinished plan reads any more, so that a long job
+    holds only what its next steps need.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it again."""
+        path = f"{shared_dir(self.spark)}/lorebase-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = out, path
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.held.pop(id(table))
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Free all other tables."""
+        kept = {id(t) for t in tables}
+        self.free(*[t for k, (t, _) in list(self.held.items()) if k not in kept])
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: ends the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorebase-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it again; the table stays until the folder is cleared."""
+    return Scratch(df.sparkSession).cut(df, name)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of few rows, as one text may be large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """make(), remembered by this Python worker until a task asks for another key.
+
+    Workers outlive stages, so that without this rule the tables of every kernel they ever ran would add up.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def passes(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose texts have limit bytes at most together, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, lo = np.cumsum(sizes.astype(np.int64)), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,29 +155,35 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 def word_hashes(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple:
     """(64-bit hash of each word with A-Z lower-cased, number of the first word of each document and the total).
 
-    places: also the first byte of each word and the byte after it.
+    places: also the first byte of each word and the byte after it. Works on blocks of PASS_BYTES, cut where no word is.
     """
-    n = len(data)
-    nothing = (np.zeros(0, U64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.int64)] * (2 * places))
-    if not n:
-        return nothing
+    n, cuts, parts = len(data), [0], []
+    edges = np.zeros(n + 1, bool)
+    edges[offsets] = True  # a word ends with its document
+    while cuts[-1] < n:
+        at = cuts[-1] + PASS_BYTES
+        while at < n and not edges[at] and not _SPACE[data[at]]:
+            at += 1
+        cuts.append(min(at, n))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        parts.append(_word_hashes(data[lo:hi], edges[lo:hi], lo))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    first = np.searchsorted(starts, offsets)
+    return (hashes, first, starts, ends) if places else (hashes, first)
+
+
+def _word_hashes(data: np.ndarray, edges: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < n]
-    before[edges] = False  # a word ends with its document
-    starts = np.flatnonzero(inside & ~before)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edges[1:]
+    starts = np.flatnonzero(begins)
     if not len(starts):
-        return nothing
+        return np.zeros(0, U64), starts, starts
     where = np.flatnonzero(inside)
-    word = np.cumsum((inside & ~before)[where]) - 1
-    at = where - starts[word]
-    weights = constants(int(at.max()) + 1, 1)
-    values = (_LOWER[data[where]].astype(U64) + U64(1)) * weights[at]
+    at = where - starts[np.cumsum(begins[where]) - 1]
+    values = (_LOWER[data[where]].astype(U64) + U64(1)) * constants(int(at.max()) + 1, 1)[at]
     first = np.searchsorted(where, starts)
-    hashes = mix(np.add.reduceat(values, first)), np.searchsorted(starts, offsets)
-    return (*hashes, starts, where[np.append(first[1:], len(where)) - 1] + 1) if places else hashes
+    return mix(np.add.reduceat(values, first)), starts + base, where[np.append(first[1:], len(where)) - 1] + 1 + base
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,29 +212,99 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), bounds
 
 
+class ChunkMemory:
+    """Ids of byte chunks; solve(chunks) is asked once for each different chunk, told by a 64-bit hash."""
+
+    def __init__(self, solve: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.solve, self.most = solve, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def __call__(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks of data, number of ids of each); chunks begin at begin and cover all of data."""
+        if len(self.keys) > self.most:
+            self.clear()
+        size = np.diff(begin, append=len(data))
+        at = np.arange(len(data)) - np.repeat(begin, size)
+        keys = mix(np.add.reduceat((data.astype(U64) + U64(1)) * constants(int(size.max()), 4)[at], begin))
+        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.keys, unique)
+        new = np.flatnonzero(np.append(self.keys, U64(0))[where] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            raw = data.tobytes()
+            flat, count = self.solve([raw[begin[f] : begin[f] + size[f]] for f in first[new]])
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.pool[self.used : self.used + len(flat)] = flat
+            places = self.used + np.cumsum(count) - count
+            self.used += len(flat)
+            self.keys, self.at, self.n = (np.insert(old, where[new], x) for old, x in ((self.keys, unique[new]), (self.at, places), (self.n, count)))
+            where = np.searchsorted(self.keys, unique)
+        count = self.n[where][back].astype(np.int64)
+        return gathered(self.pool, self.at[where][back], count), count
+
+
+def gathered(pool: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs pool[place:place + count], one after the other."""
+    ends = np.cumsum(count)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(place - ends + count, count)]
+
+
 def binary_chunks(flat: np.ndarray, bounds: np.ndarray, width: int) -> pa.Array:
     """An Arrow binary column: row i holds flat[bounds[i]:bounds[i+1]] as bytes."""
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each node of edges reaches.
+def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node that each node of edges reaches; the table belongs to scratch.
 
     Every round passes the smallest label to neighbours and then lets each label jump to its own
     label, so long chains need a logarithmic number of rounds. Rounds are written to the shared folder.
     """
-    both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("next"))), "edges")
-    labels = cut(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("component")), "labels")
+    both = scratch.cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("next"))).distinct(), "edges")
+    labels = scratch.cut(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "next"), "next").groupBy("node").agg(F.min("component").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        new = cut(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("jump", "component")).alias("component"), "was"), "labels")
+        new = scratch.cut(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("jump", "component")).alias("component"), "was"), "labels")
         changed = new.filter("component <> was").limit(1).count()
-        labels = new.select("node", "component")
+        scratch.free(labels)
+        labels = new
         if not changed:
+            scratch.free(both)
             return labels
 
 
-def bool_sum(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0))
+#: Bits of a sieve at most (8 MB in all).
+SIEVE_BITS = 1 << 26
+
+
+class Sieve:
+    """Bit maps of the hashes of a written table's keys: tells, without a shuffle, which rows of another table may have one of them.
+
+    A row that it lets pass still has to be joined; a row that it holds back has none of the keys. Its size is
+    bounded by SIEVE_BITS; with very many keys it holds fewer rows back, which costs time but changes no result.
+    """
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        n = keys.count()
+        self.bits = min(SIEVE_BITS, 1 << max(15, (16 * n).bit_length()))
+        place = self._place([F.col(c) for c in columns])
+        self.maps = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("sieve_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("sieve_map"))
+
+    def _place(self, columns: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+
+    def split(self, df: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
+        """(rows of df that may have one of the keys, rows that have none); columns: the keys' counterparts."""
+        place = self._place(list(columns))
+        at = F.bitmap_bit_position(place)
+        byte = F.conv(F.hex(F.substring("sieve_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+        # 4 KB for each of SIEVE_BITS / 32768 rows at most.
+        tested = df.withColumn("sieve_key", F.bitmap_bucket_number(place)).join(F.broadcast(self.maps), F.col("sieve_key") == F.col("sieve_bucket"), "left").withColumn("sieve_hit", hit)
+        return tuple(tested.filter(keep).select(*df.columns) for keep in (F.col("sieve_hit"), ~F.col("sieve_hit")))
