@@ -10,8 +10,11 @@ buckets of the sorted ones, and adjacent common prefixes show the windows that s
 A group of many different segments (a passage in very many documents) is dealt out by where in the
 window its least part lies, which equal windows share, so it is not one task's.
 
-Defined results: a null text is empty. Texts shorter than a window keep all bytes. Repeated rows count as
-different places, so they are removed. A null id is an id of its own. Extra columns are ignored.
+Texts are moved only where they are cut: to sort their segments, and to take runs out of them.
+
+Defined results: a null text is empty. Texts shorter than a window keep all bytes. Repeated rows (of equal id and
+text, or of no id) count as different places, so they are removed, in each row. A null id is an id of its own. Extra
+columns are ignored; without_repeats keeps them, and a null text without runs stays null.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import U64, cut, mix, small_batches, text_buffer
+from lorebase.llm.common import U64, Scratch, Sieve, mix, passes, text_buffer
 
 LENGTH = 400
 GRAM = 32
 #: Different segments of a group that one task sorts whole; bytes that are sorted together.
 MANY, BLOCK = 512, 1 << 18
 _R = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 _NO_ID = -(1 << 63)
 
 
@@ -162,7 +168,7 @@ def intervals(numbers: np.ndarray) -> list[tuple[int, int]]:
 
 def _segments(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in passes(batches, "text"):
             data, offsets = text_buffer(batch.column("text"))
             parts = []
             for i in range(batch.num_rows):
@@ -185,7 +191,7 @@ def _cut_out(length: int):
     width = length - GRAM + 1
 
     def run(batches):
-        for batch in batches:
+        for batch in passes(batches, "text"):
             rows = []
             data, offsets = text_buffer(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
@@ -236,59 +242,102 @@ def _sort(length: int):
     return run
 
 
-def _remove(batches):
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        n_bytes, removed, spans, kept = [], [], [], []
-        for i, runs in enumerate(batch.column("runs").to_pylist()):
-            own = data[offsets[i] : offsets[i + 1]]
-            n_bytes.append(len(own))
-            if not runs:
-                removed.append(0)
-                spans.append(0)
-                kept.append(own.tobytes())
-                continue
-            change = np.zeros(len(own) + 1, np.int32)
-            np.add.at(change, [r["lo"] for r in runs], 1)
-            np.add.at(change, [r["hi"] for r in runs], -1)
-            gone = np.cumsum(change[:-1]) > 0
-            removed.append(int(gone.sum()))
-            spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            kept.append(own[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def _text(batches):
-    for batch in batches:
-        texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-        yield batch.set_column(batch.schema.get_field_index("kept"), "text", pa.array(texts, pa.string()))
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated passages taken out of its column text, whole characters only."""
-    found = remove_repeats(docs, length=length).select("doc_id", "kept").mapInArrow(_text, "doc_id long, text string")
-    rest = docs.select(*[c for c in docs.columns if c != "text"])
-    return rest.join(found, "doc_id").select(*docs.columns)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    spark = docs.sparkSession
-    small_batches(spark, 128)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    seen = cut(rows.mapInArrow(_segments(length), "id long, mark long, key long, digest long, first int, n int, again boolean"), "segments")
-    distinct = cut(seen.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min(F.struct("id", "mark", "first")).alias("at"), F.first("n").alias("n"), F.first("again").alias("again")), "distinct")
+def _gone(own: np.ndarray, runs: list, least_words: int) -> np.ndarray:
+    """Which bytes of own the runs cover, of maximal runs with least_words words or parts of words at least."""
+    change = np.zeros(len(own) + 1, np.int32)
+    np.add.at(change, [r["lo"] for r in runs], 1)
+    np.add.at(change, [r["hi"] for r in runs], -1)
+    gone = np.cumsum(change[:-1]) > 0
+    if least_words > 1:
+        for a, b in intervals(np.flatnonzero(gone)):
+            inside = ~_SPACE[own[a : b + 1]]
+            if int(inside[0]) + np.count_nonzero(inside[1:] & ~inside[:-1]) < least_words:
+                gone[a : b + 1] = False
+    return gone
+
+
+def _remove(least_words: int):
+    def run(batches):
+        for batch in passes(batches, "text"):
+            data, offsets = text_buffer(batch.column("text"))
+            n_bytes, removed, spans, kept = [], [], [], []
+            for i, runs in enumerate(batch.column("runs").to_pylist()):
+                own = data[offsets[i] : offsets[i + 1]]
+                gone = _gone(own, runs or [], least_words)
+                n_bytes.append(len(own))
+                removed.append(int(gone.sum()))
+                spans.append(len(intervals(np.flatnonzero(gone))))
+                kept.append(own[~gone].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def _strip(least_words: int, text_col: str):
+    """(row, text without the runs); a null text where there are none."""
+
+    def run(batches):
+        for whole in batches:
+            texts = pa.compute.struct_field(whole.column("row"), [text_col])
+            with_text = pa.RecordBatch.from_arrays([whole.column("row"), texts, whole.column("runs")], ["row", "text", "runs"])
+            for batch in passes([with_text], "text"):
+                data, offsets = text_buffer(batch.column("text"))
+                out = []
+                for i, runs in enumerate(batch.column("runs").to_pylist()):
+                    own = data[offsets[i] : offsets[i + 1]]
+                    out.append(None if runs is None else own[~_gone(own, runs, least_words)].tobytes().decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
+
+    return run
+
+
+def _runs(rows: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(id, mark, runs) of the texts that have repeated bytes; rows: id, mark, text."""
+    seen = scratch.cut(rows.mapInArrow(_segments(length), "id long, mark long, key long, digest long, first int, n int, again boolean"), "segments")
+    distinct = scratch.cut(seen.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min(F.struct("id", "mark", "first")).alias("at"), F.first("n").alias("n"), F.first("again").alias("again")), "distinct")
     groups = distinct.groupBy("key").agg(F.count("*").alias("different"), F.max("again").alias("any_again")).filter("different > 1 OR any_again")
     sorted_ones = distinct.join(groups, "key").filter("different > 1 OR again")
     sorted_ones = sorted_ones.select("at.id", "at.mark", F.struct("key", "digest", "at.first", "n", F.least(F.ceil(F.col("different") / MANY), F.lit(length - GRAM + 1)).cast("int").alias("deals")).alias("one"))
-    wanted = sorted_ones.groupBy("id", "mark").agg(F.collect_list("one").alias("wanted"))
-    pieces = rows.join(wanted, ["id", "mark"]).select("text", "wanted").mapInArrow(_cut_out(length), "key long, deal int, digest long, first int, n int, bytes binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = scratch.cut(sorted_ones.groupBy("id", "mark").agg(F.collect_list("one").alias("wanted")), "wanted")
+    may, _ = Sieve(wanted, "id", "mark").split(rows, F.col("id"), F.col("mark"))
+    once = may.groupBy("id", "mark").agg(F.first("text").alias("text"))  # a segment is sorted once
+    pieces = once.join(wanted, ["id", "mark"]).select("text", "wanted").mapInArrow(_cut_out(length), "key long, deal int, digest long, first int, n int, bytes binary")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pieces.repartition(parts, "key", "deal").sortWithinPartitions("key", "deal").mapInArrow(_sort(length), "key long, digest long, lo int, hi int")
     whole = distinct.filter("times > 1").select("key", "digest", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
-    twice = cut(found.unionByName(whole), "repeats")
+    twice = scratch.cut(found.unionByName(whole), "repeats")
+    scratch.free(distinct, wanted)
     runs = seen.join(twice, ["key", "digest"]).select("id", "mark", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi")).alias("run"))
-    runs = runs.groupBy("id", "mark").agg(F.collect_set("run").alias("runs"))
-    out = rows.join(runs, ["id", "mark"], "left").select("id", "mark", "text", "runs").mapInArrow(_remove, "id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    runs = scratch.cut(runs.groupBy("id", "mark").agg(F.collect_set("run").alias("runs")), "runs")
+    scratch.keep(runs)
+    return runs
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+
+    least_words: maximal runs of fewer words stay.
+    """
+    rows = _keyed(docs, id_col, text_col).select("id", "mark", "text")
+    runs = _runs(rows, Scratch(docs.sparkSession), length)
+    may, sure = Sieve(runs, "id", "mark").split(rows, F.col("id"), F.col("mark"))
+    found = may.join(runs, ["id", "mark"], "left").select("id", "text", "runs").mapInArrow(_remove(least_words), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    none = F.lit(0).cast("long")
+    rest = sure.select("id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    return found.unionByName(rest).select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """docs with the repeated passages taken out of its text column, whole characters only."""
+    rows = _keyed(docs, id_col, text_col)
+    runs = _runs(rows.select("id", "mark", "text"), Scratch(docs.sparkSession), length)
+    may, sure = Sieve(runs, "id", "mark").split(rows, F.col("id"), F.col("mark"))
+    row = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in docs.schema)}>"
+    met = may.select("row", "id", "mark").join(runs, ["id", "mark"], "left").select("row", "runs").mapInArrow(_strip(least_words, text_col), f"row {row}, text string")
+    met = met.select(F.when(F.col("text").isNull(), F.col("row")).otherwise(F.col("row").withField(f"`{text_col}`", F.col("text"))).alias("row"))
+    return met.unionByName(sure.select("row")).select("row.*")
