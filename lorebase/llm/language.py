@@ -8,8 +8,9 @@ backward sums on the executors, and only one number per piece and language reach
 
 Defined results: `und` with score 0 for a text that is null, empty or without letters, and for every
 text if there is no labelled row. Ties go to the alphabetically first language. Words count lower-cased
-and without other characters; runs of more than LONGEST letters are scored in parts of that length.
-Each row is predicted from its text alone, so repeated rows agree. Extra columns are ignored.
+and without other characters, at any length: long ones are summed in logarithms, so nothing underflows.
+Each row is predicted from its text alone, so repeated rows agree. Extra columns are ignored; keep_identified
+keeps them, needs the columns named by lang_col and text_col, and drops the rows it finds no language for.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import U64, cut, mix, small_batches, text_buffer, whole, word_hashes
+from lorebase.llm.common import U64, Scratch, mix, passes, text_buffer, whole, word_hashes, worker_state
 
 #: Labelled rows of each language that the model is fitted on, at most (about).
 SAMPLE_ROWS = 1500
 ITERATIONS = 3
-LONGEST = 40
+#: Letters up to which plain products stay far above the least double (UNKNOWN to that power is 1e-297).
+PLAIN = 32
+#: Words of one length that are summed together, and positions of one word that are kept for its sum.
+TOGETHER, HELD = 2048, 4096
 #: Probability of a character that the vocabulary lacks, and what is added to each expected count.
 UNKNOWN, SMOOTH = 1e-9, 0.05
-REMEMBERED = 500_000
+#: Words whose scores a worker remembers; beyond it starts anew.
+REMEMBERED = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 _BASE = U64(0x9E3779B97F4A7C15)
 
@@ -80,6 +85,20 @@ class Pieces:
                     yield start, end, found
 
 
+    def ends(self, codes: np.ndarray) -> dict[int, np.ndarray]:
+        """Piece that ends at each position of one word, by the piece's length; size + 1: unknown character, size + 2: none."""
+        prefix, out = _hash(codes[None, :])[0], {}
+        powers = np.cumprod(np.full(self.longest, _BASE, U64))
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            key = prefix[size:] - prefix[:-size] * powers[size - 1]
+            at = np.minimum(np.searchsorted(self.keys, key), self.size - 1)
+            found = np.full(len(codes), self.size + 2)
+            found[size - 1 :] = np.where(self.keys[at] == key, self.order[at], self.size + (1 if size == 1 else 2))
+            if (found < self.size + 2).any():
+                out[size] = found
+        return out
+
+
 def _by_length(words: list[str]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -92,54 +111,104 @@ def _padded(probabilities: np.ndarray) -> np.ndarray:
     return np.vstack((probabilities, np.zeros((1, langs)), np.full((1, langs), UNKNOWN)))
 
 
+def _edges(pieces: Pieces, words: list[str]) -> list:
+    return list(pieces.matches(words))
+
+
+def _ahead(edges: list, n: int, table: np.ndarray, words: int) -> np.ndarray:
+    """Summed probability of the first 0 to n characters of each word, in each language."""
+    alpha = np.zeros((n + 1, words, table.shape[1]))
+    alpha[0] = 1
+    for start, end, found in edges:
+        alpha[end] += alpha[start] * table[found]
+    return alpha
+
+
+def _ahead_logs(edges: list, n: int, logs: np.ndarray, words: int) -> np.ndarray:
+    """The same in logarithms."""
+    alpha = np.full((n + 1, words, logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    for start, end, found in edges:
+        np.logaddexp(alpha[end], alpha[start] + logs[found], out=alpha[end])
+    return alpha
+
+
+def _log(table: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(table)
+
+
+def _long(pieces: Pieces, table: np.ndarray, word: str) -> np.ndarray:
+    """log of the summed probability of one word of any length: only as many positions are held as a piece is long, scaled at each step."""
+    codes = np.array([ord(c) for c in word])
+    total, held = np.zeros(table.shape[1]), np.zeros((pieces.longest, table.shape[1]))
+    held[-1] = 1
+    for lo in range(0, len(word), HELD):
+        before = min(lo, pieces.longest - 1)  # a piece may reach back over the block's start
+        n = min(HELD, len(word) - lo)
+        reach = pieces.ends(codes[lo - before : lo + n])
+        for i in range(n):
+            now = sum(held[-size] * table[found[before + i]] for size, found in reach.items() if found[before + i] <= pieces.size + 1 and size <= lo + i + 1)
+            scale = now.max()
+            held[:-1] = held[1:]
+            held[-1] = now
+            held /= scale
+            total += np.log(scale)
+    return total + np.log(held[-1])
+
+
 def forward(pieces: Pieces, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
     """log of the summed probability of all segmentations, for each word and language."""
     table, out = _padded(probabilities), np.zeros((len(words), probabilities.shape[1]))
     for n, own in _by_length(words).items():
-        for lo in range(0, len(own), 4096):
-            part = own[lo : lo + 4096]
-            alpha = np.zeros((n + 1, len(part), table.shape[1]))
-            alpha[0] = 1
-            for start, end, found in pieces.matches([words[i] for i in part]):
-                alpha[end] += alpha[start] * table[found]
-            out[part] = np.log(alpha[n])
+        if n > PLAIN:
+            for i in own:
+                out[i] = _long(pieces, table, words[i])
+            continue
+        for lo in range(0, len(own), TOGETHER):
+            part = own[lo : lo + TOGETHER]
+            out[part] = np.log(_ahead(_edges(pieces, [words[i] for i in part]), n, table, len(part))[n])
     return out
 
 
 def expected(pieces: Pieces, probabilities: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
     """Expected count of each piece in each language; weights: how often each word stands in each language."""
     table = _padded(probabilities)
-    total = np.zeros_like(table)
+    logs, total = _log(table), np.zeros_like(table)
     for n, own in _by_length(words).items():
-        for lo in range(0, len(own), 4096):
-            part = own[lo : lo + 4096]
-            edges = list(pieces.matches([words[i] for i in part]))
-            alpha = np.zeros((n + 1, len(part), table.shape[1]))
-            alpha[0] = 1
-            for start, end, found in edges:
-                alpha[end] += alpha[start] * table[found]
-            beta = np.zeros_like(alpha)
-            beta[n] = 1
-            for start, end, found in reversed(edges):
-                beta[start] += beta[end] * table[found]
-            scale = weights[part] / alpha[n]
-            for start, end, found in edges:
-                np.add.at(total, found, alpha[start] * table[found] * beta[end] * scale)
+        step = max(1, TOGETHER * PLAIN // max(n, PLAIN))
+        for lo in range(0, len(own), step):
+            part = own[lo : lo + step]
+            edges = _edges(pieces, [words[i] for i in part])
+            if n <= PLAIN:
+                alpha = _ahead(edges, n, table, len(part))
+                beta = np.zeros_like(alpha)
+                beta[n] = 1
+                for start, end, found in reversed(edges):
+                    beta[start] += beta[end] * table[found]
+                scale = weights[part] / alpha[n]
+                for start, end, found in edges:
+                    np.add.at(total, found, alpha[start] * table[found] * beta[end] * scale)
+            else:
+                alpha = _ahead_logs(edges, n, logs, len(part))
+                beta = np.full_like(alpha, -np.inf)
+                beta[n] = 0
+                for start, end, found in reversed(edges):
+                    np.logaddexp(beta[start], beta[end] + logs[found], out=beta[start])
+                for start, end, found in edges:
+                    np.add.at(total, found, np.exp(alpha[start] + logs[found] + beta[end] - alpha[n]) * weights[part])
     return total[: pieces.size]
 
 
 def runs(text: str) -> list[str]:
-    """Marked words of letters, lower-cased, none longer than LONGEST letters."""
-    out = []
-    for run in _RUN.findall(text.lower()):
-        run = run if run.isalpha() else "".join(c for c in run if c.isalpha())
-        out += ["▁" + run[i : i + LONGEST] for i in range(0, len(run), LONGEST)]
-    return out
+    """Marked words of letters, lower-cased."""
+    found = (run if run.isalpha() else "".join(c for c in run if c.isalpha()) for run in _RUN.findall(text.lower()))
+    return ["▁" + run for run in found if run]
 
 
 def _count(batches):
     """(lang, word, n) of each batch."""
-    for batch in batches:
+    for batch in passes(batches, 1):
         counts: dict = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word in runs(text):
@@ -152,7 +221,7 @@ def _expect(names: list[str], langs: list[str], probabilities: np.ndarray):
     def run(batches):
         pieces, at = Pieces(names), {x: i for i, x in enumerate(langs)}
         total = np.zeros_like(probabilities)
-        for batch in batches:
+        for batch in passes(batches, 1):
             words = batch.column(1).to_pylist()
             weights = np.zeros((len(words), len(langs)))
             weights[np.arange(len(words)), [at[x] for x in batch.column(0).to_pylist()]] = batch.column(2).to_numpy()
@@ -166,16 +235,16 @@ def _expect(names: list[str], langs: list[str], probabilities: np.ndarray):
 class Model:
     def __init__(self, names: list[str], langs: list[str], probabilities: np.ndarray):
         self.names, self.langs, self.probabilities = names, langs, probabilities
-        self.pieces: Pieces | None = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"pieces": None, "keys": None, "rows": None}
+    def fresh(self) -> Model:
+        """A copy with an empty memory of words."""
+        out = Model(self.names, self.langs, self.probabilities)
+        out.pieces = Pieces(self.names)
+        out.keys, out.rows = np.zeros(0, U64), np.zeros((0, self.probabilities.shape[1] + 1))
+        return out
 
     def words(self, keys: np.ndarray, texts) -> np.ndarray:
         """Per word its log probability in each language and its number of letters; texts(i) gives word i."""
-        if self.pieces is None:
-            self.pieces = Pieces(self.names)
-            self.keys, self.rows = np.zeros(0, U64), np.zeros((0, self.probabilities.shape[1] + 1))
         if len(self.keys) > REMEMBERED:
             self.keys, self.rows = self.keys[:0], self.rows[:0]
         unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -204,7 +273,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
     # A row per language: far less than the model, which has the whole vocabulary for each.
     sample = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.col("size")) < sample_rows).select("lang", "text")
-    counts = cut(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counts = Scratch(labelled.sparkSession).cut(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]  # a row per language
     probabilities = np.full((len(names), max(1, len(langs))), 1 / len(names))
     for _ in range(ITERATIONS if langs else 0):
@@ -216,57 +285,53 @@ def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     return Model(names, langs, probabilities)
 
 
-_MODELS: dict = {}
+def _guess(model: Model, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(language, score) of each text."""
+    data, offsets = text_buffer(column)
+    keys, first, begin, end = word_hashes(data, offsets, places=True)
+    raw = data.tobytes()
+    scores = model.words(keys, lambda i: raw[begin[i] : end[i]].decode())
+    sums, full = np.zeros((len(column), scores.shape[1])), first[1:] > first[:-1]
+    if full.any():
+        sums[full] = np.add.reduceat(scores, first[:-1][full], axis=0)
+    log, letters = sums[:, :-1], np.round(sums[:, -1])
+    best = log.argmax(axis=1)
+    score = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
+    und = (letters == 0) | (not model.langs)
+    names = np.array([*model.langs, "und"], object)
+    return pa.array(names[np.where(und, len(names) - 1, best)], pa.string()), pa.array(np.where(und, 0.0, score))
 
 
 def _predict(shared):
     def run(batches):
-        if shared.id not in _MODELS:
-            _MODELS.clear()
-            _MODELS[shared.id] = shared.value
-        model = _MODELS[shared.id]
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            keys, first, begin, end = word_hashes(data, offsets, places=True)
-            raw = data.tobytes()
-            scores = model.words(keys, lambda i: raw[begin[i] : end[i]].decode())  # noqa: B023
-            sums, full = np.zeros((batch.num_rows, scores.shape[1])), first[1:] > first[:-1]
-            if full.any():
-                sums[full] = np.add.reduceat(scores, first[:-1][full], axis=0)
-            log, letters = sums[:, :-1], np.round(sums[:, -1])
-            best = log.argmax(axis=1)
-            score = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
-            und = (letters == 0) | (not model.langs)
-            names = np.array([*model.langs, "und"], object)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[np.where(und, len(names) - 1, best)], pa.string()), pa.array(np.where(und, 0.0, score))], ["doc_id", "lang_pred", "score"])
+        model = worker_state(("language", shared.id), lambda: shared.value.fresh())
+        for batch in passes(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_guess(model, batch.column("text"))], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (probability among the learned languages)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages numbers
     return whole(docs, id_col, text_col).mapInArrow(_predict(_Shared(shared)), "doc_id long, lang_pred string, score double")
 
 
-def _keep(shared):
-    predict = _predict(shared)
-
+def _keep(shared, lang_col: str, text_col: str):
     def run(batches):
-        for batch in batches:
-            pair = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
-            lang = next(predict([pair])).column("lang_pred")
+        model = worker_state(("language", shared.id), lambda: shared.value.fresh())
+        for batch in passes(batches, text_col):
+            lang, _ = _guess(model, batch.column(text_col))
             known = pa.array([x != "und" for x in lang.to_pylist()], pa.bool_())
-            yield batch.set_column(batch.schema.get_field_index("lang"), "lang", lang).filter(known)
+            yield batch.set_column(batch.schema.get_field_index(lang_col), lang_col, lang).filter(known)
 
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs whose text has a language, which becomes their column lang."""
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(_keep(_Shared(docs.sparkSession.sparkContext.broadcast(model))), docs.schema)
+def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Rows of docs whose text has a language, which becomes their column lang_col."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages numbers
+    return docs.mapInArrow(_keep(_Shared(shared), lang_col, text_col), docs.schema)
 
 
 class _Shared:

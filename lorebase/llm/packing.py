@@ -26,11 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import U64, binary_chunks, constants, cut, mix, small_batches, text_buffer, whole
+from lorebase.llm.common import ChunkMemory, Scratch, binary_chunks, passes, text_buffer, whole, worker_state
 
 #: Different chunks whose ids a worker remembers (about 40 bytes each); beyond it starts anew.
-REMEMBERED = 1_000_000
-_ENCODERS: dict = {}
+REMEMBERED = 400_000
 _SIMPLE = re.compile("( ?)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _TAIL = np.zeros(256, bool)
 _TAIL[[ord(c) for c in ".,;:!?"]] = True
@@ -61,14 +60,10 @@ class Encoder:
         shown = sorted({*range(33, 127), *range(161, 173), *range(174, 256)})
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.clear()
+        self.memory = ChunkMemory(self._encode, REMEMBERED)
 
-    def clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        out, rest = [], []
+    def _encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        chunks, out, rest = [x.decode() for x in raw], [], []
         for i, chunk in enumerate(chunks):
             if _SIMPLE.fullmatch(chunk):
                 out.append([t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))])
@@ -77,14 +72,13 @@ class Encoder:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = e.ids
-        return out
+        count = np.fromiter(map(len, out), np.int32, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(count.sum())), count
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of the first id of each text and the total)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.keys) > REMEMBERED:
-            self.clear()
         n = len(data)
         start = np.zeros(n, bool)
         solid = _SOLID[data]
@@ -95,47 +89,21 @@ class Encoder:
         start[lone] = start[lone + 1] = True
         start[offsets[:-1][offsets[:-1] < n]] = True
         begin = np.flatnonzero(start)
-        size = np.diff(begin, append=n)
-        at = np.arange(n) - np.repeat(begin, size)
-        weights = constants(int(size.max()), 4)
-        keys = mix(np.add.reduceat((data.astype(U64) + U64(1)) * weights[at], begin))
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        where = np.searchsorted(self.keys, unique)
-        new = np.flatnonzero(np.append(self.keys, U64(0))[where] != unique) if len(self.keys) else np.arange(len(unique))
-        if len(new):
-            raw = data.tobytes()
-            ids = self._encode([raw[begin[f] : begin[f] + size[f]].decode() for f in first[new]])
-            count = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(count.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            self.pool[self.used : self.used + len(flat)] = flat
-            places = self.used + np.cumsum(count) - count
-            self.used += len(flat)
-            self.keys, self.at, self.n = (np.insert(old, where[new], x) for old, x in ((self.keys, unique[new]), (self.at, places), (self.n, count)))
-            where = np.searchsorted(self.keys, unique)
-        count, place = self.n[where][back].astype(np.int64), self.at[where][back]
-        ends = np.cumsum(count)
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(place - ends + count, count)]
-        return ids, np.concatenate(([0], ends))[np.searchsorted(begin, offsets)]
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        ids, count = self.memory(data, begin)
+        return ids, np.concatenate(([0], np.cumsum(count)))[np.searchsorted(begin, offsets)]
 
 
 def _tokens(path: str, end_id: int):
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, bounds = encoder(path)(*text_buffer(batch.column(1)))
+        encoder = worker_state(("packing", path), lambda: Encoder(path))
+        for batch in passes(batches, "text"):
+            ids, bounds = encoder(*text_buffer(batch.column("text")))
             ids = np.insert(ids, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))
             n = np.diff(bounds)
             wide = np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(at + bounds[:-1]), pa.array(n), binary_chunks(ids.astype(wide), bounds, wide().itemsize)], ["part", "doc_id", "part_start", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id"), pa.array(at + bounds[:-1]), pa.array(n), binary_chunks(ids.astype(wide), bounds, wide().itemsize)], ["part", "doc_id", "part_start", "n", "ids"])
             at += int(bounds[-1])
 
     return run
@@ -170,9 +138,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     tokenizer: path of a tokenizer file that every executor can read; window: ids in a sequence.
     """
-    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    tokens = cut(whole(docs, id_col, text_col).mapInArrow(_tokens(path, end_id), "part int, doc_id long, part_start long, n long, ids binary"), "tokens")
+    tokens = Scratch(docs.sparkSession).cut(whole(docs, id_col, text_col).mapInArrow(_tokens(path, end_id), "part int, doc_id long, part_start long, n long, ids binary"), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     # A number for each partition of the scan; a million partitions are 12 MB.
