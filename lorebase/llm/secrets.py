@@ -1,10 +1,13 @@
 """Secret scans by one combined deterministic automaton.
 
-The rules become one nondeterministic automaton over bytes (with the least length of the hex rule,
-whose shorter matches are everywhere; other least lengths and tails are checked on spans); subset and minimisation turn it into a transition array, in which every state knows the rules that have just
-matched. All rules are scanned in one pass over the bytes. A batch is cut after bytes
-that send every state back to the start, and its pieces take their steps together. Where a rule has
-matched, its spans are then fixed exactly, leftmost and non-overlapping.
+The rules' expressions become one nondeterministic automaton over bytes; subset construction and minimisation turn
+it into a transition array, in which every state knows the rules that have just matched. All rules are scanned
+in one pass over the bytes, which gives the ends of all matches. A batch is cut after bytes that send every state
+back to the start, and its pieces take their steps together. Each rule also has an automaton of its reversed
+expression, and of the stricter one that its matches must meet; read backwards from an end, it gives the starts.
+Of the matches of a rule the leftmost is taken, the longest of one start, then the next one after its end; those
+that do not meet the stricter expression are dropped. Expressions are read by Python's own parser; no span
+comes from its matcher.
 
 Spans are in code points, the end exclusive. Defined results: a null or empty text has no span. Very
 long texts are scanned whole. Repeated rows agree. Extra columns are ignored or, in redact, kept.
@@ -15,105 +18,122 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-import string
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import small_batches, text_buffer, whole
+from lorebase.llm.common import passes, text_buffer, whole
 
-UPPER, LOWER, DIGIT = string.ascii_uppercase, string.ascii_lowercase, string.digits
-VALUE = UPPER + LOWER + DIGIT + "+/_.=-"
-#: A part is (set of bytes, least repeats, most repeats); None: without end. A rule is (kind, alternative heads, common tail, expression, group, least length, any case).
-Part = tuple[frozenset, int, "int | None"]
-
-
-def word(text: str, any_case: bool = False) -> list[Part]:
-    return [(frozenset((c.lower() + c.upper() if any_case else c).encode()), 1, 1) for c in text]
-
-
-def some(chars: str, least: int = 1, most: int | None = None) -> list[Part]:
-    return [(frozenset(chars.encode()), least, most)]
-
-
-_ASSIGNED = [*some("\"'", 0, 1), *some(" ", 0), *some(":="), *some(" ", 0), *some("\"'", 0, 1), *some(VALUE)]
-_ASSIGNED[2] = (_ASSIGNED[2][0], 1, 1)
-KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_KEY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\r\n]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+#: (kind, expression, stricter expression that a match must meet whole). Each ends in a run of one class of bytes, or in fixed bytes.
 RULES = [
-    ("assign", [word(k, True) for k in KEYWORDS], _ASSIGNED, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
-    ("access", [word("AKIA")], some(UPPER + DIGIT), r"AKIA[A-Z0-9]+", 0, 20, False),
-    ("hex", [[]], some(DIGIT + "abcdef", 24), r"[0-9a-f]+", 0, 24, False),
-    ("forge", [word("gh") + some("pousr", 1, 1) + word("_")], some(UPPER + LOWER + DIGIT), r"gh[pousr]_[A-Za-z0-9]{20,}", 0, 1, False),
-    ("chat", [word("xox") + some("abprs", 1, 1) + word("-")], some(UPPER + LOWER + DIGIT), r"xox[abprs]-[A-Za-z0-9]{10,}", 0, 1, False),
-    ("pem", [word("-----BEGIN ")], [], r"-----BEGIN [A-Z ]*?PRIVATE KEY-----", 0, 1, False),
+    ("assign", _KEY + "[A-Za-z0-9+/_.=-]+", _KEY + "[A-Za-z0-9+/_.=-]{6,}"),
+    ("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}"),
+    ("hex", "[0-9a-f]{24,}", "[0-9a-f]{24,}"),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{20,}", "gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("chat", "xox[abprs]-[A-Za-z0-9]{10,}", "xox[abprs]-[A-Za-z0-9]{10,}"),
+    ("pem", _PEM, _PEM),
 ]
 KINDS = [r[0] for r in RULES]
 BASE = 3
-_EXPRESSIONS = [re.compile(r[3], re.ASCII | (re.IGNORECASE if r[6] else 0)) for r in RULES]
+#: Bytes whose pieces take their steps together.
+SCAN_BYTES = 1 << 22
+
+
+class Machine:
+    """A nondeterministic automaton over bytes: steps[state] = {bytes: states}, skips[state] = states."""
+
+    def __init__(self):
+        self.steps: list[dict[frozenset, set]] = []
+        self.skips: list[set] = []
+
+    def state(self) -> int:
+        self.steps.append({})
+        self.skips.append(set())
+        return len(self.steps) - 1
+
+    def follow(self, at: int, parsed, any_case: bool = False) -> int:
+        """Add a parsed expression after state at; returns its last state."""
+        for op, value in parsed:
+            name = str(op)
+            if name in ("LITERAL", "IN"):
+                chars = [value] if name == "LITERAL" else [c for kind, v in value for c in ([v] if str(kind) == "LITERAL" else range(v[0], v[1] + 1))]
+                if any_case:
+                    chars = {ord(x) for c in chars for x in (chr(c).lower(), chr(c).upper())}
+                to = self.state()
+                self.steps[at].setdefault(frozenset(chars), set()).add(to)
+                at = to
+            elif name == "SUBPATTERN":
+                at = self.follow(at, value[3], any_case or bool(value[1] & re.IGNORECASE))
+            elif name == "BRANCH":
+                end = self.state()
+                for option in value[1]:
+                    self.skips[self.follow(at, option, any_case)].add(end)
+                at = end
+            elif name == "MAX_REPEAT":
+                least, most, part = value
+                for _ in range(least):
+                    at = self.follow(at, part, any_case)
+                if str(most) == "MAXREPEAT":
+                    loop = self.state()
+                    self.skips[at].add(loop)
+                    self.skips[self.follow(loop, part, any_case)].add(loop)
+                    at = loop
+                for _ in range(0 if str(most) == "MAXREPEAT" else most - least):
+                    to = self.follow(at, part, any_case)
+                    self.skips[at].add(to)
+                    at = to
+            else:
+                raise ValueError(f"no such part of an expression here: {name}")
+        return at
+
+    def reversed(self) -> Machine:
+        out = Machine()
+        for _ in self.steps:
+            out.state()
+        for s, moves in enumerate(self.steps):
+            for chars, ends in moves.items():
+                for t in ends:
+                    out.steps[t].setdefault(chars, set()).add(s)
+            for t in self.skips[s]:
+                out.skips[t].add(s)
+        return out
 
 
 class Automaton:
-    """classes: class of each byte; table[state * n_classes + class]: next state; hits: bit per rule; start state 0."""
-
-    def __init__(self, rules=RULES):
-        steps: list[dict] = [{}]  # state -> {bytes: states}
-        skips: dict[int, list[int]] = {}
-        finals: dict[int, int] = {}
+    """Deterministic and minimal. classes: class of each byte; table[state + class]: next state; hits[state]: bits of finals.
 
-        def state() -> int:
-            steps.append({})
-            return len(steps) - 1
+    States are multiples of n, the number of classes; the start is 0. always: the start is entered again at every byte.
+    """
 
-        def follow(at: int, parts: list[Part]) -> int:
-            for chars, least, most in parts:
-                for _ in range(least):
-                    new = state()
-                    steps[at].setdefault(chars, set()).add(new)
-                    at = new
-                if most is None:
-                    if not least:
-                        new = state()
-                        skips.setdefault(at, []).append(new)
-                        at = new
-                    steps[at].setdefault(chars, set()).add(at)
-                for _ in range(0 if most is None else most - least):
-                    new = state()
-                    steps[at].setdefault(chars, set()).add(new)
-                    skips.setdefault(at, []).append(new)
-                    at = new
-            return at
-
-        for k, (_, heads, tail, *_) in enumerate(rules):
-            common = state()
-            for head in heads:
-                skips.setdefault(follow(0, head), []).append(common)
-            end = follow(common, tail)
-            finals[end] = finals.get(end, 0) | 1 << k
-        sets = {c for s in steps for c in s}
+    def __init__(self, machine: Machine, starts: set[int], finals: dict[int, int], always: bool):
+        sets = {c for s in machine.steps for c in s}
         signature = [tuple(b in c for c in sets) for b in range(256)]
         numbers = {s: i for i, s in enumerate(dict.fromkeys(signature))}
         self.classes = np.array([numbers[s] for s in signature], np.uint8)
         self.n = len(numbers)
         one = [int(np.flatnonzero(self.classes == c)[0]) for c in range(self.n)]
-        moves = [[{t for c, ts in s.items() if b in c for t in ts} for b in one] for s in steps]
+        moves = [[frozenset(t for c, ts in s.items() if b in c for t in ts) for b in one] for s in machine.steps]
+        again = starts if always else set()
 
         def closed(states) -> frozenset:
-            out, todo = set(states) | {0}, list(states) + [0]  # a match may start at every byte
+            out, todo = set(states), list(states)
             while todo:
-                for t in skips.get(todo.pop(), ()):
+                for t in machine.skips[todo.pop()]:
                     if t not in out:
                         out.add(t)
                         todo.append(t)
             return frozenset(out)
 
-        moves = [[frozenset(m) for m in row] for row in moves]
-        known, order, rows, seen = {closed({0}): 0}, [closed({0})], [], {}
+        first = closed(starts)
+        known, order, rows, seen = {first: 0}, [first], [], {}
         while len(rows) < len(order):
             row, own = [], [moves[s] for s in order[len(rows)]]
             for c in range(self.n):
-                reached = frozenset().union(*[m[c] for m in own])
+                reached = frozenset(again).union(*[m[c] for m in own])
                 if reached not in seen:
                     target = closed(reached)
                     if target not in known:
@@ -123,10 +143,12 @@ class Automaton:
                 row.append(seen[reached])
             rows.append(row)
         hits = [0] * len(order)
+        dead = known.get(frozenset())
         for i, states in enumerate(order):
             for s in states:
                 hits[i] |= finals.get(s, 0)
         self._minimise(np.array(rows), np.array(hits))
+        self.dead = -1 if dead is None else int(self.block[dead]) * self.n
 
     def _minimise(self, rows: np.ndarray, hits: np.ndarray) -> None:
         """Merge states that no input tells apart, by refining classes of equal hits."""
@@ -135,17 +157,16 @@ class Automaton:
             count = block.max() + 1
             block = np.unique(np.column_stack((block, block[rows])), axis=0, return_inverse=True)[1].ravel()
         names = {b: i for i, b in enumerate(dict.fromkeys(block.tolist()))}
-        block = np.array([names[b] for b in block.tolist()])
-        first = np.array([int(np.flatnonzero(block == b)[0]) for b in range(len(names))])
-        self.table = block[rows[first]].astype(np.int32).ravel() * self.n
-        self.hits = np.repeat(hits[first].astype(np.uint16), self.n)  # by state * n_classes
+        self.block = np.array([names[b] for b in block.tolist()])
+        first = np.array([int(np.flatnonzero(self.block == b)[0]) for b in range(len(names))])
+        self.table = self.block[rows[first]].astype(np.int32).ravel() * self.n
+        self.hits = np.repeat(hits[first].astype(np.uint16), self.n)
         self.resets = (self.table.reshape(-1, self.n) == 0).all(axis=0)[self.classes]
 
-    def scan(self, data: np.ndarray, offsets: np.ndarray, piece: int = 512) -> np.ndarray:
-        """Bits of the rules that match somewhere in each document."""
-        out = np.zeros(len(offsets) - 1, np.uint16)
+    def ends(self, data: np.ndarray, offsets: np.ndarray, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the last bytes of matches, bits of their rules), ascending, all documents of data scanned in one pass."""
         if not len(data):
-            return out
+            return np.zeros(0, np.int64), np.zeros(0, np.uint16)
         after = np.flatnonzero(self.resets[data]) + 1
         cuts = after[np.minimum(np.searchsorted(after, np.arange(piece, len(data), piece)), len(after) - 1)] if len(after) else after
         begin = np.unique(np.concatenate((offsets[:-1], cuts)))
@@ -154,47 +175,104 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         inputs = self.classes[data]
-        state, seen = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.uint16)
+        state = np.zeros(len(begin), np.int32)
         longer = len(begin) - np.searchsorted(size[::-1], np.arange(int(size[0])), "right")  # pieces with a byte i
+        places, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
         for i, n in enumerate(longer.tolist()):
             now = self.table[state[:n] + inputs[begin[:n] + i]]
             state[:n] = now
-            seen[:n] |= self.hits[now]
-        np.bitwise_or.at(out, np.searchsorted(offsets, begin, "right") - 1, seen)
-        return out
+            hit = self.hits[now]
+            if hit.any():
+                which = np.flatnonzero(hit)
+                places.append(begin[which] + i)
+                bits.append(hit[which])
+        places, bits = np.concatenate(places), np.concatenate(bits)
+        order = np.argsort(places)
+        return places[order], bits[order]
 
 
-@functools.cache
-def automaton() -> Automaton:
-    return Automaton()
+class Scanner:
+    """All rules: the combined automaton, and for each rule the one that finds starts from an end."""
+
+    def __init__(self, rules=RULES):
+        from re import _parser as parser
+
+        every, finals = Machine(), {}
+        start = every.state()
+        self.back = []
+        for k, (_, loose, strict) in enumerate(rules):
+            end = every.follow(start, parser.parse(loose))
+            finals[end] = finals.get(end, 0) | 1 << k
+            own = Machine()
+            both = [(a := own.state(), own.follow(a, parser.parse(x))) for x in (loose, strict)]
+            found = {a: 1 << i for i, (a, _) in enumerate(both)}
+            self.back.append(Automaton(own.reversed(), {end for _, end in both}, found, always=False))
+        self.all = Automaton(every, {start}, finals, always=True)
+
+    def starts(self, k: int, raw: bytes, lo: int, last: int) -> list[tuple[int, bool]]:
+        """(start, whether it meets the stricter expression) of the matches of rule k that end with byte last."""
+        back = self.back[k]
+        if not hasattr(back, "lists"):
+            back.lists = back.classes.tolist(), back.table.tolist(), back.hits.tolist()
+        classes, table, hits = back.lists
+        state, out = 0, []
+        for i in range(last, lo - 1, -1):
+            state = table[state + classes[raw[i]]]
+            if state == back.dead:
+                break
+            if hits[state]:
+                out.append((i, hits[state] > 1))
+        return out
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray, piece: int = 512) -> list[list[tuple[int, int, int]]]:
+        """For each document (start, number of kind, end) in code points of all matches, in that order."""
+        places, bits = self.all.ends(data, offsets, piece)
+        out: list[list] = [[] for _ in range(len(offsets) - 1)]
+        if not len(places):
+            return out
+        owner = np.searchsorted(offsets, places, "right") - 1
+        raw = data.tobytes()
+        for k in range(len(self.back)):
+            own = np.flatnonzero(bits >> k & 1)
+            if not len(own):
+                continue
+            at, doc = places[own], owner[own]
+            last = np.append((at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]), True)  # a longer match of the same start goes on
+            pairs: dict[int, list] = {}
+            for e, d in zip(at[last].tolist(), doc[last].tolist(), strict=True):
+                pairs.setdefault(d, []).extend((s, -e, good) for s, good in self.starts(k, raw, int(offsets[d]), e))
+            for d, found in pairs.items():
+                free = 0
+                for s, e, good in sorted(found):
+                    if s >= free:
+                        free = 1 - e
+                        if good:
+                            out[d].append((s, k, free))
+        for d in np.unique(owner).tolist():
+            if out[d]:
+                lo = int(offsets[d])
+                code_point = np.concatenate(([0], np.cumsum((data[lo : int(offsets[d + 1])] & 0xC0) != 0x80)))
+                out[d] = sorted((int(code_point[s - lo]), k, int(code_point[e - lo])) for s, k, e in out[d])
+        return out
 
 
-def spans(text: str, bits: int) -> list[tuple[int, int, int]]:
-    """(start, number of kind, end) of all matches of the rules in bits, in that order."""
-    found = []
-    for k, (_, _, _, _, group, least, _) in enumerate(RULES):
-        if bits >> k & 1:
-            found += [(m.start(), k, m.end()) for m in _EXPRESSIONS[k].finditer(text) if m.end(group) - m.start(group) >= least]
-    return sorted(found)
+@functools.cache
+def scanner() -> Scanner:
+    return Scanner()
 
 
 def joined(found) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def _batches(batches, shared):
-    scanner = shared.value
-    for batch in batches:
-        bits = scanner.scan(*text_buffer(batch.column("text")))
-        found = [[] for _ in range(batch.num_rows)]
-        for i in np.flatnonzero(bits):
-            found[i] = spans(batch.column("text")[int(i)].as_py(), int(bits[i]))
-        yield batch, found
+def _batches(batches, shared, column: str):
+    for batch in passes(batches, column, SCAN_BYTES):
+        yield batch, shared.value.spans(*text_buffer(batch.column(column)))
 
 
 def _find(shared):
     def run(batches):
-        for batch, found in _batches(batches, shared):
+        for batch, found in _batches(batches, shared, "text"):
             base = [[s for s in f if s[1] < BASE] for f in found]
             counts = [pa.array([sum(s[1] == k for s in f) for f in base], pa.int64()) for k in range(BASE)]
             sha = pa.array([hashlib.sha256(joined(f).encode()).hexdigest() for f in base])
@@ -203,10 +281,10 @@ def _find(shared):
     return run
 
 
-def _redact(shared, mark: str):
+def _redact(shared, mark: str, text_col: str):
     def run(batches):
-        for batch, found in _batches(batches, shared):
-            texts = batch.column("text").to_pylist()
+        for batch, found in _batches(batches, shared, text_col):
+            texts = batch.column(text_col).to_pylist()
             for i, f in enumerate(found):
                 if f:
                     out, at = [], 0
@@ -215,20 +293,18 @@ def _redact(shared, mark: str):
                             out += [texts[i][at:a], mark] if a >= at else []
                             at = b
                     texts[i] = "".join(out) + texts[i][at:]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
 
     return run
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton())  # the rules' size alone
+    shared = docs.sparkSession.sparkContext.broadcast(scanner())  # the rules' size alone
     return whole(docs, id_col, text_col).mapInArrow(_find(shared), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its column text replaced by mark; a null text becomes empty."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton())
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(_redact(shared, mark), docs.schema)
+def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """docs with every span of its text column replaced by mark; a null text becomes empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(scanner())
+    return docs.withColumn(text_col, F.coalesce(text_col, F.lit(""))).mapInArrow(_redact(shared, mark, text_col), docs.schema)
