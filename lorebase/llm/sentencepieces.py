@@ -1,37 +1,38 @@
 """SentencePiece encoding and decoding by Unigram Viterbi over a double-array trie.
 
-The pieces of a public model lie in a double-array trie (base and check arrays over UTF-8 bytes). A text
-gets the word-start mark in front and in place of every space; the best segmentation by the sum of piece
-scores follows from dynamic programming over all pieces that the trie finds at each byte. What no piece
-covers falls back to byte pieces. As no piece has a mark after another character, the best segmentation
-of a text is that of its marked words in turn, and each different word is solved once.
+The pieces of a public model lie in a double-array trie (base and check arrays over bytes). A text gets the
+word-start mark in front and in place of every space; the best segmentation by the sum of piece scores
+follows from dynamic programming over all pieces that the trie finds at each byte. What no piece covers falls
+back to byte pieces. As no piece has a mark after another character, the best segmentation of a text is that of
+its marked words in turn: each different word is solved once, all new words of one length together.
 
 Models of the merge kind rank pieces instead of scoring them; a piece of rank r then gets the log score
 -log(r + 2), the shape of a frequency list. Given log scores are used as they are.
 
-Defined results: a null or empty text has no ids. Decoding gives every text back exactly; ids of a text
-that itself holds the mark U+2581 decode to a space there. Ties go to the longer last piece. Repeated
-rows agree. Extra columns are ignored.
+Defined results: a null or empty text has no ids. Decoding gives every text back exactly: inside, the mark is
+the byte 255, which no text holds, so the character U+2581 of a text is encoded by its bytes. Ids that are no
+encoded text may decode to replacement characters. Ties go to the longer last piece. Repeated rows agree. Very
+long texts are taken whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorebase.llm.common import binary_chunks, small_batches, whole
+from lorebase.llm.common import ChunkMemory, binary_chunks, gathered, passes, text_buffer, whole, worker_state
 
 MARK = "▁"
+_MARK_BYTE = 255
 #: Log score of a byte piece, worse than any piece.
 BYTE_SCORE = -30.0
-REMEMBERED = 300_000
-_WORD = re.compile(f"{MARK}*[^{MARK}]*")
+#: Different words whose ids a worker remembers (about 40 bytes each), and bytes of words that are solved together.
+REMEMBERED, TOGETHER = 400_000, 1 << 18
 
 
 class DoubleArray:
@@ -68,9 +69,6 @@ class DoubleArray:
         used = max(i for i, c in enumerate(check) if c >= 0) + 258
         self.base, self.check, self.value = (np.array(x[:used], np.int32) for x in (base, check, value))
 
-    def lists(self) -> tuple[list, list, list]:
-        return self.base.tolist(), self.check.tolist(), self.value.tolist()
-
 
 class Model:
     """names, scores and kinds of the ids, and the trie; arrays only, so that it can be broadcast."""
@@ -87,122 +85,171 @@ class Model:
         ranked = all(given[i] == round(given[i]) for i in normal)
         self.scores = np.full(n, BYTE_SCORE)
         self.scores[normal] = [-math.log(max(0.0, -given[i]) + 2) if ranked else given[i] for i in normal]
-        self.trie = DoubleArray([(self.names[i].encode(), i) for i in normal])
-        self.ready = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"ready": None}
-
-    def solve(self, word: bytes) -> list[int]:
-        """Ids of the best segmentation of one word."""
-        if self.ready is None:
-            self.ready = (*self.trie.lists(), self.scores.tolist())
-        base, check, value, scores = self.ready
-        n, last = len(word), len(check)
-        best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
+        self.trie = DoubleArray([(_marked(self.names[i]), i) for i in normal])
+        raw = [_marked(name) for name in self.names]
+        for b, i in self.byte_ids.items():
+            raw[i] = bytes([b])
+        self.raw_n = np.array([len(x) for x in raw])
+        self.raw_at = np.cumsum(self.raw_n) - self.raw_n
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.of_byte = np.array([self.byte_ids[b] for b in range(256)], np.uint32)
+
+    def solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the best segmentations of all words, number of ids of each)."""
+        sizes = np.array([len(w) for w in words])
+        count, parts = np.zeros(len(words), np.int32), [np.zeros(0, np.uint32)] * len(words)
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            step = max(1, TOGETHER // n)
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step]
+                for i, ids in zip(part.tolist(), self._solve(np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), n)), strict=True):
+                    parts[i], count[i] = ids, len(ids)
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), count
+
+    def _solve(self, words: np.ndarray) -> list[np.ndarray]:
+        """Viterbi over the bytes of words of one length: from each place the trie is followed in all words that are still in it."""
+        m, n = words.shape
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        best = np.full((n + 1, m), -np.inf)
+        best[0] = 0
+        start, piece = np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int32)
         for i in range(n):
-            at = best[i]
-            if at == -math.inf:
-                continue
-            if at + BYTE_SCORE > best[i + 1]:
-                best[i + 1], back[i + 1] = at + BYTE_SCORE, (i, -1)
-            node = 0
+            self._better(best, start, piece, i, i + 1, np.arange(m), np.full(m, -1), best[i] + BYTE_SCORE)
+            rows, node = np.arange(m), np.zeros(m, np.int64)
             for j in range(i, n):
-                t = base[node] + word[j] + 1
-                if t >= last or check[t] != node:
+                to = base[node] + words[rows, j] + 1
+                inside = check[np.minimum(to, len(check) - 1)] == node
+                inside &= to < len(check)
+                rows, node = rows[inside], to[inside]
+                if not len(rows):
                     break
-                node = t
-                piece = value[node]
-                if piece >= 0 and at + scores[piece] > best[j + 1]:
-                    best[j + 1], back[j + 1] = at + scores[piece], (i, piece)
-        out, j = [], n
-        while j:
-            i, piece = back[j]
-            out.append(piece if piece >= 0 else self.byte_ids[word[i]])
-            j = i
-        return out[::-1]
-
-    def encode(self, text: str, known: dict[str, bytes]) -> bytes:
-        """Ids as little-endian uint32 bytes."""
-        if not text:
-            return b""
-        out = []
-        for word in _WORD.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = np.array(self.solve(word.encode()), np.uint32).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
-        if not hasattr(self, "raw"):
-            self.raw = [n.encode() for n in self.names]
-            for b, i in self.byte_ids.items():
-                self.raw[i] = bytes([b])
-        return b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")[1:]
-
-
-_KNOWN: dict = {}
+                found = value[node]
+                ends = found >= 0
+                if ends.any():
+                    at = rows[ends]
+                    self._better(best, start, piece, i, j + 1, at, found[ends], best[i, at] + self.scores[found[ends]])
+        ids, place, out = np.zeros((m, n), np.uint32), np.full(m, n), np.zeros(m, np.int64)
+        while (todo := np.flatnonzero(place)).size:
+            p, s = piece[place[todo], todo], start[place[todo], todo]
+            ids[todo, out[todo]] = np.where(p >= 0, p, self.of_byte[words[todo, s]])
+            out[todo] += 1
+            place[todo] = s
+        return [row[:k][::-1] for row, k in zip(ids, out.tolist(), strict=True)]
+
+    @staticmethod
+    def _better(best, start, piece, i: int, j: int, rows, found, score) -> None:
+        """Let the pieces found from place i end at place j in the rows where they score better."""
+        better = score > best[j, rows]
+        rows = rows[better]
+        best[j, rows], start[j, rows], piece[j, rows] = score[better], i, found[better]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts, their bounds) of ids, cut into texts by bounds; the first mark of each is left out."""
+        count = self.raw_n[ids]
+        raw = gathered(self.raw, self.raw_at[ids], count)
+        ends = np.concatenate(([0], np.cumsum(count)))[bounds]
+        first = ends[:-1][np.diff(ends) > 0]
+        keep = np.ones(len(raw), bool)
+        keep[first] = raw[first] != _MARK_BYTE
+        out = np.where(raw == _MARK_BYTE, np.uint8(32), raw)[keep]
+        return out, np.concatenate(([0], np.cumsum(keep)))[ends]
+
+
+def _marked(name: str) -> bytes:
+    return b"".join(bytes([_MARK_BYTE]) if c == MARK else c.encode() for c in name)
+
+
+class Encoder:
+    """A model with a memory of the words that it has solved."""
+
+    def __init__(self, model: Model):
+        self.model, self.memory = model, ChunkMemory(model.solve, REMEMBERED)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each text's ids)."""
+        full = np.flatnonzero(np.diff(offsets))
+        if not len(full):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        marked = np.insert(np.where(data == 32, np.uint8(_MARK_BYTE), data), offsets[full], np.uint8(_MARK_BYTE))
+        begins = offsets[full] + np.arange(len(full))
+        mark = marked == _MARK_BYTE
+        word = mark.copy()
+        word[1:] &= ~mark[:-1]
+        word[begins] = True
+        begin = np.flatnonzero(word)
+        ids, count = self.memory(marked, begin)
+        bounds = np.zeros(len(offsets), np.int64)
+        bounds[full + 1] = np.add.reduceat(count, np.searchsorted(begin, begins))
+        return ids, np.cumsum(bounds)
+
+
+def _encoder(shared) -> Encoder:
+    return worker_state(("pieces", shared.id), lambda: Encoder(shared.broadcast.value))
 
 
 def _encode(shared):
     def run(batches):
-        model = shared.value
-        for batch in batches:
-            if len(_KNOWN) > REMEMBERED:
-                _KNOWN.clear()
-            ids = [model.encode(t, _KNOWN) for t in batch.column(1).to_pylist()]
-            flat = np.frombuffer(b"".join(ids), np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_chunks(flat, np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int64), 4)], ["doc_id", "ids"])
+        for batch in passes(batches, "text"):
+            ids, bounds = _encoder(shared)(*text_buffer(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_chunks(ids, bounds, 4)], ["doc_id", "ids"])
 
     return run
 
 
 def _decode(shared):
     def run(batches):
-        for batch in batches:
-            texts = [shared.value.decode(np.frombuffer(x or b"", np.uint32)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        for batch in passes(batches, "ids"):
+            raw, offsets = text_buffer(batch.column("ids"))
+            data, bounds = _encoder(shared).model.decode(raw.view(np.uint32), offsets // 4)
+            whole_bytes = data.tobytes()
+            texts = [whole_bytes[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return run
 
 
+class _Shared:
+    """A broadcast model with a number by which a worker knows that it has it already."""
+
+    def __init__(self, df: DataFrame, path: str | None):
+        path = path or public_tokenizers.path("piece_bpe_32k.model")
+        self.broadcast, self.id = df.sparkSession.sparkContext.broadcast(Model(path)), path  # the vocabulary's size alone
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """doc_id, ids (little-endian uint32 bytes) per row of docs."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model_path or public_tokenizers.path("piece_bpe_32k.model")))
-    return whole(docs, id_col, text_col).mapInArrow(_encode(shared), "doc_id long, ids binary")
+    return whole(docs, id_col, text_col).mapInArrow(_encode(_Shared(docs, model_path)), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, text from doc_id, ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Model(model_path or public_tokenizers.path("piece_bpe_32k.model")))
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(_Shared(encoded, model_path)), "doc_id long, text string")
 
 
 def _digest(shared):
     def run(batches):
-        model = shared.value
-        first = min(model.byte_ids.values())
-        for batch in batches:
-            if len(_KNOWN) > REMEMBERED:
-                _KNOWN.clear()
-            rows = []
-            for text in batch.column(1).to_pylist():
-                raw = model.encode(text, _KNOWN)
-                ids = np.frombuffer(raw, np.uint32)
-                back = model.decode(ids)
-                rows.append((len(ids), int(((ids >= first) & (ids < first + 256)).sum()), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text.replace(MARK, " ")))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_ids", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip"])
+        for batch in passes(batches, "text"):
+            encoder = _encoder(shared)
+            data, offsets = text_buffer(batch.column("text"))
+            ids, bounds = encoder(data, offsets)
+            back, ends = encoder.model.decode(ids, bounds)
+            first = int(encoder.model.of_byte.min())
+            is_byte = np.concatenate(([0], np.cumsum((ids >= first) & (ids < first + 256))))
+            raw, decoded, own = ids.tobytes(), back.tobytes(), data.tobytes()
+            spans = list(zip(*(x.tolist() for x in (bounds[:-1], bounds[1:], ends[:-1], ends[1:], offsets[:-1], offsets[1:])), strict=True))
+            columns = [
+                np.diff(bounds),
+                np.diff(is_byte[bounds]),
+                [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b, *_ in spans],
+                [hashlib.sha256(decoded[a:b]).hexdigest() for _, _, a, b, *_ in spans],
+                [decoded[a:b] == own[c:d] for _, _, a, b, c, d in spans],
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n_ids", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return run
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """Encodes and decodes every row: doc_id, n_ids, n_bytes (byte ids), ids_sha256, decoded_sha256, round_trip."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model_path or public_tokenizers.path("piece_bpe_32k.model")))
-    return whole(docs, id_col, text_col).mapInArrow(_digest(shared), "doc_id long, n_ids long, n_bytes long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return whole(docs, id_col, text_col).mapInArrow(_digest(_Shared(docs, model_path)), "doc_id long, n_ids long, n_bytes long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

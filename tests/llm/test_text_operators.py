@@ -85,6 +85,7 @@ def test_bucket_chunks_lose_nothing(spark, copies, monkeypatch):
     want = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs(spark, copies)).collect()}
     monkeypatch.setattr(minhash, "CHUNK", 3)
     monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "MEMBERS", 2)  # families above it are confirmed in tiles
     assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs(spark, copies)).collect()} == want
 
 
@@ -150,15 +151,28 @@ def test_secret_spans_equal_expressions(spark):
     assert redacted[5] == "no secret here" and "hunter22" not in redacted[0] and "[SECRET]" in redacted[4]
 
 
-def test_automaton_flags_every_match():
+def by_expressions(text, rules=secrets.RULES):
+    return sorted((m.start(), k, m.end()) for k, (_, loose, strict) in enumerate(rules) for m in re.finditer(loose, text, re.ASCII) if re.fullmatch(strict, m[0], re.ASCII))
+
+
+@pytest.mark.parametrize("piece", [8, 512])
+def test_automaton_spans_equal_expressions(piece):
     rng = random.Random(4)
-    parts = ["token", "=", '"', " ", "AKIA", "ABCD1234", "deadbeef0123", "x", "api_key", ":", "Passwd", "é", "\n", "ghp_", "a1b2c3", "secret", "-----BEGIN ", "PRIVATE KEY-----", "xoxb-", ","]
+    parts = ["token", "=", '"', " ", "AKIA", "ABCD1234", "deadbeef0123", "x", "api_key", ":", "Passwd", "é", "\n", "ghp_", "a1b2c3", "secret", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "xoxb-", ",", "abc", "A" * 9, "0f" * 12]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    column = pa.array(texts)
-    bits = secrets.automaton().scan(*secrets.text_buffer(column), piece=8)
-    for text, b in zip(texts, bits.tolist(), strict=True):
-        for _, k, _ in secrets.spans(text, (1 << len(secrets.RULES)) - 1):
-            assert b >> k & 1, (text, k)
+    texts += ["-----BEGIN RSA PRIVATE KEY-----\nMIIEow==\nabc\n-----END RSA PRIVATE KEY-----\nrest", "-----BEGIN PRIVATE KEY-----\nMIIEow\n!", "token=" + "token=" * 500 + "x", "token=token: token=abcdef", "a" * 30 + "Z" + "f" * 24]
+    got = secrets.scanner().spans(*secrets.text_buffer(pa.array(texts)), piece=piece)
+    assert sum(map(len, got)) > 500 and {k for f in got for _, k, _ in f} == set(range(len(secrets.RULES)))
+    for text, found in zip(texts, got, strict=True):
+        assert found == by_expressions(text), text
+
+
+def test_spans_come_from_the_automaton():
+    column = secrets.text_buffer(pa.array([t or "" for t in SECRET_TEXTS]))
+    found = {k for f in secrets.scanner().spans(*column) for _, k, _ in f}
+    for left_out in found:
+        rules = [("none", "\x01{9}", "\x01{9}") if k == left_out else r for k, r in enumerate(secrets.RULES)]
+        assert {k for f in secrets.Scanner(rules).spans(*column) for _, k, _ in f} == found - {left_out}
 
 
 def test_packing_equals_encoding_whole_texts(spark):
@@ -188,7 +202,7 @@ def test_pieces_round_trip_and_best_score():
     import public_tokenizers
 
     model = sentencepieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
-    scores = {n.encode(): s for n, s in zip(model.names, model.scores.tolist(), strict=True) if s != sentencepieces.BYTE_SCORE}
+    scores = {n.encode().replace("▁".encode(), b"\xff"): s for n, s in zip(model.names, model.scores.tolist(), strict=True) if s != sentencepieces.BYTE_SCORE}
 
     def best(w):
         out = [0.0] + [None] * len(w)
@@ -196,16 +210,26 @@ def test_pieces_round_trip_and_best_score():
             out[j] = max([out[j - 1] + sentencepieces.BYTE_SCORE] + [out[i] + scores[w[i:j]] for i in range(max(0, j - 50), j) if w[i:j] in scores])
         return out[-1]
 
-    for word in ["▁the", "▁▁unbelievable", "▁日本語😀", "▁\t\x00", "▁Straße"]:
-        assert sum(model.scores[i] for i in model.solve(word.encode())) == pytest.approx(best(word.encode()))
-    for text in [t for _, t in AWKWARD if t] + ["  two  spaces ", "\n"]:
-        ids = np.frombuffer(model.encode(text, {}), np.uint32)
-        assert model.decode(ids) == text
+    rng = random.Random(8)
+    words = [b"\xff" + w.encode() for w in ["the", "unbelievable", "日本語😀", "\t\x00", "Straße", "a▁b", "", "ab" * 300]] + [b"\xff\xff"]
+    words += [b"\xff" + "".join(rng.choice("aeinrstß語") for _ in range(rng.randint(1, 14))).encode() for _ in range(300)]
+    ids, count = model.solve(words)
+    for w, own in zip(words, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+        assert sum(model.scores[own.astype(int)]) == pytest.approx(best(w))
+    texts = [t for _, t in AWKWARD if t] + ["  two  spaces ", "\n", "a ▁ mark▁▁ x", "▁"]
+    encoder = sentencepieces.Encoder(model)
+    for batch in (texts, ["", *texts, ""]):
+        data, offsets = sentencepieces.text_buffer(pa.array(batch))
+        for _ in range(2):  # the second time from memory
+            ids, bounds = encoder(data, offsets)
+            back, ends = model.decode(ids, bounds)
+            assert [back[a:b].tobytes().decode() for a, b in zip(ends[:-1], ends[1:], strict=True)] == batch
 
 
 def test_pieces_table_round_trip(spark):
-    back = {r.doc_id: r.text for r in sentencepieces.decode(sentencepieces.encode(docs(spark, AWKWARD))).collect()}
-    assert back == {i: t or "" for i, t in AWKWARD}
+    rows = [*AWKWARD, (20, "a ▁ mark▁▁")]
+    back = {r.doc_id: r.text for r in sentencepieces.decode(sentencepieces.encode(docs(spark, rows))).collect()}
+    assert back == {i: t or "" for i, t in rows}
 
 
 @pytest.mark.parametrize("nodes", [2048, 3])
@@ -284,6 +308,58 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(got), [[brute(w, lang) for lang in (0, 1)] for w in ("▁abc", "▁a")])
 
 
+def segmentations(word, names):
+    if not word:
+        yield []
+    for i, n in enumerate(names):
+        if word.startswith(n):
+            for rest in segmentations(word[len(n) :], names):
+                yield [i, *rest]
+
+
+@pytest.mark.parametrize("plain", [32, 0])
+def test_expected_counts_over_all_segmentations(monkeypatch, plain):
+    monkeypatch.setattr(language, "PLAIN", plain)  # with 0 all sums are taken in logarithms
+    names = ["a", "ab", "abc", "b", "bc", "c", "▁", "▁a"]
+    p = np.random.default_rng(0).dirichlet(np.ones(len(names)), 2).T
+    words, weights = ["▁abc", "▁a", "▁abcab"], np.array([[2.0, 1.0], [0.0, 3.0], [1.0, 1.0]])
+    want = np.zeros_like(p)
+    for w, word in enumerate(words):
+        for lang in (0, 1):
+            all_ = [(s, np.prod([p[i, lang] for i in s])) for s in segmentations(word, names)]
+            for s, x in all_:
+                for i in s:
+                    want[i, lang] += weights[w, lang] * x / sum(y for _, y in all_)
+    assert np.allclose(language.expected(language.Pieces(names), p, words, weights), want)
+    got = language.forward(language.Pieces(names), p, words)
+    assert np.allclose(np.exp(got), [[sum(np.prod([p[i, lang] for i in s]) for s in segmentations(w, names)) for lang in (0, 1)] for w in words])
+
+
+def test_long_words_do_not_underflow(spark, monkeypatch):
+    names = ["a", "ab", "abc", "b", "bc", "c", "▁", "▁a"]
+    p = np.random.default_rng(1).dirichlet(np.ones(len(names)), 2).T
+    pieces, word = language.Pieces(names), "▁" + "abcab?" * 30
+    logs = language._ahead_logs(language._edges(pieces, [word]), len(word), language._log(language._padded(p)), 1)[-1][0]
+    assert np.allclose(language.forward(pieces, p, [word])[0], logs) and np.isfinite(logs).all()
+    monkeypatch.setattr(language, "HELD", 7)
+    assert np.allclose(language.forward(pieces, p, [word])[0], logs)
+    rows = [(i, "ka lo mi" if i % 2 else "schei ung", "aa" if i % 2 else "bb") for i in range(40)]
+    strange = "\u16a0" * 60
+    odd = [(100, strange, "aa"), (101, strange + " ka lo ka lo", "aa"), (102, strange * 100, None), (103, "y" * 5000, None)]
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(df, language.fit(df)).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].lang_pred == lang for i, _, lang in rows) and got[101].lang_pred == "aa"
+
+
+def test_keep_identified(spark):
+    df = spark.createDataFrame([(i, "ka lo mi", "aa") for i in range(8)] + [(9, None, "aa"), (10, "12", None), (11, "", "bb"), (None, "lo ka", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language.fit(df)
+    got = language.keep_identified(df, model)
+    assert got.columns == df.columns and sorted((str(r.doc_id), r.lang, r.score) for r in got.collect()) == sorted([(str(i), "aa", "clash") for i in [*range(8), None]])
+    assert language.keep_identified(df.limit(0), model).count() == 0
+
+
 def brute_url(url):
     h = p = ""
     if url and "://" in url:
