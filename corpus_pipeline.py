@@ -2,7 +2,8 @@
 
 1. language: the language of every text, learned from the labelled rows; texts without letters go.
 2. near_duplicates: one document of each group of near copies stays.
-3. repeats: passages of 400 bytes that also stand elsewhere are taken out of the texts.
+3. repeats: passages of WORDS words or more that also stand elsewhere are taken out of the texts. They are found by
+   their windows of WINDOW bytes, so passages of WORDS words on average four bytes long, spaces included, are not missed.
 4. secrets: secrets in the texts are replaced by a mark.
 5. packing: the texts' token ids are cut into sequences of 1024.
 
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import language, minhash, packing, secrets, suffixes
-from lorebase.llm.common import cut, documents
+from lorebase.llm.common import Scratch, documents
+
+WINDOW, WORDS = 200, 50
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(suffixes.without_repeats(docs))
+    return _counted(suffixes.without_repeats(docs, length=WINDOW, least_words=WORDS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's result is written and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of sf_dir; each stage's result is written, and its predecessor's then deleted."""
+    docs, scratch = documents(spark, sf_dir), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
