@@ -123,9 +123,22 @@ CATEGORY_PATTERNS = {
 CATEGORY_PRIORITY = ["antipattern", "landmine", "decision", "convention", "preference", "lesson", "constraint", "architecture", "workflow", "context", "reference", "observation", "todo", "bug", "snippet", "command"]
 # How lasting a category is.
 SCOPE = {
-    "durable": ["antipattern", "landmine", "convention", "architecture"],
-    "stable": ["decision", "preference", "lesson", "constraint", "workflow", "reference"],
-    "transient": ["context", "bug", "todo", "snippet", "observation", "command"],
+    "antipattern": "durable",
+    "landmine": "durable",
+    "convention": "durable",
+    "architecture": "durable",
+    "decision": "stable",
+    "preference": "stable",
+    "lesson": "stable",
+    "constraint": "stable",
+    "workflow": "stable",
+    "reference": "stable",
+    "context": "transient",
+    "bug": "transient",
+    "todo": "transient",
+    "snippet": "transient",
+    "observation": "transient",
+    "command": "transient",
 }
 SCOPE_FACTOR = {"durable": 2.0, "stable": 1.0, "transient": 0.5}
 HIGH_VALUE = ["antipattern", "landmine", "constraint"]

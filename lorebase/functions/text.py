@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,11 +19,42 @@ def choose(key: Column, table: dict, default) -> Column:
     return out
 
 
+def needed(parsed) -> set[str]:
+    """Lower-cased ASCII texts one of which every match of a parsed expression holds; empty: none is known."""
+    best, run = set(), ""
+
+    def better(found: set[str]) -> None:
+        nonlocal best
+        if found and all(found) and (not best or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL" and value < 128:
+            run += chr(value).lower()
+            continue
+        better({run} if run else set())
+        run = ""
+        if name == "SUBPATTERN":
+            better(needed(value[3]))
+        elif name == "BRANCH":
+            parts = [needed(option) for option in value[1]]
+            better(set().union(*parts) if all(parts) else set())
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] >= 1:
+            better(needed(value[2]))
+    better({run} if run else set())
+    return best
+
+
 def matches(text: Column, patterns: list[str], flags: str = "") -> Column:
-    """How many of the patterns occur."""
-    out = F.lit(0)
+    """How many of the patterns occur. A pattern is only tried where a text that it needs occurs, which is far cheaper to see."""
+    out, low = F.lit(0), F.lower(text)
     for pattern in patterns:
-        out = out + text.rlike(flags + pattern).cast("int")
+        texts = sorted(needed(re._parser.parse(pattern)))
+        found = text.rlike(flags + pattern)
+        if texts and len(texts) <= 12:
+            found = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in texts]) & found
+        out = out + found.cast("int")
     return out
 
 
@@ -45,7 +79,7 @@ def category(text: Column) -> Column:
 
 
 def scope(cat: Column) -> Column:
-    return choose(cat, {c: s for s, cs in rules.SCOPE.items() for c in cs}, "stable")
+    return choose(cat, rules.SCOPE, "stable")
 
 
 def scope_factor(cat: Column) -> Column:

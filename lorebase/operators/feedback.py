@@ -105,10 +105,17 @@ def attribute_usage(injections: DataFrame, mem: DataFrame, responses: DataFrame,
     """(memory_id, response_id) where a distinctive token of an injected memory occurs in a later response of the session.
 
     injections: memory_id, session_id, injected_at; responses: response_id, session_id, ts, text.
+    Times are cut into buckets of the window's length, so the join is an equality join; texts join the pairs last.
     """
     tokens = mem.select(F.col("id").alias("memory_id"), F.explode(tx.distinctive_tokens(F.col("content"))).alias("token"))
-    near = injections.join(responses, "session_id").filter((F.col("ts") >= F.col("injected_at")) & (F.col("ts") <= F.col("injected_at") + F.expr(f"INTERVAL {hours} HOURS"))).select("memory_id", "response_id", "text").distinct()
-    return near.join(tokens, "memory_id").filter(F.contains(F.lower("text"), F.lower("token"))).select("memory_id", "response_id").distinct()
+    micros = hours * 3_600_000_000
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    told = injections.select("memory_id", "session_id", at("injected_at").alias("t")).distinct()
+    told = told.withColumn("bucket", F.explode(F.array(F.floor(F.col("t") / micros), F.floor(F.col("t") / micros) + 1)))
+    heard = responses.select("response_id", "session_id", at("ts").alias("s")).withColumn("bucket", F.floor(F.col("s") / micros))
+    near = told.join(heard, ["session_id", "bucket"]).filter((F.col("s") >= F.col("t")) & (F.col("s") <= F.col("t") + micros)).select("memory_id", "response_id").distinct()
+    texts = responses.select("response_id", F.lower("text").alias("text"))
+    return near.join(tokens, "memory_id").join(texts, "response_id").filter(F.contains("text", F.lower("token"))).select("memory_id", "response_id").distinct()
 
 
 def cross_session(log: DataFrame, mem: DataFrame, min_sessions: int = 2, limit: int = 50) -> DataFrame:

@@ -14,6 +14,8 @@ from lorebase.sources.shared import cut
 
 #: Query vectors in one block.
 QUERY_BLOCK = 1024
+#: Rows of the corpus that one task holds, and queries that it compares with them at once.
+CORPUS_PART, QUERY_STEP = 16384, 256
 #: Rows of one block of a search for pairs, at 64 numbers a row; fewer if they are longer.
 PAIR_BLOCK = 4096
 
@@ -53,8 +55,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, dim: int, same: list[str]
     """
     spark = corpus.sparkSession
     same = same or []
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A part has about CORPUS_PART rows at most at any size of the corpus.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_PART))
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.select("query_id", "embedding", *same).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
@@ -68,16 +70,24 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, dim: int, same: list[str]
         def flush(batch_q):
             ids, vec = np.concatenate(c_ids), np.vstack(c_vec)
             size = np.sqrt((vec * vec).sum(axis=1))
-            q_ids, q_vec = batch_q[0], batch_q[1]
+            for at in range(0, len(batch_q[0]), QUERY_STEP):
+                step = slice(at, at + QUERY_STEP)
+                compare(ids, vec, size, batch_q[0][step], batch_q[1][step], [x[step] for x in batch_q[2]])
+
+        def compare(ids, vec, size, q_ids, q_vec, q_same):
             q_size = np.sqrt((q_vec * q_vec).sum(axis=1))
             scale = q_size[:, None] * size[None, :]
             sim = np.where(scale > 0, (q_vec @ vec.T) / np.where(scale > 0, scale, 1), 0.0)
             allowed = q_ids[:, None] != ids[None, :]
             for j in range(len(same)):
-                allowed &= batch_q[2][j][:, None] == np.concatenate([s[j] for s in c_same])[None, :]
+                allowed &= q_same[j][:, None] == np.concatenate([s[j] for s in c_same])[None, :]
             for i in range(len(q_ids)):
                 own = np.flatnonzero(allowed[i])
-                own = own[np.lexsort((ids[own], -np.round(sim[i][own], 12)))][:k]
+                far = -np.round(sim[i][own], 12)
+                if len(own) > k:  # all that tie with the k-th stay until ids decide
+                    near = far <= np.partition(far, k - 1)[k - 1]
+                    own, far = own[near], far[near]
+                own = own[np.lexsort((ids[own], far))][:k]
                 done.append((np.full(len(own), q_ids[i]), ids[own], sim[i][own]))
 
         for batch in batches:
@@ -121,7 +131,6 @@ def similar_pairs(vectors: DataFrame, threshold: float, parts: int | None = None
     pairs that reach the threshold are returned. vectors: id, embedding.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     parts = parts or pair_blocks(vectors)
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     rows = vectors.filter("embedding IS NOT NULL").select("id", "embedding", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -171,10 +180,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     """
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     posts = docs.select("id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    size = posts.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    wanted = words.select("term").distinct()
-    tf = posts.select("id", "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    tf = cut(tf, "postings")
+    # One pass over the texts: every document also has a row without a term, for the number and mean length of all.
+    terms = posts.select("id", "length", F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    wanted = words.select("term").distinct().unionByName(words.sparkSession.createDataFrame([("",)], "term string"))
+    every = cut(terms.join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    size = every.filter("term = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    tf = every.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(size).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))

@@ -56,4 +56,4 @@ def hot_score() -> str:
     return f"(access_count * 1.0 + 0.5 * {recency('last_accessed_at', 7.0)})"
 
 
-SCOPE = {c: s for s, cs in rules.SCOPE.items() for c in cs}
+SCOPE = rules.SCOPE

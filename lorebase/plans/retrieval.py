@@ -192,17 +192,32 @@ def gra06_contradiction_candidates(spark, d):
     return graph.contradiction_candidates(near, view(spark, d, "edges"), 0.3).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "already_linked")
 
 
-@query()
+@query(
+    "+" + NEAR + """, res AS (SELECT * FROM near WHERE rank <= 5),
+rel AS (SELECT from_id AS id, to_id AS other FROM edges WHERE relation_type <> 'supersedes' UNION SELECT to_id, from_id FROM edges),
+hit AS (SELECT query_id, r.id, rank, similarity, other FROM res r JOIN rel ON rel.id = r.id WHERE (query_id, other) NOT IN (SELECT query_id, id FROM res)),
+one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY query_id, other ORDER BY rank) = 1)
+SELECT query_id, other AS id, id AS via_id, round(similarity * 0.8, 6) AS score FROM one QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY other) <= 3""",
+    "vectors edges",
+)
 def gra09_expand(spark, d):
     results = _near(spark, d, 5).withColumn("score", F.col("similarity"))
     return graph.expand(results, view(spark, d, "edges")).select("query_id", "id", "via_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    r"""+t AS (SELECT id, pos, regexp_replace(regexp_replace(w, '^[`''"()\[\]{}<>,.;:!?]+', ''), '[`''"()\[\]{}<>,.;:!?]+$', '') AS token FROM (SELECT id, unnest(regexp_split_to_array(content, '\s+')) AS w, generate_subscripts(regexp_split_to_array(content, '\s+'), 1) AS pos FROM memories)),
+f AS (SELECT id, token, min(pos) AS pos FROM t WHERE length(token) >= 6 AND regexp_matches(token, '[_./:\-0-9]|^.+[A-Z]') GROUP BY 1, 2),
+tok AS (SELECT id, token FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) <= 10),
+"""
+    + f"""said AS (SELECT conv_id * 1000 + turn AS response_id, conv_id % 20 AS session_id, {AS_OF} - (conv_id % 200) * INTERVAL '1' DAY AS ts, lower(text) AS text FROM conversations WHERE role = 'assistant')
+SELECT DISTINCT m.id AS memory_id, response_id FROM memories m JOIN said s ON s.session_id = m.session_id AND s.ts >= m.created_at AND s.ts <= m.created_at + INTERVAL 48 HOUR JOIN tok ON tok.id = m.id WHERE contains(s.text, lower(tok.token))""",
+    "memories",
+)
 def inj05_attribution(spark, d):
     mem = view(spark, d, "memories")
     log = mem.select(F.col("id").alias("memory_id"), "session_id", F.col("created_at").alias("injected_at"))
-    turns = load(spark, d, "conversations").filter("role = 'assistant'").select(F.xxhash64("conv_id", "turn").alias("response_id"), (F.col("conv_id") % 20).alias("session_id"), (as_of() - F.expr("make_interval(0, 0, 0, cast(conv_id % 200 as int))")).alias("ts"), "text")
+    turns = load(spark, d, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), (F.col("conv_id") % 20).alias("session_id"), (as_of() - F.expr("make_interval(0, 0, 0, cast(conv_id % 200 as int))")).alias("ts"), "text")
     return feedback.attribute_usage(log, mem, turns, 48)
 
 

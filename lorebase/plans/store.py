@@ -8,7 +8,7 @@ from lorebase.functions import rules, scores
 from lorebase.functions import text as tx
 from lorebase.operators import extract, feedback, graph, hotset, jobs, memory, reports, sequences, sessions
 from lorebase.plans.registry import AS_OF, SCOPE, case, days, hot_score, lit, query, recency, salience, trust_now
-from lorebase.sources.tables import as_of, load, view
+from lorebase.sources.tables import as_of, load, spread, view
 
 # Sequences
 
@@ -105,7 +105,7 @@ def _redact_sql() -> str:
 
 @query(f"SELECT doc_id, sha256({_redact_sql()}) AS redacted_sha256, {_redact_sql()} <> text AS changed FROM documents")
 def src10_redact(spark, d):
-    df = load(spark, d, "documents")
+    df = spread(load(spark, d, "documents").select("doc_id", "text"))
     return df.select("doc_id", F.sha2(tx.redact(F.col("text")), 256).alias("redacted_sha256"), (tx.redact(F.col("text")) != F.col("text")).alias("changed"))
 
 
@@ -143,7 +143,7 @@ def _importance_sql() -> str:
 
 @query(f"SELECT id, CAST(round({_importance_sql()}, 3) AS DOUBLE) AS importance FROM memories", "memories")
 def txt01_importance(spark, d):
-    return view(spark, d, "memories").select("id", F.round(tx.importance(F.col("content")), 3).alias("importance"))
+    return spread(view(spark, d, "memories").select("id", "content")).select("id", F.round(tx.importance(F.col("content")), 3).alias("importance"))
 
 
 @query(f"SELECT id, CAST({_matches_sql(rules.CODE_SIGNS)} AS INTEGER) AS code_matches, CAST({_matches_sql(rules.ENTITY_SIGNS)} AS INTEGER) AS entity_matches FROM memories", "memories")
@@ -159,7 +159,7 @@ def _category_sql() -> str:
 
 @query(_category_sql(), "memories")
 def txt03_category(spark, d):
-    return view(spark, d, "memories").select("id", tx.category(F.col("content")).alias("category"))
+    return spread(view(spark, d, "memories").select("id", "content")).select("id", tx.category(F.col("content")).alias("category"))
 
 
 @query(

@@ -59,10 +59,17 @@ FILTERS = {"injections": "event_type IN ('view', 'click')", "edges": "l_partkey
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; the views' fixed times are meant in UTC, to which the session is set for that."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for costly work on each row: dealt out only where the scan has fewer parts than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = VIEWS[name]
     df = load(spark, sf_dir, table)
