@@ -77,8 +77,8 @@ def _rule_sql(out: str) -> str:
 
 
 URLS = f"""
-WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-found AS (SELECT *, {_terms(urls.STRICT)} AS n_strict, {_terms(urls.SOFT)} AS n_soft FROM (SELECT *, lower(host || path) AS t FROM parts))
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM pages),
+found AS (SELECT *, {_terms(urls.STRICT)} AS n_strict, {_terms(urls.SOFT)} AS n_soft FROM parts)
 SELECT page_id, host, path, {_rule_sql('rule')} AS rule, coalesce({_rule_sql('verdict')}, CASE WHEN n_strict > 0 OR n_soft >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM found"""
 
 #: The other operators' results depend on hashes, models or sorting that SQL does not express; tests hold them against brute force.

@@ -1,11 +1,11 @@
 """URL filter: host and path rules, and a weighted vocabulary found by Aho-Corasick.
 
-The longest rule that fits decides. For other urls one automaton finds all terms of host and path in one
-pass; a term counts only between characters that are no ASCII letters or digits. One strict term rejects, and
-so do SOFT_HITS different soft terms.
+The longest rule that fits decides. For other urls one automaton finds all terms of the whole url, scheme, query and
+fragment included, in one pass, A-Z lower-cased; a term counts only between characters that are no ASCII letters
+or digits. One strict term rejects, and so do SOFT_HITS different soft terms.
 
-Defined results: a null url, or one without ://, has an empty host and path, fits no rule and is
-allowed. Equal rules' order does not matter, as the longest wins. Very long urls are read whole. Extra
+Defined results: a null url, or one without ://, has an empty host and path and fits no rule; its terms
+count all the same. Equal rules' order does not matter, as the longest wins. Very long urls are read whole. Extra
 columns are ignored.
 """
 
@@ -17,14 +17,34 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, start of the path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-STRICT = ("casino", "escorts", "hentai", "malware", "phishing", "porn", "warez", "xxx")
-SOFT = ("adult", "bet", "bonus", "cheap", "crack", "dating", "download", "free", "keygen", "loan", "lottery", "nude", "pills", "poker", "sex", "torrent", "viagra", "webcam", "win")
+# Own vocabulary, fixed values: words of urls in English, French, German and Spanish, lower-cased.
+STRICT = (
+    "bestiality", "blowjob", "camgirls", "camsex", "casino", "casinos", "cracked", "cumshot", "darkmarket", "escort", "escorts", "exploitkit", "fakeid", "gangbang", "hentai", "hookup",
+    "jackpot", "keylogger", "malware", "milf", "nulled", "onlinecasino", "phishing", "porn", "porno", "pornos", "putas", "ransomware", "roulette", "sexcam", "sexe", "sexo", "spielautomaten",
+    "spyware", "tragaperras", "viagra", "warez", "xxx", "xxxvideos",
+)
+SOFT = (
+    "abnehmen", "adulte", "adulto", "adults", "adult", "apuestas", "arznei", "bargain", "bet", "bets", "betting", "billig", "bingo", "bitcoin", "bonus", "cashback", "cheap", "citas", "clickbait",
+    "coupon", "crack", "credit", "credito", "cialis", "dating", "deal", "deals", "descarga", "descargar", "diet", "discount", "download", "downloads", "erotic", "erotik", "erotique", "essays",
+    "forex", "free", "gagner", "gambling", "ganar", "geldspiel", "gewinn", "gewinnen", "giveaway", "gratis", "gratuit", "gratuito", "herunterladen", "hot", "hypothek", "insurance", "kasino", "kaufen",
+    "keygen", "kostenlos", "kredit", "loan", "loans", "loteria", "loterie", "lottery", "lotto", "lucky", "massage", "medikamente", "mortgage", "naked", "nackt", "nude", "nudes", "oferta", "offre",
+    "offshore", "paris-sportifs", "pharmacy", "pharmacie", "pills", "pirate", "poker", "pret", "premio", "prestamo", "prize", "promo", "rabatt", "regalo", "rencontre", "rencontres", "replica",
+    "scam", "serial", "sex", "sexy", "slots", "spam", "steroids", "streaming", "sweepstakes", "telecharger", "torrent", "torrents", "tracker", "trading", "trick", "voyance", "webcam", "wetten", "win",
+    "winner", "wins",
+)
 SOFT_HITS = 2
 
 
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lowered(url: Column) -> Column:
+    return F.translate(F.coalesce(url, F.lit("")), _AZ, _AZ.lower())
+
+
 def host(url: Column) -> Column:
     """After the first :// up to / ? # or the end; A-Z lower-cased."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lowered(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
 def path(url: Column) -> Column:
@@ -67,8 +87,8 @@ def _judge(strict, soft, soft_hits: int):
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names}
             verdicts, n_strict, n_soft = [], [], []
-            for h, p, decided in zip(columns["host"].to_pylist(), columns["path"].to_pylist(), columns["decided"].to_pylist(), strict=True):
-                s, w = hits(automaton, (h + p).lower())
+            for url, decided in zip(columns["url"].to_pylist(), columns["decided"].to_pylist(), strict=True):
+                s, w = hits(automaton, url)
                 verdicts.append(decided or ("block" if s or w >= soft_hits else "allow"))
                 n_strict.append(s)
                 n_soft.append(w)
@@ -80,7 +100,7 @@ def _judge(strict, soft, soft_hits: int):
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=tuple(RULES), strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, n_strict, n_soft (different terms)."""
     url = F.col(url_col)
-    parts = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"))
+    parts = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), lowered(url).alias("url"))
     name, decided = rule(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": name, "decided": decided})
     kind = dict(pages.dtypes)[id_col]
