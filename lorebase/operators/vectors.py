@@ -16,6 +16,8 @@ from lorebase.sources.shared import cut
 QUERY_BLOCK = 1024
 #: Rows of the corpus that one task holds, and queries that it compares with them at once.
 CORPUS_PART, QUERY_STEP = 16384, 256
+#: Centroids that are broadcast at most (4 MB at a thousand numbers each).
+MOST_LABELS = 512
 #: Rows of one block of a search for pairs, at 64 numbers a row; fewer if they are longer.
 PAIR_BLOCK = 4096
 
@@ -274,9 +276,20 @@ def centroids(vectors: DataFrame, label: str) -> DataFrame:
 
 
 def classify_nearest(vectors: DataFrame, cents: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """id, label (null below the threshold), score. The labels are few: one row each."""
-    scored = vectors.crossJoin(F.broadcast(cents)).select("id", "label", dot("embedding", "centroid").alias("score"))
-    best = scored.groupBy("id").agg(F.max_by("label", F.struct(F.round("score", 9), "label")).alias("label"), F.max("score").alias("score"))
+    """id, label (null below the threshold), score: the centroid of the largest product, ties to the larger label.
+
+    Up to MOST_LABELS centroids are sent to all vectors; more are dealt over blocks of vectors, and each
+    vector keeps the best of every part.
+    """
+    spark = cents.sparkSession
+    score = F.round("score", 9)
+    if cents.limit(MOST_LABELS + 1).count() <= MOST_LABELS:
+        scored = vectors.select("id", "embedding").crossJoin(F.broadcast(cents)).select("id", "label", dot("embedding", "centroid").alias("score"))
+    else:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+        left = vectors.select("id", "embedding").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, "part")
+        scored = left.join(cents.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int")), "part").select("id", "label", dot("embedding", "centroid").alias("score"))
+    best = scored.groupBy("id").agg(F.max_by("label", F.struct(score, "label")).alias("label"), F.max("score").alias("score"))
     return best.withColumn("label", F.when(F.col("score") >= threshold, F.col("label")))
 
 
