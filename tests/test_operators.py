@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,20 @@ def test_plans(spark):
 
 def test_relations_are_known():
     assert len(rules.RELATIONS) == 7
+
+
+def test_many_centroids_are_dealt_out(spark, monkeypatch):
+    vec = spark.createDataFrame([(i, [float(i % 7), float(i % 5 - 2), 1.0]) for i in range(40)], "id long, embedding array<double>")
+    cents = spark.createDataFrame([(f"c{j}", [float(j), 1.0, float(-j % 3)]) for j in range(6)], "label string, centroid array<double>")
+    want = {(r.id, r.label, r.score) for r in vectors.classify_nearest(vec, cents).collect()}
+    monkeypatch.setattr(vectors, "MOST_LABELS", 2)
+    assert {(r.id, r.label, r.score) for r in vectors.classify_nearest(vec, cents).collect()} == want and len(want) == 40
+
+
+def test_needed_texts_miss_no_match():
+    for patterns in rules.CATEGORY_PATTERNS.values():
+        for pattern in patterns:
+            texts = tx.needed(re._parser.parse(pattern))
+            assert all(x == x.lower() for x in texts)
+    assert tx.needed(re._parser.parse(r"\bnever\s+(use|do)\b")) == {"never"} and tx.needed(re._parser.parse(r"(?:ab|cde?)\d")) == {"ab", "cd"}
+    assert tx.needed(re._parser.parse(r"[A-Z]+(x?)")) == set()

@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import extract, sequences
+from lorebase.operators import extract, feedback, sequences
 from lorebase.sources.tables import view
 from lorebase.streaming import streams
 
@@ -64,3 +64,16 @@ def test_mining(spark):
     streams.stream_mining(src, f"{path}/state", f"{path}/cp2", ["fact"]).awaitTermination(120)
     got = spark.read.parquet(f"{path}/state").agg(F.sum("count")).first()[0]
     assert got == extract.aggregate_patterns(extract.extract_all(logs, ["fact"])).agg(F.sum("count")).first()[0] == 20
+
+
+def test_attribution(spark):
+    start = "TIMESTAMP '2024-01-10 00:00:00'"
+    mem = spark.createDataFrame([(1, "uses load_table() daily"), (2, "nothing here"), (3, "see src/app.py and ")], "id long, content string")
+    told = spark.range(1, 7).select(((F.col("id") - 1) % 3 + 1).alias("memory_id"), (F.col("id") % 2).alias("session_id"), F.expr(f"{start} + make_interval(0, 0, 0, 0, cast(id as int))").alias("injected_at"))
+    heard = spark.createDataFrame([(10, 1, 4, "I call LOAD_TABLE() now"), (11, 0, 8, "src/app.py is fine"), (12, 1, 0, "load_table() too early"), (13, 0, 40, "load_table() too late"), (14, 0, 9, "nothing")], "response_id long, session_id long, hour int, text string")
+    heard = heard.select("response_id", "session_id", F.expr(f"{start} + make_interval(0, 0, 0, 0, hour)").alias("ts"), "text")
+    left, path = streamed(spark, told, "i")
+    right, _ = streamed(spark, heard, "r")
+    got = {(r.memory_id, r.response_id) for r in run(spark, streams.stream_attribution(left, right, mem), path, "s_attr").collect()}
+    want = {(r.memory_id, r.response_id) for r in feedback.attribute_usage(told, mem, heard).collect()}
+    assert got == want == {(1, 10), (3, 11)}
