@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lorebase.plans import registry
-from lorebase.plans import store, retrieval, extraction  # noqa: F401  (they register their queries)
+from lorebase.plans import store, retrieval, extraction, streaming  # noqa: F401  (they register their queries)
 
 QUERIES = registry.QUERIES
 ORACLE_SQL = registry.ORACLE_SQL

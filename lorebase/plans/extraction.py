@@ -33,11 +33,15 @@ _PUT = {"{key}": "o_orderkey", "{cust}": "o_custkey", "{date}": "o_orderdate"}
 
 def notes(spark, d):
     """log_id, content, ts, project_id, session_id."""
+    return noted(load(spark, d, "orders"))
+
+
+def noted(orders):
     text = F.element_at(F.array(*[F.lit(n) for n in NOTES]), (F.col("o_orderkey") % len(NOTES) + 1).cast("int"))
     for name, column in _PUT.items():
         value = F.date_format(column, "yyyy-MM-dd") if column == "o_orderdate" else F.col(column).cast("string")
         text = F.replace(text, F.lit(name), value)
-    return load(spark, d, "orders").select(F.col("o_orderkey").alias("log_id"), text.alias("content"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat(F.lit("p"), F.col("o_custkey") % 5).alias("project_id"), (F.col("o_custkey") % 20).alias("session_id"))
+    return orders.select(F.col("o_orderkey").alias("log_id"), text.alias("content"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat(F.lit("p"), F.col("o_custkey") % 5).alias("project_id"), (F.col("o_custkey") % 20).alias("session_id"))
 
 
 def _notes_sql() -> str:
@@ -144,7 +148,10 @@ def ext15_union(spark, d):
     return extract.extract_all(notes(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("n_logs"))
 
 
-@query(_UNION + " SELECT sha256(pattern) AS pattern_hash, count(*) AS count, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM found JOIN notes USING (log_id) WHERE length(pattern) >= 30 GROUP BY pattern")
+MINED = _UNION + " SELECT sha256(pattern) AS pattern_hash, count(*) AS count, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM found JOIN notes USING (log_id) WHERE length(pattern) >= 30 GROUP BY pattern"
+
+
+@query(MINED)
 def min01_extracted(spark, d):
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return extract.aggregate_patterns(extract.extract_all(notes(spark, d))).select("pattern_hash", "count", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))

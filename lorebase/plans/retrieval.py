@@ -205,20 +205,26 @@ def gra09_expand(spark, d):
     return graph.expand(results, view(spark, d, "edges")).select("query_id", "id", "via_id", F.round("score", 6).alias("score"))
 
 
-@query(
+ATTRIBUTED = (
     r"""+t AS (SELECT id, pos, regexp_replace(regexp_replace(w, '^[`''"()\[\]{}<>,.;:!?]+', ''), '[`''"()\[\]{}<>,.;:!?]+$', '') AS token FROM (SELECT id, unnest(regexp_split_to_array(content, '\s+')) AS w, generate_subscripts(regexp_split_to_array(content, '\s+'), 1) AS pos FROM memories)),
 f AS (SELECT id, token, min(pos) AS pos FROM t WHERE length(token) >= 6 AND regexp_matches(token, '[_./:\-0-9]|^.+[A-Z]') GROUP BY 1, 2),
 tok AS (SELECT id, token FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) <= 10),
 """
     + f"""said AS (SELECT conv_id * 1000 + turn AS response_id, conv_id % 20 AS session_id, {AS_OF} - (conv_id % 200) * INTERVAL '1' DAY AS ts, lower(text) AS text FROM conversations WHERE role = 'assistant')
-SELECT DISTINCT m.id AS memory_id, response_id FROM memories m JOIN said s ON s.session_id = m.session_id AND s.ts >= m.created_at AND s.ts <= m.created_at + INTERVAL 48 HOUR JOIN tok ON tok.id = m.id WHERE contains(s.text, lower(tok.token))""",
-    "memories",
+SELECT DISTINCT m.id AS memory_id, response_id FROM memories m JOIN said s ON s.session_id = m.session_id AND s.ts >= m.created_at AND s.ts <= m.created_at + INTERVAL 48 HOUR JOIN tok ON tok.id = m.id WHERE contains(s.text, lower(tok.token))"""
 )
+
+
+def responses(turns):
+    """Replies of the conversations, at days that their numbers give."""
+    return turns.filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), (F.col("conv_id") % 20).alias("session_id"), (as_of() - F.expr("make_interval(0, 0, 0, cast(conv_id % 200 as int))")).alias("ts"), "text")
+
+
+@query(ATTRIBUTED, "memories")
 def inj05_attribution(spark, d):
     mem = view(spark, d, "memories")
     log = mem.select(F.col("id").alias("memory_id"), "session_id", F.col("created_at").alias("injected_at"))
-    turns = load(spark, d, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), (F.col("conv_id") % 20).alias("session_id"), (as_of() - F.expr("make_interval(0, 0, 0, cast(conv_id % 200 as int))")).alias("ts"), "text")
-    return feedback.attribute_usage(log, mem, turns, 48)
+    return feedback.attribute_usage(log, mem, responses(load(spark, d, "conversations")), 48)
 
 
 @query("+" + NEAR + ", hit AS (SELECT query_id, id FROM near WHERE rank = 1 AND similarity >= 0.35 AND query_id IN (SELECT id FROM memories)) SELECT 'merged' AS part, count(DISTINCT id) AS n FROM hit WHERE id IN (SELECT id FROM memories) UNION ALL SELECT 'inserted', count(*) FROM memories WHERE id % 20 = 0 AND id IN (SELECT memory_id FROM vectors) AND id NOT IN (SELECT query_id FROM hit)", "vectors memories")

@@ -70,9 +70,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table as a stream of its files; a pattern names it, since a table of a single file is no folder to stream from."""
+    return spark.readStream.schema(load(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parque[t]")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, columns = VIEWS[name]
-    df = load(spark, sf_dir, table)
+    return shaped(load(spark, sf_dir, VIEWS[name][0]), name)
+
+
+def shaped(df: DataFrame, name: str) -> DataFrame:
+    """The view's columns from its table, read as a table or as a stream."""
+    columns = VIEWS[name][1]
     if name in FILTERS:
         df = df.filter(FILTERS[name])
     k = "CAST(get_json_object(props, '$.k') AS BIGINT)"

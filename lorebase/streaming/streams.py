@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorebase.functions import text as tx
 from lorebase.operators import extract as ex
-from lorebase.operators import memory
+from lorebase.operators import memory, sequences
 
 
 def stream_logs(src: DataFrame) -> DataFrame:
@@ -34,7 +34,10 @@ def stream_sessions(src: DataFrame, gap: str = "30 minutes", late: str = "1 hour
 
 
 def stream_transitions(src: DataFrame, timeout_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Consecutive different items of each session (session_id, item, ts, seq); the last item is the key's state."""
+    """Consecutive different items of each session (session_id, item, ts, seq); the last item is the key's state.
+
+    A task holds a session's rows of one micro-batch, so the source's rate must be limited; write_transitions needs no limit.
+    """
 
     def run(key: tuple, pdfs, state: GroupState):
         if state.hasTimedOut:
@@ -54,11 +57,38 @@ def stream_transitions(src: DataFrame, timeout_ms: int = 7 * 86_400_000) -> Data
     return src.groupBy("session_id").applyInPandasWithState(run, "from_id string, to_id string, seen timestamp", "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def write_transitions(src: DataFrame, path: str, checkpoint: str):
+    """Starts a query that writes of each micro-batch the counts of its transitions and each session's first and last item.
+
+    All stands under the batch's id, so a retry replaces it; stitched_transitions puts the batches together.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        order = F.struct("ts", "seq")
+        ends = batch.groupBy("session_id").agg(F.min_by("item", order).alias("first"), F.min("ts").alias("first_ts"), F.max_by("item", order).alias("last"))
+        sequences.transitions(batch).write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")
+        ends.write.mode("overwrite").parquet(f"{path}/ends/batch={batch_id}")
+
+    return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stitched_transitions(spark: SparkSession, path: str) -> DataFrame:
+    """from_id, to_id, count, last_seen of all batches, in which a session's batches follow each other."""
+    later = Window.partitionBy("session_id").orderBy("batch")
+    ends = spark.read.parquet(f"{path}/ends").select(F.col("last").alias("from_id"), F.lead("first").over(later).alias("to_id"), F.lit(1).cast("long").alias("count"), F.lead("first_ts").over(later).alias("last_seen"))
+    pairs = spark.read.parquet(f"{path}/pairs").drop("batch").unionByName(ends.filter("to_id IS NOT NULL AND from_id <> to_id"))
+    return pairs.groupBy("from_id", "to_id").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
+
+
 def stream_attribution(injections: DataFrame, responses: DataFrame, mem: DataFrame, hours: int = 24) -> DataFrame:
-    """Responses joined with injections of the hours before in their session, where a token of the memory occurs."""
-    left = injections.withWatermark("injected_at", "1 hour").alias("i")
-    right = responses.withWatermark("ts", "1 hour").alias("r")
-    near = left.join(right, (F.col("i.session_id") == F.col("r.session_id")) & (F.col("r.ts") >= F.col("i.injected_at")) & (F.col("r.ts") <= F.col("i.injected_at") + F.expr(f"INTERVAL {hours} HOURS")))
+    """Responses joined with injections of the hours before in their session, where a token of the memory occurs.
+
+    Times are cut into buckets of the window's length, so that state is spread by session and bucket.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(c) / (hours * 3_600_000_000))
+    left = injections.withWatermark("injected_at", "1 hour").withColumn("bucket", F.explode(F.array(bucket("injected_at"), bucket("injected_at") + 1))).alias("i")
+    right = responses.withWatermark("ts", "1 hour").withColumn("bucket", bucket("ts")).alias("r")
+    near = left.join(right, (F.col("i.session_id") == F.col("r.session_id")) & (F.col("i.bucket") == F.col("r.bucket")) & (F.col("r.ts") >= F.col("i.injected_at")) & (F.col("r.ts") <= F.col("i.injected_at") + F.expr(f"INTERVAL {hours} HOURS")))
     tokens = mem.select(F.col("id").alias("memory_id"), F.explode(tx.distinctive_tokens(F.col("content"))).alias("token"))
     return near.select("i.memory_id", "response_id", "text").join(tokens, "memory_id").filter(F.contains(F.lower("text"), F.lower("token"))).select("memory_id", "response_id")
 

@@ -77,3 +77,17 @@ def test_attribution(spark):
     got = {(r.memory_id, r.response_id) for r in run(spark, streams.stream_attribution(left, right, mem), path, "s_attr").collect()}
     want = {(r.memory_id, r.response_id) for r in feedback.attribute_usage(told, mem, heard).collect()}
     assert got == want == {(1, 10), (3, 11)}
+
+
+def test_stitched_transitions(spark):
+    """Three batches in order of time, sessions that skip a batch, repeat an item over a border, or begin late."""
+    rows = [("a", "x", 1, 1), ("a", "y", 2, 2), ("a", "y", 11, 3), ("a", "z", 12, 4), ("b", "x", 3, 5), ("b", "w", 21, 6), ("c", "q", 22, 7), (None, "x", 4, 8), (None, "y", 24, 9)]
+    log = spark.createDataFrame(rows, "session_id string, item string, second int, seq int").withColumn("ts", F.expr("timestamp_seconds(second)")).drop("second")
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    src = spark.readStream.schema(log.schema).parquet(f"{path}/in*")
+    for n in range(3):  # each start of the query takes what is new as a batch
+        log.filter(F.floor(F.unix_seconds("ts") / 10) == n).repartition(1).write.parquet(f"{path}/in{n}")
+        streams.write_transitions(src, f"{path}/out", f"{path}/cp").awaitTermination(120)
+    got = streams.stitched_transitions(spark, f"{path}/out").collect()
+    want = sequences.transitions(log).collect()
+    assert sorted(map(tuple, got)) == sorted((r.from_id, r.to_id, r["count"], r.last_seen) for r in want) and len(want) == 3
