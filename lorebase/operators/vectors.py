@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
 from lorebase.functions import text as tx
+from lorebase.operators import graph
 from lorebase.sources.shared import cut
 
 #: Query vectors in one block.
@@ -233,8 +234,16 @@ def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None, lower
     return ranked, counts.join(top, "query_id", "left").withColumn("confidence", label)
 
 
-def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, dim: int, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None, lower: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Batch recall: vector candidates (3k), keyword scores (query_id, id, score), ranking and a summary per query."""
+def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, dim: int, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None, lower: float = 0.0, where: Column | str | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Batch recall: vector candidates (3k), keyword scores (query_id, id, score), ranking and a summary per query.
+
+    where: only memories that fulfil it are candidates. edges (from_id, to_id, relation_type): memories that are related
+    to the ranked ones, also of other kinds than where asks for, follow them with a lesser score and no rank; via_id says by which.
+    """
+    every = mem
+    if where is not None:
+        mem = mem.filter(where)
+        vectors = vectors.join(mem.select("id"), "id", "left_semi")
     near = knn(queries, vectors, 3 * k, dim)
     cands = near.join(queries.select("query_id", *[c for c in ("mode",) if c in queries.columns]), "query_id")
     if "mode" not in queries.columns:
@@ -242,7 +251,11 @@ def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column
     cands = cands.drop("rank").join(mem, "id")
     keyword = keywords.select("query_id", "id", F.col("score").alias("keyword")) if keywords is not None else None
     cands = cands.join(keyword, ["query_id", "id"], "left") if keyword is not None else cands.withColumn("keyword", F.lit(0.0))
-    return rank(cands, as_of, boosts, lower)
+    ranked, summary = rank(cands, as_of, boosts, lower)
+    if edges is None:
+        return ranked, summary
+    ranked = cut(ranked, "ranked")  # read for itself and for its neighbours
+    return ranked.unionByName(graph.expand(ranked, edges).join(every, "id"), allowMissingColumns=True), summary
 
 
 def recall_fallback(stages: list[tuple[DataFrame, DataFrame]], min_results: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import rules
 from lorebase.operators import extract, feedback, graph, memory
 from lorebase.plans.registry import lit, query
-from lorebase.sources.tables import AS_OF, as_of, load, view
+from lorebase.sources.tables import AS_OF, as_of, load, spread, view
 
 NOTES = [
     "import numpy.linalg, table{key}\nfrom pyspark.sql import functions as F\nprint(1)\nimport os",
@@ -33,7 +33,7 @@ _PUT = {"{key}": "o_orderkey", "{cust}": "o_custkey", "{date}": "o_orderdate"}
 
 def notes(spark, d):
     """log_id, content, ts, project_id, session_id."""
-    return noted(load(spark, d, "orders"))
+    return noted(spread(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")))
 
 
 def noted(orders):

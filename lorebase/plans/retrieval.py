@@ -9,7 +9,7 @@ from lorebase.operators import feedback, graph, sequences, vectors
 from lorebase.plans import store
 from lorebase.plans.registry import AS_OF, case, days, lit, query, trust_now
 from lorebase.sources.shared import cut
-from lorebase.sources.tables import as_of, load, view
+from lorebase.sources.tables import as_of, load, sql, view
 
 DIM = 64
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
@@ -122,9 +122,36 @@ def vec08_recall(spark, d):
     return out
 
 
-@query()
+_KEPT = "memory_type = 'pattern' OR project_id = 'src3'"
+
+
+@query(
+    "+" + NEAR.replace("JOIN vectors v", f"JOIN (SELECT vectors.* FROM vectors JOIN memories ON id = memory_id WHERE {_KEPT}) v") + ", " + _ranked_sql(0.3) + """,
+ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM c WHERE NOT gated QUALIFY rank <= 5),
+rel AS (SELECT from_id AS id, to_id AS other FROM edges WHERE relation_type <> 'supersedes' UNION SELECT to_id, from_id FROM edges),
+hit AS (SELECT query_id, r.id, rank, score, other FROM ranked r JOIN rel ON rel.id = r.id WHERE (query_id, other) NOT IN (SELECT query_id, id FROM ranked)),
+one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY query_id, other ORDER BY rank) = 1),
+few AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY other) <= 3)
+SELECT query_id, id, -1 AS via_id, CAST(round(score, 6) AS DOUBLE) AS score FROM ranked UNION ALL SELECT query_id, other, id, CAST(round(score * 0.8, 6) AS DOUBLE) FROM few WHERE other IN (SELECT id FROM memories)""",
+    "vectors memories edges",
+)
+def vec08_recall_filtered(spark, d):
+    """Recall among some kinds of memories, with the related ones of all kinds; balanced, without keywords."""
+    vec, mem = view(spark, d, "vectors"), view(spark, d, "memories")
+    asked = vec.filter("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
+    # The tables' vectors are far apart, so the threshold is 0.4 lower.
+    ranked, _ = vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), DIM, lower=0.4, where=_KEPT, edges=view(spark, d, "edges"))
+    return ranked.select("query_id", "id", F.coalesce("via_id", F.lit(-1)).alias("via_id"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "+" + NEAR + """, staged AS (SELECT query_id, unnest(list_filter([CASE WHEN memory_type = 'pattern' THEN 0 END, CASE WHEN project_id = 'src3' THEN 1 END, 2], lambda x: x IS NOT NULL)) AS stage FROM near JOIN memories ON memories.id = near.id WHERE rank <= 30 AND similarity >= 0.3),
+best AS (SELECT query_id, stage, least(count(*), 5) AS n FROM staged GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY stage) = 1)
+SELECT CAST(stage AS INTEGER) AS stage, count(*) AS n_queries, CAST(sum(n) AS BIGINT) AS n FROM best GROUP BY 1""",
+    "vectors memories",
+)
 def vec09_fallback(spark, d):
-    near = _cands(spark, d, 0.3)
+    near = cut(_cands(spark, d, 0.3), "candidates")  # read by every stage
     stages = [vectors.rank(near.filter(f), as_of()) for f in ("memory_type = 'pattern'", "project_id = 'src3'", "true")]
     return vectors.recall_fallback(stages).groupBy("stage").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n"))
 
@@ -142,10 +169,18 @@ def vec11_consolidation(spark, d):
     return vectors.consolidation(members, mem, pairs).select("seed_id", "representative_id", F.size("member_ids").alias("n"), "total_access")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + sql("vectors") + ", " + NEAR + """, res AS MATERIALIZED (SELECT query_id, id, CAST(rank AS INTEGER) AS rank, embedding::DOUBLE[] AS e FROM near JOIN vectors ON memory_id = id WHERE rank <= 20),
+sims AS MATERIALIZED (SELECT a.query_id, a.rank, list(list_cosine_similarity(a.e, b.e) ORDER BY b.rank) AS s FROM res a JOIN res b USING (query_id) GROUP BY 1, 2),
+step AS (SELECT DISTINCT query_id, 0 AS rank, []::INTEGER[] AS leaders, []::INTEGER[] AS groups FROM res
+UNION ALL SELECT query_id, rank, CASE WHEN list_max(x) >= 0.3 OR len(leaders) >= 5 THEN leaders ELSE list_append(leaders, rank) END, list_append(groups, CASE WHEN list_max(x) >= 0.3 THEN list_position(x, list_max(x)) WHEN len(leaders) < 5 THEN len(leaders) + 1 ELSE 0 END::INTEGER)
+FROM (SELECT step.query_id, sims.rank, leaders, groups, list_transform(leaders, lambda l: s[l]) AS x FROM step JOIN sims ON sims.query_id = step.query_id AND sims.rank = step.rank + 1)),
+done AS (SELECT query_id, unnest(groups) AS g, generate_subscripts(groups, 1) AS rank FROM step QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step.rank DESC) = 1)
+SELECT query_id, id, CASE WHEN g > 0 AND count(*) OVER (PARTITION BY query_id, g) >= 2 THEN g - 1 ELSE -1 END AS "group" FROM done JOIN res USING (query_id, rank)"""
+)
 def vec12_group_results(spark, d):
     vec = view(spark, d, "vectors").select(F.col("memory_id").alias("id"), "embedding")
-    return vectors.group_results(_near(spark, d, 20), vec, 0.3)
+    return vectors.group_results(_near(spark, d, 20), vec, 0.3).withColumn("group", F.coalesce("group", F.lit(-1)))
 
 
 CENT = "cent AS (SELECT category AS label, list(x ORDER BY pos) AS c FROM (SELECT category, pos, avg(x) AS x FROM (SELECT category, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM vectors) GROUP BY 1, 2) GROUP BY 1)"

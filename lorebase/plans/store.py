@@ -622,7 +622,24 @@ def min08_run_mining(spark, d):
     return jobs.run_mining(logs, None, as_of())["run"]
 
 
-@query()
+_IDLE = "floor({})".format(days("coalesce(last_accessed_at, created_at)"))
+_CLEANUP = BY_K.rstrip() + ", " + MINED + f""",
+stale AS (SELECT id FROM memories WHERE is_hot AND NOT is_pinned AND {_IDLE} >= floor(14 * {FACTOR})),
+demoted AS (SELECT * REPLACE (is_hot AND id NOT IN (SELECT id FROM stale) AS is_hot) FROM memories),
+retired AS (SELECT id FROM demoted WHERE {KEEP} > 0 AND NOT is_hot AND {days('coalesce(last_accessed_at, created_at)')} > {KEEP} AND {days('created_at')} > {KEEP}),
+kept AS (SELECT * FROM demoted WHERE id NOT IN (SELECT id FROM retired))
+SELECT 'demoted' AS step, count(*) AS n FROM stale
+UNION ALL SELECT 'expired_patterns', count(*) FROM mined WHERE last_seen < {AS_OF} - INTERVAL 30 DAY
+UNION ALL SELECT 'kept_logs', count(*) FROM output_log WHERE ts >= {AS_OF} - INTERVAL 7 DAY
+UNION ALL SELECT 'retired', count(*) FROM retired
+UNION ALL SELECT 'kept_transitions', count(*) FROM trans WHERE last_seen >= {AS_OF} - INTERVAL 30 DAY OR n >= 2
+UNION ALL SELECT 'kept_injections', count(*) FROM injections WHERE injected_at >= {AS_OF} - INTERVAL 7 DAY
+UNION ALL SELECT 'penalties', count(*) FROM kept WHERE retrieved_count >= 5 AND used_count = 0
+UNION ALL SELECT 'actions', count(*) FROM (WITH memories AS (SELECT * FROM kept), {VALUE} SELECT 1 FROM v WHERE candidate UNION ALL SELECT 1 FROM v WHERE low_utility)
+UNION ALL SELECT 'unused', count(*) FROM kept WHERE source = 'mined' AND NOT is_pinned AND retrieved_count = 0 AND used_count = 0 AND created_at < {AS_OF} - INTERVAL 30 DAY AND (is_hot OR utility_score > 0)"""
+
+
+@query(_CLEANUP, "access_log output_log memories injections")
 def hot10_full_cleanup(spark, d):
     trans = sequences.transitions(view(spark, d, "access_log"), item="k")
     return jobs.full_cleanup(view(spark, d, "memories"), _mined(spark, d), view(spark, d, "output_log"), trans, view(spark, d, "injections"), as_of())["report"]
