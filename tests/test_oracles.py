@@ -103,7 +103,7 @@ def check_consolidation(out, duck):
 def check_groups(out, duck):
     near, groups = set(near_pairs(duck, 0.3)), {}
     for r in out:
-        if r.group is not None:
+        if r.group >= 0:
             groups.setdefault((r.query_id, r.group), []).append(r.id)
     assert groups and all(len(set(g)) == len(g) >= 2 for g in groups.values())
     for g in groups.values():  # every member is near another one
@@ -117,6 +117,6 @@ CHECKS = {
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_holds_without_sql(spark, duck, name):
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) | set(CHECKS)))
+def test_claims(spark, duck, name):
     CHECKS[name](catalog.QUERIES[name](spark, FOLDER).collect(), duck)
