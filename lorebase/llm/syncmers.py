@@ -1,13 +1,14 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-Letters are words (runs without white space). Of all runs of K words, those are chosen whose least inner
-run of S words, by hash, is the first or the last one. The choice depends on these K words alone, so equal passages
-have equal anchors wherever they stand. A fingerprint is the sorted list of all different anchor hashes, as
-hexadecimal numbers; places are all chosen runs with the number of their first word, for positional matching;
+Letters are words (runs without white space); in texts with more than LONG code points a word, as in scripts that are
+written without spaces, they are the code points. Of all runs of K letters, those are chosen whose
+least inner run of S letters, by hash, is the first or the last one. The choice depends on these K letters alone, so
+equal passages have equal anchors wherever they stand. A fingerprint is the sorted list of all different anchor hashes,
+as hexadecimal numbers; places are all chosen runs with the number of their first letter, for positional matching;
 likeness is the share of common anchors among all different anchors of both.
 
-Defined results: a null or empty text has the empty fingerprint; texts of fewer than K words, or without a
-chosen run, have the hash of their whole sequence of words, at place 0. Two empty fingerprints have likeness 1, an empty
+Defined results: a null or empty text has the empty fingerprint; texts of fewer than K letters, or without a
+chosen run, have the hash of their whole sequence of letters, at place 0. Two empty fingerprints have likeness 1, an empty
 and another one 0. Very long texts are read whole. Extra columns are ignored.
 """
 
@@ -17,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 6, 2
+LONG = 16  # code points a word on average, spaces included; beyond that the code points are the letters
 SKETCH = None  # how many least anchors of a text count: no limit
 
 
 def _with_words(df: DataFrame, text: str, to: str) -> DataFrame:
-    """Adds hashes of words and of inner runs as columns, so that later lambdas only look them up."""
-    df = df.withColumn(f"{to}_w", F.transform(F.split(text, r"\s+"), lambda w: F.xxhash64(w)))
+    """Adds hashes of letters and of inner runs as columns, so that later lambdas only look them up."""
+    df = df.withColumn(f"{to}_w", F.split(text, r"\s+"))
+    df = df.withColumn(f"{to}_w", F.when(F.char_length(text) > LONG * F.size(f"{to}_w"), F.split(text, "")).otherwise(F.col(f"{to}_w")))
+    df = df.withColumn(f"{to}_w", F.transform(f"{to}_w", lambda w: F.xxhash64(w)))
     inner = f"CASE WHEN size({to}_w) >= {K} THEN transform(sequence(0, size({to}_w) - {S}), i -> xxhash64({', '.join(f'{to}_w[i + {j}]' for j in range(S))})) END"
     return df.withColumn(f"{to}_s", F.expr(inner))
 
@@ -46,7 +50,7 @@ def with_sketch(df: DataFrame, text: str, to: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chosen run: doc_id, position (number of its first word, from 0), anchor; for positional matching."""
+    """One row per chosen run: doc_id, position (number of its first letter, from 0), anchor; for positional matching."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen, value = _anchor("x", "position")
     df = _with_words(df, "text", "x").filter("x_s IS NOT NULL").withColumn("position", F.explode(F.expr(f"sequence(0, size(x_w) - {K})")))

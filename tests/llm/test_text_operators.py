@@ -457,3 +457,20 @@ def test_fingerprints_have_all_anchors_and_places(spark):
     edited = {r.doc_id: r for r in syncmers.fingerprints(docs(spark, rows)).select("doc_id", "edited_fingerprint", "edited_places").collect()}
     assert all({p.anchor % 2**64 for p in r.edited_places} == {int(x, 16) for x in r.edited_fingerprint.split(",") if x} for r in edited.values())
     assert [p.position for p in got[3].places] == [0] and got[5].places == [] and got[5].fingerprint == ""
+
+
+def test_fingerprints_of_scripts_without_spaces(spark):
+    rng = random.Random(8)
+    signs = [chr(0x4E00 + i) for i in range(800)] + ["\U00020000", "😀"]
+    run = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    passage = run(80)
+    rows = [(1, run(40) + passage + run(300)), (2, run(90) + passage + run(200)), (3, run(500)), (4, "plain words " * 30)]
+    got = {r.doc_id: r for r in syncmers.fingerprints(docs(spark, rows)).collect()}
+    places = {i: {p.anchor: p.position for p in got[i].places} for i in got}
+    shared = places[1].keys() & places[2].keys()
+    assert len(shared) >= 10 and {places[2][a] - places[1][a] for a in shared} == {50}
+    assert 0.4 < got[1].near_edited < 0.8 and 0 < got[1].near_next < 0.3 and got[2].near_next == 0
+    found = {}
+    for r in syncmers.anchors(docs(spark, rows)).collect():
+        found.setdefault(r.doc_id, {})[r.anchor] = r.position
+    assert all(found[i] == places[i] for i in (1, 2, 3))
