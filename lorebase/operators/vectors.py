@@ -37,11 +37,15 @@ def cosine(a: str, b: str) -> Column:
 
 
 def hash_embed(df: DataFrame, key: str, text: str = "content", dim: int = 64) -> DataFrame:
-    """key, embedding: normalised sum of pseudo-random sign vectors of the words; equal words give equal parts."""
+    """key, embedding: normalised sum of pseudo-random sign vectors of the words; equal words give equal parts.
+
+    A word's signs are the bits of its MD5 digest with a block number, 128 numbers a block, each 32 from the lowest bit on.
+    """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 2)
-    one = lambda w, i: F.when(F.pmod(F.xxhash64(w, i), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    summed = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate("words", F.lit(0.0), lambda acc, w: acc + one(w, i)))
-    out = df.select(key, words.alias("words")).withColumn("raw", summed).withColumn("length", norm("raw"))
+    bits = lambda w: [F.conv(F.substring(F.md5(F.concat(w, F.lit(f":{i // 4}")).cast("binary")), 8 * (i % 4) + 1, 8), 16, 10).cast("long") for i in range((dim + 31) // 32)]
+    sign = lambda part, i: 2 * F.call_function("shiftright", part[F.floor(i / 32).cast("int")], i % 32).bitwiseAND(F.lit(1)) - 1
+    summed = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate("parts", F.lit(0.0), lambda acc, part: acc + sign(part, i)))
+    out = df.select(key, F.transform(words, lambda w: F.array(*bits(w))).alias("parts")).withColumn("raw", summed).withColumn("length", norm("raw"))
     return out.select(key, F.transform("raw", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("embedding"))
 
 

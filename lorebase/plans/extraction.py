@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorebase.functions import rules
-from lorebase.operators import extract, feedback, graph, memory
+from lorebase.operators import extract, feedback, graph, jobs, memory
 from lorebase.plans.registry import lit, query
 from lorebase.sources.tables import AS_OF, as_of, load, spread, view
 
@@ -157,6 +157,17 @@ def min01_extracted(spark, d):
     return extract.aggregate_patterns(extract.extract_all(notes(spark, d))).select("pattern_hash", "count", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))
 
 
+_RUN = _UNION + """, patterns AS MATERIALIZED (SELECT sha256(pattern) AS id, min({'t': ts, 'i': log_id, 'k': kind}) AS one, count(*) AS n FROM found JOIN notes USING (log_id) WHERE length(pattern) >= 30 GROUP BY pattern),
+admitted AS MATERIALIZED (SELECT id, one.i AS log_id, one.k AS kind FROM patterns WHERE one.k NOT IN ('command', 'snippet')),
+links AS (SELECT DISTINCT a.id, b.id FROM admitted a JOIN admitted b USING (log_id) WHERE a.id <> b.id AND starts_with(b.kind, 'entity_') AND (NOT starts_with(a.kind, 'entity_') OR (a.kind = 'entity_decision' AND b.kind = 'entity_technology')))"""
+
+
+@query(_RUN + " SELECT 'logs' AS counter, count(*) AS n FROM notes " + " ".join(f"UNION ALL SELECT '{c}', count(*) FROM {t}" for c, t in {"found": "found", "patterns": "patterns", "new_patterns": "patterns", "admitted": "admitted", "frequent": "patterns WHERE n >= 3", "links": "links"}.items()))
+def min08_counters(spark, d):
+    """A whole mining run over the notes: all extractors, aggregation, admission, entity links."""
+    return jobs.run_mining(notes(spark, d), None, as_of())["run"]
+
+
 @query("SELECT 'I-' || o_orderkey AS id, '# Order ' || o_custkey || ' (I-' || o_orderkey || ')' || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || chr(10) || '**Description:** from ' || o_orderpriority ELSE '' END AS content, CASE WHEN o_orderkey % 5 = 0 THEN 'beads,bug,p1' ELSE 'beads,task,p2' END AS tags FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 7 <> 0")
 def src04_issues(spark, d):
     """Exported issues, one for each order; every seventh line is no JSON, every second issue has no description."""

@@ -156,13 +156,25 @@ def vec09_fallback(spark, d):
     return vectors.recall_fallback(stages).groupBy("stage").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n"))
 
 
-@query()
+def _stars(least: float) -> str:
+    """Members of star clusters: rows go by most accesses; one that is not pinned and has no seed beside it becomes a seed."""
+    return f"""WITH RECURSIVE {sql("memories")}, {sql("vectors")}, {PAIRS}, close AS MATERIALIZED (SELECT a, b FROM pairs WHERE similarity >= {least}),
+nodes AS MATERIALIZED (SELECT id, is_pinned, row_number() OVER (ORDER BY access_count DESC, id) AS r FROM memories WHERE id IN (SELECT a FROM close UNION SELECT b FROM close)),
+sides AS MATERIALIZED (SELECT x.r, y.r AS other FROM (SELECT a, b FROM close UNION ALL SELECT b, a FROM close) JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b),
+adjacent AS MATERIALIZED (SELECT r, list(other) AS others FROM sides GROUP BY 1),
+step AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS seeds UNION ALL SELECT n.r, CASE WHEN n.is_pinned OR list_has_any(coalesce(others, []), seeds) THEN seeds ELSE list_append(seeds, n.r) END FROM step JOIN nodes n ON n.r = step.r + 1 LEFT JOIN adjacent ON adjacent.r = n.r),
+seeds AS MATERIALIZED (SELECT unnest(seeds) AS r FROM (SELECT seeds FROM step ORDER BY r DESC LIMIT 1)),
+beside AS MATERIALIZED (SELECT r, min(other) AS seed FROM sides WHERE other IN (SELECT r FROM seeds) AND r NOT IN (SELECT r FROM seeds) GROUP BY 1),
+members AS (SELECT x.id, y.id AS seed_id FROM (SELECT r, seed FROM beside UNION SELECT seed, seed FROM beside) m JOIN nodes x ON x.r = m.r JOIN nodes y ON y.r = m.seed)"""
+
+
+@query(_stars(0.36) + " SELECT id, seed_id FROM members")
 def vec10_star_clusters(spark, d):
     mem = view(spark, d, "memories").select("id", "access_count", "is_pinned")
     return vectors.star_clusters(mem, _pairs(spark, d).filter("similarity >= 0.36"))
 
 
-@query()
+@query(_stars(0.35) + " SELECT seed_id, -max({'h': is_hot, 'a': access_count, 'i': -id}).i AS representative_id, CAST(count(*) AS INTEGER) AS n, CAST(sum(access_count) AS BIGINT) AS total_access FROM members JOIN memories USING (id) GROUP BY 1 HAVING count(*) >= 2")
 def vec11_consolidation(spark, d):
     mem, pairs = view(spark, d, "memories"), _pairs(spark, d)
     members = vectors.star_clusters(mem.select("id", "access_count", "is_pinned"), pairs)
@@ -276,7 +288,14 @@ def txt06_hybrid(spark, d):
     return vectors.classify_hybrid(view(spark, d, "memories").select("id", "content"), _classified(spark, d))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT item_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS w FROM benchmark),
+raw AS (SELECT id, i, CAST(sum(2 * ((CAST('0x' || substr(md5(w || ':' || (i // 128)), CAST(8 * (i // 32 % 4) + 1 AS BIGINT), 8) AS BIGINT) >> CAST(i % 32 AS INTEGER)) & 1) - 1) AS DOUBLE) AS x FROM w, range(64) t(i) GROUP BY 1, 2),
+s AS (SELECT id, sqrt(sum(x * x)) AS n, sum(x) FILTER (i = 0) AS one, sum(x * (i + 1)) AS weighted FROM raw GROUP BY 1)
+SELECT item_id AS id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length, round(CASE WHEN n > 0 THEN one / n ELSE 0 END, 6) AS first, round(CASE WHEN n > 0 THEN weighted / n ELSE 0 END, 6) AS weighted FROM benchmark LEFT JOIN s ON id = item_id"""
+)
 def vec01_hash_embed(spark, d):
+    """Length, first number, and the sum of all numbers times their places."""
     rows = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    return vectors.hash_embed(rows, "id").select("id", F.round(vectors.norm("embedding"), 6).alias("length"))
+    weighted = vectors.dot("embedding", F.sequence(F.lit(1), F.lit(64)))
+    return vectors.hash_embed(rows, "id").select("id", F.round(vectors.norm("embedding"), 6).alias("length"), F.round(F.col("embedding")[0], 6).alias("first"), F.round(weighted, 6).alias("weighted"))
