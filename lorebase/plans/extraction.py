@@ -140,10 +140,13 @@ def _register(kind: str) -> None:
 for _kind in KINDS:
     _register(_kind)
 
-_UNION = f"WITH {_notes_sql()}, found AS (SELECT log_id, pattern, min_by(kind, n) AS kind FROM (" + " UNION ALL ".join(f"SELECT log_id, pattern, {lit(k)} AS kind, {n} AS n FROM ({s})" for n, (k, s) in enumerate((k, KINDS[k]) for k in extract.EXTRACTORS)) + ") GROUP BY 1, 2)"
+#: What all extractors find in notes (log_id, content, ts): a text once per log, under its first kind.
+FOUND = "found AS (SELECT log_id, pattern, min_by(kind, n) AS kind FROM (" + " UNION ALL ".join(f"SELECT log_id, pattern, {lit(k)} AS kind, {n} AS n FROM ({s})" for n, (k, s) in enumerate((k, KINDS[k]) for k in extract.EXTRACTORS)) + ") GROUP BY 1, 2)"
+BY_KIND = " SELECT kind, count(*) AS n, count(DISTINCT log_id) AS n_logs FROM found GROUP BY 1"
+_UNION = f"WITH {_notes_sql()}, {FOUND}"
 
 
-@query(_UNION + " SELECT kind, count(*) AS n, count(DISTINCT log_id) AS n_logs FROM found GROUP BY 1")
+@query(_UNION + BY_KIND)
 def ext15_union(spark, d):
     return extract.extract_all(notes(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("n_logs"))
 
@@ -157,12 +160,13 @@ def min01_extracted(spark, d):
     return extract.aggregate_patterns(extract.extract_all(notes(spark, d))).select("pattern_hash", "count", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))
 
 
-_RUN = _UNION + """, patterns AS MATERIALIZED (SELECT sha256(pattern) AS id, min({'t': ts, 'i': log_id, 'k': kind}) AS one, count(*) AS n FROM found JOIN notes USING (log_id) WHERE length(pattern) >= 30 GROUP BY pattern),
+RUN = FOUND + f""", patterns AS MATERIALIZED (SELECT sha256(pattern) AS id, min({{'t': ts, 'i': log_id, 'k': kind}}) AS one, count(*) AS n FROM found JOIN notes USING (log_id) WHERE length(pattern) >= 30 AND NOT regexp_matches(pattern, {lit('(?i)' + '|'.join(rules.SECRET_SIGNS))}) GROUP BY pattern),
 admitted AS MATERIALIZED (SELECT id, one.i AS log_id, one.k AS kind FROM patterns WHERE one.k NOT IN ('command', 'snippet')),
 links AS (SELECT DISTINCT a.id, b.id FROM admitted a JOIN admitted b USING (log_id) WHERE a.id <> b.id AND starts_with(b.kind, 'entity_') AND (NOT starts_with(a.kind, 'entity_') OR (a.kind = 'entity_decision' AND b.kind = 'entity_technology')))"""
+COUNTERS = " SELECT 'logs' AS counter, count(*) AS n FROM notes " + " ".join(f"UNION ALL SELECT '{c}', count(*) FROM {t}" for c, t in {"found": "found", "patterns": "patterns", "new_patterns": "patterns", "admitted": "admitted", "frequent": "patterns WHERE n >= 3", "links": "links"}.items())
 
 
-@query(_RUN + " SELECT 'logs' AS counter, count(*) AS n FROM notes " + " ".join(f"UNION ALL SELECT '{c}', count(*) FROM {t}" for c, t in {"found": "found", "patterns": "patterns", "new_patterns": "patterns", "admitted": "admitted", "frequent": "patterns WHERE n >= 3", "links": "links"}.items()))
+@query(f"WITH {_notes_sql()}, {RUN}{COUNTERS}")
 def min08_counters(spark, d):
     """A whole mining run over the notes: all extractors, aggregation, admission, entity links."""
     return jobs.run_mining(notes(spark, d), None, as_of())["run"]

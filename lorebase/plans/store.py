@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import rules, scores
 from lorebase.functions import text as tx
 from lorebase.operators import extract, feedback, graph, hotset, jobs, memory, reports, sequences, sessions
+from lorebase.plans import extraction
 from lorebase.plans.registry import AS_OF, SCOPE, case, days, hot_score, lit, query, recency, salience, trust_now
 from lorebase.sources.tables import as_of, load, spread, view
 
@@ -601,11 +602,18 @@ def min10_stats(spark, d):
     return extract.mining_stats(_mined(spark, d))
 
 
-@query()
+SAMPLE = "\nimport numpy.linalg\nThis project uses Spark and Parquet\n$ git status --short\nWe decided to keep one table per day because scans are cheap\nGET /v1/items\n"
+MINING_SAMPLE = "\nThis project uses Spark and Parquet for every table\nOur PostgreSQL database is slow. We decided to keep one table per day because scans are cheap\n"
+
+
+def _logs(content: str) -> str:
+    return f"notes AS MATERIALIZED (SELECT log_id, {content} AS content, ts FROM output_log), "
+
+
+@query("+" + _logs(f"content || {lit(SAMPLE)} || log_id") + extraction.FOUND + extraction.BY_KIND, "output_log")
 def ext15_extract_all(spark, d):
     """All extractors over the logs, each with a marked sentence appended, as the tables hold no such text."""
-    sample = "\nimport numpy.linalg\nThis project uses Spark and Parquet\n$ git status --short\nWe decided to keep one table per day because scans are cheap\nGET /v1/items\n"
-    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(sample), "log_id"))
+    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(SAMPLE), "log_id"))
     return extract.extract_all(logs).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("n_logs"))
 
 
@@ -614,11 +622,10 @@ def txt07_recategorize(spark, d):
     return jobs.recategorize(view(spark, d, "memories"), every=True)[1]
 
 
-@query()
+@query("+" + _logs(f"content || {lit(MINING_SAMPLE)}") + extraction.RUN + extraction.COUNTERS, "output_log")
 def min08_run_mining(spark, d):
     """All extractors over the whole log, with marked sentences appended as in ext15."""
-    sample = "\nThis project uses Spark and Parquet for every table\nOur PostgreSQL database is slow. We decided to keep one table per day because scans are cheap\n"
-    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(sample)))
+    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(MINING_SAMPLE)))
     return jobs.run_mining(logs, None, as_of())["run"]
 
 
