@@ -9,8 +9,8 @@
    for each distinct frequency of the one and of the other, and for the terms that both have. Only these last need the
    terms themselves; they stream through a task that keeps sums per pair of sources.
 
-All numbers are exact integers, up to 9e15 words a language. A word's documents are counted within one task, so spills
-happen between documents; a text is cut into pieces of bounded size where no word is.
+All numbers are exact integers, up to 9e15 words a language. A document's words are counted
+whole before they are posted, so runs only need to be added; a text is cut into pieces of bounded size where no word is.
 
 Defined results: null text, language or source is the empty text, and its group is one like any other. A language whose
 words are all rare keeps none: its pairs have the value 0 and it has no terms. Repeated rows and ids are rows of their own,
@@ -27,6 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,10 @@ from lorebase.llm.common import PASS_BYTES, Scratch, passes
 BLOCK_ENTRIES, FAN_IN = 400_000, 256
 #: Entries and bytes of terms in a segment at most; a longer term is a segment of its own.
 SEGMENT_ENTRIES, SEGMENT_BYTES = 512, 1 << 15
-#: Sources of a term whose pairs are summed at once, and sums that a task holds.
-SIDE, HELD = 1024, 1 << 20
+#: Sources of a term whose pairs one row tells, pairs that are summed at once, and sums that a task holds.
+SIDE, PAIRS, DENSE = 1024, 1 << 19, 1 << 21
+#: A posting counts its documents in units of this.
+DOC = 1 << 40
 ONE = 1_000_000_000
 RUN = "shard int, run long, lang string, term binary, segment binary"
 #: Letters and all bytes of other scripts stay, A-Z as a-z; the rest are spaces.
@@ -84,93 +87,88 @@ _RUN_SCHEMA = pa.schema([("shard", pa.int32()), ("run", pa.int64()), ("lang", pa
 
 
 def _index(shards: int, most: int):
-    """Blocks of postings in memory, spilled as runs whenever they hold most entries."""
-
-    def spill(counts, documents, run):
-        for lang, docs in documents.items():
-            postings = defaultdict(dict)
-            for (own, source), words in counts.items():
-                if own == lang:
-                    for term, n in words.items():
-                        postings[term][source] = n
+    """Blocks of postings in memory, spilled as runs whenever they hold most entries.
+
+    A posting is one number, the count and DOC times the documents: small, so that a block of many fits in a worker.
+    """
+
+    def spill(blocks, run):
+        for lang, own in groupby(sorted(blocks), key=lambda key: key[0]):
+            postings, documents = defaultdict(dict), Counter()
+            for key in own:
+                for term, n in blocks[key].items():
+                    postings[term][key[1]] = n % DOC
+                    documents[term] += n // DOC
             dealt = defaultdict(list)
             for term in sorted(postings):
-                dealt[zlib.crc32(term) % shards].append((term, docs[term], postings[term]))
+                dealt[zlib.crc32(term) % shards].append((term, documents[term], postings[term]))
             for shard, entries in dealt.items():
                 yield from _segments(shard, run, lang, entries)
 
     def rows(batches):
         run = TaskContext.get().partitionId() << 32
-        counts, documents, held = {}, {}, 0
+        blocks, held = {}, 0
         for batch in passes(batches, "text"):
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words, docs, seen = counts.setdefault((lang, source), Counter()), documents.setdefault(lang, Counter()), set()
-                before = len(words) + len(docs)
+                block, words = blocks.setdefault((lang, source), {}), Counter()
                 for piece in _pieces(text):
                     words.update(piece)
-                    seen.update(piece)
-                docs.update(seen)
-                held += len(words) + len(docs) - before
+                get, held = block.get, held - len(block)
+                for term, n in words.items():
+                    block[term] = get(term, 0) + n + DOC
+                held += len(block)
                 if held >= most:
-                    yield from spill(counts, documents, run)
-                    counts, documents, held, run = {}, {}, 0, run + 1
-        yield from spill(counts, documents, run)
+                    yield from spill(blocks, run)
+                    blocks, held, run = {}, 0, run + 1
+        yield from spill(blocks, run)
 
     return lambda batches: _batches(rows(batches), _RUN_SCHEMA)
 
 
 def _merged(segments):
-    """(lang, term, documents, {source: count}) in order, from (lang, first term, segment) rows in order."""
-    heap, opened = [], 0
+    """(term, documents, {source: count}) in order, from a language's (first term, segment) rows in order."""
+    heap: list = []
 
     def until(limit):
-        while heap and (limit is None or heap[0][:2] < limit):
-            lang, term, number, at, entries = heap[0]
-            yield lang, term, entries[at][1], entries[at][2]
-            if at + 1 < len(entries):
-                heapq.heapreplace(heap, (lang, entries[at + 1][0], number, at + 1, entries))
-            else:
-                heapq.heappop(heap)
-
-    def flat():
-        nonlocal opened
-        for lang, term, segment in segments:
-            yield from until((lang, term))
-            opened += 1
-            heapq.heappush(heap, (lang, term, opened, 0, pickle.loads(zlib.decompress(segment))))
-        yield from until(None)
-
-    last = None
-    for lang, term, docs, postings in flat():
-        if last and last[0] == lang and last[1] == term:
-            last[2] += docs
-            for source, n in postings.items():
-                last[3][source] = last[3].get(source, 0) + n
-        else:
-            if last:
-                yield tuple(last)
-            last = [lang, term, docs, dict(postings)]
-    if last:
-        yield tuple(last)
+        while heap and (limit is None or heap[0][0] < limit):
+            term, number, at, entries = heap[0]
+            docs, postings = entries[at][1:]
+            while True:  # the term's further entries are on top of the heap, too
+                at += 1
+                if at < len(entries):
+                    heapq.heapreplace(heap, (entries[at][0], number, at, entries))
+                else:
+                    heapq.heappop(heap)
+                if not heap or heap[0][0] != term:
+                    break
+                _, number, at, entries = heap[0]
+                docs += entries[at][1]
+                for source, n in entries[at][2].items():
+                    postings[source] = postings.get(source, 0) + n
+            yield term, docs, postings
+
+    for number, (term, segment) in enumerate(segments):
+        yield from until(term)
+        heapq.heappush(heap, (term, number, 0, pickle.loads(zlib.decompress(segment))))
+    yield from until(None)
 
 
 def _streams(batches):
-    """((shard, run), its (lang, term, segment) rows) for rows sorted by shard and run."""
-    rows = ((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)))
-    for key, group in groupby(rows, key=lambda r: (r[0], r[1])):
-        yield key, ((lang, term, segment) for _, _, lang, term, segment in group)
+    """(shard, run, lang, its (term, segment) rows) for rows sorted by these."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for key, group in groupby(rows, key=lambda r: r[:3]):
+        yield *key, (row[3:] for row in group)
 
 
 def _longer_runs(batches):
-    rows = (s for (shard, run), stream in _streams(batches) for lang, entries in groupby(_merged(stream), key=lambda e: e[0]) for s in _segments(shard, run, lang, (e[1:] for e in entries)))
-    return _batches(rows, _RUN_SCHEMA)
+    return _batches((s for shard, run, lang, rows in _streams(batches) for s in _segments(shard, run, lang, _merged(rows))), _RUN_SCHEMA)
 
 
 def _frequencies(least: int):
     schema = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("n_docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches):
-        rows = ((lang, term, docs, list(postings), list(postings.values())) for _, stream in _streams(batches) for lang, term, docs, postings in _merged(stream) if docs >= least)
+        rows = ((lang, term, docs, list(postings), list(postings.values())) for _, _, lang, stream in _streams(batches) for term, docs, postings in _merged(stream) if docs >= least)
         return _batches(rows, schema, 2048)
 
     return run
@@ -210,47 +208,48 @@ def distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _pair_sums(batches):
-    """Sums per pair of groups of what their common terms add; a row is a term's (group, p, p without the term), side: the groups told here."""
+def _pair_sums(most: int, pairs: int, matrix: int):
+    """Sums per pair of groups of what their common terms add; a row is a term's groups, p, p without the term, and which most of them are told here.
+
+    Each batch's sums are told in pairs, summed in a matrix where that has at most so many cells.
+    """
 
     def f(p, q):
         return (p - q) * (p - q) // q
 
-    def summed(held):
-        a, b, value = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a))
-        a, b, value = a[order], b[order], value[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return [(a[first], b[first], np.add.reduceat(value, first))]
-
-    def emitted(held):
-        for a, b, value in held:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value)], ["a", "b", "value"])
-
-    held, size = [], 0
-    for batch in batches:
-        group, p, p0 = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
-        sizes = np.asarray(pa.compute.list_value_length(batch.column(0)))
-        own, ends = batch.column(3).to_numpy(), np.cumsum(sizes)
-        for lo, hi, side in zip(ends - sizes, ends, own, strict=True):
-            at = np.arange(lo, hi)
-            for begin in range(lo + side * SIDE, min(hi, lo + (side + 1) * SIDE), 64):
-                left = at[begin - lo : min(begin - lo + 64, side * SIDE + SIDE)]
-                pa_, pb = p[left][:, None], p[at][None, :]
-                base_a, base_b = p0[left][:, None], p0[at][None, :]
-                value = f(pa_, pb) - f(pa_, base_b) - f(base_a, pb) + f(base_a, base_b)
-                a, b = np.broadcast_arrays(group[left][:, None], group[at][None, :])
-                differ = a != b
-                held.append((a[differ], b[differ], value[differ]))
-                size += len(held[-1][0])
-            if size > HELD:
-                held = summed(held)
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from emitted(held)
-                    held, size = [], 0
-    if size:
-        yield from emitted(summed(held))
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, p, p0 = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
+            sizes = pa.compute.list_value_length(batch.column(0)).to_numpy().astype(np.int64)
+            ends, side = np.cumsum(sizes), batch.column(3).to_numpy().astype(np.int64) * most
+            told = np.minimum(sizes - side, most)
+            left = np.arange(told.sum()) + np.repeat(ends - sizes + side - np.cumsum(told) + told, told)
+            start, many = np.repeat(ends - sizes, told), np.repeat(sizes, told)
+            names, code = np.unique(group, return_inverse=True)
+            dense = np.zeros(len(names) ** 2, np.int64) if len(names) ** 2 <= matrix else None
+            upto, lo = np.cumsum(many), 0
+            while lo < len(left):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + pairs, "right")))
+                n = many[lo:hi]
+                a = np.repeat(left[lo:hi], n)
+                b = np.arange(len(a)) + np.repeat(start[lo:hi] - np.cumsum(n) + n, n)
+                a, b = a[a != b], b[a != b]
+                value, key = f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b]), code[a] * len(names) + code[b]
+                if dense is not None:
+                    np.add.at(dense, key, value)
+                else:
+                    keys, back = np.unique(key, return_inverse=True)
+                    sums = np.zeros(len(keys), np.int64)
+                    np.add.at(sums, back, value)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[keys // len(names)]), pa.array(names[keys % len(names)]), pa.array(sums)], ["a", "b", "value"])
+                lo = hi
+            if dense is not None:
+                keys = np.flatnonzero(dense)
+                yield pa.RecordBatch.from_arrays([pa.array(names[keys // len(names)]), pa.array(names[keys % len(names)]), pa.array(dense[keys])], ["a", "b", "value"])
+
+    return run
 
 
 def audit(docs: DataFrame, least: int = 3, top: int = 200, block: int | None = None, fan_in: int | None = None) -> DataFrame:
@@ -269,7 +268,7 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, block: int | None = N
 
     same = posts.groupBy("lang", "term").agg(F.collect_list(F.struct("number", "p", "p0")).alias("s")).filter(F.size("s") > 1)
     same = same.select("s.number", "s.p", "s.p0", F.explode(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / SIDE).cast("int"))).alias("side"))
-    common = same.mapInArrow(_pair_sums, "a long, b long, value long")
+    common = same.mapInArrow(_pair_sums(SIDE, PAIRS, DENSE), "a long, b long, value long")
     spread = posts.groupBy("lang", "number", "p", "p0").agg(F.count("*").alias("n"))
     other = groups.select("lang", F.col("number").alias("other"), F.col("p0").alias("other_p0"))
     # The result names every pair of a language's sources; each of a source's frequencies meets each other source once.

@@ -51,9 +51,11 @@ def test_equals_brute_force(spark, block, fan_in):
     assert sorted((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in got) == brute(rows)
 
 
-def test_many_sources_and_sides(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [1 << 21, 10])
+def test_many_sources_and_sides(spark, monkeypatch, dense):
     monkeypatch.setattr(divergence, "SIDE", 3)
-    monkeypatch.setattr(divergence, "HELD", 20)
+    monkeypatch.setattr(divergence, "PAIRS", 20)
+    monkeypatch.setattr(divergence, "DENSE", dense)
     rng = random.Random(5)
     rows = [(" ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(rng.randint(1, 9))), "en", f"s{i % 11}") for i in range(60)]
     got = divergence.audit(docs(spark, rows), top=2).collect()
@@ -69,5 +71,5 @@ def test_empty_table_and_rare_words(spark):
 def test_merge_opens_segments_only_when_reached():
     entries = [(b"a", 1, {"s": 1}), (b"c", 2, {"s": 5}), (b"d", 1, {"t": 1})]
     other = [(b"b", 1, {"t": 2}), (b"c", 1, {"t": 7, "s": 1})]
-    segments = [row[2:] for row in sorted([*divergence._segments(0, 1, "en", entries), *divergence._segments(0, 2, "en", other)], key=lambda r: r[2:4])]
-    assert list(divergence._merged(iter(segments))) == [("en", b"a", 1, {"s": 1}), ("en", b"b", 1, {"t": 2}), ("en", b"c", 3, {"s": 6, "t": 7}), ("en", b"d", 1, {"t": 1})]
+    segments = [row[3:] for row in sorted([*divergence._segments(0, 1, "en", entries), *divergence._segments(0, 2, "en", other)], key=lambda r: r[2:4])]
+    assert list(divergence._merged(iter(segments))) == [(b"a", 1, {"s": 1}), (b"b", 1, {"t": 2}), (b"c", 3, {"s": 6, "t": 7}), (b"d", 1, {"t": 1})]
