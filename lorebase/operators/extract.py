@@ -1,15 +1,19 @@
 """Patterns mined from logs: extractors, their union, aggregation, scoring and admission.
 
-An extractor is a list of expressions; their groups are taken by regexp_extract_all in the JVM, one array per
-group, zipped by match. logs: log_id, content, ts, project_id, session_id.
+An extractor is a list of expressions; their groups are arrays of what each match holds, zipped by match. One extractor
+takes them by regexp_extract_all; all together take them from one pass over each text that tries an expression
+only around the literals which it needs (lorebase.functions.literals). logs: log_id, content, ts, project_id, session_id.
 """
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from lorebase.functions import rules
+from lorebase.functions import literals, rules
 from lorebase.functions import text as tx
 from lorebase.operators.graph import link
 
@@ -96,8 +100,17 @@ DECISION_ENTITIES = [
     (r"(?:the )?decision (?:was |is )?to\s+(.{10,80})", False, False, False),
 ]
 
+#: (expression, group) whose finds are in the column finds; none: expressions are run where they are used.
+_SHARED: ContextVar[list | None] = ContextVar("shared", default=None)
+
+
 def _all(pattern: str, group: int, flags: str = "") -> Column:
-    return F.regexp_extract_all("content", F.lit(flags + pattern), F.lit(group))
+    shared, key = _SHARED.get(), (flags + pattern, group)
+    if shared is None:
+        return F.regexp_extract_all("content", F.lit(flags + pattern), F.lit(group))
+    if key not in shared:
+        shared.append(key)
+    return F.get("finds", F.lit(shared.index(key)))
 
 
 def _groups(pattern: str, n: int, join: str, flags: str = "(?i)") -> Column:
@@ -288,8 +301,15 @@ def extract_all(logs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     def tag(n: int, k: str):
         return lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.lit(k).alias("kind"), x["pattern"].alias("pattern"), x["confidence"].cast("double").alias("confidence"))
 
-    tagged = [F.transform(EXTRACTORS[k](), tag(n, k)) for n, k in enumerate(kinds)]
-    rows = logs.select("log_id", "ts", "project_id", "session_id", F.explode(F.concat(*tagged)).alias("f")).select("log_id", "ts", "project_id", "session_id", "f.*")
+    token = _SHARED.set([])
+    try:
+        tagged = [F.transform(EXTRACTORS[k](), tag(n, k)) for n, k in enumerate(kinds)]
+        keys = _SHARED.get()
+    finally:
+        _SHARED.reset(token)
+    rows = logs.select("log_id", "ts", "project_id", "session_id", "content").filter("content IS NOT NULL")
+    rows = rows.mapInArrow(literals.finder(keys, "content"), StructType([*rows.schema.fields, StructField("finds", ArrayType(ArrayType(StringType())))]))
+    rows = rows.select("log_id", "ts", "project_id", "session_id", F.explode(F.concat(*tagged)).alias("f")).select("log_id", "ts", "project_id", "session_id", "f.*")
     best = rows.groupBy("log_id", "pattern").agg(F.min_by(F.struct("ts", "project_id", "session_id", "kind", "confidence"), F.struct("n", "i")).alias("r"))
     return best.select("log_id", "pattern", "r.*")
 

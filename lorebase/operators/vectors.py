@@ -4,23 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
 from lorebase.functions import text as tx
-from lorebase.operators import graph
+from lorebase.operators import cells, graph
 from lorebase.sources.shared import cut
 
-#: Query vectors in one block.
-QUERY_BLOCK = 1024
-#: Rows of the corpus that one task holds, and queries that it compares with them at once.
-CORPUS_PART, QUERY_STEP = 16384, 256
 #: Centroids that are broadcast at most (4 MB at a thousand numbers each).
 MOST_LABELS = 512
-#: Rows of one block of a search for pairs, at 64 numbers a row; fewer if they are longer.
-PAIR_BLOCK = 4096
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -49,132 +42,6 @@ def hash_embed(df: DataFrame, key: str, text: str = "content", dim: int = 64) ->
     return out.select(key, F.transform("raw", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("embedding"))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
-def knn(queries: DataFrame, corpus: DataFrame, k: int, dim: int, same: list[str] | None = None) -> DataFrame:
-    """Exact nearest neighbours by cosine: query_id, id, similarity, rank; a row is not its own neighbour.
-
-    queries: query_id, embedding; corpus: id, embedding; `same`: columns that must agree on both sides.
-    Queries go in blocks of QUERY_BLOCK to every part of the corpus; each part keeps k rows per query,
-    so what is shuffled is queries times parts times k rows, never all pairs.
-    """
-    spark = corpus.sparkSession
-    same = same or []
-    # A part has about CORPUS_PART rows at most at any size of the corpus.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_PART))
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.select("query_id", "embedding", *same).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    left = corpus.select("id", "embedding", *same).withColumn("part", part).withColumn("block", every).select("block", "part", F.lit(0).alias("side"), "id", "embedding", *same)
-    right = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("block", "part", F.lit(1).alias("side"), F.col("query_id").alias("id"), "embedding", *same)
-
-    def best(batches):
-        key, c_ids, c_vec, c_same, done = None, [], [], [], []
-
-        def flush(batch_q):
-            ids, vec = np.concatenate(c_ids), np.vstack(c_vec)
-            size = np.sqrt((vec * vec).sum(axis=1))
-            for at in range(0, len(batch_q[0]), QUERY_STEP):
-                step = slice(at, at + QUERY_STEP)
-                compare(ids, vec, size, batch_q[0][step], batch_q[1][step], [x[step] for x in batch_q[2]])
-
-        def compare(ids, vec, size, q_ids, q_vec, q_same):
-            q_size = np.sqrt((q_vec * q_vec).sum(axis=1))
-            scale = q_size[:, None] * size[None, :]
-            sim = np.where(scale > 0, (q_vec @ vec.T) / np.where(scale > 0, scale, 1), 0.0)
-            allowed = q_ids[:, None] != ids[None, :]
-            for j in range(len(same)):
-                allowed &= q_same[j][:, None] == np.concatenate([s[j] for s in c_same])[None, :]
-            for i in range(len(q_ids)):
-                own = np.flatnonzero(allowed[i])
-                far = -np.round(sim[i][own], 12)
-                if len(own) > k:  # all that tie with the k-th stay until ids decide
-                    near = far <= np.partition(far, k - 1)[k - 1]
-                    own, far = own[near], far[near]
-                own = own[np.lexsort((ids[own], far))][:k]
-                done.append((np.full(len(own), q_ids[i]), ids[own], sim[i][own]))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.column_stack([batch.column(c).to_numpy() for c in range(3)])
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                piece = batch.slice(lo, hi - lo)
-                if tuple(keys[lo, :2]) != key:
-                    key, c_ids, c_vec, c_same = tuple(keys[lo, :2]), [], [], []
-                rows = piece.column(3).to_numpy(), _matrix(piece.column(4), dim), [np.array(piece.column(5 + j).to_pylist(), object) for j in range(len(same))]
-                if keys[lo, 2] == 0:
-                    c_ids.append(rows[0])
-                    c_vec.append(rows[1])
-                    c_same.append(rows[2])
-                elif c_ids:
-                    flush(rows)
-            if done:
-                q, i, s = (np.concatenate(x) for x in zip(*done, strict=True))
-                done = []
-                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s)], ["query_id", "id", "similarity"])
-
-    met = left.unionByName(right).repartition(parts, "block", "part").sortWithinPartitions("block", "part", "side")
-    found = met.mapInArrow(best, "query_id long, id long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def pair_blocks(vectors: DataFrame, least: int = 8) -> int:
-    """Number of blocks, so that a block has about PAIR_BLOCK rows at most at any size of the table."""
-    n = vectors.agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim")).first()
-    return max(least, -(-n.rows // max(1, PAIR_BLOCK * 64 // max(64, n.dim or 0))))
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, parts: int | None = None) -> DataFrame:
-    """Pairs a < b whose cosine reaches the threshold, by blocks of rows: each pair of blocks is one group.
-
-    The work is that of a whole search. The number of blocks grows with the table (pair_blocks), so a group stays
-    small: of two blocks, one is held and the other passes in Arrow batches. Every row moves once per block, and only
-    pairs that reach the threshold are returned. vectors: id, embedding.
-    """
-    spark = vectors.sparkSession
-    parts = parts or pair_blocks(vectors)
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    rows = vectors.filter("embedding IS NOT NULL").select("id", "embedding", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    first = F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.select(*first, (F.col("part") == F.col("other")).alias("same"), (F.col("part") > F.col("other")).alias("second"), "id", "embedding")
-    rows = rows.repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "second", "id")
-
-    def unit(column: pa.Array) -> np.ndarray:
-        vec = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-        size = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
-        return np.where(size > 0, vec / np.where(size > 0, size, 1), 0.0)
-
-    def pairs(batches):
-        key, held = None, []
-        for batch in batches:
-            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)])
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                piece, (i, j, same, second) = batch.slice(lo, hi - lo), keys[lo].tolist()
-                if (i, j) != key:
-                    key, held = (i, j), []
-                own = piece.column(4).to_numpy().astype(np.int64), unit(piece.column(5))
-                if not second:
-                    held.append(own)
-                for ids, vec in held if same or second else []:
-                    for at in range(0, len(ids), 512):
-                        sim = vec[at : at + 512] @ own[1].T
-                        x, y = np.nonzero(sim >= threshold)
-                        left, right = ids[at + x], own[0][y]
-                        keep = left < right if same else left != right
-                        if keep.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)[keep]), pa.array(np.maximum(left, right)[keep]), pa.array(sim[x, y][keep])], ["a", "b", "similarity"])
-
-    return rows.mapInArrow(pairs, "a long, b long, similarity double")
-
-
 def tokens(text: Column, min_chars: int = 2) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.char_length(w) >= min_chars)
 
@@ -238,7 +105,7 @@ def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None, lower
     return ranked, counts.join(top, "query_id", "left").withColumn("confidence", label)
 
 
-def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, dim: int, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None, lower: float = 0.0, where: Column | str | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None, lower: float = 0.0, where: Column | str | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Batch recall: vector candidates (3k), keyword scores (query_id, id, score), ranking and a summary per query.
 
     where: only memories that fulfil it are candidates. edges (from_id, to_id, relation_type): memories that are related
@@ -248,7 +115,7 @@ def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column
     if where is not None:
         mem = mem.filter(where)
         vectors = vectors.join(mem.select("id"), "id", "left_semi")
-    near = knn(queries, vectors, 3 * k, dim)
+    near = cells.knn(queries, vectors, 3 * k)
     cands = near.join(queries.select("query_id", *[c for c in ("mode",) if c in queries.columns]), "query_id")
     if "mode" not in queries.columns:
         cands = cands.withColumn("mode", F.lit("balanced"))

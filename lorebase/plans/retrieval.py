@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
-from lorebase.operators import feedback, graph, sequences, vectors
+from lorebase.operators import cells, feedback, graph, sequences, vectors
 from lorebase.plans import store
 from lorebase.plans.registry import AS_OF, case, days, lit, query, trust_now
 from lorebase.sources.shared import cut
@@ -19,7 +19,7 @@ NEAR = f"near AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION
 def _near(spark, d, k):
     vec = view(spark, d, "vectors")
     asked = vec.filter("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
-    return vectors.knn(asked, vec.select(F.col("memory_id").alias("id"), "embedding"), k, DIM)
+    return cells.knn(asked, vec.select(F.col("memory_id").alias("id"), "embedding"), k)
 
 
 @query("+" + NEAR + " SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM near WHERE rank <= 10", "vectors")
@@ -31,7 +31,7 @@ PAIRS = f"pairs AS (SELECT q.memory_id AS a, v.memory_id AS b, {COS} AS similari
 
 
 def _pairs(spark, d):
-    return vectors.similar_pairs(view(spark, d, "vectors").withColumnRenamed("memory_id", "id"), 0.35)
+    return cells.similar_pairs(view(spark, d, "vectors").withColumnRenamed("memory_id", "id"), 0.35)
 
 
 @query("+" + PAIRS + " SELECT a, b, round(similarity, 6) AS similarity FROM pairs", "vectors")
@@ -72,7 +72,7 @@ def _recall(spark, d):
     texts = mem.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(vectors.tokens(F.col("content")), 1, 8), " ").alias("text"))
     keywords = vectors.bm25(mem.select("id", F.col("content").alias("text")), texts, top=30)
     # The tables' vectors are far apart, so every threshold is 0.4 lower.
-    return vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), DIM, keywords=keywords, lower=0.4)
+    return vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), keywords=keywords, lower=0.4)
 
 
 def _ranked_sql(threshold: float) -> str:
@@ -140,7 +140,7 @@ def vec08_recall_filtered(spark, d):
     vec, mem = view(spark, d, "vectors"), view(spark, d, "memories")
     asked = vec.filter("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
     # The tables' vectors are far apart, so the threshold is 0.4 lower.
-    ranked, _ = vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), DIM, lower=0.4, where=_KEPT, edges=view(spark, d, "edges"))
+    ranked, _ = vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), lower=0.4, where=_KEPT, edges=view(spark, d, "edges"))
     return ranked.select("query_id", "id", F.coalesce("via_id", F.lit(-1)).alias("via_id"), F.round("score", 6).alias("score"))
 
 

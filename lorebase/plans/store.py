@@ -613,7 +613,7 @@ def _logs(content: str) -> str:
 @query("+" + _logs(f"content || {lit(SAMPLE)} || log_id") + extraction.FOUND + extraction.BY_KIND, "output_log")
 def ext15_extract_all(spark, d):
     """All extractors over the logs, each with a marked sentence appended, as the tables hold no such text."""
-    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(SAMPLE), "log_id"))
+    logs = spread(view(spark, d, "output_log")).withColumn("content", F.concat("content", F.lit(SAMPLE), "log_id"))
     return extract.extract_all(logs).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("n_logs"))
 
 
@@ -625,7 +625,7 @@ def txt07_recategorize(spark, d):
 @query("+" + _logs(f"content || {lit(MINING_SAMPLE)}") + extraction.RUN + extraction.COUNTERS, "output_log")
 def min08_run_mining(spark, d):
     """All extractors over the whole log, with marked sentences appended as in ext15."""
-    logs = view(spark, d, "output_log").repartition("log_id").withColumn("content", F.concat("content", F.lit(MINING_SAMPLE)))
+    logs = spread(view(spark, d, "output_log")).withColumn("content", F.concat("content", F.lit(MINING_SAMPLE)))
     return jobs.run_mining(logs, None, as_of())["run"]
 
 

@@ -5,12 +5,13 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorebase.functions import rules
 from lorebase.functions import text as tx
-from lorebase.operators import extract, feedback, graph, hotset, jobs, memory, sequences, vectors
+from lorebase.operators import cells, extract, feedback, graph, hotset, jobs, memory, sequences, vectors
 from lorebase.sources.tables import view
 
 T0 = dt.datetime(2024, 1, 31)
@@ -175,18 +176,63 @@ def test_star_clusters_equal_greedy(spark):
     assert members == greedy(nodes, pairs)
 
 
-def test_pair_blocks_grow_with_the_table_and_lose_nothing(spark, monkeypatch):
-    rng = random.Random(12)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(300, [0.0] * 6)]
-    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
-    assert vectors.pair_blocks(df) == 8 and vectors.pair_blocks(df.limit(0)) == 8
-    monkeypatch.setattr(vectors, "PAIR_BLOCK", 20)
-    assert vectors.pair_blocks(df) == 16
-    unit = {i: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v] for i, v in rows}
-    want = {(a, b) for a, b in itertools.combinations(unit, 2) if sum(x * y for x, y in zip(unit[a], unit[b], strict=True)) >= 0.5}
-    for parts in (None, 1):
-        got = [(r.a, r.b) for r in vectors.similar_pairs(df, 0.5, parts).collect()]
-        assert len(got) == len(want) and set(got) == want
+def vectors_in_groups(n, dim, noise, groups=12, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    rows = centres[np.arange(n) % groups] + noise * rng.normal(size=(n, dim))
+    rows[7], rows[20:30] = 0, rows[8]  # a zero vector, copies
+    return [(i, v.tolist()) for i, v in enumerate(rows)]
+
+
+def cosines(rows):
+    m = np.array([v for _, v in rows])
+    size = np.linalg.norm(m, axis=1)
+    return m @ m.T / np.where(np.outer(size, size) > 0, np.outer(size, size), 1)
+
+
+@pytest.mark.parametrize(("noise", "threshold", "block"), [(0.05, 0.9, 4096), (0.3, 0.7, 10), (3.0, 0.5, 7), (0.3, -0.1, 16), (0.3, 0.0, 4096)])
+def test_similar_pairs_by_cells_lose_nothing(spark, noise, threshold, block):
+    rows = vectors_in_groups(150, 8, noise)
+    df = spark.createDataFrame([*rows, (900, None)], "id long, embedding array<double>").repartition(3)
+    sims = cosines(rows)
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if sims[i, j] >= threshold}
+    edge = {(i, j) for i in range(150) for j in range(i + 1, 150) if abs(sims[i, j] - threshold) < 1e-9}
+    got = [(r.a, r.b) for r in cells.similar_pairs(df, threshold, cell_rows=10, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) - edge == want - edge and want
+
+
+def test_cells_save_comparisons_where_vectors_are_grouped(spark):
+    counts = {}
+    for noise in (0.05, 5.0):
+        df = spark.createDataFrame(vectors_in_groups(600, 16, noise), "id long, embedding array<double>")
+        counts[noise] = cells.compared(cells.pair_groups(df, 0.9, cell_rows=40)).first()
+    assert counts[0.05].pairs < 600 * 599 / 2 / 5 and counts[0.05].rows < 700  # hardly any copies
+    assert counts[5.0].pairs <= 600 * 599 / 2  # never a pair twice
+
+
+@pytest.mark.parametrize(("noise", "k", "part"), [(0.05, 3, 16384), (3.0, 12, 16384), (0.3, 5, 11), (0.05, 200, 16384)])
+def test_nearest_by_cells_equal_brute_force(spark, monkeypatch, noise, k, part):
+    monkeypatch.setattr(cells, "CORPUS_PART", part)
+    rows = vectors_in_groups(160, 8, noise)
+    df = spark.createDataFrame([*rows, (900, None)], "id long, embedding array<float>").repartition(3)
+    asked = df.filter("id % 10 = 0 OR id = 7").select(F.col("id").alias("query_id"), "embedding")
+    got = {(r.query_id, r["rank"]): r.id for r in cells.knn(asked, df, k, cell_rows=10).collect()}
+    sims = np.round(cosines([(i, np.float32(v).astype(float)) for i, v in rows]), 12)
+    want = {(q, n + 1): i for q in [*range(0, 160, 10), 7] for n, i in enumerate(sorted((i for i in range(160) if i != q), key=lambda i: (-sims[q, i], i))[:k])}
+    assert got == want
+
+
+def test_nearest_with_equal_columns(spark):
+    rows = vectors_in_groups(80, 8, 0.3)
+    df = spark.createDataFrame([(i, v, f"p{i % 3}") for i, v in rows], "id long, embedding array<double>, project string")
+    asked = df.filter("id % 8 = 0").select(F.col("id").alias("query_id"), "embedding", "project")
+    got = cells.knn(asked, df, 30, same=["project"], cell_rows=10).collect()
+    assert len(got) == sum(sum(1 for i in range(80) if i % 3 == q % 3 and i != q) for q in range(0, 80, 8)) and all(r.id % 3 == r.query_id % 3 for r in got)
+
+
+def test_searches_of_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    assert cells.similar_pairs(none, 0.5).collect() == [] and cells.knn(none.withColumnRenamed("id", "query_id"), none, 3).collect() == []
 
 
 def test_recall_fuses_keywords_and_gives_events(spark):
@@ -258,7 +304,7 @@ def test_knn_does_not_depend_on_partitions(spark, parts):
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(parts)
     asked = df.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
-    got = vectors.knn(asked, df, 3, 8).collect()
+    got = cells.knn(asked, df, 3).collect()
     assert len(got) == 18 and {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in range(0, 60, 10) for k in (1, 2, 3)}
 
 
