@@ -42,36 +42,6 @@ def hash_embed(df: DataFrame, key: str, text: str = "content", dim: int = 64) ->
     return out.select(key, F.transform("raw", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("embedding"))
 
 
-def tokens(text: Column, min_chars: int = 2) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.char_length(w) >= min_chars)
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top: int | None = None) -> DataFrame:
-    """Keyword scores of documents that share a word with a query: query_id, id, bm25, score (best 1, worst 0).
-
-    docs: id, text; queries: query_id, text. Postings are counted map-side; only words of queries are kept,
-    and the join is by word.
-    """
-    words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    posts = docs.select("id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    # One pass over the texts: every document also has a row without a term, for the number and mean length of all.
-    terms = posts.select("id", "length", F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
-    wanted = words.select("term").distinct().unionByName(words.sparkSession.createDataFrame([("",)], "term string"))
-    every = cut(terms.join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf")), "postings")
-    size = every.filter("term = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    tf = every.filter("term <> ''")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(size).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = words.join(idf, "term").join(tf, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
-    if top is not None:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id"))
-        scored = scored.withColumn("n", rank).filter(F.col("n") <= top).drop("n")
-    by = Window.partitionBy("query_id")
-    spread = F.max("bm25").over(by) - F.min("bm25").over(by)
-    return scored.withColumn("score", F.when(spread > 0, (F.col("bm25") - F.min("bm25").over(by)) / spread).otherwise(1.0))
-
-
 def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None, lower: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(ranked, summary) of candidates by recall mode.
 
@@ -101,28 +71,51 @@ def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None, lower
     ranked = rows.filter(~F.col("gated")).withColumn("rank", order).filter(F.col("rank") <= F.col("limit"))
     top = ranked.filter("rank = 1").select("query_id", F.col("similarity").alias("top_similarity"))
     counts = rows.groupBy("query_id").agg(F.sum(F.col("gated").cast("long")).alias("n_gated"), F.count("*").alias("n_candidates"))
+    counts = counts.withColumn("n_results", F.col("n_candidates") - F.col("n_gated"))
     label = F.when(F.col("top_similarity").isNull(), "low").when(F.col("top_similarity") > 0.85, "high").otherwise("medium")
     return ranked, counts.join(top, "query_id", "left").withColumn("confidence", label)
 
 
-def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None, lower: float = 0.0, where: Column | str | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Batch recall: vector candidates (3k), keyword scores (query_id, id, score), ranking and a summary per query.
+def candidates(queries: DataFrame, vectors: DataFrame, k: int, keywords: DataFrame | None = None, union: bool = False) -> DataFrame:
+    """(query_id, id, similarity, keyword) of the k nearest rows of each query.
 
-    where: only memories that fulfil it are candidates. edges (from_id, to_id, relation_type): memories that are related
-    to the ranked ones, also of other kinds than where asks for, follow them with a lesser score and no rank; via_id says by which.
+    keywords (query_id, id, score): 0 where they have no score. union: rows with a keyword score are candidates too; those
+    that are not among the nearest get their own similarity, or 0 without a vector.
+    """
+    near = cells.knn(queries, vectors, k).drop("rank")
+    if keywords is None:
+        return near.withColumn("keyword", F.lit(0.0))
+    keywords = keywords.select("query_id", "id", F.col("score").alias("keyword"))
+    if not union:
+        return near.join(keywords, ["query_id", "id"], "left").na.fill(0.0, ["keyword"])
+    both = near.join(keywords.join(queries.select("query_id"), "query_id", "left_semi").filter("id <> query_id"), ["query_id", "id"], "full")
+    own = queries.select("query_id", F.col("embedding").alias("asked")), vectors.select("id", "embedding")
+    both = both.join(own[0], "query_id").join(own[1], "id", "left")
+    similarity = F.coalesce("similarity", F.when(F.col("embedding").isNotNull(), cosine("asked", "embedding")), F.lit(0.0))
+    return both.select("query_id", "id", similarity.alias("similarity"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"))
+
+
+def guidance(summary: DataFrame) -> DataFrame:
+    """Adds the code of what to make of a query's results: use, verify, filtered (all below the threshold), none, or none_precise (try a wider mode)."""
+    code = F.when(F.col("n_results") > 0, F.when(F.col("confidence") == "high", "use").when(F.col("confidence") == "medium", "verify").otherwise("careful"))
+    return summary.withColumn("guidance", F.coalesce(code, F.when(F.col("n_gated") > 0, "filtered").when(F.col("mode") == "precision", "none_precise").otherwise("none")))
+
+
+def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column, k: int = 10, keywords: DataFrame | None = None, boosts: DataFrame | None = None, lower: float = 0.0, where: Column | str | None = None, edges: DataFrame | None = None, union: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Batch recall: candidates (the 3k nearest; with union also those of keywords), ranking, and a summary of every query with its guidance.
+
+    keywords: query_id, id, score. where: only memories that fulfil it are candidates. edges (from_id, to_id, relation_type): memories
+    that are related to the ranked ones, also of other kinds than where asks for, follow them with a lesser score and no rank; via_id says by which.
     """
     every = mem
     if where is not None:
         mem = mem.filter(where)
         vectors = vectors.join(mem.select("id"), "id", "left_semi")
-    near = cells.knn(queries, vectors, 3 * k)
-    cands = near.join(queries.select("query_id", *[c for c in ("mode",) if c in queries.columns]), "query_id")
-    if "mode" not in queries.columns:
-        cands = cands.withColumn("mode", F.lit("balanced"))
-    cands = cands.drop("rank").join(mem, "id")
-    keyword = keywords.select("query_id", "id", F.col("score").alias("keyword")) if keywords is not None else None
-    cands = cands.join(keyword, ["query_id", "id"], "left") if keyword is not None else cands.withColumn("keyword", F.lit(0.0))
+    modes = queries.select("query_id", F.coalesce("mode", F.lit("balanced")).alias("mode") if "mode" in queries.columns else F.lit("balanced").alias("mode"))
+    cands = candidates(queries, vectors, 3 * k, keywords, union).join(modes, "query_id").join(mem, "id")
     ranked, summary = rank(cands, as_of, boosts, lower)
+    summary = modes.join(summary, "query_id", "left").na.fill(0, ["n_gated", "n_candidates", "n_results"]).na.fill("low", ["confidence"])
+    summary = guidance(summary)
     if edges is None:
         return ranked, summary
     ranked = cut(ranked, "ranked")  # read for itself and for its neighbours

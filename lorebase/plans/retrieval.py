@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
-from lorebase.operators import cells, feedback, graph, sequences, vectors
+from lorebase.operators import cells, feedback, graph, keywords, sequences, vectors
 from lorebase.plans import store
 from lorebase.plans.registry import AS_OF, case, days, lit, query, trust_now
-from lorebase.sources.shared import cut
-from lorebase.sources.tables import as_of, load, sql, view
+from lorebase.sources.shared import cut, shared_dir
+from lorebase.sources.tables import as_of, load, spread, sql, view
 
 DIM = 64
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
@@ -39,20 +41,56 @@ def vec03_similar_pairs(spark, d):
     return _pairs(spark, d).withColumn("similarity", F.round("similarity", 6))
 
 
-WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
-BM25 = f"""p AS (SELECT doc_id AS id, unnest({WORDS}) AS term FROM documents), lens AS (SELECT doc_id AS id, len({WORDS}) AS n FROM documents), tot AS (SELECT count(*) AS n_docs, avg(n) AS avg_n FROM lens),
-tf AS (SELECT id, term, count(*) AS tf FROM p GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark),
-raw AS (SELECT query_id, tf.id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_n))) AS bm25 FROM q JOIN tf USING (term) JOIN df USING (term) JOIN lens ON lens.id = tf.id CROSS JOIN tot GROUP BY 1, 2)"""
+WORDS = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def _stems() -> str:
+    """stems (term, stem) of the terms of vocabulary, by Porter's steps; w: the word so far."""
+    has = lambda pattern, n: f"regexp_matches(left(w, -{n}), {lit(pattern)})"
+    more, more_2, vowel, short = keywords.MORE, keywords.MORE_2, keywords.VOWEL, keywords.SHORT_END
+
+    def table(rules, test) -> str:
+        longest = sorted(rules, key=lambda r: -len(r[0]))
+        return "CASE " + " ".join(f"WHEN ends_with(w, '{x}') THEN CASE WHEN {test(x)} THEN left(w, -{len(x)}) || '{y}' ELSE w END" for x, y in longest) + " ELSE w END"
 
+    fourth = lambda x: has(more_2, len(x)) + (" AND regexp_matches(left(w, -3), '[st]$')" if x == "ion" else "")
+    steps = [
+        "regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')",
+        "CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN left(w, -2) WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {has(more, 3)} THEN left(w, -1) ELSE w END WHEN ends_with(w, 'ed') THEN CASE WHEN {has(vowel, 2)} THEN left(w, -2) || '+' ELSE w END WHEN ends_with(w, 'ing') AND {has(vowel, 3)} THEN left(w, -3) || '+' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '+') THEN w WHEN regexp_matches(w, '(?:at|bl|iz)[+]$') THEN left(w, -1) || 'e' WHEN {has(keywords.DOUBLE, 1)} THEN left(w, -2) WHEN {has(more, 1)} AND NOT {has(more_2, 1)} AND {has(short, 1)} THEN left(w, -1) || 'e' ELSE left(w, -1) END",
+        f"CASE WHEN regexp_matches(w, '[yY]$') AND {has(vowel, 1)} THEN left(w, -1) || 'i' ELSE w END",
+        table(keywords.STEP_2, lambda x: has(more, len(x))),
+        table(keywords.STEP_3, lambda x: has(more, len(x))),
+        table([(x, "") for x in keywords.STEP_4], fourth),
+        f"CASE WHEN ends_with(w, 'e') AND ({has(more_2, 1)} OR ({has(more, 1)} AND NOT {has(short, 1)})) THEN left(w, -1) ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {has(more_2, 1)} THEN left(w, -1) ELSE w END",
+    ]
+    out = [f"stem{i} AS MATERIALIZED (SELECT term, {sql} AS w FROM {f'stem{i - 1}' if i else 'vocabulary'})" for i, sql in enumerate(steps)]
+    last = f"stem{len(steps) - 1}"
+    return ", ".join(out) + f", stems AS MATERIALIZED (SELECT term, CASE WHEN length(term) < 3 OR strlen(term) > 64 THEN term ELSE lower(w) END AS stem FROM {last})"
 
-def _bm25(spark, d, top=10):
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return vectors.bm25(docs, load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), top=top)
 
+def _keyword_sql(docs: str, asked: str) -> str:
+    """raw (query_id, id, bm25) of docs (id, text) and asked (query_id, text)."""
+    return f"""p AS MATERIALIZED (SELECT id, unnest({WORDS}) AS term FROM {docs}), a AS MATERIALIZED (SELECT query_id, unnest({WORDS}) AS term FROM {asked}),
+lens AS (SELECT id, len({WORDS}) AS n FROM {docs}), tot AS (SELECT count(*) AS n_docs, avg(n) AS avg_n FROM lens), vocabulary AS (SELECT term FROM p UNION SELECT term FROM a), {_stems()},
+tf AS MATERIALIZED (SELECT id, stem, count(*) AS tf FROM p JOIN stems USING (term) GROUP BY 1, 2), df AS (SELECT stem, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT query_id, stem FROM a JOIN stems USING (term) WHERE length(term) >= 2),
+raw AS MATERIALIZED (SELECT query_id, tf.id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_n))) AS bm25 FROM q JOIN tf USING (stem) JOIN df USING (stem) JOIN lens ON lens.id = tf.id CROSS JOIN tot GROUP BY 1, 2)"""
 
-@query("WITH " + BM25 + " SELECT query_id, id, round(bm25, 6) AS bm25 FROM raw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) <= 10")
+
+def _index(docs):
+    """A kept index of docs (id, text), written and read back."""
+    folder = f"{shared_dir(docs.sparkSession)}/lorebase-index-{uuid.uuid4().hex}"
+    keywords.write_index(docs, folder)
+    return keywords.read_index(docs.sparkSession, folder)
+
+
+@query("WITH " + _keyword_sql("(SELECT doc_id AS id, text FROM documents)", "(SELECT item_id AS query_id, text FROM benchmark)") + " SELECT query_id, id, round(bm25, 6) AS bm25 FROM raw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) <= 10")
 def vec04_bm25(spark, d):
-    return _bm25(spark, d).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+    index = _index(spread(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+    found = keywords.search(index, load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return found.select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(
@@ -64,15 +102,37 @@ def vec05_fusion(spark, d):
     return view(spark, d, "retrievals").select("event_id", F.round(scores.fused(F.col("similarity"), kw), 12).alias("fused"))
 
 
-def _recall(spark, d):
-    """(ranked, summary): queries in the three modes, their keywords the first eight words of their own text."""
+def _recall(spark, d, union):
+    """(ranked, summary): queries in the three modes, their keywords the words of their own text."""
     vec, mem = view(spark, d, "vectors"), view(spark, d, "memories")
     mode = F.element_at(F.array(*map(F.lit, rules.MODES)), (F.col("memory_id") / 20 % 3 + 1).cast("int"))
     asked = vec.filter("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding", mode.alias("mode"))
-    texts = mem.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(vectors.tokens(F.col("content")), 1, 8), " ").alias("text"))
-    keywords = vectors.bm25(mem.select("id", F.col("content").alias("text")), texts, top=30)
+    texts = spread(mem.select("id", F.col("content").alias("text")))
+    found = keywords.search(_index(texts), texts.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 30)
     # The tables' vectors are far apart, so every threshold is 0.4 lower.
-    return vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), keywords=keywords, lower=0.4)
+    return vectors.recall(asked, mem, vec.select(F.col("memory_id").alias("id"), "embedding"), as_of(), keywords=found, lower=0.4, union=union)
+
+
+def _recall_sql(union: bool) -> str:
+    """ranked and counts: queries in three modes, keywords from their own texts."""
+    pick = lambda i: case("mode", {m: v[i] for m, v in rules.MODES.items()}, "0")
+    recency = f"pow(2.0, -{days('coalesce(last_accessed_at, created_at)')} / 30.0)"
+    fused = "CASE WHEN keyword <= 0 THEN similarity WHEN similarity < 0.4 THEN similarity * (1 - 0.3 * (1 - similarity / 0.4)) + keyword * 0.3 * (1 - similarity / 0.4) ELSE similarity * 0.91 + keyword * 0.09 END"
+    more = f"UNION ALL SELECT query_id, kw.id, coalesce({COS.replace('q.', 'qv.').replace('v.embedding', 'v.embedding')}, 0), keyword FROM kw JOIN vectors qv ON qv.memory_id = query_id AND query_id % 20 = 0 LEFT JOIN vectors v ON v.memory_id = kw.id WHERE kw.id <> query_id AND (query_id, kw.id) NOT IN (SELECT query_id, id FROM near WHERE rank <= 30)" if union else ""
+    return f""", {_keyword_sql("(SELECT id, content AS text FROM memories)", "(SELECT id AS query_id, content AS text FROM memories WHERE id % 20 = 0)")},
+best AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) <= 30),
+kw AS (SELECT query_id, id, CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 1.0 END AS keyword FROM best WINDOW w AS (PARTITION BY query_id)),
+cand AS (SELECT query_id, id, similarity, coalesce(keyword, 0) AS keyword FROM near LEFT JOIN kw USING (query_id, id) WHERE rank <= 30 {more}),
+modes AS (SELECT memory_id AS query_id, CASE memory_id // 20 % 3 WHEN 0 THEN 'precision' WHEN 1 THEN 'balanced' ELSE 'exploratory' END AS mode FROM vectors WHERE memory_id % 20 = 0),
+c AS (SELECT query_id, mode, cand.id, similarity, keyword, {fused} AS fused, access_count / greatest(max(access_count) OVER (PARTITION BY query_id), 1) AS access_score, {recency} AS recency, 0.1 * {trust_now()} + 0.05 * utility_score AS rest FROM cand JOIN modes USING (query_id) JOIN memories ON memories.id = cand.id),
+s AS (SELECT *, fused < {pick(0)} - 0.4 AS gated, fused * {pick(2)} + recency * {pick(3)} + access_score * {pick(4)} + rest AS score FROM c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM s WHERE NOT gated QUALIFY rank <= {pick(1)}),
+counts AS (SELECT query_id, mode, coalesce(n, 0) AS n_candidates, coalesce(g, 0) AS n_gated, top FROM modes LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (gated) AS g FROM s GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, similarity AS top FROM ranked WHERE rank = 1) USING (query_id)),
+told AS (SELECT *, CASE WHEN top IS NULL THEN 'low' WHEN top > 0.85 THEN 'high' ELSE 'medium' END AS confidence FROM counts)
+SELECT 'result' AS part, query_id, mode, rank, id, round(similarity, 6) AS similarity, round(keyword, 6) AS keyword, round(score, 6) AS score, -1::BIGINT AS n, '' AS note FROM ranked
+UNION ALL SELECT 'summary', query_id, mode, -1, -1, -1, -1, -1, n_candidates - n_gated, confidence || ' ' || CASE WHEN n_candidates > n_gated THEN CASE confidence WHEN 'high' THEN 'use' ELSE 'verify' END WHEN n_gated > 0 THEN 'filtered' WHEN mode = 'precision' THEN 'none_precise' ELSE 'none' END FROM told
+UNION ALL SELECT 'event', -1, '', -1, id, round(similarity, 6), -1, -1, -1, sha256(CAST(query_id AS VARCHAR)) FROM ranked
+UNION ALL SELECT 'pair', -1, '', -1, id, -1, -1, -1, count(*), CAST(other AS VARCHAR) FROM (SELECT id, lead(id) OVER (PARTITION BY query_id ORDER BY rank) AS other FROM ranked) WHERE other IS NOT NULL AND other <> id GROUP BY id, other"""
 
 
 def _ranked_sql(threshold: float) -> str:
@@ -108,18 +168,33 @@ def vec08_recall_summary(spark, d):
     return summary.select("query_id", "n_candidates", "n_gated")
 
 
-@query()
-def vec08_recall(spark, d):
-    """The whole recall in one table; part tells results, summaries, retrieval events and sequence pairs apart."""
-    ranked, summary = _recall(spark, d)
-    ranked = cut(ranked.select("query_id", "mode", "rank", "id", "similarity", "keyword", "fused", "score"), "ranked")
-    pairs = sequences.transitions(sequences.result_log(ranked, as_of()))
-    parts = {"result": ranked, "summary": summary, "event": feedback.retrieval_events(ranked, as_of()), "pair": pairs}
+def _told(ranked, summary):
+    """A recall in one table; part tells results, summaries, retrieval events and sequence pairs apart."""
+    ranked = cut(ranked.select("query_id", "mode", "rank", "id", "similarity", "keyword", "score"), "ranked")
+    r = lambda c: F.round(c, 6).alias(c)
+    parts = {
+        "result": ranked.select("query_id", "mode", "rank", "id", r("similarity"), r("keyword"), r("score")),
+        "summary": summary.select("query_id", "mode", F.col("n_results").alias("n"), F.concat_ws(" ", "confidence", "guidance").alias("note")),
+        "event": feedback.retrieval_events(ranked, as_of()).select(F.col("memory_id").alias("id"), r("similarity"), F.col("query_key").alias("note")),
+        "pair": sequences.transitions(sequences.result_log(ranked, as_of())).select(F.col("from_id").alias("id"), F.col("count").alias("n"), F.col("to_id").cast("string").alias("note")),
+    }
     out = None
     for name, df in parts.items():
         df = df.withColumn("part", F.lit(name))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    numbers = {c: -1 for c in ("query_id", "rank", "id", "similarity", "keyword", "score", "n")}
+    return out.na.fill(numbers | {"mode": "", "note": ""})
+
+
+@query("+" + NEAR + _recall_sql(False), "vectors memories")
+def vec08_recall(spark, d):
+    return _told(*_recall(spark, d, False))
+
+
+@query("+" + NEAR + _recall_sql(True), "vectors memories")
+def vec08_candidate_union(spark, d):
+    """Recall that also ranks what only the keywords find."""
+    return _told(*_recall(spark, d, True))
 
 
 _KEPT = "memory_type = 'pattern' OR project_id = 'src3'"

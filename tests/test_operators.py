@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import rules
 from lorebase.functions import text as tx
-from lorebase.operators import cells, extract, feedback, graph, hotset, jobs, memory, sequences, vectors
+from lorebase.operators import cells, extract, feedback, graph, hotset, jobs, keywords, memory, sequences, vectors
 from lorebase.sources.tables import view
 
 T0 = dt.datetime(2024, 1, 31)
@@ -235,19 +235,26 @@ def test_searches_of_empty_tables(spark):
     assert cells.similar_pairs(none, 0.5).collect() == [] and cells.knn(none.withColumnRenamed("id", "query_id"), none, 3).collect() == []
 
 
-def test_recall_fuses_keywords_and_gives_events(spark):
+def test_recall_fuses_keywords_and_gives_events(spark, tmp_path):
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.3, 0.954]), (3, [0.3, -0.954]), (4, [0.9, 0.436])], "id long, embedding array<double>")
     mem = spark.createDataFrame([(i, t, 1, T0, T0, 1.0, "pattern", 0.25, "lesson") for i, t in ((1, "zzz"), (2, "spark plans"), (3, "other words"), (4, "nothing"))], "id long, content string, access_count long, created_at timestamp, last_accessed_at timestamp, trust_score double, memory_type string, utility_score double, category string")
     asked = spark.createDataFrame([(1, [1.0, 0.0], "balanced"), (2, [0.3, 0.954], "precision")], "query_id long, embedding array<double>, mode string")
     words = spark.createDataFrame([(1, "spark plans")], "query_id long, text string")
-    keywords = vectors.bm25(mem.select("id", F.col("content").alias("text")), words)
+    keywords.write_index(mem.select("id", F.col("content").alias("text")), str(tmp_path / "index"))
+    found = keywords.search(keywords.read_index(spark, str(tmp_path / "index")), words, 30)
     near = vec.select("id", F.col("embedding"))
-    plain, _ = vectors.recall(asked, mem, near, F.lit(T0), 2, lower=0.38)
-    ranked, summary = vectors.recall(asked, mem, near, F.lit(T0), 2, keywords=keywords, lower=0.38)
+    plain, _ = vectors.recall(asked, mem, near, F.lit(T0), lower=0.38)
+    ranked, summary = vectors.recall(asked, mem, near, F.lit(T0), keywords=found, lower=0.38)
     assert [r.id for r in plain.filter("query_id = 1").orderBy("rank").collect()] == [4]
     assert [r.id for r in ranked.filter("query_id = 1").orderBy("rank").collect()] == [4, 2]  # lifted by its keywords
     counts = {r.query_id: (r.n_candidates, r.n_gated, r.confidence) for r in summary.collect()}
     assert counts[1] == (3, 1, "high")
+    assert {r.query_id: r.guidance for r in summary.collect()}[1] == "use"
+    far = vec.filter("id <> 2")  # a memory without a vector is found by its words alone
+    both, _ = vectors.recall(asked, mem, far, F.lit(T0), keywords=found, lower=0.5, union=True)
+    assert {(r.id, r.similarity) for r in both.filter("query_id = 1 AND id = 2").collect()} == {(2, 0.0)}
+    strict, summary = vectors.recall(asked.unionByName(asked.limit(1).withColumn("query_id", F.lit(9)).withColumn("mode", F.lit("precision"))), mem.filter("id = 77"), vec, F.lit(T0))
+    assert {(r.query_id, r.guidance, r.n_results) for r in summary.collect()} == {(1, "none", 0), (2, "none_precise", 0), (9, "none_precise", 0)} and strict.count() == 0
     events = feedback.retrieval_events(ranked, F.lit(T0)).collect()
     assert {(e.memory_id, e.was_used, e.created_at) for e in events} >= {(4, False, T0), (2, False, T0)} and len(events) == ranked.count()
     assert len({e.event_id for e in events}) == len(events) and len({e.query_key for e in events}) == 2
