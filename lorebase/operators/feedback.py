@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,21 +105,54 @@ def co_occurrence(log: DataFrame, as_of: Column, band_seconds: float = 60.48, mi
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
-def attribute_usage(injections: DataFrame, mem: DataFrame, responses: DataFrame, hours: int = 24) -> DataFrame:
-    """(memory_id, response_id) where a distinctive token of an injected memory occurs in a later response of the session.
+def attribute_usage(injections: DataFrame, mem: DataFrame, responses: DataFrame, hours: int = 24, session: bool = True, block: int = 4096) -> DataFrame:
+    """(memory_id, response_id) where a distinctive token of an injected memory occurs in a later response, of its session or of any.
 
-    injections: memory_id, session_id, injected_at; responses: response_id, session_id, ts, text.
-    Times are cut into buckets of the window's length, so the join is an equality join; texts join the pairs last.
+    injections: memory_id, session_id, injected_at; responses: response_id, session_id, ts, text. Times are cut into buckets of the
+    window's length. The memories of a session and bucket, at most about block of them, make one automaton of their tokens, which runs
+    once over each response. Larger ones are dealt over several automata, and their responses over several tasks.
     """
-    tokens = mem.select(F.col("id").alias("memory_id"), F.explode(tx.distinctive_tokens(F.col("content"))).alias("token"))
+    keys = ["session_id"] * session
     micros = hours * 3_600_000_000
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    told = injections.select("memory_id", "session_id", at("injected_at").alias("t")).distinct()
-    told = told.withColumn("bucket", F.explode(F.array(F.floor(F.col("t") / micros), F.floor(F.col("t") / micros) + 1)))
-    heard = responses.select("response_id", "session_id", at("ts").alias("s")).withColumn("bucket", F.floor(F.col("s") / micros))
-    near = told.join(heard, ["session_id", "bucket"]).filter((F.col("s") >= F.col("t")) & (F.col("s") <= F.col("t") + micros)).select("memory_id", "response_id").distinct()
-    texts = responses.select("response_id", F.lower("text").alias("text"))
-    return near.join(tokens, "memory_id").join(texts, "response_id").filter(F.contains("text", F.lower("token"))).select("memory_id", "response_id").distinct()
+    told = injections.select("memory_id", *keys, at("injected_at").alias("t")).dropna().withColumn("bucket", F.explode(F.array(F.floor(F.col("t") / micros), F.floor(F.col("t") / micros) + 1)))
+    told = told.groupBy(*keys, "bucket", "memory_id").agg(F.collect_set("t").alias("times"))
+    tokens = mem.select(F.col("id").alias("memory_id"), F.transform(tx.distinctive_tokens(F.col("content")), F.lower).alias("tokens")).filter(F.size("tokens") > 0)
+    heard = responses.select("response_id", *keys, at("ts").alias("s"), F.lower("text").alias("text")).dropna().withColumn("bucket", F.floor(F.col("s") / micros))
+    dealt = told.groupBy(*keys, "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("i_of")).join(heard.groupBy(*keys, "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("j_of")), [*keys, "bucket"])
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = told.join(dealt, [*keys, "bucket"]).join(tokens, "memory_id").withColumn("j", F.explode(to("j_of"))).withColumn("i", F.pmod(F.xxhash64("memory_id"), F.col("i_of")).cast("int"))
+    right = heard.join(dealt, [*keys, "bucket"]).withColumn("i", F.explode(to("i_of"))).withColumn("j", F.pmod(F.xxhash64("response_id"), F.col("j_of")).cast("int"))
+    group = F.to_json(F.struct(*keys, "bucket", "i", "j")).alias("group")
+    left = left.select(group, F.lit(0).alias("side"), F.col("memory_id").cast("long").alias("id"), "times", "tokens", F.lit(None).cast("string").alias("text"))
+    right = right.select(group, F.lit(1).alias("side"), F.col("response_id").cast("long").alias("id"), F.array("s").alias("times"), F.lit(None).cast("array<string>").alias("tokens"), "text")
+
+    def run(batches):
+        key, users, automaton = None, {}, None
+        for batch in batches:
+            found = []
+            for group, side, i, times, tokens, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != key:
+                    key, users, automaton = group, {}, None
+                if side == 0:
+                    for token in tokens:
+                        users.setdefault(token, []).append((i, sorted(times)))
+                    continue
+                if automaton is None:
+                    automaton = ahocorasick.Automaton()
+                    for token, own in users.items():
+                        automaton.add_word(token, own)
+                    automaton.make_automaton()
+                hits = {memory: ts for _, own in (automaton.iter(text) if users else ()) for memory, ts in own}
+                for memory, ts in hits.items():
+                    after = bisect_right(ts, times[0])
+                    if after and times[0] - ts[after - 1] <= micros:
+                        found.append((memory, i))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["memory_id", "response_id"])
+
+    tasks = int(mem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.unionByName(right).repartition(tasks, "group").sortWithinPartitions("group", "side").mapInArrow(run, "memory_id long, response_id long").distinct()
 
 
 def cross_session(log: DataFrame, mem: DataFrame, min_sessions: int = 2, limit: int = 50) -> DataFrame:

@@ -225,20 +225,44 @@ def star_clusters(mem: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def consolidation(members: DataFrame, mem: DataFrame, pairs: DataFrame, min_size: int = 2) -> DataFrame:
-    """Per cluster: representative (hot first, then most accesses), members, accesses, mean similarity to the seed."""
-    rows = members.join(mem.select("id", "is_hot", "access_count"), "id")
+    """Per cluster: representative (hot first, then most accesses), members, accesses, united tags if mem has tags, mean similarity to the seed."""
+    tagged = "tags" in mem.columns
+    rows = members.join(mem.select("id", "is_hot", "access_count", *["tags"] * tagged), "id")
     near = pairs.select(F.col("a").alias("id"), F.col("b").alias("seed_id"), "similarity").union(pairs.select("b", "a", "similarity"))
     rows = rows.join(near, ["id", "seed_id"], "left")
-    out = rows.groupBy("seed_id").agg(F.max_by("id", F.struct("is_hot", "access_count", (-F.col("id")).alias("i"))).alias("representative_id"), F.array_sort(F.collect_set("id")).alias("member_ids"), F.sum("access_count").alias("total_access"), F.avg("similarity").alias("avg_similarity"))
+    tags = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("combined_tags")] * tagged
+    out = rows.groupBy("seed_id").agg(F.max_by("id", F.struct("is_hot", "access_count", (-F.col("id")).alias("i"))).alias("representative_id"), F.array_sort(F.collect_set("id")).alias("member_ids"), F.sum("access_count").alias("total_access"), F.avg("similarity").alias("avg_similarity"), *tags)
     return out.filter(F.size("member_ids") >= min_size)
 
 
-def consolidate(mem: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The store after merging: members go, the representative has the summed accesses; pinned rows stay."""
+def consolidation_savings(clusters: DataFrame) -> DataFrame:
+    """One row: clusters, memories in them, memories that merging deletes, and that share in percent."""
+    sizes = clusters.agg(F.count("*").alias("cluster_count"), F.coalesce(F.sum(F.size("member_ids")), F.lit(0)).alias("total_memories"))
+    return sizes.withColumn("to_delete", F.col("total_memories") - F.col("cluster_count")).withColumn("savings_pct", F.when(F.col("total_memories") > 0, F.round(F.col("to_delete") / F.col("total_memories") * 100, 1)).otherwise(0.0))
+
+
+def _gone(mem: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, representative_id) of the rows that merging deletes; pinned rows stay."""
     gone = clusters.select(F.explode("member_ids").alias("id"), "representative_id").filter("id <> representative_id")
-    gone = gone.join(mem.filter("is_pinned").select("id"), "id", "left_anti")
-    total = clusters.select(F.col("representative_id").alias("id"), "total_access")
-    return mem.join(gone, "id", "left_anti").join(total, "id", "left").withColumn("access_count", F.coalesce("total_access", "access_count")).drop("total_access")
+    return gone.join(mem.filter("is_pinned").select("id"), "id", "left_anti")
+
+
+def consolidate(mem: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The store after merging: members go, the representative has the summed accesses and all tags; pinned rows stay."""
+    tagged = "tags" in mem.columns and "combined_tags" in clusters.columns
+    total = clusters.select(F.col("representative_id").alias("id"), "total_access", *["combined_tags"] * tagged)
+    out = mem.join(_gone(mem, clusters).select("id"), "id", "left_anti").join(total, "id", "left").withColumn("access_count", F.coalesce("total_access", "access_count")).drop("total_access")
+    if tagged:
+        out = out.withColumn("tags", F.array_sort(F.array_union(F.coalesce("tags", F.array()), F.coalesce("combined_tags", F.array())))).drop("combined_tags")
+    return out
+
+
+def rewire_edges(edges: DataFrame, mem: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges after merging: those of deleted rows go to or from their representative; none leads to itself or is there twice."""
+    gone = _gone(mem, clusters)
+    for end in ("from_id", "to_id"):
+        edges = edges.join(gone.select(F.col("id").alias(end), "representative_id"), end, "left").withColumn(end, F.coalesce("representative_id", end)).drop("representative_id")
+    return edges.filter("from_id <> to_id").select("from_id", "to_id", "relation_type").distinct()
 
 
 def group_results(results: DataFrame, vectors: DataFrame, threshold: float = 0.70, min_size: int = 2, most: int = 5) -> DataFrame:
@@ -266,11 +290,66 @@ def group_results(results: DataFrame, vectors: DataFrame, threshold: float = 0.7
     return results.join(vectors.select("id", "embedding"), "id").select("query_id", "id", "rank", "embedding").groupBy("query_id").applyInPandas(run, "query_id long, id long, group int")
 
 
-def semantic_merge(existing: DataFrame, incoming: DataFrame, near: DataFrame, threshold: float = 0.92) -> tuple[DataFrame, DataFrame]:
-    """(rows with merged content and counts, rows to insert): near (query_id, id, similarity) gives each incoming row's best target."""
-    hit = near.filter((F.col("rank") == 1) & (F.col("similarity") >= threshold)).select(F.col("query_id").alias("new_id"), F.col("id").alias("target_id"))
-    new = incoming.select(F.col("id").alias("new_id"), F.col("content").alias("new_content"))
-    longest = new.join(hit, "new_id").groupBy("target_id").agg(F.max_by("new_content", F.struct(F.char_length("new_content"), (-F.col("new_id")).alias("i"))).alias("new_content"), F.count("*").alias("merged"))
-    merged = existing.join(longest.withColumnRenamed("target_id", "id"), "id", "left")
-    merged = merged.withColumns({"content": F.when(F.char_length("new_content") > F.char_length("content"), F.col("new_content")).otherwise(F.col("content")), "access_count": F.col("access_count") + F.coalesce("merged", F.lit(0))}).drop("new_content")
-    return merged, incoming.join(hit.select(F.col("new_id").alias("id")), "id", "left_anti")
+def merge_targets(vectors: DataFrame, incoming: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(new_id, target_id, similarity) of the incoming rows that merge; the others are inserted.
+
+    vectors, incoming: id, embedding. Rows come in the order of their ids, as if stored one by one: a row merges into the nearest
+    of the stored rows and of the rows inserted before it, if that is near enough (ties: the smaller id). All similarities are
+    those of the rows' own vectors. Each round decides all rows that no earlier undecided row can take, and is written.
+    """
+    stored = vectors.join(incoming.select("id"), "id", "left_anti")
+    asked = incoming.select(F.col("id").alias("query_id"), "embedding")
+    old = cells.knn(asked, stored, 1).filter(F.round("similarity", 12) >= threshold).select(F.col("query_id").alias("new_id"), F.col("id").alias("target_id"), "similarity")
+    old = cut(old, "old")
+    free = incoming.select(F.col("id").alias("new_id")).join(old, "new_id", "left_anti")
+    pairs = cut(cells.similar_pairs(incoming, threshold - 1e-12).filter(F.round("similarity", 12) >= threshold), "pairs")
+    undecided, leaders = cut(free, "undecided"), None
+    while undecided.limit(1).count():
+        open_pairs = pairs.join(undecided.select(F.col("new_id").alias("a")), "a", "left_semi").join(undecided.select(F.col("new_id").alias("b")), "b", "left_semi")
+        now = cut(undecided.join(open_pairs.select(F.col("b").alias("new_id")), "new_id", "left_anti"), "leaders")
+        leaders = now if leaders is None else leaders.unionByName(now)
+        taken = pairs.join(now.select(F.col("new_id").alias("a")), "a", "left_semi").select(F.col("b").alias("new_id"))
+        undecided = cut(undecided.join(now.union(taken), "new_id", "left_anti"), "undecided")
+    if leaders is None:
+        return old
+    near = pairs.join(leaders.select(F.col("new_id").alias("a")), "a", "left_semi").join(leaders.select(F.col("new_id").alias("b")), "b", "left_anti")
+    every = old.unionByName(near.select(F.col("b").alias("new_id"), F.col("a").alias("target_id"), "similarity"))
+    best = F.struct(F.round("similarity", 12), -F.col("target_id"))
+    return every.groupBy("new_id").agg(F.max_by("target_id", best).alias("target_id"), F.max_by("similarity", best).alias("similarity"))
+
+
+def semantic_merge(existing: DataFrame, incoming: DataFrame, targets: DataFrame, as_of: Column) -> DataFrame:
+    """The store after incoming rows merged into their targets or were inserted: existing's columns, and merged (how many came in).
+
+    Rows: id, content, embedding, tags, access_count, last_accessed_at and more. A longer content replaces a shorter one with its vector and
+    its hash, if there is one; tags are united, each merge is an access.
+    """
+    inserted = incoming.join(targets.select(F.col("new_id").alias("id")), "id", "left_anti")
+    store = existing.unionByName(inserted, allowMissingColumns=True)
+    new = incoming.select(F.col("id").alias("new_id"), "content", "embedding", "tags").join(targets, "new_id")
+    longest = F.struct(F.char_length("content"), (-F.col("new_id")).alias("i"))
+    came = new.groupBy(F.col("target_id").alias("id")).agg(F.max_by(F.struct("content", "embedding"), longest).alias("new"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array())))).alias("new_tags"), F.count("*").alias("merged"))
+    out = store.join(came, "id", "left").withColumn("longer", F.coalesce(F.char_length("new.content") > F.char_length("content"), F.lit(False)))
+    out = out.withColumns({
+        "content": F.when(F.col("longer"), F.col("new.content")).otherwise(F.col("content")), "embedding": F.when(F.col("longer"), F.col("new.embedding")).otherwise(F.col("embedding")),
+        "tags": F.array_sort(F.array_union(F.coalesce("tags", F.array()), F.coalesce("new_tags", F.array()))), "access_count": F.col("access_count") + F.coalesce("merged", F.lit(0)),
+        "last_accessed_at": F.when(F.col("merged").isNotNull(), as_of).otherwise(F.col("last_accessed_at")), "merged": F.coalesce("merged", F.lit(0)),
+    })
+    if "content_hash" in existing.columns:
+        out = out.withColumn("content_hash", F.when(F.col("longer"), F.sha2("content", 256)).otherwise(F.col("content_hash")))
+    return out.select(*existing.columns, "merged")
+
+
+def promotion_targets(patterns: DataFrame, mem: DataFrame, embed, min_count: int = 3, threshold: float = 0.95) -> DataFrame:
+    """(pattern_hash, id, similarity) of the memory that each frequent pattern promotes: the smallest id of its very text, else the nearest near enough.
+
+    embed: a function from (rows, key column, text column) to (key, embedding).
+    """
+    often = patterns.filter(F.col("count") >= min_count).select("pattern_hash", "pattern")
+    exact = often.join(mem.select(F.col("id"), F.sha2("content", 256).alias("pattern_hash")), "pattern_hash").groupBy("pattern_hash").agg(F.min("id").alias("id")).withColumn("similarity", F.lit(1.0))
+    rest = cut(often.join(exact.select("pattern_hash"), "pattern_hash", "left_anti").withColumn("query_id", F.monotonically_increasing_id()), "patterns")
+    # The query's ids are apart from those of memories, since a row is not its own neighbour.
+    asked = embed(rest, "query_id", "pattern").withColumn("query_id", -F.col("query_id") - 1)
+    near = cells.knn(asked, embed(mem, "id", "content"), 1).filter(F.round("similarity", 12) >= threshold)
+    found = near.join(rest.select((-F.col("query_id") - 1).alias("query_id"), "pattern_hash"), "query_id").select("pattern_hash", "id", "similarity")
+    return exact.unionByName(found)

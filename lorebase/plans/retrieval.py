@@ -256,6 +256,32 @@ def vec11_consolidation(spark, d):
     return vectors.consolidation(members, mem, pairs).select("seed_id", "representative_id", F.size("member_ids").alias("n"), "total_access")
 
 
+_MERGED = """, sized AS (SELECT seed_id, -max({'h': is_hot, 'a': access_count, 'i': -id}).i AS representative_id, count(*) AS n FROM members JOIN memories USING (id) GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+def _clusters(spark, d):
+    mem, pairs = view(spark, d, "memories").withColumn("tags", F.array_compact(F.array("category"))), _pairs(spark, d)
+    return mem, cut(vectors.consolidation(vectors.star_clusters(mem.select("id", "access_count", "is_pinned"), pairs), mem, pairs), "clusters")
+
+
+@query(_stars(0.35) + _MERGED + " SELECT count(*) AS cluster_count, CAST(sum(n) AS BIGINT) AS total_memories, CAST(sum(n - 1) AS BIGINT) AS to_delete, round(100.0 * sum(n - 1) / sum(n), 1)::DOUBLE AS savings_pct FROM sized")
+def vec11_savings(spark, d):
+    return vectors.consolidation_savings(_clusters(spark, d)[1])
+
+
+@query(_stars(0.35) + _MERGED + ", tagged AS (SELECT representative_id AS id, list(DISTINCT category) FILTER (category IS NOT NULL) AS more, sum(access_count) AS total FROM sized JOIN members USING (seed_id) JOIN memories USING (id) GROUP BY 1), gone AS (SELECT id FROM members JOIN sized USING (seed_id) JOIN memories USING (id) WHERE id <> representative_id AND NOT is_pinned) SELECT id, CAST(coalesce(total, access_count) AS BIGINT) AS access_count, array_to_string(list_sort(list_distinct(CASE WHEN category IS NULL THEN [] ELSE [category] END || coalesce(more, []))), ',') AS tags FROM memories LEFT JOIN tagged USING (id) WHERE id NOT IN (SELECT id FROM gone)")
+def vec11_consolidate(spark, d):
+    """The store after merging its clusters."""
+    mem, clusters = _clusters(spark, d)
+    return vectors.consolidate(mem, clusters).select("id", F.col("access_count").cast("long").alias("access_count"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(_stars(0.35).replace("WITH RECURSIVE ", "WITH RECURSIVE " + sql("edges") + ", ") + _MERGED + ", gone AS (SELECT id, representative_id AS r FROM members JOIN sized USING (seed_id) JOIN memories USING (id) WHERE id <> representative_id AND NOT is_pinned) SELECT DISTINCT coalesce(f.r, from_id) AS from_id, coalesce(t.r, to_id) AS to_id, relation_type FROM edges LEFT JOIN gone f ON f.id = from_id LEFT JOIN gone t ON t.id = to_id WHERE coalesce(f.r, from_id) <> coalesce(t.r, to_id)")
+def vec11_rewired_edges(spark, d):
+    mem, clusters = _clusters(spark, d)
+    return vectors.rewire_edges(view(spark, d, "edges"), mem, clusters)
+
+
 @query(
     "WITH RECURSIVE " + sql("vectors") + ", " + NEAR + """, res AS MATERIALIZED (SELECT query_id, id, CAST(rank AS INTEGER) AS rank, embedding::DOUBLE[] AS e FROM near JOIN vectors ON memory_id = id WHERE rank <= 20),
 sims AS MATERIALIZED (SELECT a.query_id, a.rank, list(list_cosine_similarity(a.e, b.e) ORDER BY b.rank) AS s FROM res a JOIN res b USING (query_id) GROUP BY 1, 2),
@@ -349,13 +375,54 @@ def inj05_attribution(spark, d):
     return feedback.attribute_usage(log, mem, responses(load(spark, d, "conversations")), 48)
 
 
-@query("+" + NEAR + ", hit AS (SELECT query_id, id FROM near WHERE rank = 1 AND similarity >= 0.35 AND query_id IN (SELECT id FROM memories)) SELECT 'merged' AS part, count(DISTINCT id) AS n FROM hit WHERE id IN (SELECT id FROM memories) UNION ALL SELECT 'inserted', count(*) FROM memories WHERE id % 20 = 0 AND id IN (SELECT memory_id FROM vectors) AND id NOT IN (SELECT query_id FROM hit)", "vectors memories")
-def sto02_semantic_merge(spark, d):
+@query(ATTRIBUTED.replace("s.session_id = m.session_id AND ", ""), "memories")
+def inj05_any_session(spark, d):
+    """Attribution to responses of all sessions."""
     mem = view(spark, d, "memories")
-    near = _near(spark, d, 1)
-    incoming = mem.filter("id % 20 = 0").join(view(spark, d, "vectors").select(F.col("memory_id").alias("id")), "id", "left_semi")
-    merged, inserted = vectors.semantic_merge(mem, incoming, near, 0.35)
-    return merged.filter("merged > 0").agg(F.count("*").alias("n")).select(F.lit("merged").alias("part"), "n").unionByName(inserted.agg(F.count("*").alias("n")).select(F.lit("inserted").alias("part"), "n"))
+    log = mem.select(F.col("id").alias("memory_id"), "session_id", F.col("created_at").alias("injected_at"))
+    return feedback.attribute_usage(log, mem, responses(load(spark, d, "conversations")), 48, session=False)
+
+
+_MERGE = f"""rows AS MATERIALIZED (SELECT memories.id, content, embedding, memories.category, access_count, memories.id % 4 = 0 AS new FROM memories JOIN vectors ON memory_id = memories.id),
+near AS MATERIALIZED (SELECT q.id AS a, v.id AS b, round({COS}, 12) AS s FROM rows q JOIN rows v ON q.id <> v.id WHERE q.new AND {COS} >= 0.35),
+old AS (SELECT a, arg_max(b, {{'s': s, 'b': -b}}) AS target, max(s) AS s FROM near JOIN rows ON rows.id = b WHERE NOT rows.new GROUP BY 1),
+turn AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS r, old.target, old.s FROM rows LEFT JOIN old ON a = id WHERE new),
+told AS MATERIALIZED (SELECT a, list({{'b': b, 's': s}}) AS others FROM near JOIN rows ON rows.id = b WHERE rows.new AND b < a GROUP BY 1),
+step AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS inserted, NULL::BIGINT AS new_id, NULL::BIGINT AS target
+UNION ALL SELECT r, CASE WHEN pick IS NULL THEN list_append(inserted, id) ELSE inserted END, id, pick.b FROM (
+SELECT turn.r, turn.id, inserted, list_sort(list_transform(list_filter(coalesce(others, []), lambda o: list_contains(inserted, o.b)) || CASE WHEN turn.target IS NULL THEN [] ELSE [{{'b': turn.target, 's': turn.s}}] END, lambda o: {{'s': -o.s, 'b': o.b}}))[1] AS pick
+FROM step JOIN turn ON turn.r = step.r + 1 LEFT JOIN told ON told.a = turn.id)),
+came AS (SELECT target AS id, count(*) AS merged, arg_max(content, {{'n': length(content), 'i': -new_id}}) AS longest, list(DISTINCT category) FILTER (category IS NOT NULL) AS more FROM step JOIN rows ON rows.id = new_id WHERE target IS NOT NULL GROUP BY 1)
+SELECT id, coalesce(merged, 0) AS merged, CAST(access_count + coalesce(merged, 0) AS BIGINT) AS access_count, sha256(CASE WHEN length(longest) > length(content) THEN longest ELSE content END) AS content_sha256, array_to_string(list_sort(list_distinct(CASE WHEN category IS NULL THEN [] ELSE [category] END || coalesce(more, []))), ',') AS tags
+FROM rows LEFT JOIN came USING (id) WHERE NOT new OR id IN (SELECT new_id FROM step WHERE target IS NULL)"""
+
+
+@query("WITH RECURSIVE " + sql("memories") + ", " + sql("vectors") + ", " + _MERGE)
+def sto02_semantic_merge(spark, d):
+    """A quarter of the memories comes in one by one; each merges into a stored or an earlier new one, or is inserted."""
+    rows = view(spark, d, "memories").join(view(spark, d, "vectors").select(F.col("memory_id").alias("id"), "embedding"), "id")
+    rows = rows.select("id", "content", "embedding", F.array_compact(F.array("category")).alias("tags"), F.col("access_count").cast("long").alias("access_count"), "last_accessed_at")
+    incoming, existing = rows.filter("id % 4 = 0"), rows.filter("id % 4 <> 0")
+    targets = vectors.merge_targets(existing.select("id", "embedding"), incoming.select("id", "embedding"), 0.35)
+    merged = vectors.semantic_merge(existing, incoming, targets, as_of())
+    return merged.select("id", "merged", "access_count", F.sha2("content", 256).alias("content_sha256"), F.array_join("tags", ",").alias("tags"))
+
+
+_EMBEDDED = """words AS (SELECT kind, key, w, count(*) AS n FROM (SELECT kind, key, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS w FROM texts) GROUP BY ALL),
+signs AS MATERIALIZED (SELECT w, i, 2 * ((CAST('0x' || substr(md5(w || ':' || (i // 128)), CAST(8 * (i // 32 % 4) + 1 AS BIGINT), 8) AS BIGINT) >> CAST(i % 32 AS INTEGER)) & 1) - 1 AS x FROM (SELECT DISTINCT w FROM words), range(64) t(i)),
+embedded AS MATERIALIZED (SELECT kind, key, list(x ORDER BY i) AS e FROM (SELECT kind, key, i, CAST(sum(n * x) AS DOUBLE) AS x FROM words JOIN signs USING (w) GROUP BY ALL) GROUP BY 1, 2)"""
+
+
+@query(
+    "+" + store.MINED + ", often AS (SELECT pattern_hash, pattern FROM mined WHERE n >= 3), exact AS (SELECT pattern_hash, min(id) AS id FROM often JOIN memories ON sha256(content) = pattern_hash GROUP BY 1), texts AS (SELECT 'p' AS kind, pattern_hash AS key, pattern AS text FROM often WHERE pattern_hash NOT IN (SELECT pattern_hash FROM exact) UNION ALL SELECT 'm', CAST(id AS VARCHAR), content FROM memories), "
+    + _EMBEDDED
+    + ", near AS (SELECT p.key AS pattern_hash, CAST(m.key AS BIGINT) AS id, round(list_cosine_similarity(p.e, m.e), 12) AS s FROM embedded p JOIN embedded m ON p.kind = 'p' AND m.kind = 'm' QUALIFY row_number() OVER (PARTITION BY p.key ORDER BY s DESC, id) = 1) SELECT pattern_hash, id, 1.0::DOUBLE AS similarity FROM exact UNION ALL SELECT pattern_hash, id, CAST(round(s, 6) AS DOUBLE) FROM near WHERE s >= 0.6",
+    "output_log memories",
+)
+def min06_promotion_targets(spark, d):
+    """Frequent lines and the memories that they promote; whole texts are far from single lines, so the threshold is 0.6."""
+    embed = lambda df, key, text: vectors.hash_embed(df, key, text)
+    return vectors.promotion_targets(store._mined(spark, d), spread(view(spark, d, "memories").select("id", "content")), embed, threshold=0.6).select("pattern_hash", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("+" + CENT + " , c AS (SELECT memory_id AS id, CASE WHEN score >= 0.2 THEN label END AS label FROM (SELECT memory_id, label, list_inner_product(embedding::DOUBLE[], c) / sqrt(list_inner_product(c, c)) AS score FROM vectors, cent) QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY round(score, 9) DESC, label DESC) = 1), k AS (" + store._category_sql() + ") SELECT id, coalesce(label, k.category) AS category FROM memories LEFT JOIN c USING (id) JOIN k USING (id)", "memories vectors")
