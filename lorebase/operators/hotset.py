@@ -118,13 +118,13 @@ def _range_number(value: Column, bounds: list[int], first: int = 0) -> Column:
 
 
 def _in_blocks(events: DataFrame) -> DataFrame:
-    """memory_id, block, seq, delta. Memories of more than BLOCK events (few, so broadcast) have one block per range of seq."""
+    """memory_id, block, seq, delta. Memories of more than BLOCK events (at most one for BLOCK events of the table) have one block per range of seq."""
     rows = trust_deltas(events).select("memory_id", F.col("seq").cast("bigint").alias("seq"), "delta")
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({int(b) for b in rows.select(F.col("seq").cast("double")).approxQuantile("seq", [i / parts for i in range(1, parts)], 0.25 / parts)})
     hot = rows.groupBy("memory_id").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("memory_id", F.lit(True).alias("hot"))
     number = F.when(F.col("hot"), _range_number(F.coalesce("seq", F.lit(-(2**63))), bounds)).otherwise(0)
-    return rows.join(F.broadcast(hot), "memory_id", "left").withColumn("block", number).drop("hot")
+    return rows.join(hot, "memory_id", "left").withColumn("block", number).drop("hot")
 
 
 def _clamped(x: Column) -> Column:

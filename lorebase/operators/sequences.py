@@ -6,11 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def transitions(log: DataFrame, session: str = "session_id", item: str = "item", ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """Consecutive different items of a session: from_id, to_id, count, last_seen. One shuffle by session, one by pair."""
-    order = Window.partitionBy(session).orderBy(ts, seq)
-    pairs = log.select(F.col(item).alias("from_id"), F.lead(item).over(order).alias("to_id"), F.lead(ts).over(order).alias("seen"))
-    return pairs.filter("to_id IS NOT NULL AND from_id <> to_id").groupBy("from_id", "to_id").agg(F.count("*").alias("count"), F.max("seen").alias("last_seen"))
+#: Rows of a session that one task puts in order.
+SESSION_PART = 1 << 20
+
+
+def transitions(log: DataFrame, session: str = "session_id", item: str = "item", ts: str = "ts", seq: str = "seq", part: int | None = None) -> DataFrame:
+    """Consecutive different items of a session: from_id, to_id, count, last_seen. One shuffle by session, one by pair.
+
+    A session with more than part rows is cut into ranges of time, and each range's last row is followed by the first row of
+    the session's next range. Ranges are equally long, so rows that all have one time stay together. Rows without a session are one session.
+    """
+    part = part or SESSION_PART
+    rows = log.select(F.col(session).alias("s"), F.col(item).alias("item"), F.col(ts).alias("ts"), F.col(seq).alias("seq"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    hot = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.max("at").alias("most")).filter(F.col("n") > part)
+    hot = hot.select(F.col("s").alias("hot"), "least", ((F.col("most") - F.col("least") + 1) / F.ceil(F.col("n") / part)).alias("width"))
+    rows = rows.join(hot, F.col("s").eqNullSafe(F.col("hot")), "left").withColumn("range", F.coalesce(F.floor((F.col("at") - F.col("least")) / F.col("width")), F.lit(0)))
+    order = Window.partitionBy("s", "range").orderBy("ts", "seq")
+    pairs = rows.select("s", "range", F.col("item").alias("from_id"), F.lead("item").over(order).alias("to_id"), F.lead("ts").over(order).alias("seen"))
+    inside = pairs.filter("seen IS NOT NULL").select("from_id", "to_id", "seen")
+    # Of the ranges of hot sessions only their first and last rows meet: a row each for part rows of the log.
+    cut = rows.filter("width IS NOT NULL").groupBy("s", "range").agg(F.min_by(F.struct("item", "ts"), F.struct("ts", "seq")).alias("first"), F.max_by(F.struct("item", "ts"), F.struct("ts", "seq")).alias("last"))
+    later = Window.partitionBy("s").orderBy("range")
+    over = cut.select(F.col("last.item").alias("from_id"), F.lead("first.item").over(later).alias("to_id"), F.lead("first.ts").over(later).alias("seen")).filter("seen IS NOT NULL")
+    found = inside.unionByName(over).filter("to_id IS NOT NULL AND from_id <> to_id")
+    return found.groupBy("from_id", "to_id").agg(F.count("*").alias("count"), F.max("seen").alias("last_seen"))
 
 
 def result_log(ranked: DataFrame, as_of: Column) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +34,29 @@ def cosine(a: str, b: str) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def hash_embed(df: DataFrame, key: str, text: str = "content", dim: int = 64) -> DataFrame:
-    """key, embedding: normalised sum of pseudo-random sign vectors of the words; equal words give equal parts.
+@lru_cache(maxsize=1 << 16)
+def _signs(word: str, dim: int) -> np.ndarray:
+    """Bits of the word's MD5 digests with a block's number, 128 a block, each 32 from the lowest bit on, as 1 and -1."""
+    digests = b"".join(hashlib.md5(f"{word}:{i}".encode()).digest() for i in range((dim + 127) // 128))
+    return np.unpackbits(np.frombuffer(digests, ">u4").astype("<u4").view(np.uint8), bitorder="little")[:dim] * 2.0 - 1
 
-    A word's signs are the bits of its MD5 digest with a block number, 128 numbers a block, each 32 from the lowest bit on.
-    """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 2)
-    bits = lambda w: [F.conv(F.substring(F.md5(F.concat(w, F.lit(f":{i // 4}")).cast("binary")), 8 * (i % 4) + 1, 8), 16, 10).cast("long") for i in range((dim + 31) // 32)]
-    sign = lambda part, i: 2 * F.call_function("shiftright", part[F.floor(i / 32).cast("int")], i % 32).bitwiseAND(F.lit(1)) - 1
-    summed = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate("parts", F.lit(0.0), lambda acc, part: acc + sign(part, i)))
-    out = df.select(key, F.transform(words, lambda w: F.array(*bits(w))).alias("parts")).withColumn("raw", summed).withColumn("length", norm("raw"))
-    return out.select(key, F.transform("raw", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("embedding"))
+
+def hash_embed(df: DataFrame, key: str, text: str = "content", dim: int = 64) -> DataFrame:
+    """key, embedding: normalised sum of pseudo-random sign vectors of the words; equal words give equal parts, no words zeros."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 2)
+    rows = df.select(key, words.alias("words"))
+
+    def run(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim))
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                for word, n in Counter(own).items():
+                    out[i] += n * _signs(word, dim)
+            size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            out = np.where(size > 0, out / np.where(size > 0, size, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), pa.array(out.ravel()))], [key, "embedding"])
+
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, embedding array<double>")
 
 
 def rank(cands: DataFrame, as_of: Column, boosts: DataFrame | None = None, lower: float = 0.0) -> tuple[DataFrame, DataFrame]:

@@ -82,6 +82,14 @@ def str03_dedup(spark, d):
     return _written(streams.stream_dedup(_stream(spark, d, "output_log"), "30 days"), "dedup").select("content_hash")
 
 
+@query("SELECT sha256(content) AS content_hash, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM output_log GROUP BY 1", "output_log")
+def str03_copies(spark, d):
+    """How often and when each content came, beside the stream of first copies."""
+    path = _folder(spark, "copies")
+    streams.stream_copies(_stream(spark, d, "output_log"), f"{path}/copies", f"{path}/state").awaitTermination()
+    return streams.copies_state(spark, f"{path}/copies").read().select("content_hash", "n", _us("first_seen").alias("first_us"), _us("last_seen").alias("last_us"))
+
+
 @query(
     "+" + _MARK + """, gaps AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 8 HOUR THEN 1 ELSE 0 END AS opens FROM access_log WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)),
 runs AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts, seq) AS run FROM gaps)
@@ -112,5 +120,4 @@ def str06_attribution(spark, d):
 def str07_mining(spark, d):
     path = _folder(spark, "mining")
     streams.stream_mining(extraction.noted(stream(spark, d, "orders")), f"{path}/mined", f"{path}/state").awaitTermination()
-    parts = spark.read.parquet(f"{path}/mined").drop("batch")
-    return extract.merge_patterns(parts.limit(0), parts).select("pattern_hash", "count", _us("first_seen").alias("first_us"), _us("last_seen").alias("last_us"))
+    return streams.mined_state(spark, f"{path}/mined").read().select("pattern_hash", "count", _us("first_seen").alias("first_us"), _us("last_seen").alias("last_us"))

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lorebase.functions import text as tx
 from lorebase.operators import extract as ex
 from lorebase.operators import memory, sequences
+from lorebase.streaming.snapshots import Snapshots
 
 
 def stream_logs(src: DataFrame) -> DataFrame:
@@ -93,10 +94,28 @@ def stream_attribution(injections: DataFrame, responses: DataFrame, mem: DataFra
     return near.select("i.memory_id", "response_id", "text").join(tokens, "memory_id").filter(F.contains(F.lower("text"), F.lower("token"))).select("memory_id", "response_id")
 
 
+def mined_state(spark: SparkSession, path: str, every: int = 16) -> Snapshots:
+    return Snapshots(spark, path, lambda rows: ex.merge_patterns(rows.limit(0), rows), every)
+
+
 def stream_mining(src: DataFrame, state_path: str, checkpoint: str, kinds: list[str] | None = None):
-    """Starts a query that writes each micro-batch's partial aggregates under its batch id, so a retry replaces them."""
+    """Starts a query that adds each micro-batch's partial aggregates to the state (mined_state reads it)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mined_state(batch.sparkSession, state_path).write(ex.aggregate_patterns(ex.extract_all(batch, kinds)), batch_id)
+
+    return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def copies_state(spark: SparkSession, path: str, every: int = 16) -> Snapshots:
+    return Snapshots(spark, path, lambda rows: rows.groupBy("content_hash").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")), every)
+
+
+def stream_copies(src: DataFrame, state_path: str, checkpoint: str):
+    """Starts a query that counts all copies of each content, the later ones that stream_dedup leaves out too (copies_state reads it)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ex.aggregate_patterns(ex.extract_all(batch, kinds)).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        own = batch.groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+        copies_state(batch.sparkSession, state_path).write(own, batch_id)
 
     return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

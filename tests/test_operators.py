@@ -1,6 +1,7 @@
 """Operators on small inline rows with expected values."""
 
 import datetime as dt
+import hashlib
 import itertools
 import random
 import re
@@ -345,3 +346,81 @@ def test_needed_texts_miss_no_match():
             assert all(x == x.lower() for x in texts)
     assert tx.needed(re._parser.parse(r"\bnever\s+(use|do)\b")) == {"never"} and tx.needed(re._parser.parse(r"(?:ab|cde?)\d")) == {"ab", "cd"}
     assert tx.needed(re._parser.parse(r"[A-Z]+(x?)")) == set()
+
+
+def test_a_hot_session_is_cut_by_time(spark):
+    """A session with half of all rows, ties of time included, against the window over whole sessions."""
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), rng.choice("wxyz"), rng.randint(0, 200), i) for i in range(400)]
+    log = spark.createDataFrame(rows, "session_id string, item string, second int, seq int").withColumn("ts", F.expr("timestamp_seconds(second)"))
+    want = sorted(map(tuple, sequences.transitions(log).collect()))
+    assert want and all(sorted(map(tuple, sequences.transitions(log, part=part).collect())) == want for part in (7, 150))
+
+
+def stored_one_by_one(existing, incoming, threshold):
+    """The sequential form: (id -> content, accesses, tags, vector of the store, targets)."""
+    store = {i: [c, n, set(t), v] for i, c, v, t, n in existing}
+    kept, targets = {i: v for i, _, v, _, _ in existing}, {}
+    for i, c, v, t, n in sorted(incoming):
+        sims = sorted((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12), j) for j, w in kept.items())
+        if sims and -sims[0][0] >= threshold:
+            row = store[sims[0][1]]
+            targets[i] = sims[0][1]
+            row[1] += 1
+            row[2] |= set(t)
+            if len(c) > len(row[0]):
+                row[0], row[3] = c, v
+        else:
+            store[i], kept[i] = [c, n, set(t), v], v
+    return store, targets
+
+
+def test_merges_equal_storing_one_by_one(spark):
+    rng, gen = random.Random(2), np.random.default_rng(2)
+    centres = gen.normal(size=(9, 6))
+    rows = [(i, "x" * rng.randint(1, 30) + str(i), (centres[rng.randrange(9)] + 0.25 * gen.normal(size=6)).tolist(), [rng.choice("abc")], rng.randint(0, 5)) for i in range(70)]
+    existing, incoming = rows[:12], rows[12:]
+    schema = "id long, content string, embedding array<double>, tags array<string>, access_count long"
+    frame = lambda x: spark.createDataFrame(x, schema).withColumns({"last_accessed_at": F.lit(None).cast("timestamp"), "content_hash": F.sha2("content", 256)})
+    old, new = frame(existing), frame(incoming)
+    targets = vectors.merge_targets(old, new, 0.9)
+    got = vectors.semantic_merge(old, new, targets, F.lit(T0)).collect()
+    store, want = stored_one_by_one(existing, incoming, 0.9)
+    assert {(r.new_id, r.target_id) for r in targets.collect()} == set(want.items()) and any(t >= 12 for t in want.values())
+    assert {r.id: (r.content, r.access_count, set(r.tags), r.embedding) for r in got} == {i: (c, n, t, v) for i, (c, n, t, v) in store.items()}
+    assert all(r.content_hash == hashlib.sha256(r.content.encode()).hexdigest() and (r.last_accessed_at == T0) == (r.merged > 0) for r in got)
+
+
+def test_consolidation_unites_tags_and_rewires(spark):
+    mem = spark.createDataFrame([(1, 5, False, True, ["a"]), (2, 1, True, False, ["b"]), (3, 1, False, False, ["c", "a"]), (9, 0, False, False, None)], "id long, access_count long, is_pinned boolean, is_hot boolean, tags array<string>")
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, seed_id long")
+    clusters = vectors.consolidation(members, mem, spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8)], "a long, b long, similarity double"))
+    assert {(r.id, r.access_count, tuple(r.tags)) for r in vectors.consolidate(mem, clusters).collect()} == {(1, 7, ("a", "b", "c")), (2, 1, ("b",)), (9, 0, ())}
+    edges = spark.createDataFrame([(3, 9, "refines"), (1, 9, "refines"), (9, 3, "mentions"), (1, 3, "mentions"), (2, 9, "mentions")], "from_id long, to_id long, relation_type string")
+    assert {tuple(r) for r in vectors.rewire_edges(edges, mem, clusters).collect()} == {(1, 9, "refines"), (9, 1, "mentions"), (2, 9, "mentions")}
+    assert vectors.consolidation_savings(clusters).first()[:] == (1, 3, 2, 66.7) and vectors.consolidation_savings(clusters.limit(0)).first().savings_pct == 0
+
+
+@pytest.mark.parametrize(("block", "session"), [(4096, True), (3, True), (3, False)])
+def test_attribution_equals_brute_force(spark, block, session):
+    rng = random.Random(6)
+    names = [f"mod_{i}.py" for i in range(12)]
+    mem = [(i, f"see {rng.choice(names)} and Some{i}Name") for i in range(30)] + [(90, "plain words"), (91, None)]
+    told = [(rng.choice([m[0] for m in mem]), 1 if rng.random() < 0.6 else rng.choice([2, 3, None]), rng.randint(0, 200)) for _ in range(150)]
+    heard = [(i, rng.choice([1, 1, 2, None]), rng.randint(0, 220), " ".join(rng.sample([*names, "some3name", "MOD_1.PY", "x"], 2))) for i in range(60)] + [(99, 1, 5, None)]
+    at = lambda df: df.withColumn("ts", F.expr("timestamp_seconds(hour * 3600)")).drop("hour")
+    injections = at(spark.createDataFrame(told, "memory_id long, session_id long, hour int")).withColumnRenamed("ts", "injected_at")
+    responses = at(spark.createDataFrame(heard, "response_id long, session_id long, hour int, text string"))
+    got = {tuple(r) for r in feedback.attribute_usage(injections, spark.createDataFrame(mem, "id long, content string"), responses, 24, session, block).collect()}
+    tokens = {i: [t.lower() for t in (c or "").split() if len(t) >= 6 and re.search(r"[_./:\-0-9]|^.+[A-Z]", t)] for i, c in mem}
+    want = {(m, r) for m, s, t in told for r, q, u, text in heard if text and t <= u <= t + 24 and (not session or (s is not None and s == q)) and any(x in text.lower() for x in tokens[m])}
+    assert got == want and want
+
+
+def test_promotion_takes_the_nearest_where_no_text_is_equal(spark):
+    mem = spark.createDataFrame([(1, "rows are dealt by hash"), (2, "logs are kept for a week"), (3, "logs are kept for a week")], "id long, content string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = [("logs are kept for a week", 5), ("hash by dealt are rows", 3), ("something else entirely", 4), ("rows are dealt by hash", 1)]
+    patterns = spark.createDataFrame([(sha(t), t, n) for t, n in texts], "pattern_hash string, pattern string, count long")
+    got = {(r.pattern_hash, r.id) for r in vectors.promotion_targets(patterns, mem, vectors.hash_embed).collect()}
+    assert got == {(sha(texts[0][0]), 2), (sha(texts[1][0]), 1)}

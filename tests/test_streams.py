@@ -1,5 +1,6 @@
 """Streams return what the batch forms return."""
 
+import datetime as dt
 import tempfile
 
 import pytest
@@ -62,7 +63,7 @@ def test_mining(spark):
     logs = view(spark, FOLDER, "output_log").withColumns({"ts": F.col("ts").cast("timestamp"), "content": F.lit("This project uses Spark and Parquet for all tables")}).limit(20)
     src, path = streamed(spark, logs, "m")
     streams.stream_mining(src, f"{path}/state", f"{path}/cp2", ["fact"]).awaitTermination(120)
-    got = spark.read.parquet(f"{path}/state").agg(F.sum("count")).first()[0]
+    got = streams.mined_state(spark, f"{path}/state").read().agg(F.sum("count")).first()[0]
     assert got == extract.aggregate_patterns(extract.extract_all(logs, ["fact"])).agg(F.sum("count")).first()[0] == 20
 
 
@@ -91,3 +92,26 @@ def test_stitched_transitions(spark):
     got = streams.stitched_transitions(spark, f"{path}/out").collect()
     want = sequences.transitions(log).collect()
     assert sorted(map(tuple, got)) == sorted((r.from_id, r.to_id, r["count"], r.last_seen) for r in want) and len(want) == 3
+
+
+def test_snapshots_bear_retries_and_compaction(spark):
+    """Nine batches, compacted by three; batches run again before, at and after a compaction."""
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/state"
+    state = streams.copies_state(spark, path, every=3)
+    batch = lambda n: spark.createDataFrame([("all", 1, dt.datetime(2024, 1, n + 1), dt.datetime(2024, 1, n + 1)), (f"k{n % 4}", 10, dt.datetime(2024, 1, n + 1), dt.datetime(2024, 1, n + 2))], "content_hash string, n long, first_seen timestamp, last_seen timestamp")
+    for n in range(8):
+        state.write(batch(n), n)
+        state.write(batch(n), n)
+        if n >= 3:
+            state.write(batch(2), 2)  # behind the fence
+    got = {r.content_hash: (r.n, r.first_seen.day, r.last_seen.day) for r in state.read().collect()}
+    assert got == {"all": (8, 1, 8), "k0": (20, 1, 6), "k1": (20, 2, 7), "k2": (20, 3, 8), "k3": (20, 4, 9)}
+    assert state._finished("upto") == [5] and state._finished("batch") == [6, 7]
+
+
+def test_copies(spark):
+    logs = view(spark, FOLDER, "output_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    src, path = streamed(spark, logs, "k")
+    streams.stream_copies(src, f"{path}/state", f"{path}/cp3").awaitTermination(120)
+    got = streams.copies_state(spark, f"{path}/state").read()
+    assert got.agg(F.sum("n")).first()[0] == logs.count() and got.count() == logs.select("content").distinct().count()
