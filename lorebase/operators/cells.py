@@ -6,7 +6,7 @@ rows are at least d(x, pivot) - radius away) and the plane between two pivots (a
 (d(x, pj)^2 - d(x, pi)^2) / (2 d(pi, pj)) from x). Both are used with a slack above the rounding of doubles, so no
 result is lost; pivots only decide how much is compared.
 
-Pivots are fitted to a bounded sample (SAMPLE rows a pivot, MOST_PIVOTS pivots), and are the only thing that every task
+Pivots are fitted to a bounded sample (SAMPLE rows a pivot, MOST_PIVOTS pivots), which also tells how many pay; they are the only thing that every task
 holds besides a few numbers per cell. Cells with more rows than fit a task are dealt over blocks by a hash of the id.
 Vectors of length zero have the cosine 0 to all others; they are a cell of their own in searches, and in no pair of a positive cosine.
 """
@@ -24,8 +24,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lorebase.sources.shared import cut
 
-#: Rows of a cell that pivots are chosen for, pivots at most, and rows that they are fitted to.
-CELL_ROWS, MOST_PIVOTS, SAMPLE = 1024, 1024, 8
+#: Rows of a cell that are tried, pivots at most, rows of the sample for each, and comparisons that cost as much as to move a row.
+CELL_ROWS, MOST_PIVOTS, SAMPLE, MOVE = (4096, 1024, 256, 64), 1024, 8, 100
 #: Rows of a block of a cell, for pairs and for searches, at 64 numbers a row; fewer if they are longer.
 PAIR_BLOCK, CORPUS_PART = 4096, 16384
 #: Rows compared at once, and rows of the nearest cells a query sees first, for each that it asks for.
@@ -74,7 +74,7 @@ class Cells:
         self.between = distances(self.centres, self.centres)
 
     def blocks(self, size: int) -> np.ndarray:
-        return np.maximum(1, -(-self.count // max(1, size * 64 // max(64, self.centres.shape[1]))))
+        return np.maximum(1, np.ceil(self.count / max(1, size * 64 // max(64, self.centres.shape[1])))).astype(np.int64)
 
     def plane(self, home: np.ndarray, away: np.ndarray) -> np.ndarray:
         """Distance of each vector from the plane towards every other cell."""
@@ -89,16 +89,28 @@ class Cells:
         return np.where(self.count[:filled] > 0, np.maximum(low - SLACK, 0), np.inf)
 
 
-def placed(rows: DataFrame, cell_rows: int | None = None) -> tuple[DataFrame, Cells]:
-    """(rows with cell and away, the distance from its pivot, written; the cells). rows: id, embedding and more."""
-    n, many = rows.count(), cell_rows or CELL_ROWS
-    many = max(1, min(MOST_PIVOTS, n // many))
-    sample = rows.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE * many).toPandas()
+def placed(rows: DataFrame, cost: Callable[[Cells, np.ndarray, int], float], cell_rows: int | None = None) -> tuple[DataFrame, Cells]:
+    """(rows with cell and away, the distance from its pivot, written; the cells). rows: id, embedding and more.
+
+    cost(cells, the sample's distances from their pivots, rows of the table): what a search would compare and move for a row.
+    The number of pivots with the least is taken; vectors without groups get one, that is, a search by blocks alone.
+    """
+    n = rows.count()
+    tried = sorted({max(1, min(MOST_PIVOTS, n // size)) for size in ([cell_rows] if cell_rows else CELL_ROWS)} | (set() if cell_rows else {1}))
+    sample = rows.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE * tried[-1]).toPandas()
     vectors = np.array(sample["embedding"].tolist(), np.float64).reshape(len(sample), -1 if len(sample) else 1)
     size = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     vectors = (vectors / np.where(size > 0, size, 1))[size[:, 0] > 0]
     dim = max(1, vectors.shape[1])
-    centres = fit(vectors, many) if len(vectors) else np.zeros((1, dim))
+    centres, least = np.zeros((1, dim)), np.inf
+    for many in tried if len(vectors) else ():
+        own = fit(vectors, many)
+        away = distances(vectors, own)
+        home = away.argmin(axis=1)
+        near = [away[home == c, c] for c in range(len(own))]
+        guess = Cells(own, np.array([*(len(x) for x in near), 0]) * n / len(vectors), np.array([*(x.min(initial=np.inf) for x in near), 0]), np.array([*(x.max(initial=0) for x in near), 0]))
+        if len(tried) == 1 or cost(guess, away, n) < least:
+            centres, least = own, cost(guess, away, n)
     at = rows.columns.index("embedding")
 
     def run(batches):
@@ -144,10 +156,17 @@ def pair_groups(vectors: DataFrame, threshold: float, cell_rows: int | None = No
     role 0: held rows, in a group of one block compared with one another; 1: rows of block j; 2: copies of rows of other cells.
     """
     rows = vectors.filter("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding")
-    rows, cells = placed(rows, cell_rows)
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+    def cost(cells: Cells, away: np.ndarray, n: int) -> float:
+        near = cells.least(away.argmin(axis=1), away) <= reach
+        met = (near * cells.count[None, :-1]).sum(axis=1).mean() / 2
+        return met + MOVE * (near * cells.blocks(block or PAIR_BLOCK)[None, :-1]).sum(axis=1).mean() / 2
+
+    rows, cells = placed(rows, cost, cell_rows)
     if threshold > 0:
         rows = rows.filter(F.col("cell") < len(cells.centres))
-    reach, blocks = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK, cells.blocks(block or PAIR_BLOCK)
+    blocks = cells.blocks(block or PAIR_BLOCK)
     filled = len(cells.centres)
 
     def run(batches):
@@ -246,7 +265,14 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, same: list[str] | None =
     """
     same = same or []
     rows = corpus.filter("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding", *same)
-    rows, cells = placed(rows, cell_rows)
+
+    def cost(cells: Cells, away: np.ndarray, n: int) -> float:
+        """With the distance at which a row's own cell has k rows for what is near."""
+        full = np.sort(away[np.arange(len(away)), away.argmin(axis=1)])
+        near = cells.least(away.argmin(axis=1), away) <= 1.5 * full[len(full) // 2]
+        return ((near * cells.count[None, :-1]).sum(axis=1) + MOVE * near.sum(axis=1)).mean()
+
+    rows, cells = placed(rows, cost, cell_rows)
     asked = queries.filter("query_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast(rows.schema["embedding"].dataType).alias("embedding"), *same)
     parts, filled = cells.blocks(CORPUS_PART), len(cells.centres)
     tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(parts.sum()) // 16)

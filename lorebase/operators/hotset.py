@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import rules, scores
 from lorebase.functions import text as tx
+from lorebase.sources.shared import cut
 
 
 def _ago(as_of: Column, days) -> Column:
@@ -109,22 +110,19 @@ def trust_deltas(events: DataFrame) -> DataFrame:
 BLOCK = 4096
 
 
-def _range_number(value: Column, bounds: list[int], first: int = 0) -> Column:
-    """first plus the number of sorted bounds not above value, by bisection."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(value < bounds[mid], _range_number(value, bounds[:mid], first)).otherwise(_range_number(value, bounds[mid + 1 :], first + mid + 1))
-
-
 def _in_blocks(events: DataFrame) -> DataFrame:
-    """memory_id, block, seq, delta. Memories of more than BLOCK events (at most one for BLOCK events of the table) have one block per range of seq."""
+    """memory_id, block, seq, delta: BLOCK events of a memory are a block, by their running number within the memory.
+
+    The numbers come in two passes: events are dealt by ranges of memory and seq, numbered within a range, and a memory's
+    ranges before it are counted. So no task sorts more than a range of a memory with very many events.
+    """
     rows = trust_deltas(events).select("memory_id", F.col("seq").cast("bigint").alias("seq"), "delta")
-    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(b) for b in rows.select(F.col("seq").cast("double")).approxQuantile("seq", [i / parts for i in range(1, parts)], 0.25 / parts)})
-    hot = rows.groupBy("memory_id").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("memory_id", F.lit(True).alias("hot"))
-    number = F.when(F.col("hot"), _range_number(F.coalesce("seq", F.lit(-(2**63))), bounds)).otherwise(0)
-    return rows.join(hot, "memory_id", "left").withColumn("block", number).drop("hot")
+    dealt = cut(rows.repartitionByRange("memory_id", "seq", "delta").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("memory_id", "range").agg(F.count("*").alias("n"))
+    before = counts.select("memory_id", "range", (F.sum("n").over(Window.partitionBy("memory_id").orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("memory_id", "range").orderBy("seq", "delta")) - 1
+    numbered = dealt.withColumn("place", place).join(before, ["memory_id", "range"])
+    return numbered.select("memory_id", F.floor((F.col("place") + F.col("before")) / BLOCK).cast("int").alias("block"), "seq", "delta")
 
 
 def _clamped(x: Column) -> Column:
@@ -153,7 +151,7 @@ def _after(trust: Column, f: Column) -> Column:
 def last_trust(base: DataFrame, events: DataFrame) -> DataFrame:
     """Trust of each memory after its events in order, within 0 and 1 after each: memory_id, trust, n_steps.
 
-    Events of one memory are folded in parallel by ranges of seq; only one row per range meets in a task.
+    Events of one memory are folded in parallel by blocks of BLOCK; only one row per block meets in a task.
     """
     n = F.aggregate("blocks", F.lit(0), lambda acc, x: acc + x.n)
     trust = F.aggregate("blocks", F.lit(None).cast("double"), lambda acc, x: _after(acc, x.f))
