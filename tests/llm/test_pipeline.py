@@ -43,5 +43,5 @@ def test_stages(spark, table):
 
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{i}_" for i in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names
