@@ -154,11 +154,12 @@ def write_index(docs: DataFrame, folder: str, k1: float = 1.2, b: float = 0.75,
     mean = size["mean"] or 1.0
     spark.createDataFrame([(size.n, mean, k1, b, buckets)], "n long, mean double, k1 double, b double, buckets int").write.json(f"{folder}/size")
     each = counted.select("id", "length", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", "length", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
-    lists = each.groupBy("term").agg(F.count("*").alias("df")).withColumn("lists", F.ceil(F.col("df") / LIST).cast("int"))
-    dealt = each.join(lists.select("term", "lists"), "term").select("term", F.pmod(F.xxhash64("id"), F.col("lists")).cast("int").alias("list"), gift(F.col("tf"), F.col("length"), k1, b, mean).alias("gift"), "id")
-    dealt = dealt.repartition("term", "list").sortWithinPartitions("term", "list", F.desc("gift"), "id")
+    # Terms of more than one list are one at most for LIST postings of the table, so few rows are joined.
+    hot = each.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > LIST).select("term", F.ceil(F.col("df") / LIST).cast("int").alias("lists"))
+    dealt = each.join(hot, "term", "left").select(bucket(F.col("term"), buckets).alias("bucket"), "term", F.pmod(F.xxhash64("id"), F.coalesce("lists", F.lit(1))).cast("int").alias("list"), gift(F.col("tf"), F.col("length"), k1, b, mean).alias("gift"), "id")
+    dealt = dealt.repartition("term", "list").sortWithinPartitions("bucket", "term", "list", F.desc("gift"), "id").drop("bucket")
     blocks = dealt.mapInArrow(_blocks, POSTINGS.removesuffix(", bucket int"))
-    blocks.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "list", F.desc("most")).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    blocks.withColumn("bucket", bucket(F.col("term"), buckets)).write.partitionBy("bucket").parquet(f"{folder}/postings")
     idf = F.log((F.lit(size.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
     terms.withColumn("idf", F.greatest(idf, F.lit(1e-6))).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/terms")
