@@ -15,7 +15,7 @@ from lorebase.plans import extraction, retrieval, store
 from lorebase.plans.registry import query
 from lorebase.sources.shared import shared_dir
 from lorebase.sources.tables import VIEWS, sql, shaped, stream, view
-from lorebase.streaming import streams
+from lorebase.streaming import ordered, streams
 
 
 def _folder(spark, name):
@@ -109,6 +109,19 @@ def str05_transitions(spark, d):
     return streams.stitched_transitions(spark, path).select("from_id", "to_id", "count", _us("last_seen").alias("last_seen_us"))
 
 
+@query(
+    "+" + _MARK + """, nexts AS (SELECT k AS from_id, lead(k) OVER w AS to_id, lead(ts) OVER w AS seen FROM access_log WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq))
+SELECT from_id, to_id, count(*) AS count, epoch_us(max(seen)) AS last_seen_us FROM nexts, mark WHERE from_id <> to_id AND seen <= mark GROUP BY 1, 2""",
+    "access_log",
+)
+def str05_ordered(spark, d):
+    """Transitions by rows' times whatever order they come in, of rows that the watermark has passed."""
+    src = _stream(spark, d, "access_log").select("session_id", F.col("k").alias("item"), "ts", "seq")
+    with ordered.row_store(spark):
+        pairs = _written(ordered.ordered_transitions(src, keep_days=365), "ordered")
+    return pairs.groupBy("from_id", "to_id").agg(F.count("*").alias("count"), F.unix_micros(F.max("seen")).alias("last_seen_us"))
+
+
 @query(retrieval.ATTRIBUTED, "memories")
 def str06_attribution(spark, d):
     told = _stream(spark, d, "memories", "created_at").select(F.col("id").alias("memory_id"), "session_id", F.col("created_at").alias("injected_at"))
