@@ -3,7 +3,7 @@
 Words are runs of letters and digits of any script, lower-cased, without diacritics, and stemmed by Porter's rules. The index is a
 folder of tables: postings has, by bucket of the term, blocks of BLOCK documents in the order of what the term gives them, with
 the largest of it; terms has each term's number of documents and largest gift; documents each one's terms. A term in very many documents is dealt
-over lists of LIST documents by a hash of their ids, so no task sorts more.
+over lists of about LIST documents, in rows of ROW documents, so no task sorts more.
 
 A query reads the buckets of its terms only; see pruned for the blocks that it opens, and search for what it scores.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,6 +25,10 @@ from lorebase.sources.shared import cut
 
 #: Buckets of an index unless told otherwise, documents of a block, and of a list.
 BUCKETS, BLOCK, LIST = 16, 128, 1 << 16
+#: A posting where many of them move as one value: for a rare term that is shorter than two arrays.
+ENTRY = np.dtype([("id", "<i8"), ("gift", "<f8")])
+#: Words or postings that a task takes together, and documents of a row that moves to its list.
+PIECE, ROW = 1 << 19, 512
 #: Weak terms may add this share of the bound: with more of them fewer blocks are opened, but more documents must be scored.
 WEAK = 0.5
 
@@ -94,23 +97,71 @@ def words(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _pieces(lists: pa.ListArray):
+    """(first, number) of rows in a row that hold at most PIECE entries together, or of one longer row."""
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(lists):
+        before = ends[first - 1] if first else 0
+        n = max(1, int(np.searchsorted(ends, before + PIECE, "right")) - first)
+        yield first, n
+        first += n
+
+
 def _counted(batches):
-    """(id, number of words, stems, counts) of each document."""
+    """(id, number of words, stems, counts) of each document; each different word of a piece is stemmed once."""
     for batch in batches:
-        counts = [Counter(map(stem, own)) for own in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(c.values()) for c in counts], pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["id", "length", "terms", "counts"])
+        for first, n in _pieces(batch.column(1)):
+            own = batch.column(1).slice(first, n)
+            lengths, found = own.value_lengths().to_numpy(), own.flatten().dictionary_encode()
+            stems = pa.array([stem(w) for w in found.dictionary.to_pylist()], pa.string()).dictionary_encode()
+            size = max(1, len(stems.dictionary))
+            pairs, counts = np.unique(np.repeat(np.arange(n), lengths) * size + stems.indices.to_numpy()[found.indices.to_numpy()], return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs, np.arange(n + 1) * size).astype(np.int32))
+            terms = pa.ListArray.from_arrays(offsets, stems.dictionary.take(pa.array(pairs % size)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(lengths.astype(np.int64)), terms, pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))], ["id", "length", "terms", "counts"])
+
+
+def _listed(k1: float, b: float, mean: float):
+    """From counted documents to rows (term, entries) of at most ROW documents each, so that postings move as lists."""
+
+    def run(batches):
+        for batch in batches:
+            for first, n in _pieces(batch.column(2)):
+                ids, length, terms, counts = (c.slice(first, n) for c in batch.columns)
+                doc, found = np.repeat(np.arange(n), terms.value_lengths().to_numpy()), terms.flatten().dictionary_encode()
+                code = found.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                code, doc, tf = code[order], doc[order], counts.flatten().to_numpy()[order]
+                starts = np.flatnonzero(np.diff(code, prepend=-1))
+                begins = np.flatnonzero((np.arange(len(code)) - np.repeat(starts, np.diff(starts, append=len(code)))) % ROW == 0)
+                entries = np.empty(len(code), ENTRY)
+                entries["id"], entries["gift"] = ids.to_numpy()[doc], gift(tf.astype(float), length.to_numpy()[doc].astype(float), k1, b, mean)
+                offsets = np.append(begins, len(code)).astype(np.int32) * ENTRY.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
+                yield pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(code[begins])), packed], ["term", "entries"])
+
+    return run
 
 
 def _blocks(batches):
-    """Blocks of rows (term, list, gift, id) that come by term, list and falling gift."""
+    """Blocks of lists whose rows (term, list, entries) come together: within a list by falling gift, ties by id."""
     names = ["term", "list", "n", "most", "ids", "gifts"]
 
-    def told(rows: pa.Table, begins: np.ndarray):
-        ends = np.append(begins[1:], len(rows))
-        gifts, ids = rows["gift"].combine_chunks(), rows["id"].combine_chunks()
-        offsets, at = pa.array(np.append(begins, len(rows)).astype(np.int32)), pa.array(begins)
-        columns = rows["term"].take(at).combine_chunks(), rows["list"].take(at).combine_chunks(), pa.array(ends - begins), gifts.take(at), pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, gifts)
-        return pa.RecordBatch.from_arrays(list(columns), names)
+    def told(rows: pa.Table, starts: np.ndarray):
+        packed = rows["entries"].combine_chunks()
+        sizes = pa.compute.binary_length(packed).to_numpy() // ENTRY.itemsize
+        lists = np.repeat(np.repeat(np.arange(len(starts)), np.diff(starts, append=len(rows))), sizes)
+        first = np.frombuffer(packed.buffers()[1], np.int32, 1, 4 * packed.offset)[0]
+        entries = np.frombuffer(packed.buffers()[2], ENTRY, int(sizes.sum()), int(first))
+        ids, gifts = entries["id"], entries["gift"]
+        order = np.lexsort((ids, -gifts, lists))
+        ids, gifts, lists = ids[order], gifts[order], lists[order]
+        firsts = np.searchsorted(lists, np.arange(len(starts)))
+        begins = np.flatnonzero((np.arange(len(ids)) - firsts[lists]) % BLOCK == 0)
+        offsets, at = pa.array(np.append(begins, len(ids)).astype(np.int32)), pa.array(starts[lists[begins]])
+        columns = [rows["term"].combine_chunks().take(at), rows["list"].combine_chunks().take(at), pa.array(np.diff(begins, append=len(ids))), pa.array(gifts[begins])]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(gifts))], names)
 
     held = None
     for batch in batches:
@@ -121,11 +172,9 @@ def _blocks(batches):
         term, part = rows["term"].combine_chunks(), rows["list"].to_numpy()
         same = pa.compute.equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False).astype(bool) & (part[1:] == part[:-1])
         starts = np.flatnonzero(np.append(True, ~same))
-        place = np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows)))
-        begins = np.flatnonzero(place % BLOCK == 0)
-        held = rows.slice(int(begins[-1]))  # the last block may go on
-        if len(begins) > 1:
-            yield told(rows.slice(0, int(begins[-1])), begins[:-1])
+        held = rows.slice(int(starts[-1]))  # the last list may go on
+        if len(starts) > 1:
+            yield told(rows.slice(0, int(starts[-1])).combine_chunks(), starts[:-1])
     if held is not None:
         yield told(held.combine_chunks(), np.zeros(1, np.int64))
 
@@ -139,8 +188,8 @@ TERMS = "term string, df long, most double, idf double, bucket int"
 COUNTED = "id long, length long, terms array<string>, counts array<long>"
 
 
-def gift(tf: Column, length: Column, k1: float, b: float, mean: float) -> Column:
-    """What a term adds to a document's score, without the term's idf."""
+def gift(tf, length, k1: float, b: float, mean: float):
+    """What a term adds to a document's score, without the term's idf: of columns or of arrays."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
@@ -153,12 +202,11 @@ def write_index(docs: DataFrame, folder: str, k1: float = 1.2, b: float = 0.75,
     size = counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
     mean = size["mean"] or 1.0
     spark.createDataFrame([(size.n, mean, k1, b, buckets)], "n long, mean double, k1 double, b double, buckets int").write.json(f"{folder}/size")
-    each = counted.select("id", "length", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", "length", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
-    # Terms of more than one list are one at most for LIST postings of the table, so few rows are joined.
-    hot = each.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > LIST).select("term", F.ceil(F.col("df") / LIST).cast("int").alias("lists"))
-    dealt = each.join(hot, "term", "left").select(bucket(F.col("term"), buckets).alias("bucket"), "term", F.pmod(F.xxhash64("id"), F.coalesce("lists", F.lit(1))).cast("int").alias("list"), gift(F.col("tf"), F.col("length"), k1, b, mean).alias("gift"), "id")
-    dealt = dealt.repartition("term", "list").sortWithinPartitions("bucket", "term", "list", F.desc("gift"), "id").drop("bucket")
-    blocks = dealt.mapInArrow(_blocks, POSTINGS.removesuffix(", bucket int"))
+    # Terms of more than one list are one at most for LIST postings of the table; written, so that their size tells how to join.
+    hot = cut(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > LIST).select("term", F.ceil(F.col("df") / LIST).cast("int").alias("lists")), "hot")
+    rows = counted.mapInArrow(_listed(k1, b, mean), "term string, entries binary")
+    dealt = rows.join(hot, "term", "left").select("term", F.pmod(F.xxhash64("entries"), F.coalesce("lists", F.lit(1))).cast("int").alias("list"), "entries")
+    blocks = dealt.repartition("term", "list").sortWithinPartitions("term", "list").mapInArrow(_blocks, POSTINGS.removesuffix(", bucket int"))
     blocks.withColumn("bucket", bucket(F.col("term"), buckets)).write.partitionBy("bucket").parquet(f"{folder}/postings")
     idf = F.log((F.lit(size.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
@@ -223,7 +271,8 @@ def pruned(index: Index, queries: DataFrame, top: int) -> tuple[DataFrame, DataF
     asked = cut(asked, "asked")
     blocks = asked.join(index.postings, ["bucket", "term"])
     best = blocks.filter(F.col("list") == 0).withColumn("first", F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("most"), "ids"))).filter("first = 1")
-    known = _first(_parts(best).groupBy("query_id", "id").agg(F.sum("part").alias("least")), "least", top).select("query_id", "id")
+    # Written, so that their size tells whether the documents must move to meet them.
+    known = cut(_first(_parts(best).groupBy("query_id", "id").agg(F.sum("part").alias("least")), "least", top).select("query_id", "id"), "known")
     floor = _scored(index, asked, known).groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("bm25")).alias("least"))
     weakest = Window.partitionBy("query_id").orderBy("bound", "term")
     asked = asked.join(floor, "query_id", "left").withColumn("upto", F.sum("bound").over(weakest)).withColumn("others", F.sum("bound").over(Window.partitionBy("query_id")) - F.col("bound"))
@@ -236,15 +285,19 @@ def pruned(index: Index, queries: DataFrame, top: int) -> tuple[DataFrame, DataF
 def search(index: Index, queries: DataFrame, top: int) -> DataFrame:
     """query_id, id, bm25, score (best 1, worst 0, alone 1) of each query's best documents; ties at nine digits go to the smaller id.
 
-    What the opened blocks give a document, with the most of the weak terms, must reach the bound. To those that do
-    the weak terms' blocks add the rest; a strong block that stayed shut holds none of the first top.
+    What the opened blocks give a document, with the most of the weak terms, must reach the bound. The first of these are scored
+    whole, which raises the bound, and of the others only those that can reach that one are scored, each from its own
+    terms: the weak terms' long lists are not opened. A strong block that stayed shut holds none of the first top.
     """
     asked, blocks = pruned(index, queries, top)
     weak = asked.groupBy("query_id").agg(F.max("weak_most").alias("weak_most"), F.max("least").alias("least"))
+    able = lambda bound: F.coalesce(F.col("part") + F.col("weak_most") >= F.col(bound) - 1e-6, F.lit(True))
     some = _parts(blocks.filter("opened")).groupBy("query_id", "id").agg(F.sum("part").alias("part")).join(weak, "query_id")
-    able = cut(some.filter(F.coalesce(F.col("part") + F.col("weak_most") >= F.col("least") - 1e-6, F.lit(True))).select("query_id", "id", "part"), "able")
-    rest = _parts(blocks.filter("weak")).join(able.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    scored = _first(able.unionByName(rest).groupBy("query_id", "id").agg(F.sum("part").alias("bm25")), "bm25", top).drop("n")
+    some = cut(some.filter(able("least")).select("query_id", "id", "part", "weak_most"), "able")
+    best = cut(_first(some, "part", top).select("query_id", "id"), "best")
+    floor = _scored(index, asked, best).groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("bm25")).alias("floor"))
+    last = cut(some.join(cut(floor, "floor"), "query_id", "left").filter(able("floor")).select("query_id", "id"), "last")
+    scored = _first(_scored(index, asked, last), "bm25", top).drop("n")
     by = Window.partitionBy("query_id")
     spread = F.max("bm25").over(by) - F.min("bm25").over(by)
     return scored.withColumn("score", F.when(spread > 0, (F.col("bm25") - F.min("bm25").over(by)) / spread).otherwise(1.0))
