@@ -3,7 +3,8 @@
 The rules' expressions become one nondeterministic automaton over bytes; subset construction and minimisation turn
 it into a transition array, in which every state knows the rules that have just matched. All rules are scanned
 in one pass over the bytes, which gives the ends of all matches. A batch is cut after bytes that send every state
-back to the start, and its pieces take their steps together. Each rule also has an automaton of its reversed
+back to the start, and its pieces take their steps together; the last of them, such as a long run of one class
+of bytes, go on alone in plain lists. Each rule also has an automaton of its reversed
 expression, and of the stricter one that its matches must meet; read backwards from an end, it gives the starts.
 Of the matches of a rule the leftmost is taken, the longest of one start, then the next one after its end; those
 that do not meet the stricter expression are dropped. Expressions are read by Python's own parser; no span
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -41,6 +43,8 @@ KINDS = [r[0] for r in RULES]
 BASE = 3
 #: Bytes whose pieces take their steps together.
 SCAN_BYTES = 1 << 22
+#: With no more pieces than these, each takes its further steps by itself, in plain lists.
+FEW = 64
 
 
 class Machine:
@@ -164,7 +168,10 @@ class Automaton:
         self.resets = (self.table.reshape(-1, self.n) == 0).all(axis=0)[self.classes]
 
     def ends(self, data: np.ndarray, offsets: np.ndarray, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the last bytes of matches, bits of their rules), ascending, all documents of data scanned in one pass."""
+        """(places of the last bytes of matches, bits of their rules), ascending, all documents of data scanned in one pass.
+
+        A match that a longer one of the same start and rules follows byte by byte may be left out.
+        """
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.uint16)
         after = np.flatnonzero(self.resets[data]) + 1
@@ -179,6 +186,10 @@ class Automaton:
         longer = len(begin) - np.searchsorted(size[::-1], np.arange(int(size[0])), "right")  # pieces with a byte i
         places, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
         for i, n in enumerate(longer.tolist()):
+            if n <= FEW:
+                for lane in range(n):
+                    self._alone(inputs[begin[lane] + i : begin[lane] + size[lane]].tobytes(), int(state[lane]), int(begin[lane]) + i, places, bits)
+                break
             now = self.table[state[:n] + inputs[begin[:n] + i]]
             state[:n] = now
             hit = self.hits[now]
@@ -190,6 +201,29 @@ class Automaton:
         order = np.argsort(places)
         return places[order], bits[order]
 
+    @functools.cached_property
+    def lists(self) -> tuple[list, list, list]:
+        """classes, table and hits as plain lists, which are faster one step at a time."""
+        return self.classes.tolist(), self.table.tolist(), self.hits.tolist()
+
+    def _alone(self, inputs: bytes, state: int, at: int, places: list, bits: list) -> None:
+        """Add the ends in one piece, whose bytes' classes are inputs from place at on; of neighbouring ends of the same rules the last."""
+        _, table, hits = self.lists
+        where, which, before = [], [], 0
+        for i, c in enumerate(inputs, at):
+            state = table[state + c]
+            now = hits[state]
+            if now != before:
+                if before:
+                    where.append(i - 1)
+                    which.append(before)
+                before = now
+        if before:
+            where.append(at + len(inputs) - 1)
+            which.append(before)
+        places.append(np.array(where, np.int64))
+        bits.append(np.array(which, np.uint16))
+
 
 class Scanner:
     """All rules: the combined automaton, and for each rule the one that finds starts from an end."""
@@ -209,19 +243,34 @@ class Scanner:
             self.back.append(Automaton(own.reversed(), {end for _, end in both}, found, always=False))
         self.all = Automaton(every, {start}, finals, always=True)
 
-    def starts(self, k: int, raw: bytes, lo: int, last: int) -> list[tuple[int, bool]]:
-        """(start, whether it meets the stricter expression) of the matches of rule k that end with byte last."""
-        back = self.back[k]
-        if not hasattr(back, "lists"):
-            back.lists = back.classes.tolist(), back.table.tolist(), back.hits.tolist()
-        classes, table, hits = back.lists
-        state, out = 0, []
+    def leftmost(self, k: int, raw: bytes, lo: int, last: int) -> tuple[int, bool] | None:
+        """(start, whether it meets the stricter expression) of the leftmost match of rule k from lo on that ends with byte last."""
+        classes, table, hits = self.back[k].lists
+        state, dead, start, bits = 0, self.back[k].dead, -1, 0
         for i in range(last, lo - 1, -1):
             state = table[state + classes[raw[i]]]
-            if state == back.dead:
+            if state == dead:
                 break
             if hits[state]:
-                out.append((i, hits[state] > 1))
+                start, bits = i, hits[state]
+        return None if start < 0 else (start, bits > 1)
+
+    def chosen(self, k: int, raw: bytes, lo: int, ends: list[int]) -> list[tuple[int, int]]:
+        """(start, end) of the matches of rule k in a document that begins at lo, from their last bytes.
+
+        Each end waits with its leftmost start alone, and looks again behind a match that has taken that start.
+        """
+        found = [(s[0], -e, s[1]) for e in ends if (s := self.leftmost(k, raw, lo, e))]
+        heapq.heapify(found)
+        out, free = [], lo
+        while found:
+            s, e, good = heapq.heappop(found)
+            if s >= free:
+                free = 1 - e
+                if good:
+                    out.append((s, free))
+            elif -e >= free and (again := self.leftmost(k, raw, free, -e)):
+                heapq.heappush(found, (again[0], e, again[1]))
         return out
 
     def spans(self, data: np.ndarray, offsets: np.ndarray, piece: int = 512) -> list[list[tuple[int, int, int]]]:
@@ -238,16 +287,11 @@ class Scanner:
                 continue
             at, doc = places[own], owner[own]
             last = np.append((at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]), True)  # a longer match of the same start goes on
-            pairs: dict[int, list] = {}
+            ends: dict[int, list[int]] = {}
             for e, d in zip(at[last].tolist(), doc[last].tolist(), strict=True):
-                pairs.setdefault(d, []).extend((s, -e, good) for s, good in self.starts(k, raw, int(offsets[d]), e))
-            for d, found in pairs.items():
-                free = 0
-                for s, e, good in sorted(found):
-                    if s >= free:
-                        free = 1 - e
-                        if good:
-                            out[d].append((s, k, free))
+                ends.setdefault(d, []).append(e)
+            for d, own in ends.items():
+                out[d].extend((s, k, e) for s, e in self.chosen(k, raw, int(offsets[d]), own))
         for d in np.unique(owner).tolist():
             if out[d]:
                 lo = int(offsets[d])

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -167,6 +169,30 @@ def test_automaton_spans_equal_expressions(piece):
         assert found == by_expressions(text), text
 
 
+@pytest.mark.parametrize("few", [0, 64, 10**9])
+def test_spans_of_long_runs(monkeypatch, few):
+    monkeypatch.setattr(secrets, "FEW", few)
+    rng = random.Random(6)
+    runs = ["".join(rng.choice(letters) for _ in range(3000)) for letters in ("0123456789abcdef", "ABCDEFGH01234567", "ABCabc012+/=")]
+    texts = [runs[0], "AKIA" + runs[1], "AKIA" * 500, "token=" + runs[2] + "=" + runs[0], "secret=token=" * 200, "é" + runs[0] + "x" + runs[0], "-----BEGIN PRIVATE KEY-----" + runs[2] + "-----END PRIVATE KEY-----" + runs[2]]
+    got = secrets.scanner().spans(*secrets.text_buffer(pa.array(texts)))
+    assert got == [by_expressions(t) for t in texts] and all(got)
+
+
+def test_a_megabyte_of_one_run_is_fast_and_small():
+    for unit in ("0123456789abcdef", "AKIA", "token=", "Zz9+"):
+        data, offsets = secrets.text_buffer(pa.array([unit * (2**20 // len(unit))]))
+        secrets.scanner().spans(data[:600], np.array([0, 600]))
+        tracemalloc.start()
+        began = time.process_time()
+        found = secrets.scanner().spans(data, offsets)[0]
+        used = time.process_time() - began
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert used < 10 and peak < 120e6  # with the tracing, which slows it several times
+        assert len(found) == (unit != "Zz9+")
+
+
 def test_spans_come_from_the_automaton():
     column = secrets.text_buffer(pa.array([t or "" for t in SECRET_TEXTS]))
     found = {k for f in secrets.scanner().spans(*column) for _, k, _ in f}
