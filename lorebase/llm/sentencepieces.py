@@ -4,7 +4,9 @@ The pieces of a public model lie in a double-array trie (base and check arrays o
 word-start mark in front and in place of every space; the best segmentation by the sum of piece scores
 follows from dynamic programming over all pieces that the trie finds at each byte. What no piece covers falls
 back to byte pieces. As no piece has a mark after another character, the best segmentation of a text is that of
-its marked words in turn: each different word is solved once, all new words of one length together.
+its marked words in turn: each different word is solved once, all new short words of one length together. The pieces
+of long ones (unbroken strings, scripts without spaces) are found from all their places at once, and plain lists take
+the best of them.
 
 Models of the merge kind rank pieces instead of scoring them; a piece of rank r then gets the log score
 -log(r + 2), the shape of a frequency list. Given log scores are used as they are.
@@ -33,6 +35,10 @@ _MARK_BYTE = 255
 BYTE_SCORE = -30.0
 #: Different words whose ids a worker remembers (about 40 bytes each), and bytes of words that are solved together.
 REMEMBERED, TOGETHER = 400_000, 1 << 18
+#: Bytes up to which words of one length are solved together, and places of longer ones whose pieces are found at once.
+SHORT, PLACES = 32, 1 << 16
+#: Ids that a worker remembers, beyond which it starts anew.
+MOST_IDS = 16 * REMEMBERED
 
 
 class DoubleArray:
@@ -98,13 +104,17 @@ class Model:
         """(ids of the best segmentations of all words, number of ids of each)."""
         sizes = np.array([len(w) for w in words])
         count, parts = np.zeros(len(words), np.int32), [np.zeros(0, np.uint32)] * len(words)
-        for n in np.unique(sizes).tolist():
+        for n in np.unique(sizes[sizes <= SHORT]).tolist():
             own = np.flatnonzero(sizes == n)
             step = max(1, TOGETHER // n)
             for lo in range(0, len(own), step):
                 part = own[lo : lo + step]
                 for i, ids in zip(part.tolist(), self._solve(np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), n)), strict=True):
                     parts[i], count[i] = ids, len(ids)
+        own = np.flatnonzero(sizes > SHORT)
+        for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(sizes[own]) // TOGETHER)) + 1) if len(own) else []:
+            for i, ids in zip(part.tolist(), self._solve_long([words[i] for i in part]), strict=True):
+                parts[i], count[i] = ids, len(ids)
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), count
 
     def _solve(self, words: np.ndarray) -> list[np.ndarray]:
@@ -137,6 +147,69 @@ class Model:
             place[todo] = s
         return [row[:k][::-1] for row, k in zip(ids, out.tolist(), strict=True)]
 
+    def _pieces(self, raw: np.ndarray, begin: int, until: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces from places begin to until on, no further than the ends of their words; ascending."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        rows = begin + np.flatnonzero(ends > np.arange(begin, until))
+        node, depth, found = np.zeros(len(rows), np.int64), 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        while len(rows):
+            to = base[node] + raw[rows + depth] + 1
+            inside = check[np.minimum(to, len(check) - 1)] == node
+            inside &= to < len(check)
+            rows, node, depth = rows[inside], to[inside], depth + 1
+            piece = value[node]
+            hit = piece >= 0
+            found.append((rows[hit], rows[hit] + depth, piece[hit]))
+            further = rows + depth < ends[rows - begin]
+            rows, node = rows[further], node[further]
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], piece[order]
+
+    def _solve_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The same for words of any length, one place after the other: each place gives its best score to the ends of its pieces."""
+        raw = np.frombuffer(b"\0".join(words), np.uint8)  # the place between two words is the end of the first
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        n = len(raw)
+        # The piece that leads to a place, -1 for a byte, and where it starts.
+        which, came = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int64)
+        over: list[float] = []  # best scores of places behind a part, from pieces within it
+        for lo in range(0, n, PLACES):
+            hi = min(n, lo + PLACES)
+            places = np.arange(lo, hi)
+            until = ends[np.searchsorted(ends, places)]
+            start, end, piece = self._pieces(raw, lo, hi, until)
+            plain = until > places
+            plain[start[(end == start + 1) & (self.scores[piece] > BYTE_SCORE)] - lo] = False  # a byte piece would lose
+            plain = places[plain]
+            order = np.argsort(np.concatenate((plain, start)), kind="stable")  # a place's byte comes before its pieces
+            start, end, piece = (np.concatenate(x)[order] for x in ((plain, start), (plain + 1, end), (np.full(len(plain), -1, np.int32), piece)))
+            score = np.where(piece >= 0, self.scores[piece], BYTE_SCORE)
+            size = int(max(end.max(initial=hi), hi, lo + len(over))) - lo + 1
+            best, edge = over + [-math.inf] * (size - len(over)), [-1] * size
+            for e in [0] * (lo == 0) + (ends[(ends >= lo - 1) & (ends < hi)] + 1).tolist():
+                if e - lo < size:
+                    best[e - lo] = 0.0  # a word's first place
+            for k, s, e, x in zip(range(len(start)), (start - lo).tolist(), (end - lo).tolist(), score.tolist(), strict=True):
+                x += best[s]
+                if x > best[e]:
+                    best[e], edge[e] = x, k
+            edge = np.array(edge)
+            at = np.flatnonzero(edge >= 0)
+            which[lo + at], came[lo + at] = piece[edge[at]], start[edge[at]]
+            over = best[hi - lo :]
+        out = []
+        for word, end in zip(words, ends.tolist(), strict=True):
+            lo, at, taken = end - len(word), len(word), []
+            back = (came[lo : end + 1] - lo).tolist()
+            while at:
+                taken.append(at)
+                at = back[at]
+            taken = np.array(taken[::-1], np.int64) + lo
+            piece = which[taken]
+            out.append(np.where(piece >= 0, piece, self.of_byte[raw[taken - 1]]).astype(np.uint32))
+        return out
+
     @staticmethod
     def _better(best, start, piece, i: int, j: int, rows, found, score) -> None:
         """Let the pieces found from place i end at place j in the rows where they score better."""
@@ -178,6 +251,8 @@ class Encoder:
         word[1:] &= ~mark[:-1]
         word[begins] = True
         begin = np.flatnonzero(word)
+        if self.memory.used > MOST_IDS:
+            self.memory.clear()
         ids, count = self.memory(marked, begin)
         bounds = np.zeros(len(offsets), np.int64)
         bounds[full + 1] = np.add.reduceat(count, np.searchsorted(begin, begins))

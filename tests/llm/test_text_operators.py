@@ -252,6 +252,36 @@ def test_pieces_round_trip_and_best_score():
             assert [back[a:b].tobytes().decode() for a, b in zip(ends[:-1], ends[1:], strict=True)] == batch
 
 
+def test_long_words_have_the_same_pieces(monkeypatch):
+    import public_tokenizers
+
+    model = sentencepieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    words = [b"\xff" + "".join(rng.choice("aeinrst語-=A9+/") for _ in range(rng.randint(20, 120))).encode() for _ in range(60)]
+    words += [b"\xff" + b"a" * 300, b"\xff" * 70, b"\xff" * 70, b"\xff" + "深度学习模型".encode() * 20, b"\xff" + bytes(range(128, 255)), b"\xffthe"]
+    monkeypatch.setattr(sentencepieces, "SHORT", 10**9)
+    want = model.solve(words)
+    for places in (1, 7, 1 << 16):
+        monkeypatch.setattr(sentencepieces, "SHORT", 0)
+        monkeypatch.setattr(sentencepieces, "PLACES", places)
+        monkeypatch.setattr(sentencepieces, "TOGETHER", 100 * places)
+        got = model.solve(words)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_a_megabyte_without_spaces_is_encoded_fast():
+    import public_tokenizers
+
+    model, rng = sentencepieces.Model(public_tokenizers.path("piece_bpe_32k.model")), random.Random(7)
+    for letters, n in (("a", 2**18), ("".join(map(chr, range(65, 123))), 2**18), ("語学習深度模型", 2**17)):
+        data, offsets = sentencepieces.text_buffer(pa.array(["".join(rng.choice(letters) for _ in range(n)), "", letters]))
+        encoder, began = sentencepieces.Encoder(model), time.process_time()
+        ids, bounds = encoder(data, offsets)
+        assert time.process_time() - began < 4  # single steps of arrays took 25 to 100
+        back, ends = model.decode(ids, bounds)
+        assert back.tobytes() == data.tobytes() and np.array_equal(ends, offsets)
+
+
 def test_pieces_table_round_trip(spark):
     rows = [*AWKWARD, (20, "a ▁ mark▁▁")]
     back = {r.doc_id: r.text for r in sentencepieces.decode(sentencepieces.encode(docs(spark, rows))).collect()}
