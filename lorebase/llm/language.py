@@ -8,7 +8,7 @@ backward sums on the executors, and only one number per piece and language reach
 
 Defined results: `und` with score 0 for a text that is null, empty or without letters, and for every
 text if there is no labelled row. Ties go to the alphabetically first language. Words count lower-cased
-and without other characters, at any length: long ones are summed in logarithms, so nothing underflows.
+and without other characters, at any length: long ones are summed with scaled steps, so nothing underflows.
 Each row is predicted from its text alone, so repeated rows agree. Extra columns are ignored; keep_identified
 keeps them, needs the columns named by lang_col and text_col, and drops the rows it finds no language for.
 """
@@ -31,8 +31,10 @@ SAMPLE_ROWS = 1500
 ITERATIONS = 3
 #: Letters up to which plain products stay far above the least double (UNKNOWN to that power is 1e-297).
 PLAIN = 32
-#: Words of one length that are summed together, and positions of one word that are kept for its sum.
-TOGETHER, HELD = 2048, 4096
+#: Words of one length that are summed together; letters of longer words that are summed together, and about how many of them one lane has.
+TOGETHER, HELD, LANE = 2048, 1 << 15, 64
+#: Letters of the parts in which longer words are learned from (they are predicted whole).
+LEARNED = 32
 #: Probability of a character that the vocabulary lacks, and what is added to each expected count.
 UNKNOWN, SMOOTH = 1e-9, 0.05
 #: Words whose scores a worker remembers; beyond it starts anew.
@@ -58,6 +60,13 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hash_long(codes: np.ndarray) -> np.ndarray:
+    """The same of one long row, without a step per code point: the base is odd, so it has an inverse."""
+    n = len(codes)
+    powers, inverse = (np.cumprod(np.concatenate(([U64(1)], np.full(n, x, U64)))) for x in (_BASE, U64(pow(int(_BASE), -1, 1 << 64))))
+    return np.concatenate(([U64(0)], np.cumsum(mix(codes.astype(U64) + U64(1)) * inverse[1:]))) * powers
+
+
 class Pieces:
     """Finds every piece in every word of equal length at once."""
 
@@ -70,6 +79,11 @@ class Pieces:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.longest = max(map(len, pieces))
+        self.seen = np.zeros(1 << 20, bool)  # of a piece's hash, the low bits
+        self.seen[self._low(self.keys)] = True
+
+    def _low(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & U64(len(self.seen) - 1)).astype(np.int64)
 
     def matches(self, words: list[str]):
         """(start, end, piece number) arrays for words of one length; size: no piece, size + 1: unknown character."""
@@ -87,13 +101,16 @@ class Pieces:
 
     def ends(self, codes: np.ndarray) -> dict[int, np.ndarray]:
         """Piece that ends at each position of one word, by the piece's length; size + 1: unknown character, size + 2: none."""
-        prefix, out = _hash(codes[None, :])[0], {}
+        prefix, out = _hash_long(codes), {}
         powers = np.cumprod(np.full(self.longest, _BASE, U64))
         for size in range(1, min(self.longest, len(codes)) + 1):
             key = prefix[size:] - prefix[:-size] * powers[size - 1]
+            found = np.full(len(codes), self.size + (1 if size == 1 else 2))
+            where = np.flatnonzero(self.seen[self._low(key)])
+            key = key[where]
             at = np.minimum(np.searchsorted(self.keys, key), self.size - 1)
-            found = np.full(len(codes), self.size + 2)
-            found[size - 1 :] = np.where(self.keys[at] == key, self.order[at], self.size + (1 if size == 1 else 2))
+            same = self.keys[at] == key
+            found[where[same] + size - 1] = self.order[at[same]]
             if (found < self.size + 2).any():
                 out[size] = found
         return out
@@ -138,36 +155,94 @@ def _log(table: np.ndarray) -> np.ndarray:
         return np.log(table)
 
 
-def _long(pieces: Pieces, table: np.ndarray, word: str) -> np.ndarray:
-    """log of the summed probability of one word of any length: only as many positions are held as a piece is long, scaled at each step."""
-    codes = np.array([ord(c) for c in word])
-    total, held = np.zeros(table.shape[1]), np.zeros((pieces.longest, table.shape[1]))
-    held[-1] = 1
-    for lo in range(0, len(word), HELD):
-        before = min(lo, pieces.longest - 1)  # a piece may reach back over the block's start
-        n = min(HELD, len(word) - lo)
-        reach = pieces.ends(codes[lo - before : lo + n])
-        for i in range(n):
-            now = sum(held[-size] * table[found[before + i]] for size, found in reach.items() if found[before + i] <= pieces.size + 1 and size <= lo + i + 1)
-            scale = now.max()
-            held[:-1] = held[1:]
-            held[-1] = now
-            held /= scale
-            total += np.log(scale)
-    return total + np.log(held[-1])
+def _long(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
+    """log of the summed probability of words of any length, in each language.
+
+    The letters of all words are cut into lanes, where few pieces cross, and the lanes take their steps together.
+    As a lane does not know the sums before it, it has a row for each place from which a piece may cross its start,
+    as if only that place had a sum, of 1. Lanes are then put together one after the other.
+    """
+    sizes, langs, back = np.array([len(w) for w in words]), table.shape[1], pieces.longest
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    out, state = np.zeros((len(words), langs)), np.full((back, langs), -np.inf)
+    for lo in range(0, len(codes), HELD):
+        hi, before = min(len(codes), lo + HELD), min(lo, back - 1)  # a piece may reach back over the part's start
+        owner = np.searchsorted(bounds, np.arange(lo - before, hi), "right") - 1
+        inside = np.arange(lo - before, hi) - bounds[owner] + 1
+        reach, deep = pieces.ends(codes[lo - before : hi]), np.zeros(before + hi - lo + 1, np.int64)
+        for size, found in reach.items():
+            found[(inside < size) | (found > pieces.size + 1)] = pieces.size  # no probability
+            ends = np.flatnonzero(found < pieces.size) + 1
+            for d in range(1, size):
+                deep[ends - d] = np.maximum(deep[ends - d], size - d)  # how far before a place a piece starts that crosses it
+        first, deep = owner[before], deep[before:]
+        deep[0] = min(back - 1, lo - bounds[first])
+        cuts = _cuts(np.concatenate(([lo], bounds[(bounds > lo) & (bounds < hi)], [hi])) - lo, deep, back)
+        begin, length, rows = cuts[:-1], np.diff(cuts), deep[cuts[:-1]] + 1
+        sums = _lanes(reach, table, begin + before, length, rows, back)
+        word, at = owner[before + begin], np.cumsum(rows) - rows
+        starts, ends = lo + begin == bounds[word], lo + begin + length == bounds[word + 1]
+        alone = starts & ends
+        out[word[alone]] = sums[at[alone], 0]
+        for i in np.flatnonzero(~alone).tolist():
+            own = sums[at[i] : at[i] + rows[i]]
+            state = own[0] if starts[i] else np.logaddexp.reduce(state[: rows[i], None] + own, axis=0)
+            if ends[i]:
+                out[word[i]] = state[0]
+    return out
+
+
+def _cuts(bounds: np.ndarray, deep: np.ndarray, back: int) -> np.ndarray:
+    """Bounds of lanes: those of words, and in long words the places near every LANE letters that the shortest pieces cross."""
+    lane = max(LANE, 4 * back)
+    count = np.maximum(np.diff(bounds) // lane - 1, 0)
+    near = np.repeat(bounds[:-1], count) + lane * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1) - lane // 4
+    best = deep[near[:, None] + np.arange(lane // 2)].argmin(axis=1)
+    return np.unique(np.concatenate((bounds, near + best)))
+
+
+def _lanes(reach: dict, table: np.ndarray, begin: np.ndarray, length: np.ndarray, rows: np.ndarray, back: int) -> np.ndarray:
+    """log of the sums at the last places of each lane (last first, back of them), for each of its rows: row r has 1 at r places before its start."""
+    lane = np.repeat(np.arange(len(rows)), rows)
+    entry = np.arange(len(lane)) - np.repeat(np.cumsum(rows) - rows, rows)
+    order = np.argsort(-length[lane], kind="stable")
+    lane, entry = lane[order], entry[order]
+    at, size = begin[lane], length[lane]
+    going = len(lane) - np.searchsorted(size[::-1], np.arange(int(size[0])), "right")  # rows with a letter t
+    sums, total = np.zeros((back + int(size[0]), len(lane), table.shape[1])), np.zeros((len(lane), table.shape[1]))
+    sums[back - 1 - entry, np.arange(len(lane))] = 1
+    none = len(table) - 2
+    for t, n in enumerate(going.tolist()):
+        now = sums[back + t, :n]
+        for z, found in reach.items():
+            piece = found[at[:n] + t]
+            some = np.flatnonzero(piece != none)
+            if 2 * len(some) > n:
+                now += sums[back + t - z, :n] * table[piece]
+            elif len(some):
+                now[some] += sums[back + t - z, some] * table[piece[some]]
+        if t % 8 == 7:
+            last = sums[t + 1 : back + t + 1, :n]
+            scale = last.max(axis=0)
+            scale[scale == 0] = 1
+            last /= scale
+            total[:n] += np.log(scale)
+    out = np.zeros((len(lane), back, table.shape[1]))
+    out[order] = _log(sums[(back - 1 + size)[:, None] - np.arange(back), np.arange(len(lane))[:, None]]) + total[:, None]
+    return out
 
 
 def forward(pieces: Pieces, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
     """log of the summed probability of all segmentations, for each word and language."""
     table, out = _padded(probabilities), np.zeros((len(words), probabilities.shape[1]))
     for n, own in _by_length(words).items():
-        if n > PLAIN:
-            for i in own:
-                out[i] = _long(pieces, table, words[i])
-            continue
-        for lo in range(0, len(own), TOGETHER):
+        for lo in range(0, len(own) if n <= PLAIN else 0, TOGETHER):
             part = own[lo : lo + TOGETHER]
             out[part] = np.log(_ahead(_edges(pieces, [words[i] for i in part]), n, table, len(part))[n])
+    long = [i for i, w in enumerate(words) if len(w) > PLAIN]
+    if long:
+        out[long] = _long(pieces, table, [words[i] for i in long])
     return out
 
 
@@ -207,12 +282,13 @@ def runs(text: str) -> list[str]:
 
 
 def _count(batches):
-    """(lang, word, n) of each batch."""
+    """(lang, word, n) of each batch; long words in parts."""
     for batch in passes(batches, 1):
         counts: dict = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word in runs(text):
-                counts[lang, word] = counts.get((lang, word), 0) + 1
+                for part in (word[i : i + LEARNED] for i in range(0, len(word), LEARNED)):
+                    counts[lang, part] = counts.get((lang, part), 0) + 1
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 

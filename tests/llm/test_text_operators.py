@@ -422,8 +422,13 @@ def test_long_words_do_not_underflow(spark, monkeypatch):
     pieces, word = language.Pieces(names), "▁" + "abcab?" * 30
     logs = language._ahead_logs(language._edges(pieces, [word]), len(word), language._log(language._padded(p)), 1)[-1][0]
     assert np.allclose(language.forward(pieces, p, [word])[0], logs) and np.isfinite(logs).all()
-    monkeypatch.setattr(language, "HELD", 7)
-    assert np.allclose(language.forward(pieces, p, [word])[0], logs)
+    rng = random.Random(2)
+    words = [word] + ["▁" + "".join(rng.choice("aabbc?") for _ in range(rng.randint(0, 90))) for _ in range(40)] + ["a" * 70, "bcbc" * 20]
+    want = [language._ahead_logs(language._edges(pieces, [w]), len(w), language._log(language._padded(p)), 1)[-1][0] for w in words]
+    for held, lane in ((1 << 15, 64), (7, 64), (7, 1), (50, 1), (100, 20)):
+        monkeypatch.setattr(language, "HELD", held)
+        monkeypatch.setattr(language, "LANE", lane)
+        assert np.allclose(language.forward(pieces, p, words), want), (held, lane)
     rows = [(i, "ka lo mi" if i % 2 else "schei ung", "aa" if i % 2 else "bb") for i in range(40)]
     strange = "\u16a0" * 60
     odd = [(100, strange, "aa"), (101, strange + " ka lo ka lo", "aa"), (102, strange * 100, None), (103, "y" * 5000, None)]
@@ -433,6 +438,21 @@ def test_long_words_do_not_underflow(spark, monkeypatch):
     assert all(got[i].lang_pred == lang for i, _, lang in rows) and got[101].lang_pred == "aa"
 
 
+def test_a_megabyte_of_letters_is_summed_fast():
+    import public_tokenizers
+
+    pieces = language.Pieces(language.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    p = np.random.default_rng(3).dirichlet(np.ones(pieces.size), 6).T
+    rng, table = random.Random(9), language._padded(p)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "a", "語学習深度模型"):
+        word = "▁" + "".join(rng.choice(letters) for _ in range(2**17))
+        began = time.process_time()
+        language.forward(pieces, p, [word])
+        assert time.process_time() - began < 3
+        short = word[:200]
+        assert np.allclose(language.forward(pieces, p, [short])[0], language._ahead_logs(language._edges(pieces, [short]), 200, language._log(table), 1)[-1][0])
+
+
 def test_keep_identified(spark):
     df = spark.createDataFrame([(i, "ka lo mi", "aa") for i in range(8)] + [(9, None, "aa"), (10, "12", None), (11, "", "bb"), (None, "lo ka", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     model = language.fit(df)
