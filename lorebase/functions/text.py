@@ -1,14 +1,15 @@
-"""Column expressions over texts. All stay in the JVM."""
+"""Column expressions over texts. All but category_at_hits stay in the JVM."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorebase.functions import rules
+from lorebase.functions import literals, rules
 
 
 def choose(key: Column, table: dict, default) -> Column:
@@ -46,12 +47,17 @@ def needed(parsed) -> set[str]:
     return best
 
 
-def matches(text: Column, patterns: list[str], flags: str = "") -> Column:
-    """How many of the patterns occur. A pattern is only tried where a text that it needs occurs, which is far cheaper to see."""
+def bounded(pattern: str) -> str:
+    """The expression with word boundaries of ASCII letters, as its other classes are; Java's own also heed letters of other scripts."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
+def matches(text: Column, patterns: list[str], flags: str = "", ascii_edges: bool = False) -> Column:
+    """How many of the patterns occur; ascii_edges: word boundaries know ASCII letters only. A pattern is only tried where a text that it needs occurs, which is far cheaper to see."""
     out, low = F.lit(0), F.lower(text)
     for pattern in patterns:
         texts = sorted(needed(re._parser.parse(pattern)))
-        found = text.rlike(flags + pattern)
+        found = text.rlike(flags + (bounded(pattern) if ascii_edges else pattern))
         if texts and len(texts) <= 12:
             found = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in texts]) & found
         out = out + found.cast("int")
@@ -72,12 +78,38 @@ def importance(text: Column, length_weight: float = 0.3, code_weight: float = 0.
     return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 3)
 
 
+@lru_cache(maxsize=1)
+def _categories() -> tuple[literals.Presence, list[tuple[str, int, int]]]:
+    """Expressions of all categories, and of each category, by priority, those that are its own: (name, first, end)."""
+    patterns, spans = [], []
+    for name in rules.CATEGORY_PRIORITY:
+        spans.append((name, len(patterns), len(patterns) + len(rules.CATEGORY_PATTERNS[name])))
+        patterns += rules.CATEGORY_PATTERNS[name]
+    return literals.Presence(patterns, re.IGNORECASE | re.MULTILINE), spans
+
+
+def category_of(text: str | None) -> str | None:
+    presence, spans = _categories()
+    found = presence.found(text) if text else []
+    name, score = max(((name, sum(found[lo:hi])) for name, lo, hi in spans), key=lambda x: x[1])  # the first of equal ones
+    return name if score else None
+
+
 def category(text: Column) -> Column:
     """The category with most matching patterns, ties by priority; null without a match."""
-    ranked = [F.struct(matches(text, rules.CATEGORY_PATTERNS[c], "(?im)").alias("score"), F.lit(-i).alias("priority"), F.lit(c).alias("name")) for i, c in enumerate(rules.CATEGORY_PRIORITY)]
+    ranked = [F.struct(matches(text, rules.CATEGORY_PATTERNS[c], "(?im)", ascii_edges=True).alias("score"), F.lit(-i).alias("priority"), F.lit(c).alias("name")) for i, c in enumerate(rules.CATEGORY_PRIORITY)]
     return F.array_max(F.filter(F.array(*ranked), lambda x: x.score > 0))["name"]
 
 
+def category_at_hits(text: Column) -> Column:
+    """category for long texts, in Arrow batches: all expressions share one pass over a text and are tried at their literals alone."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([category_of(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def scope(cat: Column) -> Column:
     return choose(cat, rules.SCOPE, "stable")
 

@@ -13,7 +13,7 @@ from lorebase.sources.shared import cut
 def recategorize(mem: DataFrame, every: bool = False, shown: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their new category, counts by changed, first changes) for uncategorised rows, or all."""
     rows = mem if every else mem.filter("category IS NULL")
-    new = rows.select("id", "category", tx.category(F.col("content")).alias("new_category")).withColumn("changed", ~F.col("category").eqNullSafe(F.col("new_category")))
+    new = rows.select("id", "category", tx.category_at_hits(F.col("content")).alias("new_category")).withColumn("changed", ~F.col("category").eqNullSafe(F.col("new_category")))
     return new, new.groupBy("changed").agg(F.count("*").alias("n")), new.filter("changed").orderBy("id").limit(shown)
 
 

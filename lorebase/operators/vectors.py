@@ -155,7 +155,7 @@ def intent_boosts(queries: DataFrame) -> DataFrame:
     """(query_id, category, boost) from keywords; the largest boost of all intents."""
     arrays = []
     for words, categories in rules.INTENTS.values():
-        hit = F.lower("text").rlike(r"\b(?:" + "|".join(words) + r")\b")
+        hit = F.lower("text").rlike(tx.bounded(r"\b(?:" + "|".join(words) + r")\b"))
         gains = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(max(0.2, round(0.5 - 0.1 * i, 1))).alias("boost")) for i, c in enumerate(categories)])
         arrays.append(F.when(hit, gains).otherwise(F.slice(gains, 1, 0)))
     return queries.select("query_id", F.explode(F.concat(*arrays)).alias("b")).groupBy("query_id", F.col("b.category").alias("category")).agg(F.max("b.boost").alias("boost"))
@@ -188,7 +188,7 @@ def classify_nearest(vectors: DataFrame, cents: DataFrame, threshold: float = 0.
 
 
 def classify_hybrid(texts: DataFrame, classified: DataFrame) -> DataFrame:
-    return texts.join(classified, "id", "left").select("id", F.coalesce("label", tx.category(F.col("content"))).alias("category"))
+    return texts.join(classified, "id", "left").select("id", F.coalesce("label", tx.category_at_hits(F.when(F.col("label").isNull(), F.col("content")))).alias("category"))
 
 
 def validate_vectors(vectors: DataFrame, dim: int) -> DataFrame:

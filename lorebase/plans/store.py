@@ -160,7 +160,7 @@ def _category_sql() -> str:
 
 @query(_category_sql(), "memories")
 def txt03_category(spark, d):
-    return spread(view(spark, d, "memories").select("id", "content")).select("id", tx.category(F.col("content")).alias("category"))
+    return spread(view(spark, d, "memories").select("id", "content")).select("id", tx.category_at_hits(F.col("content")).alias("category"))
 
 
 @query(
@@ -619,7 +619,7 @@ def ext15_extract_all(spark, d):
 
 @query("+" + _category_sql().replace("SELECT id, best.name", "cats AS (SELECT id, best.name").replace("FROM memories)", "FROM memories))") + " SELECT (m.category IS DISTINCT FROM c.category) AS changed, count(*) AS n FROM memories m JOIN cats c USING (id) GROUP BY 1", "memories")
 def txt07_recategorize(spark, d):
-    return jobs.recategorize(view(spark, d, "memories"), every=True)[1]
+    return jobs.recategorize(spread(view(spark, d, "memories").select("id", "category", "content")), every=True)[1]
 
 
 @query("+" + _logs(f"content || {lit(MINING_SAMPLE)}") + extraction.RUN + extraction.COUNTERS, "output_log")

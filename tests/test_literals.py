@@ -6,7 +6,8 @@ import re
 
 import pytest
 
-from lorebase.functions import literals
+from lorebase.functions import literals, rules
+from lorebase.functions import text as tx
 from lorebase.operators import extract
 
 T0 = dt.datetime(2024, 1, 31)
@@ -84,3 +85,21 @@ def test_sentences_of_several_shapes(spark):
         assert {(k, p) for k, p in want if p not in {p for _, p in got.get(i, ())}} == set(), got.get(i)
     single = {k: {(r.log_id, r.pattern) for r in extract.extract(logs, k).collect()} for k in ("decision", "architecture", "config", "fact")}
     assert all(pattern in {p for _, p in got[i]} for finds in single.values() for i, pattern in finds)
+
+
+def test_categories_at_hits_are_those_of_whole_searches(spark):
+    """Both forms of the category, on pieces of the expressions and beside letters that are not ASCII, where SQL's word boundaries lie."""
+    pieces = ["don't", "use", "instead", "because", " chose", "warning", "first", "then", "run", "v", "1.2", "see", "file", "fix", "\n", "git status", "[java]", "--all", " ", " ", "é", "ñ", "never ", "it is", "✓ "]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(1500)] + ["ami doñdev el server", "únext se run", None, ""]
+
+    def want(text):
+        n = {c: sum(bool(re.search(p, text or "", re.I | re.M | re.A)) for p in rules.CATEGORY_PATTERNS[c]) for c in rules.CATEGORY_PRIORITY}
+        best = max(n, key=lambda c: n[c])
+        return best if n[best] else None
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = rows.select("id", tx.category(rows["t"]).alias("native"), tx.category_at_hits(rows["t"]).alias("hits")).orderBy("id").collect()
+    assert [r.hits for r in got] == [want(t) for t in texts]
+    assert [r.native for r in got] == [r.hits for r in got]
+    assert got[1500].hits == got[1501].hits == "workflow"
