@@ -76,3 +76,19 @@ def test_bounds_leave_blocks_shut(spark, tmp_path):
 def test_empty_index(spark, tmp_path):
     keywords.write_index(spark.createDataFrame([], "id long, text string"), str(tmp_path / "i"))
     assert keywords.search(keywords.read_index(spark, str(tmp_path / "i")), spark.createDataFrame([(1, "a b")], "query_id long, text string"), 3).collect() == []
+
+
+def test_all_queries_at_once_equal_brute_force(spark, monkeypatch):
+    """Parts of few documents, ties within and between them, terms that no document has, queries without any."""
+    monkeypatch.setattr(keywords, "PART", 25)
+    rng = random.Random(9)
+    vocabulary = [f"{rng.choice('bcdf')}{rng.choice('aeiou')}{rng.choice('lmnr')}{n % 37}" + rng.choice(["ing", "ed", "s", ""]) for n in range(80)]
+    docs = [(i, " ".join(rng.choices(vocabulary, [1 / (n + 1) for n in range(80)], k=rng.randint(0, 30)))) for i in range(150)] + [(500, None), (501, "")]
+    docs += [(600 + i, docs[3][1]) for i in range(20)]
+    queries = [(i, docs[i][1]) for i in range(0, 150, 5)] + [(900, "unseen words"), (901, ""), (902, None), (903, f"unseen {vocabulary[0]}")]
+    counted = keywords.count_terms(spark.createDataFrame([*docs, (None, "no id")], "id long, text string"))
+    got = keywords.search_all(counted, spark.createDataFrame(queries, "query_id long, text string"), 5).collect()
+    want = brute(docs, queries, 5)
+    assert {(r.query_id, r.id) for r in got} == set(want) and all(abs(r.bm25 - want[r.query_id, r.id]) < 1e-9 and 0 <= r.score <= 1 for r in got)
+    none = keywords.count_terms(spark.createDataFrame([], "id long, text string"))
+    assert keywords.search_all(none, spark.createDataFrame([(1, "a b")], "query_id long, text string"), 3).collect() == []
