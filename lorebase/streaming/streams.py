@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,17 +84,48 @@ def stitched_transitions(spark: SparkSession, path: str) -> DataFrame:
     return pairs.groupBy("from_id", "to_id").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
 
 
-def stream_attribution(injections: DataFrame, responses: DataFrame, mem: DataFrame, hours: int = 24) -> DataFrame:
-    """Responses joined with injections of the hours before in their session, where a token of the memory occurs.
+def stream_attribution(injections: DataFrame, responses: DataFrame, mem: DataFrame, hours: int = 24, lanes: int = 4) -> DataFrame:
+    """(memory_id, response_id) of responses to injections of the hours before in their session, where a token of the memory occurs.
 
-    Times are cut into buckets of the window's length, so that state is spread by session and bucket.
+    Times are cut into buckets of the window's length. A session's bucket keeps, until the watermark passes it, its memories' tokens
+    and its responses, dealt over lanes by their ids; new responses meet all memories there, and earlier responses the new ones,
+    by an automaton of the tokens, so no text moves with each pair. A memory that is injected again may be told again.
     """
-    bucket = lambda c: F.floor(F.unix_micros(c) / (hours * 3_600_000_000))
-    left = injections.withWatermark("injected_at", "1 hour").withColumn("bucket", F.explode(F.array(bucket("injected_at"), bucket("injected_at") + 1))).alias("i")
-    right = responses.withWatermark("ts", "1 hour").withColumn("bucket", bucket("ts")).alias("r")
-    near = left.join(right, (F.col("i.session_id") == F.col("r.session_id")) & (F.col("i.bucket") == F.col("r.bucket")) & (F.col("r.ts") >= F.col("i.injected_at")) & (F.col("r.ts") <= F.col("i.injected_at") + F.expr(f"INTERVAL {hours} HOURS")))
-    tokens = mem.select(F.col("id").alias("memory_id"), F.explode(tx.distinctive_tokens(F.col("content"))).alias("token"))
-    return near.select("i.memory_id", "response_id", "text").join(tokens, "memory_id").filter(F.contains(F.lower("text"), F.lower("token"))).select("memory_id", "response_id")
+    micros = hours * 3_600_000_000
+    us = lambda c: F.unix_micros(c).alias("us")
+    tokens = mem.select(F.col("id").alias("memory_id"), F.array_join(F.transform(tx.distinctive_tokens(F.col("content")), F.lower), "\n").alias("body")).filter("body <> ''")
+    bucket = F.floor(F.unix_micros("injected_at") / micros)
+    told = injections.withWatermark("injected_at", "1 hour").withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("lane", F.explode(F.array(*map(F.lit, range(lanes)))))
+    told = told.join(tokens, "memory_id").select("session_id", "bucket", "lane", F.lit(0).alias("side"), F.col("memory_id").cast("long").alias("id"), us("injected_at"), F.col("injected_at").alias("at"), "body")
+    heard = responses.withWatermark("ts", "1 hour").withColumn("bucket", F.floor(F.unix_micros("ts") / micros)).withColumn("lane", F.pmod(F.xxhash64("response_id"), F.lit(lanes)).cast("int"))
+    heard = heard.select("session_id", "bucket", "lane", F.lit(1).alias("side"), F.col("response_id").cast("long").alias("id"), us("ts"), F.col("ts").alias("at"), F.lower("text").alias("body"))
+
+    def pairs(told: list, heard: list) -> set:
+        users, automaton = {}, ahocorasick.Automaton()
+        for memory, us, body in told:
+            for token in body.split("\n"):
+                users.setdefault(token, []).append((memory, us))
+        for token, own in users.items():
+            automaton.add_word(token, own)
+        automaton.make_automaton()
+        return {(memory, response) for response, us, text in (heard if users else ()) for own in {id(o): o for _, o in automaton.iter(text)}.values() for memory, at in own if 0 <= us - at <= micros}
+
+    def run(key: tuple, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old_told, old_heard = (json.loads(x) for x in state.get) if state.exists else ([], [])
+        told, heard = [], []
+        for pdf in pdfs:
+            for side, *row in zip(pdf["side"], pdf["id"].tolist(), pdf["us"].tolist(), pdf["body"], strict=True):
+                (heard if side else told).append(row)
+        found = pairs(old_told + told, heard) | pairs(told, old_heard)
+        state.update((json.dumps(old_told + told), json.dumps(old_heard + heard)))
+        state.setTimeoutTimestamp(max((int(key[1]) + 1) * micros // 1000 + 3_600_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(sorted(found), columns=["memory_id", "response_id"])
+
+    rows = told.unionByName(heard).filter("session_id IS NOT NULL AND us IS NOT NULL AND body IS NOT NULL")
+    return rows.groupBy("session_id", "bucket", "lane").applyInPandasWithState(run, "memory_id long, response_id long", "told string, heard string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def mined_state(spark: SparkSession, path: str, every: int = 16) -> Snapshots:

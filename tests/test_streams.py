@@ -80,6 +80,25 @@ def test_attribution(spark):
     assert got == want == {(1, 10), (3, 11)}
 
 
+def test_attribution_over_batches(spark):
+    """What comes in a later batch meets what was kept, whichever side came first; the window holds to the microsecond, and no text moves with a pair."""
+    start = "TIMESTAMP '2024-01-10 00:00:00'"
+    mem = spark.createDataFrame([(n, f"see src/app.py and word_{n}") for n in range(1, 4)], "id long, content string")
+    told = spark.createDataFrame([(1, 1, 0, 0), (2, 1, 86_400_000_000, 1), (3, None, 0, 0)], "memory_id long, session_id long, us long, n int")
+    heard = spark.createDataFrame([(10, 1, 0, 1, "SRC/APP.PY"), (11, 1, 86_400_000_000, 0, "src/app.py word_2"), (12, 1, 86_400_000_001, 1, "src/app.py"), (13, 1, 5, 0, "word_3"), (14, 1, 6, 0, None)], "response_id long, session_id long, us long, n int, text string")
+    at = lambda df, name: df.withColumn(name, F.expr(f"timestamp_micros(unix_micros({start}) + us)")).drop("us")
+    told, heard, path = at(told, "injected_at"), at(heard, "ts"), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for n in range(2):
+        told.filter(F.col("n") == n).drop("n").repartition(1).write.parquet(f"{path}/i{n}")
+        heard.filter(F.col("n") == n).drop("n").repartition(1).write.parquet(f"{path}/r{n}")
+    read = lambda df, kind: spark.readStream.schema(df.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{kind}*")
+    out = streams.stream_attribution(read(told, "i"), read(heard, "r"), mem, 24)
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.memory_id, r.response_id) for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()}
+    assert got == {(1, 10), (1, 11), (2, 11), (2, 12)}
+    assert "StreamingSymmetricHashJoin" not in out._jdf.queryExecution().toString()
+
+
 def test_stitched_transitions(spark):
     """Three batches in order of time, sessions that skip a batch, repeat an item over a border, or begin late."""
     rows = [("a", "x", 1, 1), ("a", "y", 2, 2), ("a", "y", 11, 3), ("a", "z", 12, 4), ("b", "x", 3, 5), ("b", "w", 21, 6), ("c", "q", 22, 7), (None, "x", 4, 8), (None, "y", 24, 9)]
