@@ -270,19 +270,36 @@ EXTRACTORS = {
 }
 
 
+#: Kinds whose expressions cost much where they are tried at every place of a text.
+COSTLY = ["tech_stack", "explanation"]
+
+
+def _with_finds(logs: DataFrame, makes: list) -> tuple[DataFrame, list[Column]]:
+    """(logs that have a text, with finds; what the functions make of these): one pass over each text for all their expressions."""
+    token = _SHARED.set([])
+    try:
+        made, keys = [make() for make in makes], _SHARED.get()
+    finally:
+        _SHARED.reset(token)
+    rows = logs.filter("content IS NOT NULL")
+    return rows.mapInArrow(literals.finder(keys, "content"), StructType([*rows.schema.fields, StructField("finds", ArrayType(ArrayType(StringType())))])), made
+
+
 def extract(logs: DataFrame, kind: str) -> DataFrame:
     """One row per find: the log's columns, kind, pos, pattern, confidence."""
     if kind == "entity_technology":
         return tech_entities(logs)
     if kind == "entity_decision":
         return decision_entities(logs)
-    rows = logs.select("*", F.lit(kind).alias("kind"), F.posexplode(EXTRACTORS[kind]()).alias("pos", "found"))
+    rows, (found,) = _with_finds(logs, [EXTRACTORS[kind]]) if kind in COSTLY else (logs, [EXTRACTORS[kind]()])
+    rows = rows.select(*logs.columns, F.lit(kind).alias("kind"), F.posexplode(found).alias("pos", "found"))
     return rows.select(*logs.columns, "kind", "pos", "found.pattern", "found.confidence")
 
 
 def tech_entities(logs: DataFrame) -> DataFrame:
     """One row per technology named in a telling context of a log."""
-    rows = logs.select("*", F.lit("entity_technology").alias("kind"), F.posexplode(_tech_names()).alias("pos", "tech"))
+    rows, (names,) = _with_finds(logs, [_tech_names])
+    rows = rows.select(*logs.columns, F.lit("entity_technology").alias("kind"), F.posexplode(names).alias("pos", "tech"))
     sub = tx.choose(F.col("tech"), {t: s for s, ts in rules.TECHNOLOGIES.items() for t in ts}, "tool")
     return rows.select(*logs.columns, "kind", "pos", _tech_text(F.col("tech")).alias("pattern"), F.lit(0.85).alias("confidence"), sub.alias("subcategory"))
 
@@ -301,14 +318,8 @@ def extract_all(logs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     def tag(n: int, k: str):
         return lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.lit(k).alias("kind"), x["pattern"].alias("pattern"), x["confidence"].cast("double").alias("confidence"))
 
-    token = _SHARED.set([])
-    try:
-        tagged = [F.transform(EXTRACTORS[k](), tag(n, k)) for n, k in enumerate(kinds)]
-        keys = _SHARED.get()
-    finally:
-        _SHARED.reset(token)
-    rows = logs.select("log_id", "ts", "project_id", "session_id", "content").filter("content IS NOT NULL")
-    rows = rows.mapInArrow(literals.finder(keys, "content"), StructType([*rows.schema.fields, StructField("finds", ArrayType(ArrayType(StringType())))]))
+    made = lambda n, k: lambda: F.transform(EXTRACTORS[k](), tag(n, k))
+    rows, tagged = _with_finds(logs.select("log_id", "ts", "project_id", "session_id", "content"), [made(n, k) for n, k in enumerate(kinds)])
     rows = rows.select("log_id", "ts", "project_id", "session_id", F.explode(F.concat(*tagged)).alias("f")).select("log_id", "ts", "project_id", "session_id", "f.*")
     best = rows.groupBy("log_id", "pattern").agg(F.min_by(F.struct("ts", "project_id", "session_id", "kind", "confidence"), F.struct("n", "i")).alias("r"))
     return best.select("log_id", "pattern", "r.*")

@@ -28,12 +28,14 @@ NOTES = [
     "```python\nx = {key}\nfor row in table_{cust}: print(row)\n```\ntext\n```\nshort\n```\n```\nError: order {key} was not found\n```",
     "In summary, order {key} shows that customers such as {cust} come back often, and the reason is the low price that the shop keeps.\n\nA short end of {date}",
 ]
+#: A task's notes, so that its time does not grow with the table.
+NOTES_A_TASK = 100_000
 _PUT = {"{key}": "o_orderkey", "{cust}": "o_custkey", "{date}": "o_orderdate"}
 
 
 def notes(spark, d):
     """log_id, content, ts, project_id, session_id."""
-    return noted(spread(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")))
+    return noted(spread(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), NOTES_A_TASK))
 
 
 def noted(orders):

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lorebase.functions import text as tx
 from lorebase.operators import extract as ex
 from lorebase.operators import memory, sequences
+from lorebase.sources.tables import spread
 from lorebase.streaming.snapshots import Snapshots
 
 
@@ -128,6 +129,10 @@ def stream_attribution(injections: DataFrame, responses: DataFrame, mem: DataFra
     return rows.groupBy("session_id", "bucket", "lane").applyInPandasWithState(run, "memory_id long, response_id long", "told string, heard string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Logs of a micro-batch that a task takes, however few files they come in.
+BATCH_A_TASK = 100_000
+
+
 def mined_state(spark: SparkSession, path: str, every: int = 16) -> Snapshots:
     return Snapshots(spark, path, lambda rows: ex.merge_patterns(rows.limit(0), rows), every)
 
@@ -136,7 +141,7 @@ def stream_mining(src: DataFrame, state_path: str, checkpoint: str, kinds: list[
     """Starts a query that adds each micro-batch's partial aggregates to the state (mined_state reads it)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mined_state(batch.sparkSession, state_path).write(ex.aggregate_patterns(ex.extract_all(batch, kinds)), batch_id)
+        mined_state(batch.sparkSession, state_path).write(ex.aggregate_patterns(ex.extract_all(spread(batch, BATCH_A_TASK), kinds)), batch_id)
 
     return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

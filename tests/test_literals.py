@@ -103,3 +103,26 @@ def test_categories_at_hits_are_those_of_whole_searches(spark):
     assert [r.hits for r in got] == [want(t) for t in texts]
     assert [r.native for r in got] == [r.hits for r in got]
     assert got[1500].hits == got[1501].hits == "workflow"
+
+
+def test_finds_of_costly_kinds_come_in_small_batches(spark):
+    """One kind alone takes its finds from the shared pass, as all together do, and a task holds STEP texts' finds at most."""
+    import pyarrow as pa
+
+    rows = [(i, f"we use redis server {i} because it is fast and cheap; chose redis, built with React app") for i in range(50)] + [(90, None), (91, "nothing")]
+    logs = spark.createDataFrame([(i, t, T0, "p", 1) for i, t in rows], "log_id long, content string, ts timestamp, project_id string, session_id long")
+    for kind in ("tech_stack", "explanation", "entity_technology"):
+        one = extract.extract(logs, kind)
+        assert "MapInArrow" in one._jdf.queryExecution().toString()
+        both = extract.extract_all(logs, [kind])
+        assert sorted({(r.log_id, r.pattern) for r in one.collect()}) == sorted((r.log_id, r.pattern) for r in both.collect()) != []
+    batch = pa.RecordBatch.from_arrays([pa.array(["x because y"] * (2 * literals.STEP + 1))], ["content"])
+    assert [b.num_rows for b in literals.finder([("because", 0)], "content")([batch])] == [literals.STEP, literals.STEP, 1]
+
+
+def test_tasks_of_notes_do_not_grow(spark, tmp_path, monkeypatch):
+    from lorebase.plans import extraction
+
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE '2024-01-01' AS o_orderdate").repartition(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(extraction, "NOTES_A_TASK", 100)
+    assert extraction.notes(spark, str(tmp_path)).rdd.getNumPartitions() == 10
