@@ -362,11 +362,12 @@ def promotion_targets(patterns: DataFrame, mem: DataFrame, embed, min_count: int
 
     embed: a function from (rows, key column, text column) to (key, embedding).
     """
-    often = patterns.filter(F.col("count") >= min_count).select("pattern_hash", "pattern")
+    # What is read more than once is written: the frequent patterns, and the vectors, which the search counts, samples and places.
+    often = cut(patterns.filter(F.col("count") >= min_count).select("pattern_hash", "pattern"), "often")
     exact = often.join(mem.select(F.col("id"), F.sha2("content", 256).alias("pattern_hash")), "pattern_hash").groupBy("pattern_hash").agg(F.min("id").alias("id")).withColumn("similarity", F.lit(1.0))
     rest = cut(often.join(exact.select("pattern_hash"), "pattern_hash", "left_anti").withColumn("query_id", F.monotonically_increasing_id()), "patterns")
     # The query's ids are apart from those of memories, since a row is not its own neighbour.
-    asked = embed(rest, "query_id", "pattern").withColumn("query_id", -F.col("query_id") - 1)
-    near = cells.knn(asked, embed(mem, "id", "content"), 1).filter(F.round("similarity", 12) >= threshold)
+    asked = cut(embed(rest, "query_id", "pattern").withColumn("query_id", -F.col("query_id") - 1), "asked")
+    near = cells.knn(asked, cut(embed(mem, "id", "content"), "embedded"), 1).filter(F.round("similarity", 12) >= threshold)
     found = near.join(rest.select((-F.col("query_id") - 1).alias("query_id"), "pattern_hash"), "query_id").select("pattern_hash", "id", "similarity")
     return exact.unionByName(found)

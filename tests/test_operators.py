@@ -424,3 +424,31 @@ def test_promotion_takes_the_nearest_where_no_text_is_equal(spark):
     patterns = spark.createDataFrame([(sha(t), t, n) for t, n in texts], "pattern_hash string, pattern string, count long")
     got = {(r.pattern_hash, r.id) for r in vectors.promotion_targets(patterns, mem, vectors.hash_embed).collect()}
     assert got == {(sha(texts[0][0]), 2), (sha(texts[1][0]), 1)}
+
+
+def test_texts_are_embedded_once(spark):
+    """The search for promoted memories counts, samples and places its vectors; their texts are embedded a single time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(df, key, text):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return vectors.hash_embed(df.mapInArrow(run, df.schema), key, text)
+
+    patterns = spark.createDataFrame([("h1", "alpha beta gamma", 5), ("h2", "delta epsilon", 1)], "pattern_hash string, pattern string, count long")
+    mem = spark.createDataFrame([(1, "alpha beta gamma zeta"), (2, "other words")], "id long, content string")
+    got = vectors.promotion_targets(patterns, mem, embed, threshold=0.6).collect()
+    assert [(r.pattern_hash, r.id) for r in got] == [("h1", 1)] and seen.value == 3
+
+
+@pytest.mark.parametrize("name", ["vec10_star_clusters", "vec11_consolidation", "vec11_savings", "vec11_rewired_edges", "vec11_consolidate"])
+def test_pairs_of_clusters_are_searched_once(spark, monkeypatch, name):
+    from lorebase.plans import retrieval
+
+    names, write = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df, what: names.append(what) or write(df, what))
+    getattr(retrieval, name)(spark, "/root/testdata/sf0.001")
+    assert names[0] == "pairs"
