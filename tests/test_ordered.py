@@ -45,3 +45,18 @@ def test_sessions_are_forgotten_and_late_rows_dropped(spark):
     parts = [[("a", "x", 10, 1), ("b", "p", 1, 2), ("b", "q", 5, 3)], [("a", "y", 3 * day, 4), ("late", "x", 3 * day, 5)], [("late", "w", 20, 6), ("a", "z", 3 * day + 5, 7), ("end", "x", 9 * day, 8)]]
     assert batches(spark, parts, late="1 hour", keep_days=2)[-1] == [("p", "q", 5.0), ("y", "z", 3.0 * day + 5)]
     assert ("x", "y", 3.0 * day) in batches(spark, parts, late="1 hour", keep_days=4)[-1]
+
+
+def test_state_is_kept_by_buckets_of_sessions_and_whole_numbers_stay_exact(spark, monkeypatch):
+    """300 sessions are as many keys of state as there are buckets; items above 2^53 beside a null, and a session's name of that size, are exact."""
+    monkeypatch.setattr(ordered, "BUCKETS", 4, raising=False)
+    big, path = 2**53 + 1, tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(big + s, item, second, n) for s in range(300) for n, (item, second) in enumerate([(big + 2, 30), (big + s % 2, 20), (None, 10), (big, 5)])] + [(None, 1, 90_000, 0)]
+    spark.createDataFrame(rows, "session_id long, item long, second long, seq long").withColumn("ts", F.timestamp_seconds("second")).drop("second").repartition(2).write.parquet(f"{path}/in0")
+    src = spark.readStream.schema("session_id long, item long, seq long, ts timestamp").parquet(f"{path}/in*")
+    with ordered.row_store(spark):
+        told = ordered.ordered_transitions(src).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        told.awaitTermination()
+    got = spark.read.schema("from_id long, to_id long, seen timestamp").parquet(f"{path}/out").groupBy("from_id", "to_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(big, big + 2, 150), (big + 1, big + 2, 150)]
+    assert max(o.numRowsTotal for p in told.recentProgress for o in p.stateOperators) <= 4 * 10
