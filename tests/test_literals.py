@@ -105,6 +105,19 @@ def test_categories_at_hits_are_those_of_whole_searches(spark):
     assert got[1500].hits == got[1501].hits == "workflow"
 
 
+def test_presence_passes_common_words_by():
+    """Places stay in their order when letters are lowered, and words that nearly every text holds are no hits of the pass."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    low = literals.lowered(every)
+    assert len(low) == len(every) and low[:128] == every[:128].lower() and literals.lowered("İK") == "ık"
+    presence, _ = tx._categories()
+    common = "the man that goes to do the work is not the one who did the other " * 100
+    assert sum(1 for _ in presence.automaton.iter(common)) <= 200 and not any(presence.found(common))  # "go" and nothing else
+    assert tx.category_of("İ" * 50 + " The RULE is") == "convention" and tx.category_of("İİ Never Use it, K") == "antipattern"
+    expressions = literals.Expressions([r"\bUSES\s+(\w+)"])
+    assert [m.span() for m in expressions.matches("İ" * 40 + " USES Spark, USES İ uses")[0]] == [(41, 51)]
+
+
 def test_finds_of_costly_kinds_come_in_small_batches(spark):
     """One kind alone takes its finds from the shared pass, as all together do, and a task holds STEP texts' finds at most."""
     import pyarrow as pa
