@@ -118,6 +118,46 @@ def test_presence_passes_common_words_by():
     assert [m.span() for m in expressions.matches("İ" * 40 + " USES Spark, USES İ uses")[0]] == [(41, 51)]
 
 
+class Counted:
+    """An expression that counts how often it is tried."""
+
+    def __init__(self, pattern):
+        self.pattern, self.tried = pattern, 0
+
+    def match(self, text, at):
+        self.tried += 1
+        return self.pattern.match(text, at)
+
+
+def test_long_lines_are_not_run_through_again_from_every_word():
+    """A line without the second word is passed once, or the work would grow with the square of its length."""
+    own = [p for ps in rules.CATEGORY_PATTERNS.values() for p in ps if ".*" in p]
+    presence = literals.Presence(own, re.IGNORECASE | re.MULTILINE)
+    assert len(own) == 8
+    presence.patterns = counted = [Counted(p) for p in presence.patterns]
+    for head, second in (("because", "users"), ("then", "done"), ("step  3", "runs"), ("api", "designs"), ("don't", "insteads")):
+        assert not any(presence.found(f"{head} it rains, {second} ... " * 3000))
+    assert sum(c.tried for c in counted) < 100
+    assert sum(presence.found("then it rains, done ... " * 3000 + "do")) == 1
+
+
+def test_presence_is_that_of_a_plain_search():
+    """Words of "head.*tail" in any order, heads that go over the end of a line, and tails that overlap them."""
+    patterns = [p for ps in rules.CATEGORY_PATTERNS.values() for p in ps if ".*" in p] + [r"a(b|bc?\s*c).*c\s*d", r"x\n?y.*y\sz", r"(ab|a\s*\n).*b", r"api.*see.*do"]
+    flags = re.IGNORECASE | re.MULTILINE
+    presence, plain = literals.Presence(patterns, flags), [re.compile(p, flags | re.ASCII) for p in patterns]
+    assert [line is not None for line in presence.lines] == [True] * 12
+    words = ["don't", "instead", "because", "chose", "use", "step", "2", "first", "then", "run", "do", "api", "s", "design", "see", "refer to", "file", "ab", "abc", "c", "d", "x", "y", "z", "a", "b", "é", "İ", "_", "long words stand here"]
+    rng, n = random.Random(5), [0] * len(patterns)
+    for _ in range(6000):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", " ", "   ", "\n", "\n\n", "\t", "\r\n"]) for _ in range(rng.randint(1, 30)))
+        want = [p.search(text) is not None for p in plain]
+        assert presence.found(text) == want, text
+        n = [a + b for a, b in zip(n, want, strict=True)]
+    assert sum(x > 20 for x in n) >= 7
+    assert [literals.Line.of(p, 0) for p in (r"(a.*b)", r"\w+.*b", r"(a).*\1", "ab", ".*b")] == [None] * 5 and literals.Line.of("a.*b", re.DOTALL) is None
+
+
 def test_finds_of_costly_kinds_come_in_small_batches(spark):
     """One kind alone takes its finds from the shared pass, as all together do, and a task holds STEP texts' finds at most."""
     import pyarrow as pa
