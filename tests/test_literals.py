@@ -179,3 +179,24 @@ def test_tasks_of_notes_do_not_grow(spark, tmp_path, monkeypatch):
     spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE '2024-01-01' AS o_orderdate").repartition(1).write.parquet(str(tmp_path / "orders.parquet"))
     monkeypatch.setattr(extraction, "NOTES_A_TASK", 100)
     assert extraction.notes(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+@pytest.mark.parametrize(("group", "dealt"), [(4000, True), (200, False)])
+def test_a_large_row_group_is_dealt_out(spark, tmp_path, group, dealt):
+    """A scan has a part for so many bytes, but all rows of a row group in one of them; well-laid tables are left as they are."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lorebase.sources.tables import spread
+
+    rng = random.Random(3)
+    rows = pa.table({"id": range(4000), "t": ["".join(rng.choices("abcdefghij", k=60)) for _ in range(4000)]})
+    pq.write_table(rows, tmp_path / "t.parquet", row_group_size=group, use_dictionary=False, compression="none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = spread(spark.read.parquet(str(tmp_path / "t.parquet")))
+        sizes = [len(p) for p in df.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) > 8 and sum(sizes) == 4000 and max(sizes) < 1000
+    assert ("Exchange" in df._jdf.queryExecution().toString()) == dealt
