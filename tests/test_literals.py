@@ -158,6 +158,23 @@ def test_presence_is_that_of_a_plain_search():
     assert [literals.Line.of(p, 0) for p in (r"(a.*b)", r"\w+.*b", r"(a).*\1", "ab", ".*b")] == [None] * 5 and literals.Line.of("a.*b", re.DOTALL) is None
 
 
+def test_categories_of_odd_letters_are_those_of_sql():
+    """SQL takes two letters beyond ASCII for s and k, also as word letters, but not at word boundaries; a vertical tab is no white space to it."""
+    import duckdb
+    import pyarrow as pa
+
+    from lorebase.plans import store
+
+    words = ["i\u017fsue", "iss\u017fue", "hac\u212a", "bro\u212aen", "u\u017fe", "never", "don't", "instead", "because", "\u017ftep 1", "run", "see", "file", "fi\u212a --\u017f", "a-\u212a -x", "./\u017f\u212a.sh", "git \u017fta\u212a", "\u212a", "!", "found", "12", "ssh", "https://\v", "v", "1.2"]
+    rng = random.Random(3)
+    texts = ["!\v", "i\u017fsue", "use", "fi\u212a -x "] + ["".join(rng.choice(words) + rng.choice([" ", "\v", "\n", "\f", "\r\n", "\x85", "\u2028", "\xa0", "\x1c", "\0", ""]) for _ in range(rng.choice([1, 2, 3, 6, 12]))) for _ in range(3000)]
+    with duckdb.connect() as con:
+        con.register("memories", pa.table({"id": range(len(texts)), "content": texts}))
+        want = dict(con.execute(store._category_sql()).fetchall())
+    assert [want[i] for i in range(4)] == [None, "bug", None, "command"] and len(set(want.values())) > 8
+    assert {t: tx.category_of(t) for t in texts} == {t: want[i] for i, t in enumerate(texts)}
+
+
 def test_finds_of_costly_kinds_come_in_small_batches(spark):
     """One kind alone takes its finds from the shared pass, as all together do, and a task holds STEP texts' finds at most."""
     import pyarrow as pa
