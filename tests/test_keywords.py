@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,51 @@ def test_all_queries_at_once_equal_brute_force(spark, monkeypatch):
     assert {(r.query_id, r.id) for r in got} == set(want) and all(abs(r.bm25 - want[r.query_id, r.id]) < 1e-9 and 0 <= r.score <= 1 for r in got)
     none = keywords.count_terms(spark.createDataFrame([], "id long, text string"))
     assert keywords.search_all(none, spark.createDataFrame([(1, "a b")], "query_id long, text string"), 3).collect() == []
+
+
+def written(spark) -> int:
+    """Bytes shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_queries_are_not_copied_for_parts(spark, monkeypatch):
+    """Four times as many parts of the same documents: what is written stays, where each part got a copy of all queries before."""
+    rng, moved = random.Random(4), []
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(800)], "id long, text string")
+    counted = spark.createDataFrame(keywords.count_terms(docs).collect(), keywords.COUNTED).coalesce(1)
+    for part in (80, 20):
+        monkeypatch.setattr(keywords, "PART", part)
+        before = written(spark)
+        assert keywords.search_all(counted, docs.filter("id % 4 = 0").withColumnRenamed("id", "query_id"), 5).count() == 1000
+        moved.append(written(spark) - before)
+    assert moved[1] < 1.5 * moved[0]
+
+
+@pytest.mark.parametrize(("dense", "wide"), [(16, 1024), (2, 3), (10**9, 10**9)])
+def test_blocks_in_small_steps_equal_brute_force(monkeypatch, dense, wide):
+    """All terms as a matrix, none, or a few; ties of copies in several blocks, postings in few at once, scores that differ by little."""
+    for name, value in {"DENSE": dense, "WIDE": wide, "SCORED": 100, "PIECE": 40, "MOST": 200}.items():
+        monkeypatch.setattr(keywords, name, value)
+    rng = random.Random(dense)
+    text = lambda: " ".join(f"{rng.choice('bcdf')}o{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(0, 40)))
+    docs = [(i, text()) for i in range(120)]
+    docs += [(1000 - i, docs[7][1]) for i in range(60)] + [(2000 + i, docs[9][1] + " " + "same " * (i % 7)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t.split() for _, t in docs], pa.list_(pa.string()))], ["id", "words"])
+    blocks = pa.Table.from_batches(keywords._gathered(2, 23, keywords._block)(keywords._counted([batch])))
+    assert len(blocks) > 240 / 23 and sum(blocks["n"].to_pylist()) == 240
+    df = Counter(t for _, text in docs for t in {keywords.stem(w) for w in text.split()})
+    queries = [(i, t) for i, t in docs if i % 3 == 0] + [(900, "unseen"), (901, "")]
+    asked = pa.RecordBatch.from_arrays([pa.array([i for i, _ in queries]), pa.array([t.split() for _, t in queries], pa.list_(pa.string()))], ["query_id", "words"])
+    found = {}
+    for group in pa.Table.from_batches(keywords._gathered(1, 30, keywords._group)(keywords._stemmed([asked])))["asked"]:
+        terms = keywords._unpacked(group, "terms")[0].to_pylist()
+        known = [i for i, t in enumerate(terms) if t in df]
+        idf = np.array([max(1e-6, math.log((240 - df[terms[i]] + 0.5) / (df[terms[i]] + 0.5))) for i in known])
+        held = keywords._Group(group, np.array(known, int), idf, 6)
+        for packed in blocks["packed"]:
+            held.meet(keywords._Block(packed, 1.2, 0.75, sum(blocks["words"].to_pylist()) / 240))
+        found |= {(r["query_id"], r["id"]): r["bm25"] for r in held.answers().to_pylist()}
+    want = brute(docs, queries, 6)
+    assert set(found) == set(want) and all(abs(found[x] - want[x]) < 1e-9 for x in want)
