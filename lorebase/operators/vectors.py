@@ -129,7 +129,8 @@ def recall(queries: DataFrame, mem: DataFrame, vectors: DataFrame, as_of: Column
         mem = mem.filter(where)
         vectors = vectors.join(mem.select("id"), "id", "left_semi")
     modes = queries.select("query_id", F.coalesce("mode", F.lit("balanced")).alias("mode") if "mode" in queries.columns else F.lit("balanced").alias("mode"))
-    cands = candidates(queries, vectors, 3 * k, keywords, union).join(modes, "query_id").join(mem, "id")
+    # Written, as ranking and summary each read them, and finding them is the costly part.
+    cands = cut(candidates(queries, vectors, 3 * k, keywords, union), "candidates").join(modes, "query_id").join(mem, "id")
     ranked, summary = rank(cands, as_of, boosts, lower)
     summary = modes.join(summary, "query_id", "left").na.fill(0, ["n_gated", "n_candidates", "n_results"]).na.fill("low", ["confidence"])
     summary = guidance(summary)

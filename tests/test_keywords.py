@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import keywords
+from lorebase.operators import keywords, vectors
 
 # Porter's own examples, and what stays.
 STEMS = {
@@ -142,3 +142,14 @@ def test_blocks_in_small_steps_equal_brute_force(monkeypatch, dense, wide):
         found |= {(r["query_id"], r["id"]): r["bm25"] for r in held.answers().to_pylist()}
     want = brute(docs, queries, 6)
     assert set(found) == set(want) and all(abs(found[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_recall_finds_its_candidates_once(spark):
+    """Neither ranking nor summary searches again."""
+    rng = random.Random(3)
+    vec = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)], "id long, embedding array<double>")
+    mem = spark.range(60).selectExpr("id", "'pattern' AS memory_type", "id AS access_count", "TIMESTAMP '2024-01-01' AS created_at", "TIMESTAMP '2024-01-02' AS last_accessed_at", "0.5D AS trust_score", "0.5D AS utility_score")
+    found = keywords.search_all(keywords.count_terms(vec.select("id", F.concat(F.lit("common w"), F.col("id") % 7).alias("text"))), spark.createDataFrame([(0, "common w0")], "query_id long, text string"), 5)
+    ranked, summary = vectors.recall(vec.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), mem, vec, F.lit("2024-01-31").cast("timestamp"), keywords=found, lower=2.0)
+    assert [r.n_results for r in summary.orderBy("query_id").collect()] == [30, 30, 30] and ranked.count() > 0
+    assert not any("MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString() for df in (ranked, summary))
