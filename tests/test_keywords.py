@@ -153,3 +153,13 @@ def test_recall_finds_its_candidates_once(spark):
     ranked, summary = vectors.recall(vec.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), mem, vec, F.lit("2024-01-31").cast("timestamp"), keywords=found, lower=2.0)
     assert [r.n_results for r in summary.orderBy("query_id").collect()] == [30, 30, 30] and ranked.count() > 0
     assert not any("MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString() for df in (ranked, summary))
+
+
+def test_batches_are_short_only_within_the_search(spark):
+    """Blocks pass a few at a time, and the setting is put back after an error, too."""
+    before, sizes = spark.conf.get(keywords.BATCH_BYTES), spark.range(64, numPartitions=1).select(F.expr("repeat('x', 1000000)").alias("x"))
+    most = lambda: max(r.n for r in sizes.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect())
+    with pytest.raises(ValueError, match="stop"), keywords.short_batches(spark):
+        assert most() <= 10
+        raise ValueError("stop")
+    assert spark.conf.get(keywords.BATCH_BYTES) == before and most() > 10
